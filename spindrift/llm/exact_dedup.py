@@ -83,7 +83,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = identities(docs, id_col, text_col, block_bytes)
     groups = rows.groupBy("n", "name").agg(F.max(F.struct("id", (-F.col("row")).alias("back"))).alias("top"), F.count("*").alias("group_size"))
     groups = groups.select("n", "name", F.col("top.id").alias("keep_id"), F.col("top.back").alias("back"), "group_size")
-    out = rows.join(groups, ["n", "name"])
+    out = rows.join(written(groups, "exact-groups"), ["n", "name"])  # written, so that the join can split a large group
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == -F.col("back")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
