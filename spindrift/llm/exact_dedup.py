@@ -48,8 +48,9 @@ def _level0(src: DataFrame, size: int) -> DataFrame:
     twice = names.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     if twice.isEmpty():  # each hash has one content, as good as always: blocks find their name by it alone
         return at.join(names, "h").select("row", "id", "sha", "n", "pos", "name")
-    raw = src.select(F.monotonically_increasing_id().alias("row"), "id", F.sha2("raw", 256).alias("sha"), "n", F.posexplode(_cut(F.col("raw"), F.col("n"), size)).alias("pos", "block"))
-    raw = written(raw.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha"))), "blocks")
+    raw = src.select(F.monotonically_increasing_id().alias("row"), "id", F.sha2("raw", 256).alias("sha"), "n", _cut(F.col("raw"), F.col("n"), size).alias("blocks"))
+    raw = written(raw, "blocks").select("row", "id", "sha", "n", F.posexplode("blocks").alias("pos", "block"))
+    raw = raw.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha")))
     return raw.join(_named(raw.select("block"), "block-names"), "block").select("row", "id", "sha", "n", "pos", "name")
 
 

@@ -26,7 +26,7 @@ END = b"\0\0\0\0"
 #: Documents in a bucket, on average; a bucket is dealt by one task.
 BUCKET = 1024
 #: A rest of at least this many ids is cut once more: its last ids, about this share, are small change that evens windows out.
-CHANGE_FROM, CHANGE = 96, 16
+CHANGE_FROM, CHANGE = 48, 12
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -35,7 +35,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     out = [(i, capacity) for i in range(0, full, capacity)]
     rest = n - full
     if rest >= CHANGE_FROM:
-        small = max(8, rest // CHANGE)
+        small = max(4, rest // CHANGE)
         out += [(full, rest - small), (n - small, small)]
     elif rest:
         out.append((full, rest))

@@ -63,9 +63,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     ops = [op1_exact_dedup, op2_simhash, op3_bpe, op4_html, op5_url_filter, op6_licenses, op7_topk, op8_toxicity, op9_line_dedup, op10_packing]
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)

@@ -25,7 +25,7 @@ MAX_BITS = 3
 HALVES, HALF_BITS = 2, MAX_BITS // 2
 #: Fingerprints that rest in a shard, on average.
 SHARD = 512
-#: Distinct fingerprints that vantage points and medians are taken from, at most.
+#: Distinct fingerprints that vantage points and medians are taken from: about as many at most, by hash.
 SAMPLE = 65_536
 _CHUNK = 1 << 16
 
@@ -120,7 +120,7 @@ def links(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     count = fps.count()
     depth = max(0, (count // SHARD).bit_length())
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64)
+    sample = np.sort(np.array([r[0] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-count // SAMPLE)))) == 0).collect()], np.int64))
     trees = spark.sparkContext.broadcast([Tree(_half(sample, t), depth, t) for t in range(HALVES)])
 
     def visits(batches):
