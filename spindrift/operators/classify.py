@@ -1,0 +1,65 @@
+"""Features of findings and the heuristic classifier: signed weights over them, as one expression."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Weights of features, and the base score of a type; others have the default.
+WEIGHTS = {
+    "source_risk": 0.25, "sink_danger": 0.20, "rule_confidence": 0.15, "sanitizer_type_match": -0.55, "prepared_stmt": -0.30, "type_cast": -0.25, "validation": -0.15, "sanitizer_present": -0.10, "in_comment": -0.50, "auth": -0.05, "orm": -0.25,
+    "direct_source": 0.10, "concat": 0.05, "interpolation": 0.05, "reassigned": -0.08, "ajax": 0.05, "base64": 0.15, "ssa_branch": -0.15, "string_context_safe": -0.25, "tainted_ratio": 0.15, "type_narrowed": -0.35, "interproc_flow": 0.10,
+    "interproc_sanitized": -0.25, "framework_validated": -0.30,
+}
+BASE, DEFAULT_BASE, THRESHOLD = {"SQL_INJECTION": 0.5, "COMMAND_INJECTION": 0.55, "CODE_INJECTION": 0.55, "XSS": 0.45, "DESERIALIZATION": 0.55}, 0.45, 0.45
+CRITICAL_TYPES = ["CODE_INJECTION", "COMMAND_INJECTION", "RCE", "DESERIALIZATION", "FILE_INCLUSION", "FILE_WRITE", "UNSAFE_UPLOAD"]
+
+_TESTS = {
+    "direct_source": r"\$_(?:GET|POST|REQUEST|COOKIE)",
+    "concat": r"\.\s*\$\w+",
+    "interpolation": r"\"[^\"]*\$\w+[^\"]*\"",
+    "type_cast": r"\((?:int|integer|float|bool)\)",
+    "prepared_stmt": r"->(?:prepare|bindParam|bindValue)\b",
+    "validation": r"\b(?:preg_match|filter_var|ctype_\w+|in_array)\s*\(",
+    "base64": r"\bbase64_decode\s*\(",
+    "ajax": r"(?:wp_ajax_|XMLHttpRequest|HTTP_X_REQUESTED_WITH)",
+}
+
+
+def features(line: Column, context: Column) -> dict[str, Column]:
+    """0/1 features of the hit line and of what stands around it, and counts with caps."""
+    out = {name: (context if name in ("validation", "ajax", "base64") else line).rlike("(?i)" + p).cast("double") for name, p in _TESTS.items()}
+    branches = F.regexp_count(context, F.lit(r"\b(?:if|elseif|case|while|for|foreach)\b"))
+    out["complexity"] = F.least(branches + 1, F.lit(20)).cast("double")
+    out["context_sources"] = F.least(F.regexp_count(context, F.lit(r"\$_(?:GET|POST|REQUEST|COOKIE)")), F.lit(10)).cast("double")
+    return out
+
+
+def heuristic(features: DataFrame, vuln_type: str = "vuln_type") -> DataFrame:
+    """features has columns named as WEIGHTS (those that it lacks are 0), and vuln_type: score, is_tp, certainty and reasons.
+
+    Some weights hold for some types alone; a sanitiser of the wrong type counts only if none of the right type is there.
+    """
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv])[F.col(vuln_type)], F.lit(DEFAULT_BASE))
+    only = {"prepared_stmt": ["SQL_INJECTION", "LDAP_INJECTION"], "orm": ["SQL_INJECTION"]}
+    score, reasons = base, []
+    for name, weight in WEIGHTS.items():
+        if name not in features.columns:
+            continue
+        value = F.col(name).cast("double")
+        if name in only:
+            value = F.when(F.col(vuln_type).isin(only[name]), value).otherwise(0.0)
+        if name == "sanitizer_present" and "sanitizer_type_match" in features.columns:
+            value = F.when(F.col("sanitizer_type_match") > 0, 0.0).otherwise(value)
+        score = score + value * F.lit(weight)
+        reasons.append(F.when(value > 0, name))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    out = features.withColumn("score", score).withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), ","))
+    certainty = F.least(F.lit(1.0), F.abs(F.col("score") - THRESHOLD) * 2)
+    return out.withColumn("is_tp", F.col("score") > THRESHOLD).withColumn("certainty", certainty)
+
+
+def kept(scored: DataFrame, line: str = "code") -> DataFrame:
+    """Without findings that the classifier takes for false positives; critical types stay unless the line holds a file sanitiser."""
+    critical = F.col("vuln_type").isin(CRITICAL_TYPES) & ~F.col(line).rlike(r"(?i)\b(?:basename|realpath|escapeshellarg)\s*\(")
+    return scored.where(F.col("is_tp") | critical)

@@ -1 +1,175 @@
-"""To come."""
+"""Queries on graphs, lattices and states."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graphs, lattice
+from ..registry import query
+from ..sources.corpus import read
+
+#: An include graph of some hundred nodes, with cycles and unreachable parts.
+EDGES = "e AS (SELECT DISTINCT o_orderkey % 131 AS src, (o_orderkey * 7 + o_custkey % 2) % 131 AS dst FROM orders WHERE o_orderkey % 131 < 90 AND o_custkey % 10 < 3)"
+
+
+def edges(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = read(spark, sf_dir, "orders").where((k % 131 < 90) & (c % 10 < 3))
+    return o.select((k % 131).alias("src"), ((k * 7 + c % 2) % 131).alias("dst")).distinct()
+
+
+_REACH = f"{EDGES}, reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)"
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT src, dst FROM reach")
+def g23_include_closure(spark, sf_dir):
+    return graphs.reach(edges(spark, sf_dir)).select("src", "dst")
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT DISTINCT a AS file, b AS other FROM (SELECT src AS a, dst AS b FROM reach UNION ALL SELECT dst, src FROM reach) WHERE a <> b")
+def g23_visible_files(spark, sf_dir):
+    return graphs.visible(edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT src, src AS dst, 0 AS depth, [src] AS path FROM (SELECT DISTINCT src FROM e WHERE src % 30 = 1)
+    UNION ALL SELECT p.src, e.dst, p.depth + 1, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.dst WHERE p.depth < 7 AND NOT list_contains(p.path, e.dst)),
+    d AS (SELECT src, dst, min(depth) AS depth FROM p GROUP BY 1, 2)
+    SELECT p.src, p.dst, CAST(p.depth AS INTEGER) AS depth, array_to_string(min(p.path), '>') AS path FROM p JOIN d ON d.src = p.src AND d.dst = p.dst AND d.depth = p.depth GROUP BY 1, 2, 3""")
+def g24_shortest_paths(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    got = graphs.shortest_paths(e, e.where("src % 30 = 1"), most=7)
+    return got.select("src", "dst", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(f"""WITH RECURSIVE {_REACH}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+    SELECT n.node, least(n.node, (SELECT min(a.dst) FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src = n.node)) AS scc FROM n""")
+def g21_components(spark, sf_dir):
+    return graphs.strong_components(edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_REACH}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), s AS (SELECT n.node, least(n.node, (SELECT min(a.dst) FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src = n.node)) AS scc FROM n),
+    g AS (SELECT scc, count(*) AS size FROM s GROUP BY 1)
+    SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM n) AS nodes, count(*) AS components, count_if(size > 1) AS recursive_groups, max(size) AS largest, (SELECT max(c) FROM (SELECT count(*) AS c FROM e GROUP BY dst)) AS most_callers FROM g""")
+def a15_call_graph_stats(spark, sf_dir):
+    e = graphs.cut(edges(spark, sf_dir))
+    s = graphs.strong_components(e).groupBy("scc").agg(F.count("*").alias("size"))
+    sums = s.agg(F.sum("size").alias("nodes"), F.count("*").alias("components"), F.count_if(F.col("size") > 1).alias("recursive_groups"), F.max("size").alias("largest"))
+    callers = e.groupBy("dst").agg(F.count("*").alias("c")).agg(F.max("c").alias("most_callers"), F.sum("c").alias("edges"))
+    return sums.crossJoin(callers)  # one row each
+
+
+@query(f"""WITH RECURSIVE {EDGES}, a AS (SELECT DISTINCT src AS var, 'o' || (src % 9) AS loc FROM e WHERE src % 11 = 0), pts AS (SELECT var, loc FROM a UNION SELECT e.dst, p.loc FROM pts p JOIN e ON e.src = p.var) SELECT var, loc FROM pts""")
+def g30_points_to(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    allocs = e.where("src % 11 = 0").select(F.col("src").alias("var"), F.concat(F.lit("o"), (F.col("src") % 9).cast("string")).alias("loc")).distinct()
+    return graphs.points_to(allocs, e.select(F.col("dst").alias("lhs"), F.col("src").alias("rhs")))
+
+
+@query(f"""WITH {EDGES}, p AS (SELECT DISTINCT src AS var, 'o' || (dst % 40) AS loc FROM e) SELECT DISTINCT x.var AS a, y.var AS b FROM p x JOIN p y ON x.loc = y.loc AND x.var < y.var""")
+def j17_may_alias(spark, sf_dir):
+    p = edges(spark, sf_dir).select(F.col("src").alias("var"), F.concat(F.lit("o"), (F.col("dst") % 40).cast("string")).alias("loc")).distinct()
+    return graphs.may_alias(p)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, now AS (SELECT DISTINCT 'f' || src AS path, src % 17 = 3 AS changed FROM e), bad AS (SELECT path FROM now WHERE changed UNION SELECT 'f' || e.src FROM bad b JOIN e ON 'f' || e.dst = b.path)
+    SELECT path FROM bad WHERE path IN (SELECT path FROM now)""")
+def g38_stale_files(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    files = e.select("src").distinct()
+    now = files.select(name("src").alias("path"), F.sha2(F.col("src").cast("string"), 256).alias("sha256"))
+    old = files.select(name("src").alias("path"), F.sha2(F.when(F.col("src") % 17 == 3, F.lit("old")).otherwise(F.col("src").cast("string")), 256).alias("sha256"))
+    return graphs.stale(now, old, e.select(name("src").alias("src"), name("dst").alias("dst")))
+
+
+@query(f"WITH {EDGES}, f AS (SELECT DISTINCT 'g' || src AS name FROM e WHERE src % 3 > 0) SELECT DISTINCT 'g' || src AS src, 'g' || dst AS dst FROM e WHERE 'g' || dst IN (SELECT name FROM f)")
+def g19_j15_call_graph(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    name = lambda c: F.concat(F.lit("g"), F.col(c).cast("string"))
+    return graphs.call_graph(e.select(name("src").alias("caller"), name("dst").alias("callee")), e.where("src % 3 > 0").select(name("src").alias("name")))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, d AS (SELECT DISTINCT src AS func, CAST(src % 2 AS INTEGER) AS idx, CASE WHEN src % 3 = 0 THEN 'XSS' ELSE 'SQL_INJECTION' END AS vuln_type FROM e WHERE src % 13 = 5),
+    p AS (SELECT src AS func, CAST((src + dst) % 2 AS INTEGER) AS idx, dst AS callee, CAST(dst % 2 AS INTEGER) AS callee_idx FROM e),
+    k AS (SELECT func, idx, vuln_type FROM d UNION SELECT p.func, p.idx, k.vuln_type FROM k JOIN p ON p.callee = k.func AND p.callee_idx = k.idx) SELECT func, idx, vuln_type FROM k""")
+def g20_params_to_sinks(spark, sf_dir):
+    e, s, d = edges(spark, sf_dir), F.col("src"), F.col("dst")
+    direct = e.where("src % 13 = 5").select(s.alias("func"), (s % 2).cast("int").alias("idx"), F.when(s % 3 == 0, "XSS").otherwise("SQL_INJECTION").alias("vuln_type"))
+    passes = e.select(s.alias("func"), ((s + d) % 2).cast("int").alias("idx"), d.alias("callee"), (d % 2).cast("int").alias("callee_idx"))
+    return graphs.params_to_sinks(direct, passes)
+
+
+@query(f"""WITH RECURSIVE {_REACH}, gl AS (SELECT DISTINCT src AS file, 'g' || (src % 7) AS name, src % 2 = 0 AS direct FROM e WHERE src % 4 = 1), s AS (SELECT DISTINCT dst AS file, 'g' || (dst % 7) AS name FROM e WHERE dst % 5 = 2)
+    SELECT g.file AS source_file, s.file AS sink_file, g.name, round(greatest(1e-1, least(1e0, 7e-1 + CASE WHEN g.direct THEN 15e-2 ELSE 1e-1 END + 5e-2)), 2) AS confidence
+    FROM gl g JOIN s ON s.name = g.name AND s.file <> g.file WHERE (g.file, s.file) IN (SELECT (src, dst) FROM reach UNION ALL SELECT (dst, src) FROM reach)""")
+def g26_cross_file_flows(spark, sf_dir):
+    e = graphs.cut(edges(spark, sf_dir))
+    name = lambda c: F.concat(F.lit("g"), (F.col(c) % 7).cast("string"))
+    g = e.where("src % 4 = 1").select(F.col("src").alias("file"), name("src").alias("name"), (F.col("src") % 2 == 0).alias("direct")).distinct()
+    s = e.where("dst % 5 = 2").select(F.col("dst").alias("other"), name("dst").alias("sink_name")).distinct()
+    got = graphs.visible(e).join(g, "file").join(s, "other").where("name = sink_name")
+    c = F.lit(0.7) + F.when(F.col("direct"), F.lit(0.15)).otherwise(F.lit(0.1)) + F.lit(0.05)
+    return got.select(F.col("file").alias("source_file"), F.col("other").alias("sink_file"), "name", F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), c)), 2).alias("confidence"))
+
+
+@query("WITH l(v) AS (VALUES (0), (1), (2), (3), (4)) SELECT a.v AS a, b.v AS b, greatest(a.v, b.v) AS join_, least(a.v, b.v) AS meet_, CASE WHEN b.v > a.v THEN 4 ELSE a.v END AS widen_ FROM l a CROSS JOIN l b")
+def g14_lattice(spark, sf_dir):
+    t = spark.createDataFrame([(a, b) for a in range(5) for b in range(5)], "a int, b int")
+    a, b = F.col("a"), F.col("b")
+    return t.select("a", "b", lattice.join(a, b).alias("join_"), lattice.meet(a, b).alias("meet_"), lattice.widen(a, b).alias("widen_"))
+
+
+_SETS = """s AS (SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN ['SQL', 'XSS'] WHEN 1 THEN ['XSS'] WHEN 2 THEN ['CMD', 'SQL', 'XSS'] ELSE [] END AS types, CASE event_id % 3 WHEN 0 THEN ['XSS'] WHEN 1 THEN ['SQL', 'CMD'] ELSE [] END AS san,
+    CASE event_id % 5 WHEN 0 THEN ['INT', 'FLOAT'] WHEN 1 THEN ['STRING'] WHEN 2 THEN ['BOOL'] WHEN 3 THEN [] ELSE ['INT', 'STRING'] END AS kinds, CASE event_id % 7 WHEN 0 THEN 'XSS' WHEN 1 THEN 'SSRF' ELSE 'SQL_INJECTION' END AS vt FROM events)"""
+
+
+def _pick(n: int, *values):
+    out = F.lit(None)
+    for k, v in enumerate(values):
+        v = F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
+        out = v if k == 0 else F.when(F.col("event_id") % n == k, v).otherwise(out)
+    return out
+
+
+def _sets(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        _pick(4, ["SQL", "XSS"], ["XSS"], ["CMD", "SQL", "XSS"], []).alias("types"),
+        _pick(3, ["XSS"], ["SQL", "CMD"], []).alias("san"),
+        _pick(5, ["INT", "FLOAT"], ["STRING"], ["BOOL"], [], ["INT", "STRING"]).alias("kinds"),
+        _pick(7, "XSS", "SSRF", *["SQL_INJECTION"] * 5).alias("vt"),
+    )
+
+
+@query(f"WITH {_SETS} SELECT seq, array_to_string(list_sort(list_filter(types, lambda x: NOT list_contains(san, x))), ',') AS active, array_to_string(list_sort(list_intersect(types, san)), ',') AS both_, list_has_any(types, san) AS overlap FROM s")
+def u3_u4_u5_sets(spark, sf_dir):
+    s = _sets(spark, sf_dir)
+    return s.select("seq", F.array_join(lattice.active(F.col("types"), F.col("san")), ",").alias("active"), F.array_join(F.array_sort(F.array_intersect("types", "san")), ",").alias("both_"), F.arrays_overlap("types", "san").alias("overlap"))
+
+
+@query(f"""WITH {_SETS} SELECT seq, vt IN ('SQL_INJECTION', 'XSS') AND len(kinds) > 0 AND len(list_filter(kinds, lambda k: k NOT IN ('BOTTOM', 'NULL', 'BOOL', 'INT', 'FLOAT'))) = 0 AS safe,
+    array_to_string(list_sort(list_filter(['NULL', 'BOOL', 'INT', 'FLOAT', 'STRING', 'ARRAY', 'OBJECT', 'RESOURCE', 'CALLABLE'], lambda k: NOT list_contains(kinds, k))), ',') AS others FROM s""")
+def f18_u6_types(spark, sf_dir):
+    return _sets(spark, sf_dir).select("seq", lattice.type_safe(F.col("kinds"), F.col("vt")).alias("safe"), F.array_join(lattice.complement(F.col("kinds")), ",").alias("others"))
+
+
+@query("""WITH e AS (SELECT event_id, 'v' || (event_id % 400) AS var, CAST(event_id % 5 AS INTEGER) AS level, CASE WHEN event_id % 2 = 0 THEN ['A', 'B'] ELSE ['B'] END AS types, CASE WHEN event_id % 3 = 0 THEN ['B'] ELSE ['A', 'B'] END AS sanitized FROM events WHERE event_id < 600),
+    x AS (SELECT * FROM e WHERE event_id < 300), y AS (SELECT * FROM e WHERE event_id >= 300)
+    SELECT coalesce(x.var, y.var) AS var, greatest(x.level, y.level) AS level, array_to_string(list_sort(list_distinct(list_concat(coalesce(x.types, []), coalesce(y.types, [])))), ',') AS types,
+      array_to_string(list_sort(CASE WHEN x.var IS NULL THEN y.sanitized WHEN y.var IS NULL THEN x.sanitized ELSE list_intersect(x.sanitized, y.sanitized) END), ',') AS sanitized FROM x FULL JOIN y ON x.var = y.var""")
+def u7_a10_merge_states(spark, sf_dir):
+    i = F.col("event_id")
+    arr = lambda *v: F.array(*map(F.lit, v))
+    e = read(spark, sf_dir, "events").where("event_id < 600").select(i, F.concat(F.lit("v"), (i % 400).cast("string")).alias("var"), (i % 5).cast("int").alias("level"), F.when(i % 2 == 0, arr("A", "B")).otherwise(arr("B")).alias("types"), F.when(i % 3 == 0, arr("B")).otherwise(arr("A", "B")).alias("sanitized"))
+    got = lattice.merge(e.where("event_id < 300"), e.where("event_id >= 300"))
+    return got.select("var", "level", F.array_join("types", ",").alias("types"), F.array_join("sanitized", ",").alias("sanitized"))
+
+
+@query(r"""WITH p(id, prefix, vt) AS (VALUES (1, 'SELECT a FROM t WHERE x = ', 'SQL_INJECTION'), (2, 'SELECT a FROM ', 'SQL_INJECTION'), (3, 'SELECT ', 'SQL_INJECTION'), (4, '<!-- ', 'XSS'), (5, '<a href="', 'XSS'), (6, '<p>', 'XSS'), (7, '', 'COMMAND_INJECTION'), (8, 'ls -l ', 'COMMAND_INJECTION'), (9, 'ls', 'COMMAND_INJECTION'), (10, 'x', 'SSRF'))
+    SELECT id, CASE vt WHEN 'SQL_INJECTION' THEN CASE WHEN regexp_matches(prefix, '(?i)\b(where|and|or|having|set|values)\b[^;]*$') THEN 'high' WHEN regexp_matches(prefix, '(?i)\b(from|into|table|join)\s*$') THEN 'medium' ELSE 'low' END
+      WHEN 'XSS' THEN CASE WHEN regexp_matches(prefix, '<!--[^>]*$') THEN 'safe' WHEN regexp_matches(prefix, '(?i)<[a-z][^>]*=\s*["'']?[^"''>]*$') THEN 'high' ELSE 'medium' END
+      WHEN 'COMMAND_INJECTION' THEN CASE WHEN trim(prefix) = '' THEN 'high' WHEN regexp_matches(prefix, '\s$') THEN 'medium' ELSE 'low' END ELSE 'medium' END AS exposure FROM p""")
+def g31_string_positions(spark, sf_dir):
+    rows = [(1, "SELECT a FROM t WHERE x = ", "SQL_INJECTION"), (2, "SELECT a FROM ", "SQL_INJECTION"), (3, "SELECT ", "SQL_INJECTION"), (4, "<!-- ", "XSS"), (5, '<a href="', "XSS"), (6, "<p>", "XSS"), (7, "", "COMMAND_INJECTION"), (8, "ls -l ", "COMMAND_INJECTION"), (9, "ls", "COMMAND_INJECTION"), (10, "x", "SSRF")]
+    t = spark.createDataFrame([(i, [(p[:3], False), (p[3:], False), (None, True), ("tail", False)], v) for i, p, v in rows], "id int, fragments array<struct<value: string, tainted: boolean>>, vt string")
+    return t.select("id", lattice.sink_position(lattice.first_tainted_prefix(F.col("fragments")), F.col("vt")).alias("exposure"))
