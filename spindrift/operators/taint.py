@@ -56,6 +56,11 @@ def sink_hits(lines: DataFrame, key: str = "file_id") -> DataFrame:
     return out.select(key, "line_no", "seq", "text", F.explode("hit.vars").alias("var"), "hit.vuln_type", "hit.severity").distinct()
 
 
+def seeds(assigned: DataFrame) -> DataFrame:
+    """Assignments that take a source as it is, neither cast nor sanitised."""
+    return assigned.where(F.col("source").isNotNull() & ~F.col("cast") & ~sanitising(F.col("func")))
+
+
 def copies(assigned: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, line_no, lhs, rhs_var, clean): what an assignment's variable takes from which other."""
     taken = assigned.where("source IS NULL").select(key, "line_no", "lhs", F.explode(F.array_distinct(F.regexp_extract_all("rhs", F.lit(r"\$(\w+)"), 1))).alias("rhs_var"), (sanitising(F.col("func")) | F.col("cast")).alias("clean"))
@@ -68,9 +73,9 @@ def closure(assigned: DataFrame, depth: int = 3, key: str = "file_id") -> DataFr
     A variable's taint begins at its source, or at the first copy, not before the copied variable's own, that isn't
     sanitised. Each round joins the last round's variables only.
     """
-    seeds = assigned.where("source IS NOT NULL").groupBy(key, F.col("lhs").alias("var")).agg(F.min_by("source", F.struct("line_no", "seq")).alias("origin"), F.min("line_no").alias("line_no"))
+    first = seeds(assigned).groupBy(key, F.col("lhs").alias("var")).agg(F.min_by("source", F.struct("line_no", "seq")).alias("origin"), F.min("line_no").alias("line_no"))
     steps = copies(assigned, key).where("NOT clean").select(F.col(key).alias("k"), F.col("line_no").alias("l"), "lhs", "rhs_var")
-    known = seeds.select(key, "var", "line_no", "origin", F.lit(0).alias("hops"))
+    known = first.select(key, "var", "line_no", "origin", F.lit(0).alias("hops"))
     fresh = known
     for hop in range(1, depth + 1):
         hit = (F.col("k") == F.col(key)) & (F.col("rhs_var") == F.col("var")) & (F.col("l") >= F.col("line_no"))
@@ -128,7 +133,7 @@ def sanitized_before(hits: DataFrame, assigned: DataFrame, key: str = "file_id")
 def multiline(lines: DataFrame, key: str = "file_id") -> DataFrame:
     """A source assignment and a sink of the same variable within the 15 lines that begin with it: (key, line_no, source_line, vuln_type, severity)."""
     first, last = L.FRAMES["multiline"]
-    a = assigns(lines, key).where("source IS NOT NULL").select(F.col(key).alias("k"), "lhs", F.col("line_no").alias("source_line"))
+    a = seeds(assigns(lines, key)).select(F.col(key).alias("k"), "lhs", F.col("line_no").alias("source_line"))
     s = sink_hits(lines, key)
     hit = (F.col("k") == F.col(key)) & (F.col("lhs") == F.col("var")) & F.col("line_no").between(F.col("source_line") + first, F.col("source_line") + last)
     found = s.join(a, hit).where("line_no > source_line")
