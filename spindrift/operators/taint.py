@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from .graphs import cut
 
 SOURCE = r"\$_(GET|POST|REQUEST|COOKIE)"
 SANITIZERS = ["intval", "floatval", "boolval", "abs", "htmlspecialchars", "htmlentities", "strip_tags", "escapeshellarg", "escapeshellcmd", "addslashes", "basename", "realpath", "md5", "sha1", "trim", "substr", "strtolower", "count", "strlen", "urlencode", "json_encode"]
@@ -71,16 +72,16 @@ def closure(assigned: DataFrame, depth: int = 3, key: str = "file_id") -> DataFr
     """(key, var, line_no, origin, hops): variables that taint reaches from a source of the same file within depth copies.
 
     A variable's taint begins at its source, or at the first copy, not before the copied variable's own, that isn't
-    sanitised. Each round joins the last round's variables only.
+    sanitised. Each round joins the last round's variables only, from a written table, so that plans don't double.
     """
     first = seeds(assigned).groupBy(key, F.col("lhs").alias("var")).agg(F.min_by("source", F.struct("line_no", "seq")).alias("origin"), F.min("line_no").alias("line_no"))
     steps = copies(assigned, key).where("NOT clean").select(F.col(key).alias("k"), F.col("line_no").alias("l"), "lhs", "rhs_var")
-    known = first.select(key, "var", "line_no", "origin", F.lit(0).alias("hops"))
+    known = cut(first.select(key, "var", "line_no", "origin", F.lit(0).alias("hops")))
     fresh = known
     for hop in range(1, depth + 1):
         hit = (F.col("k") == F.col(key)) & (F.col("rhs_var") == F.col("var")) & (F.col("l") >= F.col("line_no"))
         reached = steps.join(fresh, hit).groupBy(F.col("k").alias(key), F.col("lhs").alias("var")).agg(F.min_by("origin", F.struct("l", "rhs_var")).alias("origin"), F.min("l").alias("line_no"))
-        fresh = reached.join(known.select(key, "var"), [key, "var"], "left_anti").select(key, "var", "line_no", "origin", F.lit(hop).alias("hops"))
+        fresh = cut(reached.join(known.select(key, "var"), [key, "var"], "left_anti").select(key, "var", "line_no", "origin", F.lit(hop).alias("hops")))
         known = known.unionByName(fresh)
     return known
 
@@ -106,7 +107,7 @@ def backward(hits: DataFrame, assigned: DataFrame, depth: int = 7, step: int = 1
     At depth d the lines from 10*d above the hit on are open; an assignment to a tracked variable adds the variables it
     takes. hops is the largest depth at which a source is met.
     """
-    known = hits.select(key, "line_no", "var").distinct().select(key, "line_no", F.col("var").alias("tracked"), F.lit(0).alias("d"))
+    known = cut(hits.select(key, "line_no", F.col("var").alias("tracked")).distinct())
     a = assigned.select(F.col(key).alias("k"), F.col("line_no").alias("l"), "lhs", "rhs", F.col("source").isNotNull().alias("src"), sanitising(F.col("func")).alias("san"))
     met = []
     for d in range(1, depth):
@@ -114,7 +115,7 @@ def backward(hits: DataFrame, assigned: DataFrame, depth: int = 7, step: int = 1
         got = known.join(a, hit).select(key, "line_no", "l", "src", "san", "rhs")
         met.append(got.select(key, "line_no", "src", "san", F.lit(d + 1).alias("depth")))
         more = got.select(key, "line_no", F.explode(F.regexp_extract_all("rhs", F.lit(r"\$([a-zA-Z]\w*)"), 1)).alias("tracked"))
-        known = known.select(key, "line_no", "tracked").unionByName(more).distinct()
+        known = cut(known.select(key, "line_no", "tracked").unionByName(more).distinct())
     every = reduce(DataFrame.unionByName, met)
     sums = every.groupBy(key, "line_no").agg(F.bool_or("src").alias("tainted"), F.bool_or("san").alias("sanitized"), F.coalesce(F.min(F.when(F.col("src"), F.col("depth"))), F.lit(0)).alias("hops"))
     lines = hits.select(key, "line_no").distinct()

@@ -15,9 +15,9 @@ VENDOR = ["vendor", "node_modules", "bower_components", ".git", ".svn", "__pycac
 
 
 def source_files(spark: SparkSession, path: str, pattern: str = "*.php") -> DataFrame:
-    """(path, code, sha256) of all files under path whose names fit; bytes that aren't UTF-8 are dropped by the decoder's replacement."""
+    """(path, code, sha256) of all files under path whose names fit; bytes that aren't UTF-8 are dropped, as are replacement characters."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    code = F.decode("content", F.lit("UTF-8"))
+    code = F.make_valid_utf8(F.col("content").cast("string"))
     return raw.select("path", F.replace(code, F.lit("�"), F.lit("")).alias("code"), F.sha2("content", 256).alias("sha256"))
 
 
