@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import learning, reports
+from spindrift.operators import context, filters, learning, reports
 from spindrift.plans.finding_queries import repeated
 from spindrift.plans.program_queries import _labelled
 from spindrift.sources import catalog, corpus
@@ -67,3 +67,19 @@ def test_models_beat_the_majority(spark):
     from pyspark.ml import Pipeline
 
     assert Pipeline(stages=learning.text_features(size=50)).fit(vectors).transform(vectors).select("tfidf").count() == test.count()
+
+
+def test_dead_lines(spark):
+    code = ["f();", "if (false) {", "a();", "if ($x) {", "b();", "}", "}", "c();", "function g() {", "return 1;", "d();", "}", "e();", "if ($y) { return 2; }", "h();", "exit;", "k();"]
+    lines = spark.createDataFrame([(1, i + 1, i, t) for i, t in enumerate(code)], "file_id long, line_no int, seq long, text string")
+    got = {(r.line_no, r.reason) for r in context.dead_lines(lines).collect()}
+    assert got == {(3, "constant"), (4, "constant"), (5, "constant"), (6, "constant"), (11, "after_exit"), (17, "after_exit")}
+
+
+def test_filters_fail_open(spark):
+    f = spark.createDataFrame([(i,) for i in range(5)], "seq long")
+
+    def broken(rows):
+        raise ConnectionError
+
+    assert {r.is_real for r in filters.verified(f, broken).collect()} == {None}
