@@ -55,7 +55,7 @@ class _Words(dict):
 class ByteBPE:
     """Encoder and decoder of a tokenizer file of the byte-level BPE kind. Strings of special tokens in a text are encoded as these."""
 
-    def __init__(self, path: str, limit: int = 250_000, whole_words: bool = False):
+    def __init__(self, path: str, limit: int = 150_000, whole_words: bool = False):
         """limit: of the tables of words. whole_words: the tokenizer library's own merge loop encodes words not seen yet, which is faster."""
         spec = json.load(open(path, encoding="utf-8"))
         letters = byte_letters()

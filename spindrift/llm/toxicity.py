@@ -12,7 +12,6 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,19 +32,28 @@ _JUNK = re.compile(r"[\W_]+")
 
 
 class _Tokens(dict):
-    """Hashes of a token's word and of its two stems, made when first asked for."""
+    """A number for each token, made when first asked for, and by number the hashes of its word and of its two stems."""
 
-    def __missing__(self, token: str) -> tuple[int, int, int]:
-        word = _JUNK.sub("", token.lower())
-        out = tuple(xxhash.xxh64_intdigest(x, k) for k, x in enumerate((word, word[:4], word[:5])))
-        if len(self) >= 300_000:
+    def __init__(self, limit: int):
+        self.limit, self.hashes = limit, np.empty((1 << 12, 3), np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        word, i = _JUNK.sub("", token.lower()), len(self)
+        if i == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
+        self.hashes[i] = [xxhash.xxh64_intdigest(x, k) for k, x in enumerate((word, word[:4], word[:5]))]
+        self[token] = i
+        return i
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        if len(self) > self.limit:  # between texts only, as numbers mustn't change within one
             self.clear()
-        if len(token) <= 48:
-            self[token] = out
-        return out
+            self.hashes = np.empty((1 << 12, 3), np.uint64)
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.hashes[at]
 
 
-_TOKENS = _Tokens()
+_TOKENS = _Tokens(150_000)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -53,7 +61,7 @@ def features(text: str | None) -> np.ndarray:
     tokens = (text or "").split()
     if not tokens:
         return np.empty(0, np.int64)
-    h = np.array(list(map(_TOKENS.__getitem__, tokens)), np.uint64)
+    h = _TOKENS.of(tokens)
     w = h[:, 0]
     with np.errstate(over="ignore"):
         pairs = (w[:-1] * _PAIR ^ w[1:]) * _MIX
@@ -101,8 +109,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["id", "y", "at"])
 
     def fitted(batches):
-        rows = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame({"h": [], "id": [], "y": [], "at": []})]).sort_values(["h", "id"])
-        at, w, bias = fit([(np.frombuffer(x, "<i4").astype(np.int64), int(y)) for x, y in zip(rows["at"], rows["y"], strict=True)])
+        rows = sorted(((h, i, y, at) for b in batches for h, i, y, at in zip(*(b.column(c).to_pylist() for c in ("h", "id", "y", "at")), strict=True)), key=lambda r: (r[0], str(r[1])))
+        at, w, bias = fit([(np.frombuffer(at, "<i4"), y) for _, _, y, at in rows])
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64())], ["at", "w"])
 
     src = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(sample), "id").select("id", "y", text_col)
