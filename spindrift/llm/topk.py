@@ -78,22 +78,23 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (np.arange(n), low, high, total)], ["q", "low", "high", "total"])
 
     found = vectors.mapInArrow(ranges, "q long, low long, high long, total long").groupBy("q").agg(F.min("low"), F.max("high"), F.sum("total")).collect()
-    low, width, above, done = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    # the part of each query's scores that holds the kth, from low to high; widths of bins are rounded up, so the last bin may end past high
+    low, high, width, above, done = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
     for q, least, most, total in found:
-        low[q] = least
+        low[q], high[q] = least, most
         if total > k:  # else all of them are wanted
             width[q], done[q] = -(-(most - least + 1) // BINS), False
     counted = ["q", *(f"b{i}" for i in range(BINS))]
     while not done.all():
-        state = spark.sparkContext.broadcast((low, width, done))
+        state = spark.sparkContext.broadcast((low, high, width, done))
 
         def counts_(batches, state=state):
-            low, width, done = state.value
+            low, high, width, done = state.value
             total = np.zeros((n, BINS), np.int64)
             for b in batches:
                 for _, at, s, counts in sent.value.scores(b):
                     bins = (s - low[at]) // width[at]
-                    good = counts & (bins >= 0) & (bins < BINS) & ~done[at]
+                    good = counts & (s >= low[at]) & (s <= high[at]) & ~done[at]
                     flat = (np.broadcast_to(np.arange(len(at)) * BINS, s.shape) + bins)[good]
                     total[at] += np.bincount(flat, minlength=len(at) * BINS).reshape(-1, BINS)
             seen = np.flatnonzero(total.any(axis=1))
@@ -106,9 +107,10 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 above[q] += bins[i]
                 i -= 1
             low[q] += i * width[q]
+            high[q] = min(int(high[q]), int(low[q]) + int(width[q]) - 1)
             if width[q] == 1:
                 done[q] = True
-            width[q] = -(-width[q] // BINS)
+            width[q] = -(-(high[q] - low[q] + 1) // BINS)
         state.unpersist()
     # low is now the kth value, or the least one, and above how many are higher
     last = spark.sparkContext.broadcast((low, k - above))

@@ -279,6 +279,20 @@ def test_topk(spark, block):
     assert topk.top_k(frame.limit(0), lambda i: i % 100 == 0).collect() == []
 
 
+def test_topk_of_dense_scores(spark):
+    """Scores so dense that a bin's width isn't a multiple of the next one's."""
+    x = np.random.default_rng(7).standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    whole = np.floor(topk.SCALE * x).astype(np.int64)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, lambda i: i % 20 == 0).collect())
+    want = []
+    for q in range(0, len(x), 20):
+        best = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q)[:10]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert got == want
+
+
 def brute_lines(rows):
     """By the definition: selected grams, their first places, matches extended both ways."""
     tables = [line_dedup.line_table(t) for _, t in rows]
