@@ -1,13 +1,16 @@
-"""Line dedup by winnowing over line hashes.
+"""Dedup of recurring passages by winnowing over lines and over words.
 
-A gram is the shortest run of lines from a start that has GRAM words. In each stretch of lines with at least RUN words
-the gram of the least hash is selected, so that any stretch of RUN words that recurs has a selected gram in both places. A
-selected gram's later places are joined to its first one, matches are extended both ways over equal lines, and the lines
-of the later runs are deleted. Places are in order of id, then row, then line; the first place always stays.
+A gram is the shortest run of lines from a start that has GRAM words, or a run of GRAM words wherever it stands in lines.
+In each stretch of lines, or of words, with at least RUN words the gram of the least hash is selected, so that any stretch
+of RUN words that recurs has a selected gram in both places. A selected gram's later places are joined to its first one,
+matches are extended both ways over equal words, and the words of the later runs are deleted. Places are in order of id,
+then row, then word; the first place always stays.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, written
+from .url_filter import WORDS, _bits, _block, bloom_filter
 
 #: Words: what a recurring stretch has at least to be found for certain, and what a match has at least.
 RUN, GRAM = 50, 40
@@ -60,6 +64,84 @@ def selected(hashes: np.ndarray, words: np.ndarray, run: int = RUN, gram: int =
     return grams[at].view(np.int64), starts[at]
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hash of each word, whatever lines it stands in."""
+    return np.array([xxhash.xxh64_intdigest(w) for w in (text or "").split()], np.uint64).view(np.int64)
+
+
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k hashes from each place on, as a polynomial modulo 2**64 that is then mixed; by doubling."""
+    base, n = 0x9E3779B97F4A7C15, len(hashes)
+    block, size, out, done = hashes.view(np.uint64), 1, None, 0
+    while k:
+        by = np.uint64(pow(base, size, 2**64))
+        if k & 1:
+            out, done = (block, size) if out is None else (out[: n - done - size + 1] * by + block[done:], done + size)
+        if k := k >> 1:
+            block, size = block[: n - 2 * size + 1] * by + block[size:], 2 * size
+    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return out ^ (out >> np.uint64(33))
+
+
+def selected_words(hashes: np.ndarray, run: int = RUN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the selected grams of words."""
+    if len(hashes) < gram:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = rolled(hashes, gram)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, min(run - gram + 1, len(grams)))
+    at = windows.argmin(axis=1) + np.arange(len(windows))
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return grams[at].view(np.int64), at
+
+
+def all_selected(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the selected grams of lines and of words."""
+    hashes, counts = line_table(text)
+    grams, lines = selected(hashes, counts)
+    others, at = selected_words(word_hashes(text))
+    return np.concatenate([grams, others]), np.concatenate([(np.cumsum(counts) - counts)[lines], at])
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int, np.ndarray]:
+    """(text, lines, removed lines, which words are gone) less the [first, last] words of spans.
+
+    A line goes if all of its words do, or if it has none and stands inside a span. Of other lines the words go, with the
+    white space up to the next word, or after the last word that stays.
+    """
+    lines = text.split("\n")
+    words = [[m.span() for m in re.finditer(r"\S+", x)] for x in lines]
+    counts = np.array([len(w) for w in words])
+    line_of, gone, inside = np.repeat(np.arange(len(lines)), counts), np.zeros(counts.sum(), bool), np.zeros(len(lines), bool)
+    for a, z in spans:
+        gone[a : z + 1] = True
+        inside[line_of[a] : line_of[z] + 1] = True
+    left, at = [], 0
+    for x, own, within in zip(lines, words, inside.tolist(), strict=True):
+        g = gone[at : at + len(own)]
+        at += len(own)
+        if own and g.all() or not own and within:
+            continue
+        if g.any():
+            stay = np.flatnonzero(~g).tolist()
+            parts = [x[: own[0][0]]]
+            for k in stay:
+                after = own[k + 1][0] if k + 1 < len(own) else len(x)
+                parts.append(x[own[k][0] : own[k][1] if k == stay[-1] and k + 1 < len(own) else after])
+            x = "".join(parts)
+        left.append(x)
+    return "\n".join(left), len(lines), len(lines) - len(left), gone
+
+
+def probable(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """df with `maybe`: whether its row passes a Bloom filter, of bounded size, of rows (row). Of those in rows each does."""
+    filter_, blocks = bloom_filter(rows, "row")
+    hit = F.lit(True)
+    for i, bit in enumerate(_bits(F.col("row"))):
+        hit &= F.col(f"w{i}").bitwiseAND(bit) != 0
+    out = df.withColumn("block", _block(F.col("row"), blocks)).join(F.broadcast(filter_), "block", "left")
+    return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
+
+
 def extended(here: tuple[np.ndarray, np.ndarray], there: tuple[np.ndarray, np.ndarray], pairs: list[tuple[int, int]], same: bool, gram: int = GRAM) -> list[tuple[int, int]]:
     """[first, last] lines, in here, of the matches that the pairs (line here, line there) seed, extended both ways. Blank lines are passed over."""
     (h, hw), (t, tw) = here, there
@@ -84,71 +166,71 @@ def extended(here: tuple[np.ndarray, np.ndarray], there: tuple[np.ndarray, np.nd
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of docs with its text less the later repeated runs: id, text, n_lines, removed_lines, removed_words and
-    spans (first and last line of what was removed, from 0).
-
-    Lines are parted by newlines and equal if their words are. Of a run that recurs, in one text or several, the place of
-    the least id stays (a null id is the least; of equal ids, the row that comes first). Whatever stretch of 50 words or
-    more recurs, at least the lines of one gram of 40 words in it are deleted, and all lines around that equal those of
-    the gram's first place; shorter matches stay. A null text counts as empty, which is one line without words. Lines that
-    are left are unchanged. Other columns are ignored.
+    spans (first and last word of what was removed, from 0).
+
+    Lines are parted by newlines, words by any white space. Of a run of words that recurs, in one text or several and
+    wherever it stands in lines, the place of the least id stays (a null id is the least; of equal ids, the row that comes
+    first). Whatever stretch of 50 words or more recurs, at least one gram of 40 words in it is deleted, and all words
+    around that equal those of the gram's first place; shorter matches stay. Lines of which all words are deleted are
+    removed, as are lines without words between deleted words; lines that lose no word are unchanged. A null text counts
+    as empty, which is one line without words. Other columns are ignored.
     """
 
-    def tables(batches):
+    def numbered(batches):
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            made = [line_table(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(made)), pa.int64()), *b.columns, *(pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1))], ["row", "id", "text", "hashes", "words"])
-            row += len(made)
-
-    def unpack(hashes: bytes, words: bytes):
-        return np.frombuffer(hashes, np.int64), np.frombuffer(words, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), *b.columns], ["row", "id", "text"])
+            row += b.num_rows
 
     def grams(batches):
         for b in batches:
-            found = [selected(*unpack(h, w)) for h, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found] or [[]]).astype(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate([f[1] for f in found] or [[]]).astype(np.int64))], ["gram", "row", "id", "line"])
+            found = [all_selected(t) for t in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found] or [[]]).astype(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([f[1] for f in found] or [[]]).astype(np.int32))], ["gram", "row", "id", "word"])
 
     def matches(batches):
+        last, there = None, np.empty(0, np.int64)
         for b in batches:
-            rows = b.to_pandas()
             out = []
-            for row, first, pairs, *x in zip(*(rows[c] for c in ("row", "first_row", "pairs", "hashes", "words", "first_hashes", "first_words")), strict=True):
-                for a, z in extended(unpack(x[0], x[1]), unpack(x[2], x[3]), [(p["line"], p["first_line"]) for p in pairs], row == first):
+            for row, first, pairs, text, first_text in zip(*(b.column(c).to_pylist() for c in ("row", "first_row", "pairs", "text", "first_text")), strict=True):
+                if first != last:  # rows come sorted by it
+                    last, there = first, word_hashes(first_text)
+                here = word_hashes(text)
+                ones = np.ones(max(len(here), len(there)), np.int64)
+                for a, z in extended((here, ones[: len(here)]), (there, ones[: len(there)]), [(p["word"], p["first_word"]) for p in pairs], row == first):
                     out.append((row, a, z))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["row", "a", "z"], dtype=np.int64))
 
     def cleaned(batches):
         for b in batches:
             out = []
-            for text, words, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                counts = np.frombuffer(words, np.int64)
+            for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                text = text or ""
                 if not spans:
-                    out.append((text or "", len(counts), 0, 0, ""))
+                    out.append((text, text.count("\n") + 1, 0, 0, ""))
                     continue
-                gone = np.zeros(len(counts), bool)
-                for s in spans:
-                    gone[s["a"] : s["z"] + 1] = True
+                left, n, removed, gone = without(text, [(x["a"], x["z"]) for x in spans])
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                left = "\n".join(x for x, g in zip((text or "").split("\n"), gone.tolist(), strict=True) if not g)
-                out.append((left, len(counts), int(gone.sum()), int(counts[gone].sum()), " ".join(f"{x}-{y - 1}" for x, y in edge.reshape(-1, 2).tolist())))
+                out.append((left, n, removed, int(gone.sum()), " ".join(f"{x}-{y - 1}" for x, y in edge.reshape(-1, 2).tolist())))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "text", "n_lines", "removed_lines", "removed_words", "spans"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema[0].dataType.simpleString()
-    base = written(small_batches(src).mapInArrow(tables, f"row long, id {kind}, text string, hashes binary, words binary"), "lines")
-    found = base.select("row", "id", "hashes", "words").mapInArrow(grams, f"gram long, row long, id {kind}, line long")
-    found = written(found, "grams")
-    place = F.struct("id", "row", "line")
+    base = written(small_batches(src).mapInArrow(numbered, f"row long, id {kind}, text string"), "texts")
+    found = written(base.mapInArrow(grams, f"gram long, row long, id {kind}, word int"), "grams")
+    place = F.struct("id", "row", "word")
     firsts = found.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1")
-    pairs = found.join(firsts, "gram").where(place > F.col("first")).select("row", "line", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"))
-    pairs = pairs.groupBy("row", "first_row").agg(F.collect_list(F.struct("line", "first_line")).alias("pairs"))
+    pairs = found.join(firsts, "gram").where(place > F.col("first")).select("row", "word", F.col("first.row").alias("first_row"), F.col("first.word").alias("first_word"))
+    pairs = pairs.groupBy("row", "first_row").agg(F.collect_set(F.struct("word", "first_word")).alias("pairs"))
     pairs = written(pairs, "pairs")
-    lines = base.select("row", "hashes", "words")
-    other = lines.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes"), F.col("words").alias("first_words"))
-    spans = pairs.join(lines, "row").join(other, "first_row").mapInArrow(matches, "row long, a long, z long")
+    # texts without a match aren't shuffled
+    parts = probable(base, pairs.select("row").unionByName(pairs.select(F.col("first_row").alias("row"))).distinct())
+    some = written(parts.where("maybe").drop("maybe"), "matched-texts")
+    here, other = some.select("row", "text"), some.select(F.col("row").alias("first_row"), F.col("text").alias("first_text"))
+    spans = pairs.join(here, "row").join(other, "first_row").mapInArrow(matches, "row long, a long, z long")
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    out = base.select("row", "id", "text", "words").join(spans, "row", "left").select("row", "id", "text", "words", "spans")
+    none = F.lit(None).cast("array<struct<a: bigint, z: bigint>>").alias("spans")
+    out = some.join(spans, "row", "left").select("row", "id", "text", "spans").unionByName(parts.where("not maybe").select("row", "id", "text", none))
     return out.mapInArrow(cleaned, f"`{id_col}` {kind}, text string, n_lines long, removed_lines long, removed_words long, spans string")

@@ -348,3 +348,28 @@ def test_line_dedup_finds_each_recurring_passage():
         sides = [[line(random.randint(0, 30)) for _ in range(random.randint(0, 5))] for _ in range(4)]
         a, b = (set(line_dedup.selected(*line_dedup.line_table("\n".join(sides[k] + passage + sides[k + 1])))[0].tolist()) for k in (0, 2))
         assert a & b
+
+
+def test_line_dedup_inside_lines(spark):
+    """A passage inside longer lines, or parted into other lines, is found; the rest of its lines stays."""
+    passage = [f"p{i}" for i in range(60)]
+    near = " ".join(f"n{i}" for i in range(49))  # too short to be found for certain, and alone
+    rows = [(1, "a b " + " ".join(passage) + " c d"), (2, "x  y " + " ".join(passage) + "  z\nlast"), (3, "first\nu " + " ".join(passage[:20]) + "\n\n" + "\n".join(passage[20:]) + "\n\nv"), (4, near)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert [got[i].text for i in range(1, 5)] == [rows[0][1], "x  y z\nlast", "first\nu\n\nv", near]
+    assert [(got[i].removed_lines, got[i].removed_words, got[i].spans) for i in range(1, 5)] == [(0, 0, ""), (0, 60, "2-61"), (41, 60, "2-61"), (0, 0, "")]
+
+
+def test_word_grams_find_each_recurring_passage():
+    """Whatever stretch of RUN words recurs has a selected gram in common, wherever lines end."""
+    random.seed(12)
+    words = lambda n: [f"v{random.randint(0, 99999)}" for _ in range(n)]
+    for n in (line_dedup.RUN, 70):
+        for _ in range(100):
+            passage = words(n)
+            a, b = (set(line_dedup.all_selected(" ".join(words(random.randint(0, 90))) + random.choice(" \n") + " ".join(passage) + " " + " ".join(words(random.randint(0, 90))))[0].tolist()) for _ in range(2))
+            assert a & b
+    h = line_dedup.word_hashes(" ".join(words(100)))
+    for k in (1, 3, 40):
+        twice = line_dedup.rolled(np.concatenate([h, h]), k)
+        assert len(twice) == 201 - k and (twice[: 101 - k] == line_dedup.rolled(h, k)).all() and len(set(twice[:100].tolist())) == 100
