@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 
-from .shared import small_batches
+from .shared import rows_of
 
 #: The pre-tokenizer's pattern, white space in its sense, and the table of printable bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -191,11 +191,11 @@ def encode_decode(docs, path: str, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         own = tokenizer(path)
-        for b in batches:
+        for b in rows_of(batches):
             ids = [own.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], names)
 
     src = docs.select(id_col, text_col)
     kind = src.schema[0].dataType.simpleString()
     names = [id_col, "n_tokens", "ids", "decoded"]
-    return small_batches(src).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import rows_of
 
 #: Elements whose text is never shown, void elements, elements that begin a block, those that a new one ends.
 HIDDEN = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "object", "select", "math", "canvas", "noembed", "noframes", "datalist"}
@@ -227,9 +227,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
 
     def run(batches):
-        for b in batches:
+        for b in rows_of(batches):
             texts = [main_text(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     src = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
-    return small_batches(src).mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")

@@ -1,10 +1,16 @@
-"""Dedup of recurring passages by winnowing over lines and over words.
+"""Dedup of recurring passages by winnowing over words and over lines.
 
-A gram is the shortest run of lines from a start that has GRAM words, or a run of GRAM words wherever it stands in lines.
-In each stretch of lines, or of words, with at least RUN words the gram of the least hash is selected, so that any stretch
-of RUN words that recurs has a selected gram in both places. A selected gram's later places are joined to its first one,
-matches are extended both ways over equal words, and the words of the later runs are deleted. Places are in order of id,
-then row, then word; the first place always stays.
+A gram is a run of GRAM words, wherever it stands in lines, or of LINE_GRAM lines. Of each window of RUN words (LINE_RUN
+lines) the gram of the least hash is selected, the first one of equals, so equal windows select the same gram at the same
+distance. A selected gram's place stands for the stretch of all windows that selected it. Places are joined by gram:
+
+* of places whose whole stretches are equal, too, the first stays, and the stretches of all others are deleted;
+* where a gram stands in different stretches, the first place of each stretch is extended both ways window by window, and
+  each window that some earlier place has goes.
+
+So a window of RUN words (LINE_RUN lines) goes if and only if an earlier place has the same one, and nothing is joined to
+anything but the first of its kind: work and rows grow with the text, not with the square of a group. Places are in order
+of id, then text, then word. Equality is by two 64-bit hashes, of the gram and of the stretch or window.
 """
 
 from __future__ import annotations
@@ -12,121 +18,168 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import rows_of, written
 from .url_filter import WORDS, _bits, _block, bloom_filter
 
-#: Words: what a recurring stretch has at least to be found for certain, and what a match has at least.
-RUN, GRAM = 50, 40
-
-
-def line_table(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each line. Lines are equal if their words are, whatever white space parts them."""
-    words = [line.split() for line in (text or "").split("\n")]
-    hashes = np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64).view(np.int64)
-    return hashes, np.array([len(w) for w in words], np.int64)
-
-
-def selected(hashes: np.ndarray, words: np.ndarray, run: int = RUN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first line) of the selected grams. Lines without words begin none."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    starts = np.flatnonzero(words > 0)
-    ends = np.searchsorted(total, total[starts] + gram)  # one past the gram's last line
-    starts, ends = starts[ends <= len(words)], ends[ends <= len(words)]
-    if not len(starts):
-        return np.empty(0, np.int64), starts
-    raw = hashes.tobytes()
-    # lines without words are passed over, as blank lines between equal ones don't matter
-    full, raw = (words > 0), hashes[words > 0].tobytes()
-    rank = np.concatenate([[0], np.cumsum(full)])
-    grams = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(rank[starts].tolist(), rank[ends].tolist(), strict=True)], np.uint64)
-    stretch = np.searchsorted(total, total[starts] + run)  # of each start, one past the last line of its stretch
-    chosen = set()
-    j = 0
-    window: list[int] = []  # starts whose grams rise, as a queue of minima
-    head = 0
-    for i in range(len(starts)):
-        while j < len(starts) and (j <= i or ends[j] <= stretch[i]):
-            while len(window) > head and grams[window[-1]] > grams[j]:
-                window.pop()
-            window.append(j)
-            j += 1
-        while window[head] < i:
-            head += 1
-        chosen.add(window[head])
-    at = np.array(sorted(chosen))
-    return grams[at].view(np.int64), starts[at]
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hash of each word, whatever lines it stands in."""
-    return np.array([xxhash.xxh64_intdigest(w) for w in (text or "").split()], np.uint64).view(np.int64)
-
-
-def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k hashes from each place on, as a polynomial modulo 2**64 that is then mixed; by doubling."""
-    base, n = 0x9E3779B97F4A7C15, len(hashes)
-    block, size, out, done = hashes.view(np.uint64), 1, None, 0
-    while k:
-        by = np.uint64(pow(base, size, 2**64))
-        if k & 1:
-            out, done = (block, size) if out is None else (out[: n - done - size + 1] * by + block[done:], done + size)
-        if k := k >> 1:
-            block, size = block[: n - 2 * size + 1] * by + block[size:], 2 * size
-    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return out ^ (out >> np.uint64(33))
-
-
-def selected_words(hashes: np.ndarray, run: int = RUN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the selected grams of words."""
-    if len(hashes) < gram:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = rolled(hashes, gram)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, min(run - gram + 1, len(grams)))
-    at = windows.argmin(axis=1) + np.arange(len(windows))
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return grams[at].view(np.int64), at
-
-
-def all_selected(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the selected grams of lines and of words."""
-    hashes, counts = line_table(text)
-    grams, lines = selected(hashes, counts)
-    others, at = selected_words(word_hashes(text))
-    return np.concatenate([grams, others]), np.concatenate([(np.cumsum(counts) - counts)[lines], at])
-
-
-def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int, np.ndarray]:
-    """(text, lines, removed lines, which words are gone) less the [first, last] words of spans.
+#: Words of a recurring run that is deleted, at least, and of a gram; the same of lines that have words.
+RUN, GRAM = 50, 25
+LINE_RUN, LINE_GRAM = 3, 2
+KINDS = ((RUN, GRAM), (LINE_RUN, LINE_GRAM))
+_BASE = 0x9E3779B97F4A7C15
+_AT = (1 << 31) - 1
+_U = np.uint64
+
+
+class _Hashes(dict):
+    """Hash of each word, made when first asked for. The table starts anew when it has grown to its limit."""
+
+    def __init__(self, limit: int = 150_000):
+        self.limit = limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return out
+
+
+_HASHES = _Hashes()
+
+
+class _Powers:
+    """Powers of the base and of its inverse, modulo 2**64, as many as have been asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            rows = np.empty((2, max(n, 2 * len(cls.up))), np.uint64)
+            rows[:] = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+            rows[:, 0] = 1
+            cls.up, cls.down = np.cumprod(rows, axis=1)
+        return cls.up, cls.down
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
+
+
+class Stream:
+    """Hashes of tokens, one text after the other, and of any run of them: a polynomial modulo 2**64, then mixed."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.up, self.down = _Powers.of(len(hashes) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.up[: len(hashes)])])
+
+    def runs(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Hash of the tokens from a up to z, z left out."""
+        return mixed((self.sums[z] - self.sums[a]) * self.down[a])
+
+
+def selected(stream: Stream, lengths: np.ndarray, run: int, gram: int, salt: int) -> tuple[np.ndarray, ...]:
+    """Of texts of so many tokens each: text, gram and stretch (hashes), first window and number of windows of each place."""
+    n = len(stream.sums) - 1
+    none = tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    if n < run:
+        return none
+    grams = stream.runs(np.arange(n - gram + 1), np.arange(gram, n + 1)) ^ _U(salt)
+    least, size, width = (grams & ~_U(_AT)) | np.arange(len(grams), dtype=np.uint64), 1, run - gram + 1
+    while 2 * size <= width:  # the least of each window, by doubling
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    least = np.minimum(least[: n - run + 1], least[width - size :][: n - run + 1])
+    ends = np.cumsum(lengths)
+    text = np.repeat(np.arange(len(lengths)), np.maximum(lengths - run + 1, 0))
+    if not len(text):
+        return none
+    first_of = np.cumsum(np.maximum(lengths - run + 1, 0)) - np.maximum(lengths - run + 1, 0)
+    at = np.arange(len(text)) - first_of[text] + (ends - lengths)[text]  # windows that lie within one text
+    chosen = (least[at] & _U(_AT)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])]))
+    count = np.diff(np.concatenate([starts, [len(chosen)]]))
+    i, m, text = at[starts], chosen[starts], text[starts]
+    stretch = mixed(stream.runs(i, i + count + run - 1) ^ ((m - i).astype(np.uint64) << _U(32) | count.astype(np.uint64)))
+    return text, grams[m], stretch, i - (ends - lengths)[text], count
+
+
+def tokens(texts: list[str | None]) -> list[tuple[Stream, np.ndarray]]:
+    """For words and for lines that have words: the stream of all texts, and how many tokens each has."""
+    words: list[str] = []
+    per_line: list[int] = []
+    lines = np.zeros(len(texts), np.int64)
+    own = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        before = len(words)
+        for line in (text or "").split("\n"):
+            if w := line.split():
+                words += w
+                per_line.append(len(w))
+                lines[k] += 1
+        own[k] = len(words) - before
+    stream = Stream(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+    ends = np.cumsum(np.array(per_line, np.int64))
+    return [(stream, own), (Stream(stream.runs(ends - np.array(per_line, np.int64), ends)), lines)]
+
+
+def places(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """text, kind (0: words, 1: lines), gram, stretch, first token and number of windows of each selected gram's place."""
+    found = []
+    for kind, ((stream, lengths), (run, gram)) in enumerate(zip(tokens(texts), KINDS, strict=True)):
+        text, *rest = selected(stream, lengths, run, gram, kind * _BASE)
+        found.append((text, np.full(len(text), kind), *rest))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def windows(text: str | None, wanted: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """Hashes of the windows of each place (kind, first token, number of windows)."""
+    streams = [s for s, _ in tokens([text])]
+    out = []
+    for kind, at, n in wanted:
+        a = np.arange(at, at + n)
+        out.append(streams[kind].runs(a, a + KINDS[kind][0]))
+    return out
+
+
+def without(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, int, int, np.ndarray]:
+    """(text, lines, removed lines, which words are gone) less the [first, last] tokens of spans (kind, first, last).
 
     A line goes if all of its words do, or if it has none and stands inside a span. Of other lines the words go, with the
     white space up to the next word, or after the last word that stays.
     """
     lines = text.split("\n")
-    words = [[m.span() for m in re.finditer(r"\S+", x)] for x in lines]
-    counts = np.array([len(w) for w in words])
-    line_of, gone, inside = np.repeat(np.arange(len(lines)), counts), np.zeros(counts.sum(), bool), np.zeros(len(lines), bool)
-    for a, z in spans:
-        gone[a : z + 1] = True
-        inside[line_of[a] : line_of[z] + 1] = True
-    left, at = [], 0
-    for x, own, within in zip(lines, words, inside.tolist(), strict=True):
-        g = gone[at : at + len(own)]
-        at += len(own)
-        if own and g.all() or not own and within:
+    counts = np.array([len(x.split()) for x in lines])
+    ends = np.cumsum(counts)
+    line_of, full = np.repeat(np.arange(len(lines)), counts), np.flatnonzero(counts)
+    edges = np.zeros(ends[-1] + 1, np.int64)
+    inside = np.zeros(len(lines) + 1, np.int64)
+    for kind, a, z in spans:
+        if kind:
+            a, z = (ends - counts)[full[a]], ends[full[z]] - 1
+        edges[a] += 1
+        edges[z + 1] -= 1
+        inside[line_of[a]] += 1
+        inside[line_of[z] + 1] -= 1
+    gone, inside = np.cumsum(edges[:-1]) > 0, np.cumsum(inside[:-1]) > 0
+    lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.concatenate([[0], ends])])
+    left = []
+    for k, x in enumerate(lines):
+        if lost[k] == counts[k] and (lost[k] or inside[k]):
             continue
-        if g.any():
+        if lost[k]:
+            own, g = [m.span() for m in re.finditer(r"\S+", x)], gone[ends[k] - counts[k] : ends[k]]
             stay = np.flatnonzero(~g).tolist()
             parts = [x[: own[0][0]]]
-            for k in stay:
-                after = own[k + 1][0] if k + 1 < len(own) else len(x)
-                parts.append(x[own[k][0] : own[k][1] if k == stay[-1] and k + 1 < len(own) else after])
+            for j in stay:
+                after = own[j + 1][0] if j + 1 < len(own) else len(x)
+                parts.append(x[own[j][0] : own[j][1] if j == stay[-1] and j + 1 < len(own) else after])
             x = "".join(parts)
         left.append(x)
     return "\n".join(left), len(lines), len(lines) - len(left), gone
@@ -142,95 +195,99 @@ def probable(df: DataFrame, rows: DataFrame) -> DataFrame:
     return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
 
 
-def extended(here: tuple[np.ndarray, np.ndarray], there: tuple[np.ndarray, np.ndarray], pairs: list[tuple[int, int]], same: bool, gram: int = GRAM) -> list[tuple[int, int]]:
-    """[first, last] lines, in here, of the matches that the pairs (line here, line there) seed, extended both ways. Blank lines are passed over."""
-    (h, hw), (t, tw) = here, there
-    hi, ti = np.flatnonzero(hw > 0), np.flatnonzero(tw > 0)
-    h, t, w = h[hi], t[ti], hw[hi]
-    out: list[tuple[int, int]] = []
-    done: dict[int, int] = {}  # by offset, one past the last line of a match already extended
-    for a, b in sorted(zip(np.searchsorted(hi, [p[0] for p in pairs]).tolist(), np.searchsorted(ti, [p[1] for p in pairs]).tolist(), strict=True)):
-        if same and b >= a or a < done.get(a - b, 0):
-            continue
-        n = min(len(h) - a, len(t) - b)
-        unlike = np.flatnonzero(h[a : a + n] != t[b : b + n])
-        last = a + (int(unlike[0]) if len(unlike) else n)
-        n = min(a, b)
-        unlike = np.flatnonzero(h[a - n : a][::-1] != t[b - n : b][::-1])
-        first = a - (int(unlike[0]) if len(unlike) else n)
-        done[a - b] = last
-        if last > first and w[first:last].sum() >= gram:
-            out.append((int(hi[first]), int(hi[last - 1])))
-    return out
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+
+
+def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with a place (id, text_hash, row, kind, a, z) that some earlier row has the same keys as."""
+    place = F.struct("id", "text_hash", "row", "a")
+    firsts = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select(*keys, "first")
+    # written, so that the join can split a group that many rows belong to
+    return rows.join(written(firsts, "first-places"), keys).where(place > F.col("first")).select("row", "kind", "a", "z")
+
+
+def repeated(base: DataFrame, kind: str) -> DataFrame:
+    """(row, spans): what goes from the rows of base (row, id, text_hash, text) that lose anything."""
+
+    def grams(batches):
+        for b in rows_of(batches):
+            text, which, gram, stretch, at, n = places(b.column(3).to_pylist())
+            take = pa.array(text)
+            run = np.where(which == 0, RUN, LINE_RUN)
+            yield _batch(names, gram, stretch, *(b.column(c).take(take) for c in range(3)), which.astype(np.int8), at.astype(np.int32), (at + n + run - 2).astype(np.int32))
+
+    def exploded(batches):
+        for b in rows_of(batches):
+            for row, id_, hash_, text, own in zip(b.column(0), b.column(1), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                runs = [KINDS[p["kind"]][0] for p in own]
+                found = windows(text, [(p["kind"], p["a"], p["z"] - p["a"] - r + 2) for p, r in zip(own, runs, strict=True)])
+                n = [len(x) for x in found]
+                total = sum(n)
+                same = lambda x: pa.array([x.as_py()], x.type).take(pa.array(np.zeros(total, np.int64)))  # noqa: B023, E731
+                a = np.concatenate([np.arange(p["a"], p["a"] + k) for p, k in zip(own, n, strict=True)])
+                yield _batch(
+                    names, np.repeat([p["gram"] for p in own], n), np.concatenate(found), same(row), same(id_), same(hash_),
+                    np.repeat([p["kind"] for p in own], n).astype(np.int8), a.astype(np.int32), (a + np.repeat(runs, n) - 1).astype(np.int32),
+                )
+
+    names = ["gram", "stretch", "row", "id", "text_hash", "kind", "a", "z"]
+    schema = f"gram long, stretch long, row long, id {kind}, text_hash long, kind byte, a int, z int"
+    found = written(base.mapInArrow(grams, schema), "grams")
+    counts = found.groupBy("gram").agg(F.count("*").alias("c"), (F.min("stretch") != F.max("stretch")).alias("many")).where("c > 1").select("gram", "many")
+    again = written(found.join(written(counts, "recurring-grams"), "gram"), "recurring-places")
+    spans = _later(again.drop("many"), ["gram", "stretch"])
+    # the first place of each stretch of a gram that stands in several
+    firsts = again.where("many").groupBy("gram", "stretch").agg(F.min(F.struct("id", "text_hash", "row", "a", "z", "kind")).alias("p"))
+    wanted = written(firsts.groupBy("p.row").agg(F.collect_list(F.struct("gram", "p.kind", "p.a", "p.z")).alias("own")), "stretches")
+    texts = probable(base, wanted.select("row")).where("maybe").drop("maybe")
+    parts = written(texts.join(wanted, "row").select("row", "id", "text_hash", "text", "own").mapInArrow(exploded, schema), "windows")
+    spans = spans.unionByName(_later(parts, ["gram", "stretch"]))
+    return spans.groupBy("row").agg(F.collect_list(F.struct("kind", "a", "z")).alias("spans"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of docs with its text less the later repeated runs: id, text, n_lines, removed_lines, removed_words and
     spans (first and last word of what was removed, from 0).
 
-    Lines are parted by newlines, words by any white space. Of a run of words that recurs, in one text or several and
-    wherever it stands in lines, the place of the least id stays (a null id is the least; of equal ids, the row that comes
-    first). Whatever stretch of 50 words or more recurs, at least one gram of 40 words in it is deleted, and all words
-    around that equal those of the gram's first place; shorter matches stay. Lines of which all words are deleted are
-    removed, as are lines without words between deleted words; lines that lose no word are unchanged. A null text counts
-    as empty, which is one line without words. Other columns are ignored.
+    Lines are parted by newlines, words by any white space. A word goes if it stands in a window of 50 words, or of 3
+    lines that have words, that an earlier place has as well, wherever the words stand in their lines and whatever blank
+    lines part the lines; all other words stay. So runs of 50 words or 3 lines and more that recur are deleted in full,
+    in one text or several, and shorter ones stay. The place of the least id is the earliest (a null id is the least); of
+    equal ids, that of the text with the lesser hash; rows that repeat both are alike, so one of them stays. Lines of which
+    all words are deleted are removed, as are lines without words between deleted words; lines that lose no word are
+    unchanged. A null text counts as empty, which is one line without words. Very long texts are read whole, one at a
+    time. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
 
     def numbered(batches):
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), *b.columns], ["row", "id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), *b.columns], ["row", "id", "text_hash", "text"])
             row += b.num_rows
 
-    def grams(batches):
-        for b in batches:
-            found = [all_selected(t) for t in b.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found] or [[]]).astype(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([f[1] for f in found] or [[]]).astype(np.int32))], ["gram", "row", "id", "word"])
-
-    def matches(batches):
-        last, there = None, np.empty(0, np.int64)
-        for b in batches:
-            out = []
-            for row, first, pairs, text, first_text in zip(*(b.column(c).to_pylist() for c in ("row", "first_row", "pairs", "text", "first_text")), strict=True):
-                if first != last:  # rows come sorted by it
-                    last, there = first, word_hashes(first_text)
-                here = word_hashes(text)
-                ones = np.ones(max(len(here), len(there)), np.int64)
-                for a, z in extended((here, ones[: len(here)]), (there, ones[: len(there)]), [(p["word"], p["first_word"]) for p in pairs], row == first):
-                    out.append((row, a, z))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["row", "a", "z"], dtype=np.int64))
-
     def cleaned(batches):
-        for b in batches:
+        for b in rows_of(batches):
             out = []
             for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 text = text or ""
                 if not spans:
                     out.append((text, text.count("\n") + 1, 0, 0, ""))
                     continue
-                left, n, removed, gone = without(text, [(x["a"], x["z"]) for x in spans])
+                left, n, removed, gone = without(text, [(x["kind"], x["a"], x["z"]) for x in spans])
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 out.append((left, n, removed, int(gone.sum()), " ".join(f"{x}-{y - 1}" for x, y in edge.reshape(-1, 2).tolist())))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "text", "n_lines", "removed_lines", "removed_words", "spans"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = src.schema[0].dataType.simpleString()
-    base = written(small_batches(src).mapInArrow(numbered, f"row long, id {kind}, text string"), "texts")
-    found = written(base.mapInArrow(grams, f"gram long, row long, id {kind}, word int"), "grams")
-    place = F.struct("id", "row", "word")
-    firsts = found.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1")
-    pairs = found.join(firsts, "gram").where(place > F.col("first")).select("row", "word", F.col("first.row").alias("first_row"), F.col("first.word").alias("first_word"))
-    pairs = pairs.groupBy("row", "first_row").agg(F.collect_set(F.struct("word", "first_word")).alias("pairs"))
-    pairs = written(pairs, "pairs")
-    # texts without a match aren't shuffled
-    parts = probable(base, pairs.select("row").unionByName(pairs.select(F.col("first_row").alias("row"))).distinct())
-    some = written(parts.where("maybe").drop("maybe"), "matched-texts")
-    here, other = some.select("row", "text"), some.select(F.col("row").alias("first_row"), F.col("text").alias("first_text"))
-    spans = pairs.join(here, "row").join(other, "first_row").mapInArrow(matches, "row long, a long, z long")
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    none = F.lit(None).cast("array<struct<a: bigint, z: bigint>>").alias("spans")
-    out = some.join(spans, "row", "left").select("row", "id", "text", "spans").unionByName(parts.where("not maybe").select("row", "id", "text", none))
+    base = written(src.mapInArrow(numbered, f"row long, id {kind}, text_hash long, text string"), "texts")
+    spans = written(repeated(base, kind), "spans")
+    # texts that lose nothing aren't shuffled
+    parts = probable(base, spans.select("row"))
+    none = F.lit(None).cast("array<struct<kind: tinyint, a: int, z: int>>").alias("spans")
+    some = parts.where("maybe").join(spans, "row", "left").select("row", "id", "text", "spans")
+    out = some.unionByName(parts.where("not maybe").select("row", "id", "text", none))
     return out.mapInArrow(cleaned, f"`{id_col}` {kind}, text string, n_lines long, removed_lines long, removed_words long, spans string")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .shared import small_batches
+from .shared import rows_of
 
 CAPACITY = 1024
 END = b"\0\0\0\0"
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def pieces(batches):
         own, seq = tokenizer(path, whole_words=True), TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in rows_of(batches):
             rows = ([], [], [], [], [], [])
             for k, text in enumerate(b.column(1).to_pylist()):
                 ids = own.encode(text) + END
@@ -120,6 +120,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         rows["offset"] = rows["length"].groupby(at).cumsum() - rows["length"]
         return rows.drop(columns=["seq", "bucket"])
 
-    made = small_batches(src).mapInArrow(pieces, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, seq long")
+    made = src.mapInArrow(pieces, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, seq long")
     made = made.withColumn("bucket", F.pmod(F.xxhash64("seq"), F.lit(buckets)))
     return made.groupBy("bucket").applyInPandas(dealt, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

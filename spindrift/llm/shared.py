@@ -40,10 +40,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """df, handed to Python a few rows at a time, so that long texts don't fill a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+#: Rows, and bytes, that a Python function works on at a time.
+ROWS, BYTES = 256, 4 << 20
+
+
+def rows_of(batches, rows: int = ROWS, size: int = BYTES):
+    """Arrow batches of so many rows and bytes at most (one row at least), cut out of larger ones without copying."""
+    for b in batches:
+        todo = [b]
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and (b.num_rows > rows or b.nbytes > size):
+                half = b.num_rows // 2
+                todo += [b.slice(half), b.slice(0, half)]
+            elif b.num_rows:
+                yield b
 
 
 def text_sha(text_col: str):
@@ -54,16 +65,18 @@ def text_sha(text_col: str):
 def only_kept(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs, with all columns, that stay. found: id, sha (of the text) and kept, a row for each row of docs.
 
-    Rows are told apart by id and text, as scans needn't number rows alike. Of rows that repeat both, one stays if any does.
+    Rows are told apart by id and text, as scans needn't number rows alike. Of rows that repeat both, one stays if any
+    does: the one whose columns as JSON are least. Whole rows are carried as one struct, so no name of a column can clash.
     """
-    sums = found.groupBy(F.col("id").alias("__id"), F.col("sha").alias("__sha")).agg(F.count_if("kept").alias("k"), F.count("*").alias("c"))
+    sums = found.groupBy("id", "sha").agg(F.count_if("kept").alias("k"), F.count("*").alias("c"))
     sums = written(sums.where("k = 0 or c > 1"), "kept-sums")
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__sha"] == b["__sha"])
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["sha"] == b["sha"])
     gone, many = sums.where("k = 0"), sums.where("k > 0")
-    tagged = docs.withColumns({"__id": F.col(id_col), "__sha": text_sha(text_col)})
-    out = tagged.join(gone, same(tagged, gone), "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(F.col(id_col).alias("id"), text_sha(text_col).alias("sha"), whole.alias("whole"))
+    out = out.join(gone, same(out, gone), "left_anti")
     if not many.isEmpty():
         again = out.join(many, same(out, many), "left_semi")
-        firsts = again.groupBy("__id", "__sha").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__r")).select("__r.*")
-        return out.join(many, same(out, many), "left_anti").select(*docs.columns).unionByName(firsts)
-    return out.select(*docs.columns)
+        firsts = again.groupBy("id", "sha").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
+        out = out.join(many, same(out, many), "left_anti").select("whole").unionByName(firsts.select("whole"))
+    return out.select("whole.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only_kept, small_batches, text_sha, written
+from .shared import only_kept, rows_of, text_sha, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -54,12 +54,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, sha (of the text) and fp (the fingerprint as a signed long) of each row of docs."""
 
     def run(batches):
-        for b in batches:
+        for b in rows_of(batches):
             fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "sha", "fp"])
 
     src = docs.select(F.col(id_col).alias("id"), text_sha(text_col).alias("sha"), text_col)
-    return small_batches(src).mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, sha string, fp long")
+    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, sha string, fp long")
 
 
 def _half(fps: np.ndarray, tree: int) -> np.ndarray:
@@ -124,7 +124,7 @@ def links(fps: DataFrame) -> DataFrame:
     trees = spark.sparkContext.broadcast([Tree(_half(sample, t), depth, t) for t in range(HALVES)])
 
     def visits(batches):
-        for b in batches:
+        for b in rows_of(batches, 10_000):
             own = b.column(0).to_numpy()
             for t, tree in enumerate(trees.value):
                 at, node, rests = tree.shards(_half(own, t))
@@ -134,7 +134,6 @@ def links(fps: DataFrame) -> DataFrame:
         a, b = _shard_stars(rows["fp"].to_numpy(), rows["rests"].to_numpy())
         return pd.DataFrame({"a": a, "b": b})
 
-    small_batches(fps, 10_000)
     return fps.mapInArrow(visits, "shard long, fp long, rests boolean").groupBy("shard").applyInPandas(within, "a long, b long").distinct()
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import rows_of, written
 
 SCALE = 1024
 BINS = 64
@@ -69,7 +69,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def ranges(batches):
         low, high, total = np.full(n, 2**63 - 1), np.full(n, -(2**63)), np.zeros(n, np.int64)
-        for b in batches:
+        for b in rows_of(batches, 2048):
             for _, at, s, counts in sent.value.scores(b):
                 low[at] = np.minimum(low[at], np.where(counts, s, 2**63 - 1).min(axis=0))
                 high[at] = np.maximum(high[at], np.where(counts, s, -(2**63)).max(axis=0))
@@ -91,7 +91,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def counts_(batches, state=state):
             low, high, width, done = state.value
             total = np.zeros((n, BINS), np.int64)
-            for b in batches:
+            for b in rows_of(batches, 2048):
                 for _, at, s, counts in sent.value.scores(b):
                     bins = (s - low[at]) // width[at]
                     good = counts & (s >= low[at]) & (s <= high[at]) & ~done[at]
@@ -119,7 +119,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """Scores from the kth upwards; of the equal ones, those of the least ids that this task has, as many as are wanted."""
         low, room = last.value
         ties: dict[int, list[int]] = {}
-        for b in batches:
+        for b in rows_of(batches, 2048):
             for ids, at, s, counts in sent.value.scores(b):
                 r, c = np.nonzero(counts & (s > low[at]))
                 if len(r):
@@ -142,7 +142,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     null or hold null or non-finite components take no part, nor do null ids; vectors of unlike lengths don't meet. Scores
     beyond 64 bits become the nearest long. Other columns are ignored.
     """
-    src = small_batches(vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), 2048)
+    src = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     queries = src.where(is_query(F.col("id")) & good).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // block))

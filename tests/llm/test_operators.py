@@ -49,10 +49,31 @@ def test_exact_blocks_that_share_a_hash(spark, monkeypatch):
     assert {r.doc_id: r.keep_id for r in got} == {1: 3, 2: 2, 3: 3, 4: 4}
 
 
+CLASHES = "row long, id string, sha string, `__sha` string, `__id` string, `__score` double, whole string, k int, kept boolean, score double, `a.b` int, c array<int>"
+OF_CLASHES = (7, "i", "s", "t", "u", 0.5, "w", 1, False, 0.25, 3, [4])
+
+
+def clashing(spark, rows):
+    """rows with columns whose names the operators might use themselves; k tells repeated rows apart."""
+    return spark.createDataFrame([(i, t, *OF_CLASHES[:7], n, *OF_CLASHES[8:]) for n, (i, t) in enumerate(rows)], f"doc_id long, text string, {CLASHES}")
+
+
+def whole(rows):
+    """The rows' own columns are unchanged: (id, text, which row)."""
+    assert all(tuple(r)[2:9] + tuple(r)[10:] == OF_CLASHES[:7] + OF_CLASHES[8:] for r in rows)
+    return sorted((str(r.doc_id), r.text or "", r.k) for r in rows)
+
+
 def test_drop_exact(spark):
-    got = exact_dedup.drop_exact(docs_of(spark, ROWS))
-    assert got.columns == docs_of(spark, ROWS).columns
-    assert sorted((r.text or "") for r in got.collect()) == sorted({t or "" for _, t in ROWS})
+    table = clashing(spark, ROWS)
+    got = exact_dedup.drop_exact(table)
+    assert got.columns == table.columns
+    left = whole(got.collect())
+    assert sorted(t for _, t, _ in left) == sorted({t or "" for _, t in ROWS})
+    # of rows that repeat id and text, always the same one stays
+    assert left == whole(exact_dedup.drop_exact(table.repartition(3)).collect())
+    assert [k for _, t, k in left if t == "a b c"] == [1]
+    assert exact_dedup.drop_exact(table.limit(0)).collect() == []
 
 
 def slow_fingerprint(text):
@@ -94,8 +115,12 @@ def test_simhash(spark):
     fps = [slow_fingerprint(t) for _, t in rows]
     want = least_reachable([i for i, _ in rows], fps)
     assert got == sorted(((str(i), f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, want, strict=True)), key=str)
-    left = simhash.drop_near(docs_of(spark, rows)).collect()
-    assert len(left) == len({c for c in want})
+    table = clashing(spark, rows)
+    left = simhash.drop_near(table)
+    assert left.columns == table.columns
+    assert len(left.collect()) == len({c for c in want}) and whole(left.collect()) == whole(simhash.drop_near(table.repartition(3)).collect())
+    assert {r.doc_id for r in left.collect()} == {c for c in want}
+    assert simhash.drop_near(table.limit(0)).collect() == []
     assert simhash.simhash(docs_of(spark, [])).collect() == []
 
 
@@ -169,7 +194,7 @@ def test_differencing_evens_out():
     assert np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), np.array([8, 7, 6, 5, 4])).tolist() in ([16, 14], [14, 16])
 
 
-def test_toxicity(spark):
+def test_toxicity(spark, monkeypatch):
     random.seed(6)
     plain = [f"w{i}" for i in range(60)]
     rows, labels = [], []
@@ -189,8 +214,15 @@ def test_toxicity(spark):
     held = [r for r in got if r.doc_id is not None and 20 < r.doc_id < 600 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert len(held) > 100 and sum((r.score >= toxicity.THRESHOLD) == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     assert len(weights[0]) < 2000
-    left = toxicity.drop_toxic(table, frame)
-    assert left.columns == table.columns and left.count() < table.count()
+    wide = clashing(spark, rows + ROWS)
+    left = toxicity.drop_toxic(wide, frame)
+    assert left.columns == wide.columns
+    assert whole(left.collect()) == sorted((str(r.doc_id), t or "", k) for k, (r, (_, t)) in enumerate(zip(got, rows + ROWS, strict=True)) if r.score < toxicity.THRESHOLD)
+    assert len(rows) < len(left.collect()) + 200 < wide.count() + 100
+    assert toxicity.drop_toxic(wide.limit(0), frame).collect() == []
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)  # some rows are left out, and what is learned is nearly the same
+    fewer = toxicity.learn(table, frame.where(~toxicity.held_out()))
+    assert 0 < len(fewer[0]) != len(weights[0])
     nothing = toxicity.learn(table, frame.limit(0))
     assert {r.score >= toxicity.THRESHOLD for r in toxicity.score(table, nothing).collect()} == {False}
 
@@ -294,26 +326,53 @@ def test_topk_of_dense_scores(spark):
 
 
 def brute_lines(rows):
-    """By the definition: selected grams, their first places, matches extended both ways."""
-    tables = [line_dedup.line_table(t) for _, t in rows]
-    places = defaultdict(list)
-    for r, (i, _) in enumerate(rows):
-        for g, line in zip(*line_dedup.selected(*tables[r]), strict=True):
-            places[g].append((i is not None, i or 0, r, int(line)))
-    gone = [set() for _ in rows]
-    for own in places.values():
-        own.sort()
-        for _, _, r, line in own[1:]:
-            f, at = own[0][2:]
-            full = [[k for k in range(len(t[0])) if t[1][k]] for t in (tables[r], tables[f])]
-            a, b = full[0].index(line), full[1].index(at)
-            while a and b and tables[r][0][full[0][a - 1]] == tables[f][0][full[1][b - 1]]:
-                a, b = a - 1, b - 1
-            first = a
-            while a < len(full[0]) and b < len(full[1]) and tables[r][0][full[0][a]] == tables[f][0][full[1][b]]:
-                a, b = a + 1, b + 1
-            gone[r] |= set(range(full[0][first], full[0][a - 1] + 1))
-    return [{k for k in g} for g in gone]
+    """By the definition, without grams: in order of place, each window of 50 words, or of 3 lines with words, that an earlier place has goes."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, r))
+    seen, gone = set(), [set() for _ in rows]
+    for r in order:
+        lines = [x.split() for x in (rows[r][1] or "").split("\n")]
+        words, full, start = [w for x in lines for w in x], [x for x in lines if x], 0
+        windows = [(k, k + 50, tuple(words[k : k + 50])) for k in range(len(words) - 49)]
+        for k in range(len(full) - 2):
+            windows.append((start, start + sum(map(len, full[k : k + 3])), (tuple(map(tuple, full[k : k + 3])), "lines")))
+            start += len(full[k])
+        for a, z, what in windows:
+            if what in seen:
+                gone[r] |= set(range(a, z))
+            seen.add(what)
+    return gone
+
+
+def less(text, gone):
+    """The text without the words numbered in gone, by its definition."""
+    out, at, inside = [], 0, False
+    for line in (text or "").split("\n"):
+        parts = re.findall(r"\s+|\S+", line)
+        n = len(line.split())
+        stay = [k for k in range(at, at + n) if k not in gone]
+        if n and not stay or not n and at - 1 in gone and at in gone and at > 0:
+            at += n
+            continue
+        if len(stay) < n:
+            lead, k, left = re.match(r"\s*", line)[0], at, ""
+            for p in parts[1:] if lead else parts:
+                if p.isspace():
+                    if k - 1 in stay and (k - 1 != stay[-1] or k == at + n):
+                        left += p
+                else:
+                    left += p if k in stay else ""
+                    k += 1
+            line = lead + left
+        at += n
+        out.append(line)
+    return "\n".join(out)
+
+
+def check_lines(spark, rows):
+    got = line_dedup.line_dedup(docs_of(spark, rows)).collect()
+    gone = brute_lines(rows)
+    assert sorted((str(r.doc_id), r.removed_words, r.text) for r in got) == sorted((str(i), len(g), less(t, g)) for (i, t), g in zip(rows, gone, strict=True))
+    return sum(map(len, gone))
 
 
 def test_line_dedup(spark):
@@ -326,50 +385,37 @@ def test_line_dedup(spark):
         for _ in range(random.randint(0, 3)):
             k = random.randint(0, len(lines))
             lines[k:k] = random.choice(passages)
-        rows.append((i if i % 9 else None, "\n".join(lines) if i % 13 else None))
-    rows += [rows[5], (200, rows[5][1]), (201, "\n".join(["same line again and again"] * 50)), (202, "")]
-    table = docs_of(spark, rows).repartition(1)
-    got = line_dedup.line_dedup(docs_of(spark, rows).coalesce(1)).collect()
-    want = brute_lines(rows)
-    texts = ["\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in g) for (_, t), g in zip(rows, want, strict=True)]
-    assert sorted((str(r.doc_id), r.text, r.removed_lines) for r in got) == sorted((str(i), t, len(g)) for (i, _), t, g in zip(rows, texts, want, strict=True))
-    assert sum(map(len, want)) > 50
-    assert line_dedup.line_dedup(table.limit(0)).collect() == []
-
-
-def test_line_dedup_finds_each_recurring_passage():
-    """Whatever stretch of RUN words recurs has a selected gram in common, whatever stands around it."""
-    random.seed(11)
-    line = lambda n: " ".join(f"v{random.randint(0, 99999)}" for _ in range(n))
-    for _ in range(300):
-        passage = [line(random.randint(0, 30)) for _ in range(9)]
-        while sum(len(x.split()) for x in passage) < line_dedup.RUN:
-            passage.append(line(9))
-        sides = [[line(random.randint(0, 30)) for _ in range(random.randint(0, 5))] for _ in range(4)]
-        a, b = (set(line_dedup.selected(*line_dedup.line_table("\n".join(sides[k] + passage + sides[k + 1])))[0].tolist()) for k in (0, 2))
-        assert a & b
-
-
-def test_line_dedup_inside_lines(spark):
-    """A passage inside longer lines, or parted into other lines, is found; the rest of its lines stays."""
-    passage = [f"p{i}" for i in range(60)]
-    near = " ".join(f"n{i}" for i in range(49))  # too short to be found for certain, and alone
-    rows = [(1, "a b " + " ".join(passage) + " c d"), (2, "x  y " + " ".join(passage) + "  z\nlast"), (3, "first\nu " + " ".join(passage[:20]) + "\n\n" + "\n".join(passage[20:]) + "\n\nv"), (4, near)]
+        if i % 3 == 0:  # the passages' words with other line ends
+            lines = "  ".join(lines).replace(" ", "\n ", 2).split("\n")
+        rows.append((i, "\n".join(lines) if i % 13 else None))
+    rows += [(None, rows[5][1]), rows[5], (200, rows[5][1]), (201, "\n".join(["same line again and again"] * 50)), (202, ""), (203, "a " * 300), (204, "a " * 260 + "b"), (205, "x\n\ny\nz"), (206, "w\nx\ny\n \nz\nw")]
+    assert check_lines(spark, rows) > 1000
+    assert line_dedup.line_dedup(docs_of(spark, rows).limit(0)).collect() == []
+
+
+def test_line_dedup_deletes_whole_runs(spark):
+    """What recurs only in part at the first place recurs in full at a later one: all of it goes, and what is near it stays."""
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    x, y = words("x", 55), words("y", 60)
+    rows = [(1, x), (2, f"{x} {y}"), (3, f"a {x} {y} b"), (4, f"c {words('x', 49)} d"), (5, words("x", 30) + " other " + y[: len(y) // 2]), (6, f"{y} {x}"), (7, "u\nv"), (8, "u\nv"), (9, "k\nu\nv\nw"), (10, "u\nv\n\nw\nl")]
+    check_lines(spark, rows)
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
-    assert [got[i].text for i in range(1, 5)] == [rows[0][1], "x  y z\nlast", "first\nu\n\nv", near]
-    assert [(got[i].removed_lines, got[i].removed_words, got[i].spans) for i in range(1, 5)] == [(0, 0, ""), (0, 60, "2-61"), (41, 60, "2-61"), (0, 0, "")]
+    assert [got[i].text for i in range(1, 11)] == [x, y, "a b", rows[3][1], rows[4][1], "", "u\nv", "u\nv", rows[8][1], "l"]
+    assert (got[3].removed_words, got[3].spans, got[3].n_lines, got[3].removed_lines) == (115, "1-115", 1, 0)
 
 
-def test_word_grams_find_each_recurring_passage():
-    """Whatever stretch of RUN words recurs has a selected gram in common, wherever lines end."""
+def test_line_dedup_of_random_runs(spark):
+    """Few words, so that runs overlap in all ways; with windows as long as in use."""
     random.seed(12)
-    words = lambda n: [f"v{random.randint(0, 99999)}" for _ in range(n)]
-    for n in (line_dedup.RUN, 70):
-        for _ in range(100):
-            passage = words(n)
-            a, b = (set(line_dedup.all_selected(" ".join(words(random.randint(0, 90))) + random.choice(" \n") + " ".join(passage) + " " + " ".join(words(random.randint(0, 90))))[0].tolist()) for _ in range(2))
-            assert a & b
-    h = line_dedup.word_hashes(" ".join(words(100)))
-    for k in (1, 3, 40):
-        twice = line_dedup.rolled(np.concatenate([h, h]), k)
-        assert len(twice) == 201 - k and (twice[: 101 - k] == line_dedup.rolled(h, k)).all() and len(set(twice[:100].tolist())) == 100
+    pool = [f"q{i}" for i in range(400)]
+    rows = []
+    for i in range(80):
+        text = []
+        while len(text) < 200:
+            a = random.randrange(330)
+            text += pool[a : a + random.choice([20, 45, 50, 51, 60, 70])]
+        for _ in range(6):
+            text.insert(random.randrange(len(text)), "\n")
+        rows.append((i % 70, " ".join(text)))
+    rows = [r for k, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:k]}]
+    assert check_lines(spark, rows) > 2000
