@@ -8,7 +8,7 @@ distance. A selected gram's place stands for the stretch of all windows that sel
 * where a gram stands in different stretches, the first place of each stretch is extended both ways window by window, and
   each window that some earlier place has goes.
 
-So a window of RUN words (LINE_RUN lines) goes if and only if an earlier place has the same one, and nothing is joined to
+Windows of lines that hold RUN words or more are left to the windows of words, which find them as well. So a window of RUN words (LINE_RUN lines) goes if and only if an earlier place has the same one, and nothing is joined to
 anything but the first of its kind: work and rows grow with the text, not with the square of a group. Places are in order
 of id, then text, then word. Equality is by two 64-bit hashes, of the gram and of the stretch or window.
 """
@@ -16,6 +16,7 @@ of id, then text, then word. Equality is by two 64-bit hashes, of the gram and o
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,8 @@ from .shared import rows_of, written
 from .url_filter import WORDS, _bits, _block, bloom_filter
 
 #: Words of a recurring run that is deleted, at least, and of a gram; the same of lines that have words.
-RUN, GRAM = 50, 25
+RUN, GRAM = 50, 16
 LINE_RUN, LINE_GRAM = 3, 2
-KINDS = ((RUN, GRAM), (LINE_RUN, LINE_GRAM))
 _BASE = 0x9E3779B97F4A7C15
 _AT = (1 << 31) - 1
 _U = np.uint64
@@ -85,8 +85,10 @@ class Stream:
         return mixed((self.sums[z] - self.sums[a]) * self.down[a])
 
 
-def selected(stream: Stream, lengths: np.ndarray, run: int, gram: int, salt: int) -> tuple[np.ndarray, ...]:
-    """Of texts of so many tokens each: text, gram and stretch (hashes), first window and number of windows of each place."""
+def selected(stream: Stream, lengths: np.ndarray, run: int, gram: int, salt: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of texts of so many tokens each: text, gram and stretch (hashes), first window and number of windows of each place.
+
+    counts: words of each token; windows with RUN words or more are left out then."""
     n = len(stream.sums) - 1
     none = tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     if n < run:
@@ -102,87 +104,101 @@ def selected(stream: Stream, lengths: np.ndarray, run: int, gram: int, salt: int
         return none
     first_of = np.cumsum(np.maximum(lengths - run + 1, 0)) - np.maximum(lengths - run + 1, 0)
     at = np.arange(len(text)) - first_of[text] + (ends - lengths)[text]  # windows that lie within one text
+    if counts is not None:
+        total = np.concatenate([[0], np.cumsum(counts)])
+        few = total[at + run] - total[at] < RUN
+        at, text = at[few], text[few]
+        if not len(text):
+            return none
     chosen = (least[at] & _U(_AT)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])]))
+    starts = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)]))
     count = np.diff(np.concatenate([starts, [len(chosen)]]))
     i, m, text = at[starts], chosen[starts], text[starts]
     stretch = mixed(stream.runs(i, i + count + run - 1) ^ ((m - i).astype(np.uint64) << _U(32) | count.astype(np.uint64)))
     return text, grams[m], stretch, i - (ends - lengths)[text], count
 
 
-def tokens(texts: list[str | None]) -> list[tuple[Stream, np.ndarray]]:
-    """For words and for lines that have words: the stream of all texts, and how many tokens each has."""
+def tokens(texts: list[str | None]) -> tuple[Stream, np.ndarray, Stream, np.ndarray, np.ndarray]:
+    """The stream of all texts' words and how many each has, that of their lines that have words and how many, and the words of each line."""
     words: list[str] = []
     per_line: list[int] = []
-    lines = np.zeros(len(texts), np.int64)
-    own = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        before = len(words)
+    own, lines = [], []
+    for text in texts:
+        before, first = len(words), len(per_line)
         for line in (text or "").split("\n"):
             if w := line.split():
                 words += w
                 per_line.append(len(w))
-                lines[k] += 1
-        own[k] = len(words) - before
+        own.append(len(words) - before)
+        lines.append(len(per_line) - first)
     stream = Stream(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
-    ends = np.cumsum(np.array(per_line, np.int64))
-    return [(stream, own), (Stream(stream.runs(ends - np.array(per_line, np.int64), ends)), lines)]
+    counts = np.array(per_line, np.int64)
+    ends = np.cumsum(counts)
+    return stream, np.array(own, np.int64), Stream(stream.runs(ends - counts, ends)), np.array(lines, np.int64), counts
 
 
 def places(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """text, kind (0: words, 1: lines), gram, stretch, first token and number of windows of each selected gram's place."""
-    found = []
-    for kind, ((stream, lengths), (run, gram)) in enumerate(zip(tokens(texts), KINDS, strict=True)):
-        text, *rest = selected(stream, lengths, run, gram, kind * _BASE)
-        found.append((text, np.full(len(text), kind), *rest))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def windows(text: str | None, wanted: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """Hashes of the windows of each place (kind, first token, number of windows)."""
-    streams = [s for s, _ in tokens([text])]
-    out = []
-    for kind, at, n in wanted:
-        a = np.arange(at, at + n)
-        out.append(streams[kind].runs(a, a + KINDS[kind][0]))
-    return out
-
-
-def without(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, int, int, np.ndarray]:
-    """(text, lines, removed lines, which words are gone) less the [first, last] tokens of spans (kind, first, last).
-
-    A line goes if all of its words do, or if it has none and stands inside a span. Of other lines the words go, with the
-    white space up to the next word, or after the last word that stays.
+    words, own, lines, per_text, counts = tokens(texts)
+    found = (selected(words, own, RUN, GRAM, 0), selected(lines, per_text, LINE_RUN, LINE_GRAM, _BASE, counts))
+    text, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+    return text, np.repeat([0, 1], [len(f[0]) for f in found]), *rest
+
+
+def windows(texts: list[str | None], text: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of places (text, kind, first and last token): for each of their windows, the place's number, the hash and the first token."""
+    words, own, lines, per_text, _ = tokens(texts)
+    run = np.where(kind == 0, RUN, LINE_RUN)
+    n = last - first - run + 2
+    place = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(place)) - (np.cumsum(n) - n)[place] + first[place]
+    hashes = np.empty(len(place), np.uint64)
+    for k, (stream, lengths, size) in enumerate(((words, own, RUN), (lines, per_text, LINE_RUN))):
+        mine = kind[place] == k
+        a = at[mine] + (np.cumsum(lengths) - lengths)[text[place[mine]]]
+        hashes[mine] = stream.runs(a, a + size)
+    return place, hashes, at
+
+
+def without(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, int, int, list[tuple[int, int]]]:
+    """(text, lines, removed lines, the [first, last] words of what is gone) less the [first, last] tokens of spans (kind, first, last).
+
+    A line goes if all of its words do, or if it has none and stands between words that go. Of other lines the words go,
+    with the white space up to the next word, or after the last word that stays.
     """
     lines = text.split("\n")
-    counts = np.array([len(x.split()) for x in lines])
-    ends = np.cumsum(counts)
-    line_of, full = np.repeat(np.arange(len(lines)), counts), np.flatnonzero(counts)
-    edges = np.zeros(ends[-1] + 1, np.int64)
-    inside = np.zeros(len(lines) + 1, np.int64)
-    for kind, a, z in spans:
-        if kind:
-            a, z = (ends - counts)[full[a]], ends[full[z]] - 1
-        edges[a] += 1
-        edges[z + 1] -= 1
-        inside[line_of[a]] += 1
-        inside[line_of[z] + 1] -= 1
-    gone, inside = np.cumsum(edges[:-1]) > 0, np.cumsum(inside[:-1]) > 0
-    lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.concatenate([[0], ends])])
-    left = []
-    for k, x in enumerate(lines):
-        if lost[k] == counts[k] and (lost[k] or inside[k]):
-            continue
-        if lost[k]:
-            own, g = [m.span() for m in re.finditer(r"\S+", x)], gone[ends[k] - counts[k] : ends[k]]
-            stay = np.flatnonzero(~g).tolist()
+    counts = [len(x.split()) for x in lines]
+    starts = list(accumulate(counts, initial=0))
+    full = [k for k, c in enumerate(counts) if c]
+    gone: list[list[int]] = []
+    for a, z in sorted((starts[full[a]], starts[full[z] + 1] - 1) if kind else (a, z) for kind, a, z in spans):
+        if gone and a <= gone[-1][1] + 1:
+            gone[-1][1] = max(gone[-1][1], z)
+        else:
+            gone.append([a, z])
+    left, k = [], 0
+    for x, n, at in zip(lines, counts, starts, strict=False):
+        while k < len(gone) and gone[k][1] < at:
+            k += 1
+        if k == len(gone) or gone[k][0] >= at + n:  # nothing of this line goes
+            left.append(x)
+        elif not n:
+            if gone[k][0] == at:
+                left.append(x)
+        elif gone[k][0] > at or gone[k][1] < at + n - 1:
+            out = bytearray(n)
+            for a, z in gone[k:]:
+                if a >= at + n:
+                    break
+                a, z = max(a, at) - at, min(z, at + n - 1) - at
+                out[a : z + 1] = b"\1" * (z + 1 - a)
+            own, stay = [m.span() for m in re.finditer(r"\S+", x)], [j for j in range(n) if not out[j]]
             parts = [x[: own[0][0]]]
             for j in stay:
-                after = own[j + 1][0] if j + 1 < len(own) else len(x)
-                parts.append(x[own[j][0] : own[j][1] if j == stay[-1] and j + 1 < len(own) else after])
-            x = "".join(parts)
-        left.append(x)
-    return "\n".join(left), len(lines), len(lines) - len(left), gone
+                after = own[j + 1][0] if j + 1 < n else len(x)
+                parts.append(x[own[j][0] : own[j][1] if j == stay[-1] and j + 1 < n else after])
+            left.append("".join(parts))
+    return "\n".join(left), len(lines), len(lines) - len(left), [tuple(g) for g in gone]
 
 
 def probable(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -219,17 +235,13 @@ def repeated(base: DataFrame, kind: str) -> DataFrame:
 
     def exploded(batches):
         for b in rows_of(batches):
-            for row, id_, hash_, text, own in zip(b.column(0), b.column(1), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                runs = [KINDS[p["kind"]][0] for p in own]
-                found = windows(text, [(p["kind"], p["a"], p["z"] - p["a"] - r + 2) for p, r in zip(own, runs, strict=True)])
-                n = [len(x) for x in found]
-                total = sum(n)
-                same = lambda x: pa.array([x.as_py()], x.type).take(pa.array(np.zeros(total, np.int64)))  # noqa: B023, E731
-                a = np.concatenate([np.arange(p["a"], p["a"] + k) for p, k in zip(own, n, strict=True)])
-                yield _batch(
-                    names, np.repeat([p["gram"] for p in own], n), np.concatenate(found), same(row), same(id_), same(hash_),
-                    np.repeat([p["kind"] for p in own], n).astype(np.int8), a.astype(np.int32), (a + np.repeat(runs, n) - 1).astype(np.int32),
-                )
+            own = b.column(4)
+            p = own.flatten()
+            text = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
+            gram, which, first, last = (p.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "kind", "a", "z"))
+            place, hashes, at = windows(b.column(3).to_pylist(), text, which, first.astype(np.int64), last.astype(np.int64))
+            take, k = pa.array(text[place]), which[place]
+            yield _batch(names, gram[place], hashes, *(b.column(c).take(take) for c in range(3)), k, at.astype(np.int32), (at + np.where(k == 0, RUN, LINE_RUN) - 1).astype(np.int32))
 
     names = ["gram", "stretch", "row", "id", "text_hash", "kind", "a", "z"]
     schema = f"gram long, stretch long, row long, id {kind}, text_hash long, kind byte, a int, z int"
@@ -275,8 +287,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     out.append((text, text.count("\n") + 1, 0, 0, ""))
                     continue
                 left, n, removed, gone = without(text, [(x["kind"], x["a"], x["z"]) for x in spans])
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                out.append((left, n, removed, int(gone.sum()), " ".join(f"{x}-{y - 1}" for x, y in edge.reshape(-1, 2).tolist())))
+                out.append((left, n, removed, sum(z - a + 1 for a, z in gone), " ".join(f"{a}-{z}" for a, z in gone)))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "text", "n_lines", "removed_lines", "removed_words", "spans"])
