@@ -1,8 +1,8 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks of text. A classifier gives each block a cost of being content and a cost of being boilerplate,
-which become the capacities of its edges to the two terminals. Edges between neighbours in the page, and between the
-blocks of one DOM parent, make it costly to label them differently. The minimum cut is the cheapest labelling; max-flow
+which become the capacities of its edges to the two terminals. Edges between neighbours in the page, and between
+blocks that stand next to each other in one DOM element, make it costly to label them differently. The minimum cut is the cheapest labelling; max-flow
 finds it, and blocks that the source still reaches are content.
 """
 
@@ -39,20 +39,28 @@ BAD_WORDS = {
     "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "search", "searchbox", "copyright",
     "contentinfo", "complementary", "form", "skip", "tags", "tagcloud", "legal", "disclaimer", "hidden",
 }
+#: Those of them that an article's own parts are called by, too.
+OF_ARTICLES = {"header", "masthead", "tags", "side", "foot", "form", "text"}
 GOOD_WORDS = {"article", "articlebody", "main", "content", "entry", "post", "story", "body", "text"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Where a tag, a comment or a declaration begins, and what ends it or begins a quoted value in it.
+OPENS = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOPS = re.compile(r"[>\"']")
+#: Tags whose quotes aren't closed before the page ends; after so many, quotes are passed over, as each costs a look at all the rest.
+UNQUOTED = 8
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW}
 #: Capacities between neighbours, and between blocks of one parent.
-NEXT, SIBLING = 0.5, 1.0
+NEXT, SIBLING = 0.5, 2.0
 
 
 class _Node:
-    __slots__ = ("bad", "good", "hidden", "link", "number", "tag")
+    __slots__ = ("bad", "good", "hidden", "inner", "link", "number", "outer", "tag")
 
     def __init__(self, tag: str, number: int, parent: _Node | None, attributes: str):
         self.tag, self.number = tag, number
+        #: The numbers of the innermost block element, this one included, and of the one around that.
+        self.inner, self.outer = (parent.inner, parent.outer) if parent and tag not in BLOCKS else (number, parent.inner if parent else -1)
         self.bad = self.good = self.hidden = self.link = False
         if parent:
             self.bad, self.good, self.hidden, self.link = parent.bad, parent.good, parent.hidden, parent.link
@@ -73,8 +81,8 @@ class _Node:
                     words |= {w.lower() for w in WORD.findall(value)}
         if tag in GOOD_TAGS or words & GOOD_WORDS and not words & BAD_WORDS:
             self.good |= tag in GOOD_TAGS
-        elif words & BAD_WORDS and tag not in ("body", "html"):
-            self.bad = True
+        elif (bad := words & BAD_WORDS) and tag not in ("body", "html"):
+            self.bad |= not (self.good and bad <= OF_ARTICLES)
 
 
 class Block:
@@ -86,40 +94,91 @@ class Block:
         self.node, self.parts, self.linked = node, [], 0
 
 
+class _Stack:
+    """The open elements. For each tag, for fences and for blocks it keeps where they stand, so that nothing is searched for."""
+
+    def __init__(self, root: _Node):
+        self.nodes, self.at = [root], {"html": [0], "#fence": [-1, 0], "#block": [0]}
+
+    @staticmethod
+    def _keys(tag: str) -> list[str]:
+        return [tag] + ["#fence"] * (tag in FENCES) + ["#block"] * (tag in BLOCKS)
+
+    def push(self, node: _Node) -> None:
+        for key in self._keys(node.tag):
+            self.at.setdefault(key, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            for key in self._keys(self.nodes.pop().tag):
+                self.at[key].pop()
+
+    def last(self, key: str) -> int:
+        """Where the innermost one stands; 0, the root, if none."""
+        return found[-1] if (found := self.at.get(key)) else 0
+
+    def end(self, tags: set[str]) -> None:
+        """Ends the innermost of these elements, unless a fence stands within it."""
+        i = max(map(self.last, tags))
+        if i > 0 and i >= self.last("#fence"):
+            self.cut(i)
+
+
+def _tag_end(page: str, at: int, quoted: bool) -> int:
+    """Where the tag's > stands, outside of quoted values if these are heeded, or -1. A quote that isn't closed is a letter like others."""
+    if not quoted:
+        return page.find(">", at)
+    while m := STOPS.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return -1
+
+
 def blocks(page: str) -> list[tuple[str, float, _Node]]:
-    """(text, share of it within links, element) of each block that is shown, in page order. Broken markup is read as browsers do, roughly."""
+    """(text, share of it within links, element) of each block that is shown, in page order. Broken markup is read as browsers do, roughly.
+
+    Time grows with the page, whatever is left open or unclosed in it.
+    """
     root = _Node("html", 0, None, "")
-    stack, out, now, count = [root], [], Block(root), 1
-    n, at, end = len(page), 0, 0
+    stack, out, now, count = _Stack(root), [], Block(root), 1
+    n, at, end, failed, lost = len(page), 0, 0, 0, set()
 
     def close() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = Block(next(x for x in reversed(stack) if x.tag in BLOCKS))
+        now = Block(stack.nodes[stack.last("#block")])
 
     def add(text: str) -> None:
-        if text and not stack[-1].hidden:
+        top = stack.nodes[-1]
+        if text and not top.hidden:
             now.parts.append(text)
-            if stack[-1].link:
+            if top.link:
                 now.linked += len(text)
 
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[end:])
-            break
-        at = m.end()
+    while m := OPENS.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag:
+            stop = _tag_end(page, at, failed < UNQUOTED)
+            if stop < 0 and failed < UNQUOTED:
+                failed += 1
+                stop = _tag_end(page, at, False)
+            if stop < 0:  # no tag ends any more: what follows is text
+                break
+        else:
+            stop = page.find("-->" if m[0] == "<!--" else ">", at)
+            stop = n if stop < 0 else stop + 2 * (m[0] == "<!--")
         add(page[end : m.start()])
+        attributes, at = page[at:stop], min(n, stop + 1)
         end = at
-        if not m[2]:
-            continue  # comment, doctype
-        tag = m[2].lower()
+        if not tag:
+            continue
         if m[1]:
-            if any(x.tag == tag for x in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+            if (i := stack.last(tag)) > 0:
+                stack.cut(i)
             if tag in BLOCKS:
                 close()
             continue
@@ -127,23 +186,21 @@ def blocks(page: str) -> list[tuple[str, float, _Node]]:
             add(" ")
             continue
         if tag in CLOSES_P or tag in ENDS:
-            ends = ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                elif stack[i].tag in FENCES:
-                    break
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+            stack.end(ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set()))
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             if tag in BLOCKS:
                 close()
             continue
-        stack.append(_Node(tag, count, stack[-1], m[3]))
+        stack.push(_Node(tag, count, stack.nodes[-1], attributes))
         count += 1
         if tag in RAW:
-            e = RAW_END[tag].search(page, at)
+            e = None if tag in lost else RAW_END[tag].search(page, at)
+            if not e:
+                lost.add(tag)
             at = end = e.start() if e else n
         elif tag in BLOCKS:
             close()
+    add(page[end:])
     close()
     made = []
     for b in out:
@@ -166,8 +223,12 @@ def costs(text: str, linked: float, node: _Node) -> float:
 
 
 def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes the source still reaches: gains above zero are capacities from the source, below zero to the sink. Edmonds-Karp."""
-    n = len(gains)
+    """Which nodes the source still reaches: gains above zero are capacities from the source, below zero to the sink.
+
+    Dinic: each phase finds the distances of all nodes from the source once, and then fills all shortest paths, trying no
+    edge twice. Blocks' edges go to neighbours and to siblings, so phases are few.
+    """
+    n, tiny = len(gains), 1e-9
     if all(g > 0 for g in gains):
         return [True] * n
     if all(g <= 0 for g in gains):
@@ -177,31 +238,49 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
     left = list(gains)  # what is left of each terminal edge
-    tiny = 1e-9
     while True:
-        came = {i: -1 for i, g in enumerate(left) if g > tiny}
-        queue, to = deque(came), -1
-        while queue and to < 0:
+        level = {i: 0 for i, g in enumerate(left) if g > tiny}
+        queue, last = deque(level), -1
+        sources = list(level)
+        while queue:
             i = queue.popleft()
+            if last >= 0 and level[i] >= last:
+                break
             for j, c in near[i].items():
-                if c > tiny and j not in came:
-                    came[j] = i
+                if c > tiny and j not in level:
+                    level[j] = level[i] + 1
                     if left[j] < -tiny:
-                        to = j
-                        break
+                        last = level[j]
                     queue.append(j)
-        if to < 0:
-            return [i in came for i in range(n)]
-        path = [to]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min(left[path[0]], -left[to], *(near[a][b] for a, b in zip(path, path[1:], strict=False)))
-        left[path[0]] -= flow
-        left[to] += flow
-        for a, b in zip(path, path[1:], strict=False):
-            near[a][b] -= flow
-            near[b][a] += flow
+        if last < 0:
+            return [i in level for i in range(n)]
+        untried = [list(x) for x in near]
+        for s in sources:
+            path = [s]
+            while path and left[s] > tiny:
+                i = path[-1]
+                if left[i] < -tiny:
+                    flow = min([left[s], -left[i], *(near[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    left[s] -= flow
+                    left[i] += flow
+                    cut = len(path)
+                    for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                        if near[a][b] <= tiny:
+                            cut = min(cut, k + 1)
+                    path = path[:cut]  # on from the first edge that is full
+                    continue
+                while untried[i]:
+                    j = untried[i][-1]
+                    if near[i][j] > tiny and level.get(j, -1) == level[i] + 1:
+                        path.append(j)
+                        break
+                    untried[i].pop()
+                else:
+                    path.pop()
+                    if path:
+                        untried[path[-1]].pop()
 
 
 def main_text(page: str | None) -> str:
@@ -212,9 +291,10 @@ def main_text(page: str | None) -> str:
     edges = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, (_, _, node) in enumerate(found):
-        if (j := last.get(node.number)) is not None:  # of one element
-            edges.append((j, i, SIBLING))
-        last[node.number] = i
+        for around in {node.inner, node.outer}:  # what stands in one element, and in elements side by side
+            if (j := last.get(around)) is not None:
+                edges.append((j, i, SIBLING))
+            last[around] = i
     keep = minimum_cut([costs(*b) for b in found], edges)
     return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
@@ -222,8 +302,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Each row of pages with its main text: id, url, text and n_chars (its code points).
 
-    A null or empty page has an empty text, as has one that is all boilerplate. Whole pages are read and nothing is cut.
-    Rows that repeat are extracted alike; other columns are ignored.
+    A null or empty page has an empty text, as has one that is all boilerplate. Whole pages are read, however long, and
+    nothing is cut. Rows that repeat are extracted alike, ids and URLs may be null; other columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
 
     def run(batches):
@@ -231,5 +312,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    src = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
+    src = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"))
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")
