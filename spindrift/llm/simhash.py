@@ -3,9 +3,12 @@
 A linked pair differs in 3 bits or fewer, so in one of a fingerprint's two halves it differs in 1 or none. Each half has
 a vantage-point tree of its own: a node has a vantage point and a median distance, and parts the points in those within
 and those beyond. Every fingerprint rests in one shard (leaf). To meet all others it also visits each shard that the
-triangle bound can't rule out, those whose side of the median begins within 1 bit of its own distance. Shards are joined
-exactly; each gives the links as a star for each of its own components, and the stars are joined to whole components by
-alternating large-star and small-star steps. Equal fingerprints count once, so copies are never paired.
+triangle bound can't rule out, those whose side of the median begins within 1 bit of its own distance. Trees have a fixed
+depth until shards would outgrow a task, so rows grow with the fingerprints. A shard that holds too many all the same, as
+where very many share a half, is parted again by a tree over whole fingerprints, with a bound of 3 bits. Within a shard,
+pairs are found by equal quarters, of which a linked pair has one. Each shard gives its links as stars, and the stars are
+joined to whole components by alternating large-star and small-star steps. Equal fingerprints count once, so copies are
+never paired.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ SHINGLE = 3
 MAX_BITS = 3
 #: Halves of a fingerprint, and the bits that a linked pair can differ by in the closer one.
 HALVES, HALF_BITS = 2, MAX_BITS // 2
-#: Fingerprints that rest in a shard, on average.
-SHARD = 512
+#: Fingerprints that rest in a shard, on average, at most; levels of a tree at least. With 2**LEVELS shards, a fingerprint visits some seven.
+SHARD, LEVELS = 131_072, 8
+#: A shard with more rows than this, visitors included, is parted again.
+HOT = 16 * SHARD
 #: Distinct fingerprints that vantage points and medians are taken from: about as many at most, by hash.
 SAMPLE = 65_536
 _CHUNK = 1 << 16
@@ -67,13 +72,13 @@ def _half(fps: np.ndarray, tree: int) -> np.ndarray:
 
 
 class Tree:
-    """A vantage-point tree of fixed depth over one half of the fingerprints; nodes are numbered as in a heap, from 1."""
+    """A vantage-point tree of fixed depth over points of some bits; nodes are numbered as in a heap, from 1. Shards are for pairs that differ by radius at most."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, radius: int):
         rng = np.random.default_rng(seed)
-        self.depth = depth
-        self.points = rng.integers(0, 1 << 32, 1 << depth, dtype=np.uint32)
-        self.medians = np.full(1 << depth, 15, np.int16)  # where the sample is too thin: the middle of random points
+        self.depth, self.radius, kind = depth, radius, sample.dtype
+        self.points = rng.integers(0, np.iinfo(kind).max, 1 << depth, dtype=kind, endpoint=True)
+        self.medians = np.full(1 << depth, 4 * kind.itemsize - 1, np.int16)  # where the sample is too thin: the middle of random points
         nodes = [(1, sample)]
         while nodes:
             node, own = nodes.pop()
@@ -82,35 +87,47 @@ class Tree:
             if len(own) >= 8:
                 self.points[node] = own[rng.integers(len(own))]
                 far = np.bitwise_count(own ^ self.points[node])
-                self.medians[node] = (int(np.median(far)) - 1) if np.median(far) >= 1 else 0
+                self.medians[node] = max(int(np.median(far)) - 1, 0)
                 inside = far <= self.medians[node]
                 nodes += [(2 * node, own[inside]), (2 * node + 1, own[~inside])]
 
-    def shards(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """index, shard and whether it rests there, of all visits."""
-        at = np.arange(len(points))
-        node, rests = np.ones(len(points), np.int64), np.ones(len(points), bool)
+    def shards(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, shard) of all visits."""
+        at, node = np.arange(len(points)), np.ones(len(points), np.int64)
         for _ in range(self.depth):
             far, median = np.bitwise_count(points[at] ^ self.points[node]).astype(np.int16), self.medians[node]
             inside = far <= median
-            over = np.where(inside, far + HALF_BITS > median, far - HALF_BITS <= median)  # the bound doesn't rule out the other side
+            over = np.where(inside, far + self.radius > median, far - self.radius <= median)  # the bound doesn't rule out the other side
             node = 2 * node + ~inside
-            at, node, rests = np.concatenate([at, at[over]]), np.concatenate([node, node[over] ^ 1]), np.concatenate([rests, np.zeros(over.sum(), bool)])
-        return at, node, rests
-
-
-def _shard_stars(fps: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, least member) of each component that the links of resting points with all points make."""
-    order = np.argsort(fps, kind="stable")
-    fps, rests = fps[order], rests[order]
-    label = np.arange(len(fps))
-    bits = fps.view(np.uint64)
-    for i in np.flatnonzero(rests).tolist():
-        near = np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= MAX_BITS)
-        if len(near) > 1:
-            old = label[near]
-            if (least := old.min()) != old.max():
-                label[np.isin(label, old)] = least
+            at, node = np.concatenate([at, at[over]]), np.concatenate([node, node[over] ^ 1])
+        return at, node
+
+
+def _stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, least member) of each component that the links among fps make."""
+    fps = np.unique(fps)
+    bits, label = fps.view(np.uint64), np.arange(len(fps))
+    for quarter in range(4):  # 3 bits leave one of four quarters as it is
+        key = ((bits >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], bits[order]
+        at = np.arange(len(key))
+        for d in range(1, len(key)):
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            if not len(at):
+                break
+            near = at[np.bitwise_count(own[at] ^ own[at + d]) <= MAX_BITS]
+            a, b = label[order[near]], label[order[near + d]]  # labels are roots here, so that only pairs that join something are looped over
+            if (new := a != b).any():
+                for x, y in np.unique(np.stack([a[new], b[new]]), axis=1).T.tolist():
+                    while label[x] != x:
+                        x = label[x]
+                    while label[y] != y:
+                        y = label[y]
+                    label[max(x, y)] = min(x, y)
+                while (label != label[label]).any():
+                    label = label[label]
     member = label != np.arange(len(fps))
     return fps[member], fps[label[member]]
 
@@ -119,22 +136,45 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, that connect all of fps' distinct values (fp) that differ in 3 bits or fewer, through any number of links."""
     spark = fps.sparkSession
     count = fps.count()
-    depth = max(0, (count // SHARD).bit_length())
+    depth = max(LEVELS, (count // SHARD).bit_length())
     sample = np.sort(np.array([r[0] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-count // SAMPLE)))) == 0).collect()], np.int64))
-    trees = spark.sparkContext.broadcast([Tree(_half(sample, t), depth, t) for t in range(HALVES)])
+    trees = [Tree(_half(sample, t), depth, t, HALF_BITS) for t in range(HALVES)]
+    sent = spark.sparkContext.broadcast((trees, {}))
 
-    def visits(batches):
+    def visits(batches, sent=sent):
+        trees, hot = sent.value
         for b in rows_of(batches, 10_000):
             own = b.column(0).to_numpy()
-            for t, tree in enumerate(trees.value):
-                at, node, rests = tree.shards(_half(own, t))
-                yield pa.RecordBatch.from_arrays([pa.array(node * HALVES + t), pa.array(own[at]), pa.array(rests)], ["shard", "fp", "rests"])
+            for t, tree in enumerate(trees):
+                at, node = tree.shards(_half(own, t))
+                shard, part = node * HALVES + t, np.zeros(len(at), np.int64)
+                yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in y], ["shard", "part", "fp"]) for y in parted(shard, part, own[at], hot))
+
+    def parted(shard, part, own, hot):
+        if hot:
+            full = np.isin(shard, list(hot))
+            for s in np.unique(shard[full]).tolist():
+                mine = own[shard == s]
+                at, node = hot[s].shards(mine.view(np.uint64))
+                yield np.full(len(at), s), node, mine[at]
+            shard, part, own = shard[~full], part[~full], own[~full]
+        yield shard, part, own
 
     def within(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = _shard_stars(rows["fp"].to_numpy(), rows["rests"].to_numpy())
+        a, b = _stars(rows["fp"].to_numpy())
         return pd.DataFrame({"a": a, "b": b})
 
-    return fps.mapInArrow(visits, "shard long, fp long, rests boolean").groupBy("shard").applyInPandas(within, "a long, b long").distinct()
+    rows = "shard long, part long, fp long"
+    if count > HOT:  # else no shard can have as many rows of one tree
+        sizes = fps.mapInArrow(visits, rows).groupBy("shard").count().where(F.col("count") > HOT).collect()  # as many as there are shards at most
+        if sizes:
+            whole, own = sample.view(np.uint64), {}
+            for k, (shard, n) in enumerate(sizes):
+                at, node = trees[shard % HALVES].shards(_half(sample, shard % HALVES))
+                own[shard] = Tree(whole[at[node * HALVES + shard % HALVES == shard]], (n // SHARD).bit_length(), HALVES + k, MAX_BITS)
+            sent = spark.sparkContext.broadcast((trees, own))
+    found = fps.mapInArrow(lambda batches, sent=sent: visits(batches, sent), rows)
+    return found.groupBy("shard", "part").applyInPandas(within, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,16 +212,21 @@ def simhash_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of docs with its fingerprint (16 lowercase hex digits) and component_id, the least id reachable over links.
 
-    Null and empty texts, and texts without words, have fingerprint zero and link like any other. Rows may repeat. Null
-    ids are passed over when the least is taken; a component of null ids alone has a null component_id. Other columns are
-    ignored.
+    Null and empty texts, and texts without words, have fingerprint zero and link like any other. Whole texts are read,
+    however long. Rows may repeat. Null ids are passed over when the least is taken; a component of null ids alone has a
+    null component_id. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return simhash_rows(docs, id_col, text_col).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the least id; of rows that share it, that of the least SHA-256."""
+    """docs with one row of each component, with all its columns: that of the least id; of rows that share it, that of the least SHA-256.
+
+    Null and empty texts are one component with what links to them. Null ids are passed over; of components of null ids
+    alone the row of the least SHA-256 stays. Of rows that repeat id and text one stays, as `only_kept` says. An empty
+    table stays empty.
+    """
     rows = simhash_rows(docs, id_col, text_col)
     rows = rows.withColumn("group", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))))
     first = F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("sha"))).alias("first")
