@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -124,13 +125,15 @@ def test_simhash(spark):
     assert simhash.simhash(docs_of(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("shard", [4, 512])
-def test_links_find_all_near_pairs(spark, shard, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD", shard)
+@pytest.mark.parametrize(("shard", "levels", "hot"), [(4, 0, 1 << 20), (512, 3, 1 << 20), (16, 2, 60)])
+def test_links_find_all_near_pairs(spark, shard, levels, hot, monkeypatch):
+    for name, value in (("SHARD", shard), ("LEVELS", levels), ("HOT", hot)):  # the last parts shards again
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 120, dtype=np.uint64)
     near = base ^ sum((np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)) for _ in range(3))
-    fps = np.unique(np.concatenate([base, near, base[:40] ^ np.uint64(7)]))
+    half = (base[:60] & np.uint64(0xFFFFFFFF)) | np.uint64(0x12345678 << 32)  # many share a half
+    fps = np.unique(np.concatenate([base, near, base[:40] ^ np.uint64(7), half, half ^ np.uint64(5)]))
     frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     got = {r.a: r.b for r in simhash.components(simhash.links(frame)).collect()}
     own = [int(x) for x in np.sort(fps.view(np.int64))]
@@ -246,6 +249,59 @@ def test_html(spark):
     assert got[None].text.startswith("no markup")
 
 
+def made_page(rng, kind):
+    """(page, its article's blocks): known by construction. Four kinds of markup, with boilerplate of all sorts around and within."""
+    words = lambda n: " ".join("".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    sentence = lambda n: words(n).capitalize() + "."
+    links = "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(8))
+    blocks = [("h1", words(5))] + [("p", " ".join(sentence(rng.randint(6, 20)) for _ in range(rng.randint(1, 5)))) for _ in range(rng.randint(3, 9))]
+    blocks.insert(3, ("h2", words(3)))
+    blocks.insert(5, ("blockquote", sentence(15)))
+    body = []
+    for k, (tag, text) in enumerate(blocks):
+        text = text.replace(" ", " <em>", 1).replace(" ", "</em> ", 1) if k == 2 else text
+        body.append(f"<{tag}>{text}</{tag}>" if tag != "p" or rng.random() < 0.7 else f"<p>{text}\n")
+        if rng.random() < 0.3:
+            body.append(f'<div class="{rng.choice(["ad-slot", "share-bar", "newsletter signup", "related"])}"><p>{sentence(12)}</p></div>')
+    inner = "".join(body)
+    head = f"<html><head><title>{words(4)}</title><script>if (a<b) {{ x('</p>') }}</script></head><body><header><a href=/>{words(3)}</a><p>{sentence(8)}</p></header><nav><ul>{links}</ul></nav><div class='cookie-banner'><p>{sentence(20)}</p></div>"
+    tail = f"<aside class=sidebar><h3>{words(2)}</h3><ul>{links}</ul><p>{sentence(14)}</p></aside><section class='comments'><p>{sentence(18)}</p><form><label>{words(2)}</label><textarea>{words(5)}</textarea></form></section><footer><p>{sentence(9)}</p></footer></body></html>"
+    main = {
+        "article": f"<article><header class='post-header'>{body[0]}</header>{''.join(body[1:])}</article>",
+        "main": f"<main>{inner}</main>",
+        "content": f"<div id='content' class='entry-content'>{inner}</div>",
+        "plain": f"<div><div>{inner}</div></div>",
+    }[kind]
+    return head + main + tail, [" ".join(t.split()) for _, t in blocks]
+
+
+@pytest.mark.parametrize(("kind", "least"), [("article", 0.99), ("main", 0.99), ("content", 0.95), ("plain", 0.9)])
+def test_html_finds_known_articles(kind, least):
+    """Precision and recall by blocks, over pages whose article is known."""
+    rng = random.Random(13)
+    right = found = wanted = 0
+    for _ in range(60):
+        page, blocks = made_page(rng, kind)
+        got = html_extract.main_text(page).split("\n\n")
+        right, found, wanted = right + len(set(got) & set(blocks)), found + len(set(got)), wanted + len(set(blocks))
+    assert right >= least * found and right >= least * wanted, (right, found, wanted)
+
+
+def test_html_of_any_kind_takes_time_by_its_length():
+    """What is left open or unclosed isn't looked for again and again. Each would take minutes to hours if it were."""
+    for page in ("<b>x" * 200_000, "<b>x</i>" * 100_000, '<a "' * 200_000, '<a ">" ' * 100_000, "<span>" * 40_000 + "<p>x</p>" * 40_000, "<li><ul>" + "<span>" * 40_000 + "<li>x</li>" * 40_000, "<!--" * 100_000, "<" * 200_000, "<script>" * 50_000):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 30
+    assert html_extract.main_text("<p>One sentence that is long enough to be read as text of the page itself.</p><p title='a > b\">Another <i>one</i>, which has a quote that never ends within its tag.</p>").startswith("One sentence")
+
+
+def test_html_with_any_columns(spark):
+    frame = spark.createDataFrame([(1, "u", "<article><p>Some text of it.</p></article>", "x", 1), (None, None, None, "y", 2)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in html_extract.extract(frame).collect()) == [("1", "u", "Some text of it.", 16), ("None", None, "", 0)]
+    assert html_extract.extract(frame.limit(0)).collect() == []
+
+
 def test_html_without_article():
     page = "<body><div id=nav><a href=x>Home page</a> <a href=y>About us</a></div><div><p>" + "Some sentence of the text that is long enough to count. " * 3 + "</p><p>Short.</p><p>" + "Another sentence of the text that is long enough to count. " * 3 + "</p></div><div class=sidebar-left><p>Links and other long things that nobody reads at all, ever, really.</p></div></body>"
     text = html_extract.main_text(page)
@@ -255,7 +311,7 @@ def test_html_without_article():
 def test_minimum_cut_is_minimal():
     random.seed(8)
     for _ in range(200):
-        n = random.randint(1, 7)
+        n = random.randint(1, 9)
         gains = [random.uniform(-3, 3) for _ in range(n)]
         edges = [(random.randrange(n), random.randrange(n), random.uniform(0, 2)) for _ in range(n)]
         edges = [e for e in edges if e[0] != e[1]]
@@ -284,14 +340,49 @@ def test_urls(spark, monkeypatch):
     assert url_filter.judged(pages.limit(0), RULES, listed.limit(0)).collect() == []
 
 
+def slow_normal(text):
+    """By its definition, on the text as a whole."""
+    low = text.lower()
+    low = "\n".join("" if re.match(r"[^a-z0-9]*(copyright|\(c\)|©).*([0-9]{4}|\(c\)|©|all rights reserved)", x) else x for x in low.split("\n"))
+    words = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f\xa0\xa9\u2010-\u201f]+", " ", low).split()
+    out, k = [], 0
+    while k < len(words):
+        if (two := " ".join(words[k : k + 2])) in licenses.SPELLINGS:
+            out += licenses.SPELLINGS[two].split()
+            k += 2
+        else:
+            out.append(licenses.SPELLINGS.get(words[k], words[k]))
+            k += 1
+    return " ".join(out)
+
+
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"][0]
-    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper()), (2, mit.replace("sublicense", "sub­license")), (3, "Some text.\nReleased under the MIT licence\n"), (4, None), (5, ""), (None, "x"), (6, "Licensed under the Apache Licence, version 2.0!"), (7, mit.replace(",", " ,").replace("MERCHANTABILITY", "MERCHANTIBILITY"))]
-    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, rows)).collect()}
-    assert got[1].license == got[7].license == "MIT" and got[2].license is None
+    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper()), (2, mit.replace("sublicense", "sub\xadlicense")), (3, "Some text.\nReleased under the MIT licence\n"), (4, None), (5, ""), (None, "x"), (6, "Licensed under the Apache Licence, version 2.0!"), (7, mit.replace(",", " ,").replace("MERCHANTABILITY", "MERCHANTIBILITY"))]
+    rows += [(8, "a\nReleased  under CC0 1.0.\nRELEASED-UNDER CC0 1.0\nb"), (9, mit + " !" * 7000), (10, "licence licence gnu gpl gnu gpl"), (11, "the gnu\ngpl and\n\nper cent"), (12, "x " * 300_000 + "\nLicensed under CC BY 4.0."), (12, "x " * 300_000 + "\nLicensed under CC BY 4.0."), (13, "\n".join(["Licensed under CC BY 4.0.", "© all rights reserved", "Licensed under the MIT License."] * 3))]
+    rows += [(20 + k, t) for k, t in enumerate(t for ts in licenses.TEXTS.values() for t in ts)]
+    frame = docs_of(spark, rows)
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    assert licenses.scan(frame).count() == len(rows)
+    for i, t in rows:
+        assert got[i].digest == hashlib.sha256(slow_normal(t or "").encode()).hexdigest(), i
+    assert got[1].license == got[7].license == got[9].license == "MIT" and got[2].license is None
     assert (got[3].license, got[3].notices) == (None, "MIT")
     assert (got[6].license, got[6].notices) == ("Apache-2.0", "Apache-2.0")
     assert got[4].digest == got[5].digest == hashlib.sha256(b"").hexdigest() and got[4].license is None and got[4].notices == ""
+    assert (got[8].notices, got[12].notices, got[13].notices) == ("CC0-1.0", "CC-BY-4.0", "CC-BY-4.0 MIT")
+    assert [got[20 + k].license for k in range(sum(map(len, licenses.TEXTS.values())))] == [i for i, ts in licenses.TEXTS.items() for _ in ts]
+    assert licenses.scan(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("name", "license"), [("GPL-3", "GPL-3.0-only"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")])
+def test_long_licenses(spark, name, license):
+    """Where the system has the texts, they're found, in capitals as well."""
+    try:
+        text = open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read()
+    except OSError:
+        pytest.skip("no such text here")
+    assert {r.license for r in licenses.scan(docs_of(spark, [(1, text), (2, text.upper())])).collect()} == {license}
 
 
 @pytest.mark.parametrize("block", [1024, 2])
