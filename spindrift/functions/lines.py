@@ -65,18 +65,23 @@ def in_html(key: str = "file_id", opening: str = "<?php", closing: str = "?>") -
 
 
 def function_extents(lines: DataFrame, key: str = "file_id", start: str = r"(?i)\bfunction\s+\w+") -> DataFrame:
-    """(key, name, start_line, end_line): a function ends at the first line from its own on after which as many braces are open as before it."""
+    """(key, name, start_line, end_line): a function ends at the first line with a closing brace, from its own on, after which no more braces are open than before it.
+
+    Such a line closes each level from the one after it to the one before it. So it has a row for each of these, no more
+    than it has braces, and one for the case that it has as many of both; starts look for the next row of their level.
+    """
     depth = lines.withColumn("depth", brace_depth(key)).withColumn("before", F.coalesce(F.lag("depth").over(ordered(key)), F.lit(0)))
-    starts = depth.where(F.col("text").rlike(start)).select(key, F.regexp_extract("text", r"(?i)\bfunction\s+(\w+)", 1).alias("name"), F.col("line_no").alias("start_line"), "before")
-    ends = depth.where(F.col("text").contains("}")).select(F.col(key).alias("k"), F.col("line_no").alias("l"), F.col("depth").alias("d"))
-    hit = (F.col("k") == F.col(key)) & (F.col("l") >= F.col("start_line")) & (F.col("d") <= F.col("before"))
-    return starts.join(ends, hit, "left").groupBy(key, "name", "start_line").agg(F.min("l").alias("end_line"))
+    none = F.lit(None).cast("string")
+    starts = depth.where(F.col("text").rlike(start)).select(key, F.regexp_extract("text", r"(?i)\bfunction\s+(\w+)", 1).alias("name"), "line_no", F.col("before").alias("level"))
+    closing = depth.where(F.col("text").contains("}")).select(key, none.alias("name"), "line_no", F.explode(F.sequence("depth", F.greatest("depth", "before"))).alias("level"))
+    back = Window.partitionBy(key, "level").orderBy(F.desc("line_no"), F.asc_nulls_first("name")).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.last(F.when(F.col("name").isNull(), F.col("line_no")), ignorenulls=True).over(back)
+    return starts.unionByName(closing).withColumn("end_line", end).where("name IS NOT NULL").select(key, "name", F.col("line_no").alias("start_line"), "end_line")
 
 
 def match_lines(files: DataFrame, pattern: str, key: str = "file_id", code_col: str = "code") -> DataFrame:
-    """(key, ord, line_no) of each match of a pattern that holds no newline: newlines in the pieces before it, and one."""
-    pieces = F.split(F.col(code_col), pattern, -1)
-    counts = F.transform(pieces, lambda p: counted(p, "\n"))
-    at = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda a, x: a + x) + 1)
-    out = files.select(key, F.posexplode(at).alias("pos", "line_no"), F.size(counts).alias("n"))
-    return out.where("pos < n - 1").select(key, (F.col("pos") + 1).alias("ord"), F.col("line_no").cast("int").alias("line_no"))
+    """(key, ord, line_no) of each match of a pattern that holds no newline: matches of each line, numbered by a running sum over the file's lines."""
+    lines = explode_lines(files.select(key, code_col), code_col)
+    found = lines.select(key, "line_no", (F.size(F.split("text", pattern, -1)) - 1).alias("n")).where("n > 0")
+    before = F.coalesce(F.sum("n").over(ordered(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.withColumn("before", before.cast("int")).select(key, F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("ord"), "line_no")

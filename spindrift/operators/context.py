@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions import text as T
-from . import joins
+from . import graphs, joins
 
 INCLUDE = r"""(?i)\b(include|include_once|require|require_once)\b\s*\(?\s*(?:__DIR__\s*\.\s*|dirname\(__FILE__\)\s*\.\s*)?['"]([^'"$]+)['"]"""
 AUTH = r"(?i)if\s*\([^)]*(?:logged|auth|admin|session)|->is(?:Admin|Authenticated|LoggedIn)\(|current_user_can\s*\(|Auth::\w+\s*\("
@@ -49,6 +49,18 @@ def globals_(lines: DataFrame, key: str = "file_id") -> DataFrame:
     return lines.select(key, "line_no", F.explode(F.concat(declared, stored)).alias("name"), F.col("text").rlike(r"\$_(?:GET|POST|REQUEST|COOKIE)").alias("tainted"))
 
 
+def cross_file_flows(includes: DataFrame, tainted: DataFrame, sinks: DataFrame) -> DataFrame:
+    """(source_file, sink_file, name, confidence): globals that one file taints and a sink of another takes, where the files see each other.
+
+    includes (src, dst); tainted (file, name, direct), direct if the source is assigned as it is; sinks (file, name).
+    """
+    g = tainted.select(F.col("file").alias("source_file"), "name", "direct").distinct()
+    s = sinks.select(F.col("file").alias("sink_file"), F.col("name").alias("sink_name")).distinct()
+    seen = graphs.visible(includes).select(F.col("file").alias("source_file"), F.col("other").alias("sink_file"))
+    c = F.lit(0.7) + F.when(F.col("direct"), F.lit(0.15)).otherwise(F.lit(0.1)) + F.lit(0.05)
+    return seen.join(g, "source_file").join(s, "sink_file").where("name = sink_name").select("source_file", "sink_file", "name", F.greatest(F.lit(0.1), F.least(F.lit(1.0), c)).alias("confidence"))
+
+
 def namespaces(files: DataFrame) -> DataFrame:
     """(path, namespace, class, fqcn) of the first class of each file."""
     ns = F.regexp_extract("code", r"(?m)^\s*namespace\s+([\w\\]+)\s*;", 1)
@@ -66,20 +78,34 @@ def use_aliases(files: DataFrame) -> DataFrame:
 
 
 def dead_lines(lines: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, line_no, reason): inside `if (false)` or `if (0)`, or after return, die or exit in the same block."""
+    """(key, line_no, reason): inside `if (false)` or `if (0)`, or after return, die or exit up to the end of the same block.
+
+    A mark on a line kills the lines from the next one to the last that is deeper than its level: a constant condition's
+    level is that before its line, an exit's is one less than that after it. The line that closes the block, as by a brace
+    that it begins with (`} else {`), is alive. So
+    marks are intervals, of which an outer one that is still open covers all that stands within; of the marks that cover a
+    line, the outermost, which is the earliest, names the reason. Blank lines aren't reported.
+    """
     t = F.trim(F.col("text"))
-    opened = L.counted(t, "{") - L.counted(t, "}")
     w = L.ordered(key)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumns({"t": t, "depth": F.sum(opened).over(upto)})
+    d = lines.withColumns({"t": t, "depth": F.sum(L.counted(t, "{") - L.counted(t, "}")).over(upto)})
     d = d.withColumn("before", F.coalesce(F.lag("depth").over(w), F.lit(0)))
-    start = F.col("t").rlike(r"(?i)^if\s*\(\s*(?:false|0)\s*\)\s*\{")
-    d = d.withColumn("mark", F.when(start, F.struct(F.col("line_no").alias("at"), F.col("before").alias("d"), F.lit("constant").alias("why"))).when(F.col("t").rlike(r"(?i)^(?:return|die|exit)\b[^;]*;\s*$"), F.struct(F.col("line_no").alias("at"), (F.col("depth") - 1).alias("d"), F.lit("after_exit").alias("why"))))
-    last = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("m", last)
-    # a mark ends with the first line since it at whose end no more than its depth is open
-    d = d.withColumn("least", F.min(F.struct(F.col("depth"))).over(Window.partitionBy(key, "m.at").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    return d.where(F.col("m").isNotNull() & (F.col("least.depth") > F.col("m.d")) & (F.col("t") != "")).select(key, "line_no", F.col("m.why").alias("reason"))
+    closed = F.length(F.regexp_replace(F.regexp_extract("t", r"^[}\s]*", 0), r"\s", ""))
+    d = d.withColumn("low", F.least("depth", F.col("before") - closed))
+    constant = F.col("t").rlike(r"(?i)^if\s*\(\s*(?:false|0)\s*\)\s*\{") & (F.col("depth") > F.col("before"))
+    exits = F.col("t").rlike(r"(?i)^(?:return|die|exit)\b[^;]*;\s*$")
+    level = F.when(constant, F.col("before")).when(exits, F.col("depth") - 1)
+    # the lines at which a level ends: those that fall to it or below; at most one row for each brace that they close
+    ends = d.where("low < before").select(key, "line_no", F.explode(F.sequence(F.col("low"), F.col("before") - 1)).alias("level"), F.lit(True).alias("ends"), F.lit(None).cast("string").alias("reason"))
+    marks = d.where(level.isNotNull()).select(key, "line_no", level.alias("level"), F.lit(False).alias("ends"), F.when(constant, "constant").otherwise("after_exit").alias("reason"))
+    back = Window.partitionBy(key, "level").orderBy(F.desc("line_no"), "ends").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ends.unionByName(marks).withColumn("end", F.last(F.when(F.col("ends"), F.col("line_no")), ignorenulls=True).over(back)).where("NOT ends")
+    # of marks so far, the one that ends last; one that doesn't end covers all that follows
+    far = F.coalesce(F.col("end"), F.lit(2**31 - 1))
+    m = d.join(spans.select(key, "line_no", F.struct(far.alias("end"), (-F.col("line_no")).alias("first"), "reason").alias("m")).groupBy(key, "line_no").agg(F.max("m").alias("m")), [key, "line_no"], "left")
+    m = m.withColumn("cover", F.max("m").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return m.where((F.col("line_no") < F.col("cover.end")) & (F.col("t") != "")).select(key, "line_no", F.col("cover.reason").alias("reason"))
 
 
 def whitelisted(lines: DataFrame, key: str = "file_id") -> DataFrame:

@@ -1,70 +1,119 @@
-"""Graphs of calls and includes: closure, shortest paths, components, points-to sets, invalidation."""
+"""Graphs of calls and includes: closure, shortest paths, components, points-to sets, invalidation.
 
-from __future__ import annotations
+Fixed points end when a round finds nothing new, whatever number of rounds that takes; sets are finite, so it comes.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
+from ..sources.tables import dropped, written
 
-def _dir(spark: SparkSession) -> str:
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="spindrift-"))
-    return _LOCAL[0]
+#: Tables that a union of rounds holds before it is written as one.
+ROUNDS = 8
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again, so that a loop's plan doesn't grow and lost executors cost nothing."""
-    path = f"{_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "round")
+
+
+class _Known:
+    """What a loop has found so far: a union of the rounds' tables, written as one when they are many."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
 
+    @property
+    def rows(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
 
-def reach(edges: DataFrame, most: int = 100) -> DataFrame:
+    def add(self, fresh: DataFrame) -> None:
+        self.parts.append(fresh)
+        if len(self.parts) > ROUNDS:
+            old, self.parts = self.parts, [cut(self.rows)]
+            dropped(*old[:-1])  # the last one is this round's, which the next one reads
+
+
+def reach(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): every node that each node reaches, by the least number of edges, itself left out unless by a cycle.
 
-    Semi-naive: a round joins only what the last one has found; it ends when that is nothing.
+    By doubling: once all pairs of up to n edges are known, those of exactly n are joined with all of them, which finds
+    the ones of up to 2n. So a path of any length takes as many rounds as its length has binary digits. The result has a
+    row for each pair, which is what is asked for; `strong_components` and `stale` do without it.
     """
-    e = edges.select("src", "dst").distinct()
-    step = e.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    known = cut(e.withColumn("depth", F.lit(1)))
-    fresh, depth = known, 1
-    while depth < most and not fresh.isEmpty():
-        depth += 1
-        found = fresh.join(step, fresh["dst"] == step["mid"]).select("src", F.col("next").alias("dst")).distinct()
-        fresh = cut(found.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        known = known.unionByName(fresh)
-    return known
+    known = _Known(cut(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))))
+    n = 1
+    while True:
+        far = known.rows.where(F.col("depth") == n).select("src", F.col("dst").alias("mid"))
+        on = known.rows.select(F.col("src").alias("mid"), "dst", (F.col("depth") + n).alias("depth"))
+        found = far.join(on, "mid").groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        fresh = cut(found.join(known.rows, ["src", "dst"], "left_anti").select("src", "dst", "depth"))
+        if fresh.isEmpty():
+            return known.rows
+        known.add(fresh)
+        n *= 2
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
-    """(src, dst, depth, path) from each of starts (src): of the shortest paths, the one that is least as an array."""
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(src, dst, depth, path) from each of starts (src): of the shortest paths, the one that is least as an array. A round for each edge of the longest."""
     e = edges.select(F.col("src").alias("mid"), F.col("dst").alias("next")).distinct()
-    known = cut(starts.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("depth"), F.array("src").alias("path")))
-    fresh, depth = known, 0
-    while depth < most and not fresh.isEmpty():
+    fresh = cut(starts.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("depth"), F.array("src").alias("path")))
+    known, depth = _Known(fresh), 0
+    while not fresh.isEmpty():
         depth += 1
         found = fresh.join(e, fresh["dst"] == e["mid"]).groupBy("src", F.col("next").alias("dst")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        fresh = cut(found.join(known, ["src", "dst"], "left_anti").select("src", "dst", F.lit(depth).alias("depth"), "path"))
-        known = known.unionByName(fresh)
-    return known
+        fresh = cut(found.join(known.rows, ["src", "dst"], "left_anti").select("src", "dst", F.lit(depth).alias("depth"), "path"))
+        known.add(fresh)
+    return known.rows
+
+
+def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, least): the least node that reaches each node, itself included.
+
+    A round hands labels on over edges and then jumps: whatever reaches a node's label reaches the node. So labels travel
+    twice as far in each round where they can.
+    """
+    now = cut(nodes.select("node", F.col("node").alias("least")))
+    while True:
+        handed = edges.join(now, edges["src"] == now["node"]).select(F.col("dst").alias("node"), "least", F.lit(None).cast(now.schema["least"].dataType).alias("own"))
+        better = handed.unionByName(now.withColumn("own", F.col("least"))).groupBy("node").agg(F.min("least").alias("least"), F.max("own").alias("own"))
+        jump = now.select(F.col("node").alias("least"), F.col("least").alias("over"))
+        new = cut(better.join(jump, "least", "left").select("node", F.least("least", "over").alias("least"), "own"))
+        dropped(now)
+        now = new.select("node", "least")
+        if new.where("least <> own").isEmpty():
+            return now
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, scc): scc is the least node that a node reaches and is reached by."""
-    r = reach(edges).select("src", "dst")
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = r.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    return nodes.join(both, "node", "left").select("node", F.least("node", "m").alias("scc"))
+    """(node, scc): scc is the least node of the component: those that reach each other.
+
+    A round finds for each node the least one that reaches it and the least one that it reaches. Where they are the same,
+    that is its component. Others can share a component only if both agree, so all other edges are dropped, and the rest
+    goes to the next round. No closure is made: rows never outnumber nodes and edges.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    nodes = cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    done = None
+    while True:
+        own = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+        alone = nodes.join(own, "node", "left_anti").select("node", F.col("node").alias("scc"))  # no edge is left
+        if e.isEmpty():
+            return alone if done is None else done.unionByName(alone)
+        own = cut(own)
+        before = _least_before(e, own)
+        after = _least_before(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), own).withColumnRenamed("least", "after")
+        both = cut(before.join(after, "node"))
+        found = cut(both.where("least = after").select("node", F.col("least").alias("scc")).unionByName(alone))
+        done = found if done is None else cut(done.unionByName(found))
+        nodes = cut(both.where("least <> after").select("node"))
+        side = lambda c, n: both.where("least <> after").select(F.col("node").alias(c), F.struct("least", "after").alias(n))  # noqa: E731, B023
+        e = cut(e.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("a = b").select("src", "dst"))
 
 
 def visible(edges: DataFrame) -> DataFrame:
@@ -73,17 +122,33 @@ def visible(edges: DataFrame) -> DataFrame:
     return r.select(F.col("src").alias("file"), F.col("dst").alias("other")).unionByName(r.select(F.col("dst").alias("file"), F.col("src").alias("other"))).distinct()
 
 
-def points_to(allocs: DataFrame, moves: DataFrame, most: int = 100) -> DataFrame:
-    """(var, loc) of inclusion constraints: allocs (var, loc), and moves (lhs, rhs) that hand all locations on. Andersen's least solution."""
-    known = cut(allocs.select("var", "loc").distinct())
-    fresh, step = known, moves.select("lhs", "rhs").distinct()
-    for _ in range(most):
-        if fresh.isEmpty():
-            break
-        found = fresh.join(step, fresh["var"] == step["rhs"]).select(F.col("lhs").alias("var"), "loc").distinct()
-        fresh = cut(found.join(known, ["var", "loc"], "left_anti"))
-        known = known.unionByName(fresh)
-    return known
+def points_to(allocs: DataFrame, moves: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None) -> DataFrame:
+    """(var, loc) of inclusion constraints, Andersen's least solution, for variables and for fields of locations ("loc.field").
+
+    allocs (var, loc): var is loc. moves (lhs, rhs): lhs = rhs. stores (base, field, rhs): base.field = rhs. loads (lhs,
+    base, field): lhs = base.field. A store or load is a move to or from the field of each location that its base points
+    to, so new facts bring new moves. Semi-naive: new facts meet all moves, and new moves meet all facts.
+    """
+    cell = F.concat(F.col("loc").cast("string"), F.lit("."), F.col("field").cast("string"))
+    kind = "string" if stores is not None or loads is not None else allocs.schema["var"].dataType
+    fresh = cut(allocs.select(F.col("var").cast(kind).alias("var"), "loc").distinct())
+    known = _Known(fresh)
+    moved = _Known(cut(moves.select(F.col("lhs").cast(kind).alias("lhs"), F.col("rhs").cast(kind).alias("rhs")).distinct()))
+    while not fresh.isEmpty():
+        found = fresh.join(moved.rows, F.col("var") == F.col("rhs")).select(F.col("lhs").alias("var"), "loc")
+        new = []
+        if stores is not None:
+            new.append(stores.join(fresh, stores["base"] == fresh["var"]).select(cell.alias("lhs"), F.col("rhs").cast(kind).alias("rhs")))
+        if loads is not None:
+            new.append(loads.join(fresh, loads["base"] == fresh["var"]).select(F.col("lhs").cast(kind).alias("lhs"), cell.alias("rhs")))
+        if new:
+            steps = cut((new[0] if len(new) == 1 else new[0].unionByName(new[1])).distinct().join(moved.rows, ["lhs", "rhs"], "left_anti"))
+            found = found.unionByName(steps.join(known.rows, F.col("var") == F.col("rhs")).select(F.col("lhs").alias("var"), "loc"))
+        fresh = cut(found.distinct().join(known.rows, ["var", "loc"], "left_anti"))
+        if new:
+            moved.add(steps)
+        known.add(fresh)
+    return known.rows
 
 
 def may_alias(pts: DataFrame) -> DataFrame:
@@ -99,13 +164,13 @@ def stale(now: DataFrame, cached: DataFrame, includes: DataFrame) -> DataFrame:
     """
     changed = now.join(cached, (now["path"] == cached["path"]) & (now["sha256"] == cached["sha256"]), "left_anti").select("path")
     gone = cached.join(now, "path", "left_anti").select("path")
-    start = changed.unionByName(gone).distinct()
-    fresh = known = cut(start)
+    fresh = cut(changed.unionByName(gone).distinct())
+    known = _Known(fresh)
     while not fresh.isEmpty():
         found = fresh.join(includes, fresh["path"] == includes["dst"]).select(F.col("src").alias("path")).distinct()
-        fresh = cut(found.join(known, "path", "left_anti"))
-        known = known.unionByName(fresh)
-    return known.join(now, "path", "left_semi")
+        fresh = cut(found.join(known.rows, "path", "left_anti"))
+        known.add(fresh)
+    return known.rows.join(now, "path", "left_semi")
 
 
 def call_graph(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -113,19 +178,18 @@ def call_graph(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return calls.join(functions.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
 
 
-def params_to_sinks(direct: DataFrame, passes: DataFrame, most: int = 50) -> DataFrame:
-    """(func, idx, vuln_type): parameters that reach a sink, in their function or through calls.
+def params_to_sinks(direct: DataFrame, passes: DataFrame) -> DataFrame:
+    """(func, idx, vuln_type): parameters that reach a sink, in their function or through any number of calls.
 
     direct: the same columns, within a function; passes: (func, idx, callee, callee_idx), a parameter handed on as an
     argument. The bottom-up order over components of the call graph isn't needed: rounds end when nothing is new.
     """
-    known = fresh = cut(direct.select("func", "idx", "vuln_type").distinct())
+    fresh = cut(direct.select("func", "idx", "vuln_type").distinct())
+    known = _Known(fresh)
     p = passes.select(F.col("func").alias("caller"), F.col("idx").alias("caller_idx"), "callee", "callee_idx").distinct()
-    for _ in range(most):
-        if fresh.isEmpty():
-            break
+    while not fresh.isEmpty():
         hit = (fresh["func"] == p["callee"]) & (fresh["idx"] == p["callee_idx"])
         found = p.join(fresh, hit).select(F.col("caller").alias("func"), F.col("caller_idx").alias("idx"), "vuln_type").distinct()
-        fresh = cut(found.join(known, ["func", "idx", "vuln_type"], "left_anti"))
-        known = known.unionByName(fresh)
-    return known
+        fresh = cut(found.join(known.rows, ["func", "idx", "vuln_type"], "left_anti"))
+        known.add(fresh)
+    return known.rows

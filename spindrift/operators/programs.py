@@ -1,11 +1,14 @@
 """The PHP front end on files: (file_id, code) to rows of syntax, control flow, SSA, taint findings and types.
 
-Each file is an interpreter's run of its own, in Arrow batches; nothing but its rows leaves the worker. A file that the
-parser fails on gives no rows but one in `failed`.
+Each file is an interpreter's run of its own, in Arrow batches; nothing but its rows leaves the worker. Parser and
+interpreter recurse, so they run in a thread whose stack holds DEPTH calls. A file that they fail on all the same gives
+no rows, and one in `failed`.
 """
 
 from __future__ import annotations
 
+import sys
+import threading
 from collections import Counter
 from collections.abc import Callable
 
@@ -17,6 +20,35 @@ from ..php import flow, interpret, syntax
 from ..sources import catalog
 
 
+#: Calls that may be open at a time, and bytes of stack for them.
+DEPTH, STACK = 400_000, 1 << 30
+
+
+def _deep(f: Callable, *args):
+    """f(*args) in a thread with a large stack; its memory is taken up only as far as it is used."""
+    out, old_limit, old_size = [], sys.getrecursionlimit(), threading.stack_size(STACK)
+    sys.setrecursionlimit(DEPTH)
+    try:
+        t = threading.Thread(target=lambda: out.append(f(*args)))
+        t.start()
+        t.join()
+    finally:
+        threading.stack_size(old_size)
+        sys.setrecursionlimit(old_limit)
+    return out[0]
+
+
+def _made(codes: list[str | None], make: Callable[[syntax.Node], list[tuple]]) -> list[list[tuple] | Exception]:
+    """What is made of each code, or what it fails with."""
+    out = []
+    for code in codes:
+        try:
+            out.append(make(syntax.parse(code or "")))
+        except Exception as e:  # whatever a file makes the front end raise, the others are analysed; see `failed`
+            out.append(e)
+    return out
+
+
 def _each(files: DataFrame, columns: str, make: Callable[[syntax.Node], list[tuple]], key: str) -> DataFrame:
     src = files.select(F.col(key), F.col("code"))
     kind = src.schema[0].dataType.simpleString()
@@ -27,13 +59,10 @@ def _each(files: DataFrame, columns: str, make: Callable[[syntax.Node], list[tup
     def run(batches):
         for b in batches:
             at, rows = [], []
-            for i, code in enumerate(b.column(1).to_pylist()):
-                try:
-                    made = make(syntax.parse(code))
-                except RecursionError:
-                    made = []
-                at += [i] * len(made)
-                rows += made
+            for i, made in enumerate(_deep(_made, b.column(1).to_pylist(), make)):
+                if not isinstance(made, Exception):
+                    at += [i] * len(made)
+                    rows += made
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
@@ -54,6 +83,27 @@ def nodes(files: DataFrame, key: str = "file_id") -> DataFrame:
     return _each(files, "node_id int, parent_id int, kind string, value string, line int", make, key)
 
 
+def failed(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -> DataFrame:
+    """(key, error) of files that the front end fails on: those that have no rows in the other tables of this module."""
+    rules = interpret.Rules.load(rules_dir)
+    src = files.select(F.col(key), F.col("code"))
+
+    def every(tree):
+        for _, _, body, _ in flow.functions(tree):
+            flow.Graph(body.children).phis()
+            interpret.types(body)
+        interpret.findings(tree, rules)
+        return []
+
+    def run(batches):
+        for b in batches:
+            said = [f"{type(x).__name__}: {x}" if isinstance(x, Exception) else None for x in _deep(_made, b.column(1).to_pylist(), every)]
+            at = [i for i, x in enumerate(said) if x is not None]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([said[i] for i in at], pa.string())], [key, "error"])
+
+    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, error string")
+
+
 def function_rows(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(name, idx, param, line): a row for each parameter, and one with idx -1 for each function."""
     return _each(files, "name string, idx int, param string, line int", lambda t: [(n, i, p, line) for n, params, _, line in flow.functions(t) for i, p in [(-1, ""), *enumerate(params)]], key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import severity_rank
+from ..sources.tables import written
 
 
 def best(findings: DataFrame, keys: list[str], value: str = "confidence") -> DataFrame:
@@ -33,13 +34,19 @@ def top_per_type(findings: DataFrame, n: int = 3, group: tuple[str, ...] = ("fil
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """With pos: by severity, then confidence. A global order, which Spark makes by range partitioning; pos comes from ranks within severities and their counts."""
+    """With pos: by severity, then confidence, then seq.
+
+    Rows are range-partitioned by the whole order and sorted within partitions, and written, so that partitions stay; a
+    row's place is its place in its partition and the sizes of those before. So one severity may fill many partitions.
+    """
     r = findings.withColumn("severity_rank", severity_rank(F.col("severity")))
-    counts = r.groupBy("severity_rank").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.desc("severity_rank")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # as many rows as there are severities
-    w = Window.partitionBy("severity_rank").orderBy(F.desc("confidence"), "seq")
-    return r.withColumn("rn", F.row_number().over(w)).join(F.broadcast(offsets), "severity_rank").withColumn("pos", F.col("rn") + F.col("before")).drop("rn", "n", "before")
+    order = [F.desc("severity_rank"), F.desc("confidence"), F.asc("seq")]
+    r = r.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    r = written(r, "ranked").withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = r.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return r.join(sizes, "_part").withColumn("pos", F.col("_row") + F.col("_before") + 1).drop("_at", "_part", "_row", "_before")
 
 
 def first_per_severity(findings: DataFrame, n: int = 10) -> DataFrame:

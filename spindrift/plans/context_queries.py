@@ -82,7 +82,13 @@ def g36_orm_use(spark, sf_dir):
     return context.orm_use(mixed(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH {LINES}, {MIXED}, o AS (SELECT file_id, line_no, trim(text) AS t, length(replace(text, '}}}}', '')) - length(replace(text, '{{{{', '')) AS o FROM mixed),
+    d AS (SELECT *, CAST(sum(o) OVER (PARTITION BY file_id ORDER BY line_no) AS BIGINT) AS depth FROM o), b AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY file_id ORDER BY line_no), 0) AS before FROM d),
+    k AS (SELECT *, least(depth, before - length(replace(regexp_extract(t, '^[}}}} ]*'), ' ', ''))) AS low FROM b),
+    m AS (SELECT file_id, line_no, CASE WHEN t = 'if (false) {{{{' THEN before ELSE depth - 1 END AS level, CASE WHEN t = 'if (false) {{{{' THEN 'constant' ELSE 'after_exit' END AS reason FROM k WHERE t IN ('if (false) {{{{', 'return 1;')),
+    s AS (SELECT *, coalesce((SELECT min(e.line_no) FROM k e WHERE e.file_id = m.file_id AND e.line_no > m.line_no AND e.low <= m.level), 2147483647) AS end_ FROM m)
+    SELECT k.file_id, k.line_no, c.reason FROM k, LATERAL (SELECT max(struct_pack(e := s.end_, l := -s.line_no, r := s.reason)) AS c FROM s WHERE s.file_id = k.file_id AND s.line_no < k.line_no) x, LATERAL (SELECT x.c.e AS e, x.c.r AS reason) c
+    WHERE k.line_no < c.e AND k.t <> ''""".replace("{{", "{").replace("}}", "}"))
 def g34_dead_lines(spark, sf_dir):
     return context.dead_lines(mixed(spark, sf_dir))
 
@@ -106,14 +112,15 @@ def f9_auth_context(spark, sf_dir):
     return mixed(spark, sf_dir).select("file_id", "line_no", L.seen(F.col("text").rlike(context.AUTH), "auth").alias("in_auth"))
 
 
-_ROLES = "roles AS (SELECT DISTINCT user_id AS file_id, CASE event_id % 6 WHEN 0 THEN 'ajax' WHEN 1 THEN 'admin' WHEN 2 THEN 'file_ops' WHEN 3 THEN 'auth' ELSE 'db' END AS role FROM events WHERE event_id % 29 < 4)"
+_ROLES = "roles AS (SELECT DISTINCT event_id // 3 AS file_id, CASE event_id * 7 % 11 % 6 WHEN 0 THEN 'ajax' WHEN 1 THEN 'admin' WHEN 2 THEN 'file_ops' WHEN 3 THEN 'auth' ELSE 'db' END AS role FROM events)"
 
 
 @query(f"WITH {_ROLES} SELECT DISTINCT file_id FROM roles WHERE role = 'ajax' UNION SELECT file_id FROM roles WHERE role IN ('admin', 'file_ops') AND file_id NOT IN (SELECT file_id FROM roles WHERE role = 'auth')")
 def j20_auth_gaps(spark, sf_dir):
     i = F.col("event_id")
-    role = F.when(i % 6 == 0, "ajax").when(i % 6 == 1, "admin").when(i % 6 == 2, "file_ops").when(i % 6 == 3, "auth").otherwise("db")
-    return context.auth_gaps(read(spark, sf_dir, "events").where(i % 29 < 4).select(F.col("user_id").alias("file_id"), role.alias("role")).distinct())
+    k = i * 7 % 11 % 6
+    role = F.when(k == 0, "ajax").when(k == 1, "admin").when(k == 2, "file_ops").when(k == 3, "auth").otherwise("db")
+    return context.auth_gaps(read(spark, sf_dir, "events").select(F.floor(i / 3).alias("file_id"), role.alias("role")).distinct())
 
 
 @query("""WITH p(path, field, rule, safe_for) AS (VALUES ('a', 'id', 'integer', 'COMMAND_INJECTION,SQL_INJECTION,XSS'), ('a', 'mail', 'email', 'SQL_INJECTION'), ('a', 'kind', 'in', 'FILE_INCLUSION,SQL_INJECTION,XSS')) SELECT * FROM p""")
@@ -154,14 +161,14 @@ def f23_x3_filter_registry(spark, sf_dir):
     return m.select("seq")
 
 
-@query("SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 2 = 0 END AS is_real FROM events WHERE event_id < 200")
+@query("SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 2 = 0 END AS is_real FROM events")
 def x6_outside_verifier(spark, sf_dir):
     def verify(rows):
         if rows[0]["seq"] % 5 == 0:
             raise TimeoutError
         return [r["seq"] % 2 == 0 for r in rows]
 
-    e = read(spark, sf_dir, "events").where("event_id < 200").select(F.col("event_id").alias("seq"))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
     return filters.verified(e, verify, batch=1)
 
 

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, lattice
+from ..operators import context, graphs, lattice
 from ..registry import query
 from ..sources.corpus import read
 
-#: An include graph of some hundred nodes, with cycles and unreachable parts.
-EDGES = "e AS (SELECT DISTINCT o_orderkey % 131 AS src, (o_orderkey * 7 + o_custkey % 2) % 131 AS dst FROM orders WHERE o_orderkey % 131 < 90 AND o_custkey % 10 < 3)"
+#: An include graph with a file for each order: files of a project of twelve include one or two others each, in cycles and
+#: in trees. It grows with the table, and nodes carry what their order has.
+EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT o_orderkey AS src, o_orderkey - o_orderkey % 12 + (o_orderkey * 7 + o_custkey) % 12 AS dst FROM orders
+    UNION ALL SELECT o_orderkey, o_orderkey - o_orderkey % 12 + (o_orderkey * 5 + o_custkey % 7) % 12 FROM orders))"""
+NODES = "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
+
+
+def _orders(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
 def edges(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    o = read(spark, sf_dir, "orders").where((k % 131 < 90) & (c % 10 < 3))
-    return o.select((k % 131).alias("src"), ((k * 7 + c % 2) % 131).alias("dst")).distinct()
+    base = k - k % 12
+    to = F.array(base + (k * 7 + c) % 12, base + (k * 5 + c % 7) % 12)
+    return _orders(spark, sf_dir).select(k.alias("src"), F.explode(to).alias("dst")).distinct()
 
 
 _REACH = f"{EDGES}, reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)"
@@ -31,13 +39,14 @@ def g23_visible_files(spark, sf_dir):
     return graphs.visible(edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT src, src AS dst, 0 AS depth, [src] AS path FROM (SELECT DISTINCT src FROM e WHERE src % 30 = 1)
-    UNION ALL SELECT p.src, e.dst, p.depth + 1, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.dst WHERE p.depth < 7 AND NOT list_contains(p.path, e.dst)),
+@query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT src, src AS dst, 0 AS depth, [src] AS path FROM (SELECT DISTINCT src FROM e WHERE src NOT IN (SELECT dst FROM e))
+    UNION ALL SELECT p.src, e.dst, p.depth + 1, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.dst WHERE NOT list_contains(p.path, e.dst)),
     d AS (SELECT src, dst, min(depth) AS depth FROM p GROUP BY 1, 2)
     SELECT p.src, p.dst, CAST(p.depth AS INTEGER) AS depth, array_to_string(min(p.path), '>') AS path FROM p JOIN d ON d.src = p.src AND d.dst = p.dst AND d.depth = p.depth GROUP BY 1, 2, 3""")
 def g24_shortest_paths(spark, sf_dir):
+    """From files that none includes to all that they reach."""
     e = edges(spark, sf_dir)
-    got = graphs.shortest_paths(e, e.where("src % 30 = 1"), most=7)
+    got = graphs.shortest_paths(e, e.join(e.select(F.col("dst").alias("src")), "src", "left_anti"))
     return got.select("src", "dst", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -58,58 +67,62 @@ def a15_call_graph_stats(spark, sf_dir):
     return sums.crossJoin(callers)  # one row each
 
 
-@query(f"""WITH RECURSIVE {EDGES}, a AS (SELECT DISTINCT src AS var, 'o' || (src % 9) AS loc FROM e WHERE src % 11 = 0), pts AS (SELECT var, loc FROM a UNION SELECT e.dst, p.loc FROM pts p JOIN e ON e.src = p.var) SELECT var, loc FROM pts""")
+@query(f"""WITH RECURSIVE {EDGES}, a AS (SELECT DISTINCT src AS var, 'o' || (src // 12 * 3 + src % 3) AS loc FROM e), m AS (SELECT DISTINCT src, dst FROM e), pts AS (SELECT var, loc FROM a UNION SELECT m.dst, p.loc FROM pts p JOIN m ON m.src = p.var) SELECT var, loc FROM pts""")
 def g30_points_to(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    allocs = e.where("src % 11 = 0").select(F.col("src").alias("var"), F.concat(F.lit("o"), (F.col("src") % 9).cast("string")).alias("loc")).distinct()
+    e, s = edges(spark, sf_dir), F.col("src")
+    allocs = e.select(s.alias("var"), F.concat(F.lit("o"), (F.floor(s / 12) * 3 + s % 3).cast("string")).alias("loc")).distinct()
     return graphs.points_to(allocs, e.select(F.col("dst").alias("lhs"), F.col("src").alias("rhs")))
 
 
-@query(f"""WITH {EDGES}, p AS (SELECT DISTINCT src AS var, 'o' || (dst % 40) AS loc FROM e) SELECT DISTINCT x.var AS a, y.var AS b FROM p x JOIN p y ON x.loc = y.loc AND x.var < y.var""")
+@query(f"""WITH {EDGES}, p AS (SELECT DISTINCT src AS var, 'o' || dst AS loc FROM e) SELECT DISTINCT x.var AS a, y.var AS b FROM p x JOIN p y ON x.loc = y.loc AND x.var < y.var""")
 def j17_may_alias(spark, sf_dir):
-    p = edges(spark, sf_dir).select(F.col("src").alias("var"), F.concat(F.lit("o"), (F.col("dst") % 40).cast("string")).alias("loc")).distinct()
+    p = edges(spark, sf_dir).select(F.col("src").alias("var"), F.concat(F.lit("o"), F.col("dst").cast("string")).alias("loc")).distinct()
     return graphs.may_alias(p)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, now AS (SELECT DISTINCT 'f' || src AS path, src % 17 = 3 AS changed FROM e), bad AS (SELECT path FROM now WHERE changed UNION SELECT 'f' || e.src FROM bad b JOIN e ON 'f' || e.dst = b.path)
-    SELECT path FROM bad WHERE path IN (SELECT path FROM now)""")
+@query(f"""WITH RECURSIVE {EDGES}, bad AS (SELECT o_orderkey AS node FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' UNION SELECT e.src FROM bad b JOIN e ON e.dst = b.node) SELECT 'f' || node AS path FROM bad""")
 def g38_stale_files(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    """A file for each order; the content of urgent ones that are done has changed."""
     name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
-    files = e.select("src").distinct()
-    now = files.select(name("src").alias("path"), F.sha2(F.col("src").cast("string"), 256).alias("sha256"))
-    old = files.select(name("src").alias("path"), F.sha2(F.when(F.col("src") % 17 == 3, F.lit("old")).otherwise(F.col("src").cast("string")), 256).alias("sha256"))
-    return graphs.stale(now, old, e.select(name("src").alias("src"), name("dst").alias("dst")))
+    o = _orders(spark, sf_dir)
+    changed = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    now = o.select(name("o_orderkey").alias("path"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    old = o.select(name("o_orderkey").alias("path"), F.sha2(F.when(changed, F.lit("old")).otherwise(F.col("o_orderkey").cast("string")), 256).alias("sha256"))
+    return graphs.stale(now, old, edges(spark, sf_dir).select(name("src").alias("src"), name("dst").alias("dst")))
 
 
-@query(f"WITH {EDGES}, f AS (SELECT DISTINCT 'g' || src AS name FROM e WHERE src % 3 > 0) SELECT DISTINCT 'g' || src AS src, 'g' || dst AS dst FROM e WHERE 'g' || dst IN (SELECT name FROM f)")
+@query(f"WITH {EDGES} SELECT DISTINCT 'g' || src AS src, 'g' || dst AS dst FROM e WHERE dst IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def g19_j15_call_graph(spark, sf_dir):
+    """Calls of functions that are known: those of orders that aren't pending."""
     e = edges(spark, sf_dir)
     name = lambda c: F.concat(F.lit("g"), F.col(c).cast("string"))
-    return graphs.call_graph(e.select(name("src").alias("caller"), name("dst").alias("callee")), e.where("src % 3 > 0").select(name("src").alias("name")))
+    known = _orders(spark, sf_dir).where("o_orderstatus <> 'P'").select(name("o_orderkey").alias("name"))
+    return graphs.call_graph(e.select(name("src").alias("caller"), name("dst").alias("callee")), known)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, d AS (SELECT DISTINCT src AS func, CAST(src % 2 AS INTEGER) AS idx, CASE WHEN src % 3 = 0 THEN 'XSS' ELSE 'SQL_INJECTION' END AS vuln_type FROM e WHERE src % 13 = 5),
+@query(f"""WITH RECURSIVE {EDGES}, d AS (SELECT o_orderkey AS func, CAST(o_orderkey % 2 AS INTEGER) AS idx, CASE o_orderstatus WHEN 'F' THEN 'XSS' ELSE 'SQL_INJECTION' END AS vuln_type FROM orders WHERE o_orderpriority = '5-LOW'),
     p AS (SELECT src AS func, CAST((src + dst) % 2 AS INTEGER) AS idx, dst AS callee, CAST(dst % 2 AS INTEGER) AS callee_idx FROM e),
     k AS (SELECT func, idx, vuln_type FROM d UNION SELECT p.func, p.idx, k.vuln_type FROM k JOIN p ON p.callee = k.func AND p.callee_idx = k.idx) SELECT func, idx, vuln_type FROM k""")
 def g20_params_to_sinks(spark, sf_dir):
+    """Functions of orders of low priority hold a sink."""
     e, s, d = edges(spark, sf_dir), F.col("src"), F.col("dst")
-    direct = e.where("src % 13 = 5").select(s.alias("func"), (s % 2).cast("int").alias("idx"), F.when(s % 3 == 0, "XSS").otherwise("SQL_INJECTION").alias("vuln_type"))
+    o = _orders(spark, sf_dir).where("o_orderpriority = '5-LOW'")
+    direct = o.select(F.col("o_orderkey").alias("func"), (F.col("o_orderkey") % 2).cast("int").alias("idx"), F.when(F.col("o_orderstatus") == "F", "XSS").otherwise("SQL_INJECTION").alias("vuln_type"))
     passes = e.select(s.alias("func"), ((s + d) % 2).cast("int").alias("idx"), d.alias("callee"), (d % 2).cast("int").alias("callee_idx"))
     return graphs.params_to_sinks(direct, passes)
 
 
-@query(f"""WITH RECURSIVE {_REACH}, gl AS (SELECT DISTINCT src AS file, 'g' || (src % 7) AS name, src % 2 = 0 AS direct FROM e WHERE src % 4 = 1), s AS (SELECT DISTINCT dst AS file, 'g' || (dst % 7) AS name FROM e WHERE dst % 5 = 2)
+@query(f"""WITH RECURSIVE {_REACH}, gl AS (SELECT o_orderkey AS file, 'g' || (o_custkey % 7) AS name, o_orderpriority < '3' AS direct FROM orders WHERE o_orderstatus = 'F'),
+    s AS (SELECT o_orderkey AS file, 'g' || (o_custkey % 5) AS name FROM orders WHERE o_orderstatus = 'O'), both_ AS (SELECT src AS a, dst AS b FROM reach UNION SELECT dst, src FROM reach)
     SELECT g.file AS source_file, s.file AS sink_file, g.name, round(greatest(1e-1, least(1e0, 7e-1 + CASE WHEN g.direct THEN 15e-2 ELSE 1e-1 END + 5e-2)), 2) AS confidence
-    FROM gl g JOIN s ON s.name = g.name AND s.file <> g.file WHERE (g.file, s.file) IN (SELECT (src, dst) FROM reach UNION ALL SELECT (dst, src) FROM reach)""")
+    FROM gl g JOIN both_ v ON v.a = g.file JOIN s ON s.file = v.b AND s.name = g.name AND s.file <> g.file""")
 def g26_cross_file_flows(spark, sf_dir):
-    e = graphs.cut(edges(spark, sf_dir))
-    name = lambda c: F.concat(F.lit("g"), (F.col(c) % 7).cast("string"))
-    g = e.where("src % 4 = 1").select(F.col("src").alias("file"), name("src").alias("name"), (F.col("src") % 2 == 0).alias("direct")).distinct()
-    s = e.where("dst % 5 = 2").select(F.col("dst").alias("other"), name("dst").alias("sink_name")).distinct()
-    got = graphs.visible(e).join(g, "file").join(s, "other").where("name = sink_name")
-    c = F.lit(0.7) + F.when(F.col("direct"), F.lit(0.15)).otherwise(F.lit(0.1)) + F.lit(0.05)
-    return got.select(F.col("file").alias("source_file"), F.col("other").alias("sink_file"), "name", F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), c)), 2).alias("confidence"))
+    o, k, c = _orders(spark, sf_dir), F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda n: F.concat(F.lit("g"), (c % n).cast("string"))
+    g = o.where("o_orderstatus = 'F'").select(k.alias("file"), name(7).alias("name"), (F.col("o_orderpriority") < "3").alias("direct"))
+    s = o.where("o_orderstatus = 'O'").select(k.alias("file"), name(5).alias("name"))
+    got = context.cross_file_flows(edges(spark, sf_dir), g, s)
+    return got.select("source_file", "sink_file", "name", F.round("confidence", 2).alias("confidence"))
 
 
 @query("WITH l(v) AS (VALUES (0), (1), (2), (3), (4)) SELECT a.v AS a, b.v AS b, greatest(a.v, b.v) AS join_, least(a.v, b.v) AS meet_, CASE WHEN b.v > a.v THEN 4 ELSE a.v END AS widen_ FROM l a CROSS JOIN l b")
@@ -153,15 +166,15 @@ def f18_u6_types(spark, sf_dir):
     return _sets(spark, sf_dir).select("seq", lattice.type_safe(F.col("kinds"), F.col("vt")).alias("safe"), F.array_join(lattice.complement(F.col("kinds")), ",").alias("others"))
 
 
-@query("""WITH e AS (SELECT event_id, 'v' || (event_id % 400) AS var, CAST(event_id % 5 AS INTEGER) AS level, CASE WHEN event_id % 2 = 0 THEN ['A', 'B'] ELSE ['B'] END AS types, CASE WHEN event_id % 3 = 0 THEN ['B'] ELSE ['A', 'B'] END AS sanitized FROM events WHERE event_id < 600),
-    x AS (SELECT * FROM e WHERE event_id < 300), y AS (SELECT * FROM e WHERE event_id >= 300)
+@query("""WITH e AS (SELECT event_id, 'v' || (event_id * 2 // 3) AS var, event_id % 3 = 2 OR event_id % 3 = 1 AND event_id % 2 = 0 AS later, CAST(event_id % 5 AS INTEGER) AS level, CASE WHEN event_id % 2 = 0 THEN ['A', 'B'] ELSE ['B'] END AS types, CASE WHEN event_id % 3 = 0 THEN ['B'] ELSE ['A', 'B'] END AS sanitized FROM events),
+    x AS (SELECT * FROM e WHERE NOT later), y AS (SELECT * FROM e WHERE later)
     SELECT coalesce(x.var, y.var) AS var, greatest(x.level, y.level) AS level, array_to_string(list_sort(list_distinct(list_concat(coalesce(x.types, []), coalesce(y.types, [])))), ',') AS types,
       array_to_string(list_sort(CASE WHEN x.var IS NULL THEN y.sanitized WHEN y.var IS NULL THEN x.sanitized ELSE list_intersect(x.sanitized, y.sanitized) END), ',') AS sanitized FROM x FULL JOIN y ON x.var = y.var""")
 def u7_a10_merge_states(spark, sf_dir):
     i = F.col("event_id")
     arr = lambda *v: F.array(*map(F.lit, v))
-    e = read(spark, sf_dir, "events").where("event_id < 600").select(i, F.concat(F.lit("v"), (i % 400).cast("string")).alias("var"), (i % 5).cast("int").alias("level"), F.when(i % 2 == 0, arr("A", "B")).otherwise(arr("B")).alias("types"), F.when(i % 3 == 0, arr("B")).otherwise(arr("A", "B")).alias("sanitized"))
-    got = lattice.merge(e.where("event_id < 300"), e.where("event_id >= 300"))
+    e = read(spark, sf_dir, "events").select(((i % 3 == 2) | (i % 3 == 1) & (i % 2 == 0)).alias("later"), F.concat(F.lit("v"), F.floor(i * 2 / 3).cast("string")).alias("var"), (i % 5).cast("int").alias("level"), F.when(i % 2 == 0, arr("A", "B")).otherwise(arr("B")).alias("types"), F.when(i % 3 == 0, arr("B")).otherwise(arr("A", "B")).alias("sanitized"))
+    got = lattice.merge(e.where("NOT later").drop("later"), e.where("later").drop("later"))
     return got.select("var", "level", F.array_join("types", ",").alias("types"), F.array_join("sanitized", ",").alias("sanitized"))
 
 

@@ -95,12 +95,11 @@ def p0_explode_lines(spark, sf_dir):
     return L.explode_lines(doc_files(spark, sf_dir)).select("file_id", "line_no", F.sha2(F.col("text").cast("binary"), 256).alias("line_sha"))
 
 
-@query(f"""WITH {FILES}, p AS (SELECT file_id, string_split(code, 'th') AS p FROM files)
-    SELECT file_id, CAST(i AS INTEGER) AS ord, CAST(1 + list_sum(list_transform(p[1:i], lambda x: length(x) - length(replace(x, chr(10), '')))) AS INTEGER) AS line_no
-    FROM (SELECT file_id, p, unnest(range(1, len(p))) AS i FROM p WHERE len(p) < 400)""")
+@query(f"""WITH {FILES}, l AS (SELECT file_id, unnest(string_split(code, chr(10))) AS text, generate_subscripts(string_split(code, chr(10)), 1) AS line_no FROM files),
+    c AS (SELECT file_id, line_no, len(string_split(text, 'th')) - 1 AS n FROM l), o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c WHERE n > 0)
+    SELECT file_id, CAST(before + unnest(range(1, n + 1)) AS INTEGER) AS ord, CAST(line_no AS INTEGER) AS line_no FROM o""")
 def p1_match_lines(spark, sf_dir):
-    files = doc_files(spark, sf_dir).where(F.size(F.split("code", "th", -1)) < 400)
-    return L.match_lines(files, "th")
+    return L.match_lines(doc_files(spark, sf_dir), "th")
 
 
 @query(f"WITH {FILES} SELECT file_id, substr(regexp_replace(code, '^\\s+|\\s+$', '', 'g'), 1, 100) AS preview, upper(replace(path, ' ', '_')) AS rule_id, array_to_string(string_split(replace(path, '/', '_'), '_')[1:2], '_') AS kind FROM files")

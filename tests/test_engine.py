@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import context, filters, learning, reports
+from spindrift.functions import lines as L
+from spindrift.operators import context, filters, graphs, learning, programs, ranking, reports
 from spindrift.plans.finding_queries import repeated
 from spindrift.plans.program_queries import _labelled
 from spindrift.sources import catalog, corpus
@@ -83,3 +84,123 @@ def test_filters_fail_open(spark):
         raise ConnectionError
 
     assert {r.is_real for r in filters.verified(f, broken).collect()} == {None}
+
+
+def test_dead_lines_keep_the_outer_block(spark):
+    code = ["if (false) {", "if ($x) { return; }", "if ($y) {", "return;", "}", "a();", "} else {", "b();", "return 1;", "c();", "}", "d();", "if (0) { e(); }", "f();", "while (1) {", "die;", "g();", "{", "h();", "}", "}", "i();"]
+    lines = spark.createDataFrame([(1, i + 1, i, t) for i, t in enumerate(code)], "file_id long, line_no int, seq long, text string")
+    got = {(r.line_no, r.reason) for r in context.dead_lines(lines).collect()}
+    assert got == {(k, "constant") for k in range(2, 7)} | {(10, "after_exit")} | {(k, "after_exit") for k in (17, 18, 19, 20)}
+
+
+def reached(pairs):
+    """By depth-first search from each node."""
+    near, out = {}, set()
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    for a in near:
+        todo = list(near[a])
+        while todo:
+            x = todo.pop()
+            if (a, x) not in out:
+                out.add((a, x))
+                todo += near.get(x, [])
+    return out
+
+
+def test_long_chains_and_cycles(spark):
+    """Fixed points end where nothing is new, not after a number of rounds."""
+    chain = [(i, i + 1) for i in range(300)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "src long, dst long")
+    got = {(r.src, r.dst): r.depth for r in graphs.reach(frame(chain)).collect()}
+    assert got == {(a, b): b - a for a in range(300) for b in range(a + 1, 301)}
+    import random
+
+    random.seed(3)
+    order = random.sample(range(1000), 120)
+    pairs = list(zip(order, order[1:] + order[:1], strict=True))  # one cycle
+    pairs += [(2000 + i, 2001 + i) for i in range(40)] + [(2040, order[0]), (order[5], 3000), (3000, 3001), (3001, 3000), (7, 7)]  # a chain into it, a small cycle out of it
+    pairs += [(random.randrange(4000, 4060), random.randrange(4000, 4060)) for _ in range(80)]
+    far = reached(pairs)
+    nodes = {x for p in pairs for x in p}
+    want = {n: min([n] + [b for a, b in far if a == n and (b, n) in far]) for n in nodes}
+    assert {r.node: r.scc for r in graphs.strong_components(frame(pairs)).collect()} == want
+    assert {(r.src, r.dst) for r in graphs.reach(frame(pairs)).collect()} == far
+    assert graphs.reach(frame([])).collect() == graphs.strong_components(frame([])).collect() == []
+
+
+def test_calls_of_any_depth(spark):
+    n = 60
+    direct = spark.createDataFrame([(f"f{n}", 0, "XSS")], "func string, idx int, vuln_type string")
+    passes = spark.createDataFrame([(f"f{i}", 0, f"f{i + 1}", 0) for i in range(n)] + [("g", 1, "f0", 1)], "func string, idx int, callee string, callee_idx int")
+    assert {r.func for r in graphs.params_to_sinks(direct, passes).collect()} == {f"f{i}" for i in range(n + 1)}
+    e = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    assert max(graphs.shortest_paths(e, e.where("src = 0")).collect(), key=lambda r: r.depth).path == list(range(31))
+
+
+def test_points_to_with_fields(spark):
+    """a = new; b = a; b.f = c; c = new; d = a.f; e = d; through two names of one object."""
+    s = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graphs.points_to(s([("a", "o1"), ("c", "o2"), ("x", "o3")], "var string, loc string"), s([("b", "a"), ("e", "d")], "lhs string, rhs string"), s([("b", "f", "c"), ("x", "f", "a")], "base string, field string, rhs string"), s([("d", "a", "f"), ("y", "x", "f")], "lhs string, base string, field string"))
+    assert {(r.var, r.loc) for r in got.collect()} == {("a", "o1"), ("b", "o1"), ("c", "o2"), ("x", "o3"), ("o1.f", "o2"), ("o3.f", "o1"), ("d", "o2"), ("e", "o2"), ("y", "o1")}
+
+
+def test_extents_and_matches(spark):
+    import random
+
+    random.seed(4)
+    for _ in range(3):
+        code = [random.choice(["function f() {", "function g();", "function h() { x; }", "{", "}", "} }", "if (x) { y; }", "z", "}{", "function k()"]) for _ in range(60)]
+        depth, before = [], [0]
+        total = 0
+        for t in code:
+            total += t.count("{") - t.count("}")
+            depth.append(max(0, total))
+            before.append(depth[-1])
+        want = {}
+        for i, t in enumerate(code):
+            if t.startswith("function"):
+                want[i + 1] = next((j + 1 for j in range(i, len(code)) if "}" in code[j] and depth[j] <= before[i]), None)
+        lines = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(code)], "file_id long, line_no int, text string")
+        assert {r.start_line: r.end_line for r in L.function_extents(lines).collect()} == want
+    text = "\n".join("th" * random.randint(0, 9) + "x" for _ in range(4000))  # some 18 000 matches
+    got = {r.ord: r.line_no for r in L.match_lines(spark.createDataFrame([(1, text)], "file_id long, code string"), "th").collect()}
+    want, at = {}, 0
+    while (at := text.find("th", at)) >= 0:
+        want[len(want) + 1] = text.count("\n", 0, at) + 1
+        at += 2
+    assert got == want and len(got) > 10_000
+
+
+def test_ranked_is_a_global_order(spark):
+    rows = [(i, ["HIGH", "LOW", "CRITICAL", "MEDIUM"][i * 7 % 4 if i % 3 else 0], i * 37 % 100 / 100) for i in range(500)]
+    got = ranking.ranked(spark.createDataFrame(rows, "seq long, severity string, confidence double")).collect()
+    rank = {"CRITICAL": 3, "HIGH": 2, "MEDIUM": 1, "LOW": 0}
+    assert {r.seq: r.pos for r in got} == {s: k + 1 for k, (s, _, _) in enumerate(sorted(rows, key=lambda r: (-rank[r[1]], -r[2], r[0])))}
+
+
+def test_deep_files_and_failures(spark, monkeypatch):
+    codes = ["<?php $x = " + "(" * 2000 + "$_GET['a']" + ")" * 2000 + "; echo $x;", "<?php $y = " + "[" * 1500 + "]" * 1500 + ";", "<?php echo $_GET['b'];", None]
+    files = spark.createDataFrame(list(enumerate(codes)), "file_id long, code string")
+    assert {r.file_id for r in programs.nodes(files).collect()} == {0, 1, 2, 3}
+    assert programs.failed(files).collect() == []
+
+    def broken(tree):
+        raise ValueError("no")
+
+    monkeypatch.setattr(programs.interpret, "findings", lambda tree, rules: (_ for _ in ()).throw(ValueError("no")))
+    assert programs._made(["<?php f();"], broken)[0].args == ("no",)
+
+
+def test_intermediate_tables_go(spark):
+    from pathlib import Path
+
+    from spindrift.sources import tables
+
+    own = Path(tables._own(spark))
+    kept = tables.written(spark.range(5).toDF("a"), "kept")
+    gone = tables.written(spark.range(5).toDF("a"), "gone")
+    tables.dropped(gone)
+    assert kept.count() == 5 and not list(own.glob("gone-*"))
+    tables.clean(spark)
+    assert not own.exists()
