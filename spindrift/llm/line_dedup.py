@@ -20,12 +20,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of, written
+from ..sources.tables import written
+from .shared import rows_of
 from .url_filter import WORDS, _bits, _block, bloom_filter
 
 #: Words of a recurring run that is deleted, at least, and of a gram; the same of lines that have words.
@@ -36,20 +38,11 @@ _AT = (1 << 31) - 1
 _U = np.uint64
 
 
-class _Hashes(dict):
-    """Hash of each word, made when first asked for. The table starts anew when it has grown to its limit."""
-
-    def __init__(self, limit: int = 150_000):
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-_HASHES = _Hashes()
+#: Bytes that are white space, and the UTF-8 of other white space, by first byte.
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_WIDE = {0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE2: [*(bytes([0x80, x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"], 0xE3: [b"\x80\x80"]}
+#: Bytes that are hashed at a time; a longer word is hashed on its own.
+_PART = 1 << 20
 
 
 class _Powers:
@@ -118,26 +111,66 @@ def selected(stream: Stream, lengths: np.ndarray, run: int, gram: int, salt: int
     return text, grams[m], stretch, i - (ends - lengths)[text], count
 
 
-def tokens(texts: list[str | None]) -> tuple[Stream, np.ndarray, Stream, np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts, one after the other, and where each begins, and where the last one ends. Nulls are empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def spaces(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space, of any kind that parts words in Python."""
+    out = _SPACE[raw]
+    for lead, tails in _WIDE.items():
+        at = np.flatnonzero(raw == lead)
+        for tail in tails if len(at) else ():
+            here = at[at + len(tail) < len(raw)]
+            for k, x in enumerate(tail, 1):
+                here = here[raw[here + k] == x]
+            for k in range(len(tail) + 1):
+                out[here + k] = True
+    return out
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    long = np.flatnonzero(ends - starts > _PART // 2)
+    for k in long.tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]].tobytes())
+    short, k = np.delete(np.arange(len(starts)), long), 0
+    while k < len(short):
+        first = starts[short[k]]
+        to = int(np.searchsorted(ends[short], first + _PART, "right"))
+        own = short[k : max(to, k + 1)]
+        out[own] = Stream(raw[first : ends[own[-1]]].astype(np.uint64) + _U(1)).runs(starts[own] - first, ends[own] - first)
+        k = max(to, k + 1)
+    return out
+
+
+def tokens(texts: pa.StringArray) -> tuple[Stream, np.ndarray, Stream, np.ndarray, np.ndarray]:
     """The stream of all texts' words and how many each has, that of their lines that have words and how many, and the words of each line."""
-    words: list[str] = []
-    per_line: list[int] = []
-    own, lines = [], []
-    for text in texts:
-        before, first = len(words), len(per_line)
-        for line in (text or "").split("\n"):
-            if w := line.split():
-                words += w
-                per_line.append(len(w))
-        own.append(len(words) - before)
-        lines.append(len(per_line) - first)
-    stream = Stream(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
-    counts = np.array(per_line, np.int64)
-    ends = np.cumsum(counts)
-    return stream, np.array(own, np.int64), Stream(stream.runs(ends - counts, ends)), np.array(lines, np.int64), counts
-
-
-def places(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    raw, at = text_bytes(texts)
+    space = spaces(raw)
+    edge = np.zeros(len(raw) + 1, bool)  # where a word can't go on from the byte before
+    edge[at] = True
+    edge[:-1] |= space
+    edge[1:] |= space
+    edge[0] = True
+    word = ~space
+    starts, ends = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:]) + 1
+    stream = Stream(word_hashes(raw, starts, ends))
+    own = np.diff(np.searchsorted(starts, at))
+    lines = np.union1d(at[:-1], np.flatnonzero(raw == 10) + 1)  # where lines begin; texts that are empty share theirs with the next
+    counts = np.diff(np.concatenate([np.searchsorted(starts, lines), [len(starts)]]))
+    full = counts > 0
+    counts, lines = counts[full], lines[full]
+    stops = np.cumsum(counts)
+    return stream, own, Stream(stream.runs(stops - counts, stops)), np.diff(np.searchsorted(lines, at)), counts
+
+
+def places(texts: pa.StringArray) -> tuple[np.ndarray, ...]:
     """text, kind (0: words, 1: lines), gram, stretch, first token and number of windows of each selected gram's place."""
     words, own, lines, per_text, counts = tokens(texts)
     found = (selected(words, own, RUN, GRAM, 0), selected(lines, per_text, LINE_RUN, LINE_GRAM, _BASE, counts))
@@ -145,7 +178,7 @@ def places(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     return text, np.repeat([0, 1], [len(f[0]) for f in found]), *rest
 
 
-def windows(texts: list[str | None], text: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: pa.StringArray, text: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of places (text, kind, first and last token): for each of their windows, the place's number, the hash and the first token."""
     words, own, lines, per_text, _ = tokens(texts)
     run = np.where(kind == 0, RUN, LINE_RUN)
@@ -160,6 +193,17 @@ def windows(texts: list[str | None], text: np.ndarray, kind: np.ndarray, first:
     return place, hashes, at
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans [first, last] that touch or overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], z))
+        else:
+            out.append((a, z))
+    return out
+
+
 def without(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, int, int, list[tuple[int, int]]]:
     """(text, lines, removed lines, the [first, last] words of what is gone) less the [first, last] tokens of spans (kind, first, last).
 
@@ -167,15 +211,14 @@ def without(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, int, int
     with the white space up to the next word, or after the last word that stays.
     """
     lines = text.split("\n")
+    if (whole := _merged([(a, z) for kind, a, z in spans if not kind])) and whole[0] == (0, len(text.split()) - 1):
+        has = [k for k, x in enumerate(lines) if x and not x.isspace()]
+        left = lines[: has[0]] + lines[has[-1] + 1 :]
+        return "\n".join(left), len(lines), has[-1] + 1 - has[0], whole
     counts = [len(x.split()) for x in lines]
     starts = list(accumulate(counts, initial=0))
     full = [k for k, c in enumerate(counts) if c]
-    gone: list[list[int]] = []
-    for a, z in sorted((starts[full[a]], starts[full[z] + 1] - 1) if kind else (a, z) for kind, a, z in spans):
-        if gone and a <= gone[-1][1] + 1:
-            gone[-1][1] = max(gone[-1][1], z)
-        else:
-            gone.append([a, z])
+    gone = _merged([(starts[full[a]], starts[full[z] + 1] - 1) if kind else (a, z) for kind, a, z in spans])
     left, k = [], 0
     for x, n, at in zip(lines, counts, starts, strict=False):
         while k < len(gone) and gone[k][1] < at:
@@ -198,7 +241,7 @@ def without(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, int, int
                 after = own[j + 1][0] if j + 1 < n else len(x)
                 parts.append(x[own[j][0] : own[j][1] if j == stay[-1] and j + 1 < n else after])
             left.append("".join(parts))
-    return "\n".join(left), len(lines), len(lines) - len(left), [tuple(g) for g in gone]
+    return "\n".join(left), len(lines), len(lines) - len(left), gone
 
 
 def probable(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -228,7 +271,7 @@ def repeated(base: DataFrame, kind: str) -> DataFrame:
 
     def grams(batches):
         for b in rows_of(batches):
-            text, which, gram, stretch, at, n = places(b.column(3).to_pylist())
+            text, which, gram, stretch, at, n = places(b.column(3))
             take = pa.array(text)
             run = np.where(which == 0, RUN, LINE_RUN)
             yield _batch(names, gram, stretch, *(b.column(c).take(take) for c in range(3)), which.astype(np.int8), at.astype(np.int32), (at + n + run - 2).astype(np.int32))
@@ -239,7 +282,7 @@ def repeated(base: DataFrame, kind: str) -> DataFrame:
             p = own.flatten()
             text = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
             gram, which, first, last = (p.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "kind", "a", "z"))
-            place, hashes, at = windows(b.column(3).to_pylist(), text, which, first.astype(np.int64), last.astype(np.int64))
+            place, hashes, at = windows(b.column(3), text, which, first.astype(np.int64), last.astype(np.int64))
             take, k = pa.array(text[place]), which[place]
             yield _batch(names, gram[place], hashes, *(b.column(c).take(take) for c in range(3)), k, at.astype(np.int32), (at + np.where(k == 0, RUN, LINE_RUN) - 1).astype(np.int32))
 
@@ -281,24 +324,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def cleaned(batches):
         for b in rows_of(batches):
             out = []
-            for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                text = text or ""
-                if not spans:
-                    out.append((text, text.count("\n") + 1, 0, 0, ""))
-                    continue
-                left, n, removed, gone = without(text, [(x["kind"], x["a"], x["z"]) for x in spans])
+            for text, kinds, firsts, lasts in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                left, n, removed, gone = without(text, list(zip(kinds, firsts, lasts, strict=True)))
                 out.append((left, n, removed, sum(z - a + 1 for a, z in gone), " ".join(f"{a}-{z}" for a, z in gone)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "text", "n_lines", "removed_lines", "removed_words", "spans"])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], made)
 
+    made = [id_col, "text", "n_lines", "removed_lines", "removed_words", "spans"]
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = src.schema[0].dataType.simpleString()
     base = written(src.mapInArrow(numbered, f"row long, id {kind}, text_hash long, text string"), "texts")
     spans = written(repeated(base, kind), "spans")
-    # texts that lose nothing aren't shuffled
+    # texts that lose nothing are neither shuffled nor handed to Python
     parts = probable(base, spans.select("row"))
-    none = F.lit(None).cast("array<struct<kind: tinyint, a: int, z: int>>").alias("spans")
-    some = parts.where("maybe").join(spans, "row", "left").select("row", "id", "text", "spans")
-    out = some.unionByName(parts.where("not maybe").select("row", "id", "text", none))
-    return out.mapInArrow(cleaned, f"`{id_col}` {kind}, text string, n_lines long, removed_lines long, removed_words long, spans string")
+    some = parts.where("maybe").select("row", "id", "text").join(spans, "row", "left")
+    changed = some.where("spans IS NOT NULL").select("id", "text", "spans.kind", "spans.a", "spans.z")
+    changed = changed.mapInArrow(cleaned, f"`{id_col}` {kind}, text string, n_lines long, removed_lines long, removed_words long, spans string")
+    rest = some.where("spans IS NULL").select("id", "text").unionByName(parts.where("not maybe").select("id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    zero = F.lit(0).cast("long")
+    return changed.unionByName(rest.select(F.col("id").alias(id_col), text.alias("text"), n.cast("long").alias("n_lines"), zero.alias("removed_lines"), zero.alias("removed_words"), F.lit("").alias("spans")))
