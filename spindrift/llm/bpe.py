@@ -186,7 +186,8 @@ def encode_decode(docs, path: str, id_col: str = "doc_id", text_col: str = "text
     """Each whole text encoded and decoded again: id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (UTF-8).
 
     A null text counts as empty and has no ids. Rows may repeat, ids be null; other columns of docs are ignored. Strings
-    of special tokens are encoded as these tokens and decoded as their strings.
+    of special tokens are encoded as these tokens and decoded as their strings. Whole texts are read, however long, one
+    at a time. An empty table gives an empty result.
     """
 
     def run(batches):

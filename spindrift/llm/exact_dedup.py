@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only_kept, written
+from ..sources.tables import written
+from .shared import only_kept
 
 BLOCK_BYTES = 4096
 #: Names the second of a pair that has none.
@@ -79,7 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of equal texts the row with the largest id stays (a null id is the smallest); of rows that repeat an id and a text,
     the first in the input. A null text counts as empty, and empty texts are equal. Other columns of docs are ignored,
-    whatever their names. An empty table gives an empty result.
+    whatever their names. Long texts are many blocks, which are rows of their own. An empty table gives an empty result.
     """
     rows = identities(docs, id_col, text_col, block_bytes)
     groups = rows.groupBy("n", "name").agg(F.max(F.struct("id", (-F.col("row")).alias("back"))).alias("top"), F.count("*").alias("group_size"))

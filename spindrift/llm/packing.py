@@ -91,7 +91,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """One row for each piece of each row of docs: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each row's text is encoded and gets id 0 at its end, so a null or empty text is one id. Rows that repeat are packed
-    as often as they come; other columns are ignored. Sequence ids are unique, not consecutive.
+    as often as they come, ids may be null; other columns are ignored, whatever their names. Sequence ids are unique, not
+    consecutive. A long text is many pieces, of which all but the last are full. An empty table gives an empty result.
     """
     src = docs.select(id_col, text_col)
     kind = src.schema[0].dataType.simpleString()

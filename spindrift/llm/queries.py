@@ -18,36 +18,44 @@ LISTED = [f"{site}.example.{top}/" for site in LISTED_SITES for top in ("com", "
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one of its group of equal texts that stays: the largest doc_id. Texts are compared as they are; null is empty."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its fingerprint and the least doc_id that links of 3 bits or fewer reach. Texts without words have fingerprint zero."""
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the number and digest of its ids, and the digest of the text that these decode to. Null is empty and has no ids."""
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with its main text; null and empty pages, and pages that are all boilerplate, have an empty one."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with its host, path, the longest rule that fits and the verdict. Null URLs have an empty host and path and are allowed."""
     listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
     return url_filter.judged(table(spark, sf_dir, "pages"), RULES, listed)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the digest of its normalised text, the license that this is, and the licenses of its lines."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for each query, whose vec_id is divisible by 100, over all rows; vectors that are null or not finite take no part."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its score and label, learned from labels that are not held out; empty texts are scored as texts without features."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
     out = toxicity.score(docs, toxicity.learn(docs, labels))
@@ -55,15 +63,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with what is left of it, by digest, when runs of 50 words or 3 lines that an earlier place has are deleted."""
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "removed_lines", "removed_words", "spans", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of each document with its place in a sequence of 1024 ids; null is empty and has the one id that ends every document."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that are left of all documents when toxic ones and copies are gone."""
     import corpus_pipeline  # which imports this subpackage
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -1,39 +1,11 @@
-"""What the operators of this subpackage share: tables in the shared folder, and reading inputs."""
+"""What the operators of this subpackage share: reading inputs, batches for Python, and which rows stay."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset and the master is this machine alone, as in tests, a folder of this process is used.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="spindrift-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return _LOCAL[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: it cuts the lineage, fixes what was computed, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.tables import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

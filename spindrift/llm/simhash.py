@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only_kept, rows_of, text_sha, written
+from ..sources.tables import written
+from .shared import only_kept, rows_of, text_sha
 
 SHINGLE = 3
 MAX_BITS = 3

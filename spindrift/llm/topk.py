@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import rows_of, written
+from ..sources.tables import written
+from .shared import rows_of
 
 SCALE = 1024
 BINS = 64
@@ -140,7 +141,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     Components are floor(1024 * x). Ties go to the smaller id. A query meets every row whose id differs from its own; a
     query id that repeats is one query, by its least vector; other rows that repeat are each a candidate. Vectors that are
     null or hold null or non-finite components take no part, nor do null ids; vectors of unlike lengths don't meet. Scores
-    beyond 64 bits become the nearest long. Other columns are ignored.
+    beyond 64 bits become the nearest long. Other columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
     src = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -70,7 +70,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFram
     rules: (verdict, host, path), of which the longest that fits decides; it fits its host and all subdomains, if the
     URL's path starts with its own. Without one, rule is null, and a URL that is listed is blocked, others are allowed. A
     null URL, or one without ://, has an empty host and path, fits no rule and is allowed. Rows that repeat are judged
-    alike; other columns are ignored. The rules are a short list of parameters, and become expressions.
+    alike; other columns are ignored, whatever their names. Of a host only the suffixes of up to HOST_CHARS characters are
+    looked up, as no host name in DNS is longer. The rules are a short list of parameters, and become expressions. An
+    empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
