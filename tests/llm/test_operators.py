@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -510,3 +511,19 @@ def test_line_dedup_of_random_runs(spark):
         rows.append((i % 70, " ".join(text)))
     rows = [r for k, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:k]}]
     assert check_lines(spark, rows) > 2000
+
+
+def test_words_are_pythons(spark):
+    """Words, their lines and their numbers are those of str.split, whatever white space parts them."""
+    random.seed(14)
+    letters = list(" \n\t\x0b\x1c\x1f\x85\xa0  ​   　aé☃Â﻿\x00") + ["😀"]
+    for _ in range(2000):
+        texts = [random.choice([None, "".join(random.choice(letters) for _ in range(random.randint(0, 12)))]) for _ in range(random.randint(0, 5))]
+        stream, words, _, lines, counts = line_dedup.tokens(pa.array(texts, pa.string()))
+        assert words.tolist() == [len((t or "").split()) for t in texts]
+        assert lines.tolist() == [sum(bool(x.split()) for x in (t or "").split("\n")) for t in texts]
+        assert counts.tolist() == [len(x.split()) for t in texts for x in (t or "").split("\n") if x.split()]
+    own = ["ab", "b", "a" * 600_000, "ab", "a" * 600_001, "b", "é"] * 3  # some longer than what is hashed at a time
+    stream, *_ = line_dedup.tokens(pa.array([" ".join(own)]))
+    hashes = stream.runs(np.arange(len(own)), np.arange(1, len(own) + 1)).tolist()
+    assert len(set(hashes)) == 5 and hashes[:7] == hashes[7:14] == hashes[14:] and hashes[0] == hashes[3]
