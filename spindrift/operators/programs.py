@@ -165,3 +165,31 @@ def types(files: DataFrame, key: str = "file_id") -> DataFrame:
 def kinds(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(kind, n) of each file's tree."""
     return _each(files, "kind string, n int", lambda t: sorted(Counter(n.kind for n in t.walk()).items()), key)
+
+
+def versions(files: DataFrame, key: str = "file_id") -> DataFrame:
+    """(name, var, line, version, is_phi) of static single assignment: a variable's counter grows with each definition, in preorder of the dominator tree; phis come first in their block."""
+
+    def make(tree):
+        out = []
+        for name, _, body, _ in flow.functions(tree):
+            g = flow.Graph(body.children)
+            children, phis, count = {}, g.phis(), Counter()
+            for b, d in sorted(g.dominators().items()):
+                children.setdefault(d, []).append(b)
+            todo = [0]
+            while todo:
+                b = todo.pop()
+                line = next((s.line for s in g.blocks[b].statements), 0)
+                for v in sorted(phis.get(b, ())):
+                    out.append((name, v, line, count[v], 1))
+                    count[v] += 1
+                for s in g.blocks[b].statements:
+                    for v in flow.defined(s):
+                        out.append((name, v, s.line, count[v], 0))
+                        count[v] += 1
+                todo += reversed(children.get(b, []))
+        return out
+
+    rows = _each(files, "name string, var string, line int, version int, phi int", make, key)
+    return rows.select(key, "name", "var", "line", "version", (F.col("phi") == 1).alias("is_phi"))

@@ -107,15 +107,22 @@ def backward(hits: DataFrame, assigned: DataFrame, depth: int = 7, step: int = 1
     At depth d the lines from 10*d above the hit on are open; an assignment to a tracked variable adds the variables it
     takes. hops is the largest depth at which a source is met.
     """
-    known = cut(hits.select(key, "line_no", F.col("var").alias("tracked")).distinct())
-    a = assigned.select(F.col(key).alias("k"), F.col("line_no").alias("l"), "lhs", "rhs", F.col("source").isNotNull().alias("src"), sanitising(F.col("func")).alias("san"))
+    a = cut(
+        assigned.select(
+            F.col(key).alias("k"), F.col("line_no").alias("l"), "lhs", F.col("source").isNotNull().alias("src"), sanitising(F.col("func")).alias("san"), F.array_distinct(F.regexp_extract_all("rhs", F.lit(r"\$([a-zA-Z]\w*)"), 1)).alias("vars")
+        )
+    )
+    # what is tracked, with the line that its assignments have been looked for down to: a round looks on from there
+    known = cut(hits.select(key, "line_no", F.col("var").alias("tracked")).distinct().withColumn("upto", F.col("line_no")))
     met = []
     for d in range(1, depth):
-        hit = (F.col("k") == F.col(key)) & (F.col("lhs") == F.col("tracked")) & (F.col("l") < F.col("line_no")) & (F.col("l") >= F.col("line_no") - step * d)
-        got = known.join(a, hit).select(key, "line_no", "l", "src", "san", "rhs")
-        met.append(got.select(key, "line_no", "src", "san", F.lit(d + 1).alias("depth")))
-        more = got.select(key, "line_no", F.explode(F.regexp_extract_all("rhs", F.lit(r"\$([a-zA-Z]\w*)"), 1)).alias("tracked"))
-        known = cut(known.select(key, "line_no", "tracked").unionByName(more).distinct())
+        low = F.col("line_no") - step * d
+        hit = (F.col("k") == F.col(key)) & (F.col("lhs") == F.col("tracked")) & (F.col("l") < F.col("upto")) & (F.col("l") >= low)
+        got = cut(known.join(a, hit).select(key, "line_no", "src", "san", "vars", F.lit(d + 1).alias("depth")))
+        met.append(got.select(key, "line_no", "src", "san", "depth"))
+        if d + 1 < depth:
+            more = got.select(key, "line_no", F.explode("vars").alias("tracked")).distinct().join(known, [key, "line_no", "tracked"], "left_anti")
+            known = cut(known.select(key, "line_no", "tracked", low.alias("upto")).unionByName(more.withColumn("upto", F.col("line_no"))))
     every = reduce(DataFrame.unionByName, met)
     sums = every.groupBy(key, "line_no").agg(F.bool_or("src").alias("tainted"), F.bool_or("san").alias("sanitized"), F.coalesce(F.min(F.when(F.col("src"), F.col("depth"))), F.lit(0)).alias("hops"))
     lines = hits.select(key, "line_no").distinct()

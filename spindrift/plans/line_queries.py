@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions import score as S
 from ..functions import text as T
 from ..operators import taint
+from ..operators.graphs import cut
 from ..registry import query
 from ..sources.corpus import FILES, LINES, doc_files, event_lines, first_files, namespace_head, without_vendor
 
@@ -41,7 +42,7 @@ FINDINGS = f"WITH {ASSIGNS}, {SINKS}, {TAINT}"
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored flows of the event corpus: the engine's findings, as the later queries take them."""
     lines = event_lines(spark, sf_dir)
-    a, s = taint.assigns(lines), taint.sink_hits(lines)
+    a, s = cut(taint.assigns(lines)), taint.sink_hits(lines)
     near = lines.select("file_id", "line_no", L.seen(F.col("text").contains("intval("), "sanitizer").alias("san"))
     asof = taint.sanitized_before(s, a).select("file_id", "line_no", "var", "clean")
     f = taint.flows(taint.closure(a), s).join(near, ["file_id", "line_no"]).join(asof, ["file_id", "line_no", "var"])
@@ -253,10 +254,3 @@ def c10_f5_confidence(spark, sf_dir):
 @query(f"WITH {_GRID} SELECT seq, concat(CAST(round_even(c * 100, 0) AS INTEGER), '%') AS percent, 'https://cwe.mitre.org/data/definitions/' || split_part('CWE-' || k7, '-', 2) || '.html' AS url FROM g")
 def p3_p5_percent_and_url(spark, sf_dir):
     return _grid(spark, sf_dir).select("seq", T.percent(F.col("c")).alias("percent"), T.cwe_url(F.concat(F.lit("CWE-"), F.col("k7").cast("string"))).alias("url"))
-
-
-@query(f"""WITH {LINES} SELECT file_id, seq, line_no, CAST(row_number() OVER (PARTITION BY file_id, substr(text, 1, 3) ORDER BY line_no) - 1 AS INTEGER) AS version FROM lines WHERE starts_with(text, '$')""")
-def w31_versions(spark, sf_dir):
-    w = Window.partitionBy("file_id", F.substring("text", 1, 3)).orderBy("line_no")
-    lines = event_lines(spark, sf_dir).where(F.col("text").startswith("$"))
-    return lines.select("file_id", "seq", "line_no", (F.row_number().over(w) - 1).alias("version"))

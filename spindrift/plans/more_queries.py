@@ -24,10 +24,16 @@ def c3_source_lookup(spark, sf_dir):
     return lines.select("file_id", "line_no", F.when(strong, "GET").when(F.col("text").rlike(r"\$(?:post|data|input)\s*\["), "WEAK_INPUT").alias("source"))
 
 
-@query("SELECT * FROM (VALUES ('GET', 'HIGH'), ('POST', 'HIGH'), ('REQUEST', 'HIGH'), ('COOKIE', 'MEDIUM'), ('FILES', 'HIGH'), ('SERVER', 'MEDIUM'), ('ENV', 'LOW'), ('php://input', 'HIGH'), ('getenv', 'LOW'), ('fgets_stdin', 'MEDIUM')) t(name, level)")
+@query(f"""WITH {LINES}, s(name, level) AS (VALUES ('$_GET', 'HIGH'), ('$_POST', 'HIGH'), ('$_REQUEST', 'HIGH'), ('$_FILES', 'HIGH'), ('$_COOKIE', 'MEDIUM'), ('$_SERVER', 'MEDIUM'), ('$HTTP_RAW_POST_DATA', 'MEDIUM'),
+    ('php://input', 'HIGH'), ('filter_input', 'HIGH'), ('filter_input_array', 'HIGH'), ('http_get_request_body', 'HIGH'), ('getallheaders', 'HIGH'), ('apache_request_headers', 'HIGH'))
+    SELECT s.name, s.level, count(l.file_id) AS lines FROM s LEFT JOIN lines l ON contains(l.text, s.name) GROUP BY 1, 2""")
 def c4_live_sources(spark, sf_dir):
-    s = catalog.catalog(spark, "sources").where("category IN ('superglobals', 'input_functions')")
-    return s.select(F.regexp_replace("name", r"^\$_", "").alias("name"), "level")
+    """Sources that a scan asks for, and how many lines name them."""
+    s = catalog.sources(spark)
+    names = [r["name"] for r in s.collect()]  # a rule set, of bounded size
+    named = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(F.col("text"), n))
+    found = event_lines(spark, sf_dir).select(F.explode(named).alias("name")).groupBy("name").agg(F.count("*").alias("lines"))
+    return s.select("name", "level").join(found, "name", "left").fillna({"lines": 0})
 
 
 @query(f"""WITH {LINES}, w AS (SELECT file_id, line_no, text, string_agg(CASE WHEN contains(text, 'intval(') THEN 'intval' END, ',') OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s FROM lines)
@@ -41,27 +47,6 @@ def c5_c14_sanitizers_in_window(spark, sf_dir):
     return event_lines(spark, sf_dir).select("file_id", "line_no", "text", F.array_join(found, ",").alias("sanitizers")).where(F.contains("text", F.lit("mysql_query"))).drop("text")
 
 
-_DEFS = "d AS (SELECT doc_id AS file_id, 'function ' || CASE doc_id % 4 WHEN 0 THEN 'sanitize_x' WHEN 1 THEN 'load' WHEN 2 THEN 'my_clean' ELSE 'escapeHtml' END || '($a) { } ' || CASE WHEN doc_id % 3 = 0 THEN 'function validateAll() {}' ELSE '' END AS code FROM documents)"
-
-
-@query(f"WITH {_DEFS} SELECT file_id, array_to_string(list_sort(list_concat(CASE file_id % 4 WHEN 0 THEN ['sanitize_x'] WHEN 2 THEN ['my_clean'] WHEN 3 THEN ['escapeHtml'] ELSE [] END, CASE WHEN file_id % 3 = 0 THEN ['validateAll'] ELSE [] END)), ',') AS sanitizers FROM d")
-def c6_c7_sanitizer_definitions(spark, sf_dir):
-    i = F.col("doc_id")
-    name = F.when(i % 4 == 0, "sanitize_x").when(i % 4 == 1, "load").when(i % 4 == 2, "my_clean").otherwise("escapeHtml")
-    d = read(spark, sf_dir, "documents").select(i.alias("file_id"), F.concat(F.lit("function "), name, F.lit("($a) { } "), F.when(i % 3 == 0, "function validateAll() {}").otherwise("")).alias("code"))
-    pattern = r"(?i)function\s+((?:sanitize|clean|escape|filter|validate|safe)\w*|\w*_(?:clean|escape|filter|sanitize))\s*\("
-    return d.select("file_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("code", F.lit(pattern), 1))), ",").alias("sanitizers"))
-
-
-@query(f"""WITH {LINES}, {MIXED} SELECT file_id, line_no, CASE WHEN starts_with(text, '//') THEN 'comment' WHEN contains(text, '@param') THEN 'doc' WHEN contains(text, '{{{{') THEN 'html' WHEN regexp_matches(text, '^(include|fopen)') THEN 'hardcoded' END AS reason,
-    CASE WHEN starts_with(text, '//') OR contains(text, '@param') OR contains(text, '{{{{') OR regexp_matches(text, '^(include|fopen)') THEN 'prefilter' WHEN contains(text, 'in_array') OR contains(text, 'is_numeric') THEN 'context' END AS stage FROM mixed""")
-def f12_f15_f17_filter_stages(spark, sf_dir):
-    t = F.col("text")
-    pre = matching.first_reason([("comment", t.startswith("//")), ("doc", F.contains(t, F.lit("@param"))), ("html", F.contains(t, F.lit("{{"))), ("hardcoded", t.rlike("^(include|fopen)"))])
-    stage = matching.first_reason([("prefilter", pre.isNotNull()), ("context", t.rlike("in_array|is_numeric"))])
-    return mixed(spark, sf_dir).select("file_id", "line_no", pre.alias("reason"), stage.alias("stage"))
-
-
 @query(f"""WITH {REPEATED}, s AS (SELECT seq, CASE seq % 5 WHEN 0 THEN 'RCE' WHEN 1 THEN 'FILE_WRITE' ELSE 'XSS' END AS vt, confidence > 45e-2 AS tp, CASE WHEN seq % 3 = 0 THEN 'basename($f)' ELSE 'x' END AS code FROM rep)
     SELECT seq FROM s WHERE tp OR (vt IN ('RCE', 'FILE_WRITE') AND NOT contains(code, 'basename('))""")
 def f22_critical_override(spark, sf_dir):
@@ -85,19 +70,6 @@ def s9_a17_cache_stats(spark, sf_dir):
     return got.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count("old").alias("entries"))
 
 
-@query(f"WITH {LINES}, {MIXED} SELECT count_if(regexp_matches(text, '^(include|require)')) AS includes, count(DISTINCT CASE WHEN contains(text, '$GLOBALS') OR starts_with(text, 'global') THEN file_id END) AS files_with_globals, count(DISTINCT file_id) AS files FROM mixed")
-def a16_project_stats(spark, sf_dir):
-    t = F.col("text")
-    has = F.contains(t, F.lit("$GLOBALS")) | t.startswith("global")
-    return mixed(spark, sf_dir).agg(F.count_if(t.rlike("^(include|require)")).alias("includes"), F.count_distinct(F.when(has, F.col("file_id"))).alias("files_with_globals"), F.count_distinct("file_id").alias("files"))
-
-
-@query(f"WITH {FILES}, p AS (SELECT file_id, path, substr(code, 1, 3000) AS head FROM files WHERE contains(path, '/src1/') ORDER BY path LIMIT 5) SELECT file_id, path, sha256(head) AS head_sha FROM p")
-def t9_context_heads(spark, sf_dir):
-    f = doc_files(spark, sf_dir).where(F.contains("path", F.lit("/src1/"))).orderBy("path").limit(5)
-    return f.select("file_id", "path", F.sha2(F.substring("code", 1, 3000).cast("binary"), 256).alias("head_sha"))
-
-
 @query("""SELECT 'fixtures' AS origin, toxic AS label, count(*) AS n FROM labels WHERE doc_id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'scans', quality, count(*) FROM labels GROUP BY 2 UNION ALL SELECT 'synthetic', CAST(1 AS INTEGER), count(*) FROM benchmark""")
 def u8_training_union(spark, sf_dir):
     l, b = read(spark, sf_dir, "labels"), read(spark, sf_dir, "benchmark")
@@ -110,21 +82,21 @@ def u8_training_union(spark, sf_dir):
 
 
 @query(f"""WITH {LINES}, {MIXED}, w AS (SELECT file_id, line_no, text, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 19 PRECEDING AND 10 FOLLOWING), '') AS ctx FROM mixed)
-    SELECT file_id, line_no, CAST(regexp_matches(text, '\\$_(GET|POST|REQUEST|COOKIE)') AS INTEGER) AS direct_source, CAST(regexp_matches(text, '\\((int|integer|float|bool)\\)') AS INTEGER) AS type_cast, CAST(regexp_matches(text, '->(prepare|bindParam|bindValue)') AS INTEGER) AS prepared_stmt,
-      CAST(regexp_matches(ctx, '(in_array|filter_var|preg_match)\\s*\\(') AS INTEGER) AS validation, CAST(least(len(regexp_extract_all(ctx, '(^|[^A-Za-z_])(if|elseif|case|while|for|foreach)[^A-Za-z_]')) + 1, 20) AS INTEGER) AS complexity FROM w""")
+    SELECT file_id, line_no, CAST(regexp_matches(text, '\\$_(GET|POST|REQUEST|COOKIE)') AS INTEGER) AS has_direct_source, CAST(regexp_matches(text, '\\((int|integer|float|bool)\\)') AS INTEGER) AS type_cast_nearby, CAST(regexp_matches(text, '->(prepare|bindParam|bindValue)') AS INTEGER) AS prepared_stmt_nearby,
+      CAST(regexp_matches(ctx, '(in_array|filter_var|preg_match)\\s*\\(') AS INTEGER) AS validation_nearby, CAST(least(len(regexp_extract_all(ctx, '(^|[^A-Za-z_])(if|elseif|case|while|for|foreach)[^A-Za-z_]')) + 1, 50) AS INTEGER) AS cyclomatic_complexity FROM w""")
 def m1_features(spark, sf_dir):
     f = classify.features(F.col("text"), F.col("ctx"))
     w = mixed(spark, sf_dir).select("file_id", "line_no", "text", L.context("features").alias("ctx"))
-    return w.select("file_id", "line_no", *[f[n].cast("int").alias(n) for n in ("direct_source", "type_cast", "prepared_stmt", "validation", "complexity")])
+    return w.select("file_id", "line_no", *[f[n].cast("int").alias(n) for n in ("has_direct_source", "type_cast_nearby", "prepared_stmt_nearby", "validation_nearby", "cyclomatic_complexity")])
 
 
-@query("""WITH RECURSIVE c AS (SELECT DISTINCT user_id % 60 AS f, event_id % 60 AS g FROM events WHERE event_id % 23 = 0), d AS (SELECT DISTINCT f FROM c WHERE f % 13 = 5), k AS (SELECT f FROM d UNION SELECT c.f FROM k JOIN c ON c.g = k.f)
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT user_id AS f, event_id // 20 AS g FROM events), d AS (SELECT DISTINCT f FROM c WHERE f % 13 = 5), k AS (SELECT f FROM d UNION SELECT c.f FROM k JOIN c ON c.g = k.f)
     SELECT 'f' || f AS func, 0 AS idx, 'SQL_INJECTION' AS vuln_type FROM k""")
 def g20_project_summaries(spark, sf_dir):
     """Parameters that reach sinks through calls, from source files: parsed, interpreted, and joined to a fixed point."""
     i, u = F.col("event_id"), F.col("user_id")
-    body = F.array_join(F.transform(F.array_sort(F.collect_set(i % 60)), lambda x: F.concat(F.lit("f"), x.cast("string"), F.lit("($p);"))), " ")
-    code = read(spark, sf_dir, "events").where(i % 23 == 0).groupBy((u % 60).alias("file_id")).agg(body.alias("body"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_set(F.floor(i / 20))), lambda x: F.concat(F.lit("f"), x.cast("string"), F.lit("($p);"))), " ")
+    code = read(spark, sf_dir, "events").groupBy(u.alias("file_id")).agg(body.alias("body"))
     sink = F.when(F.col("file_id") % 13 == 5, "mysql_query($p);").otherwise("")
     files = code.select("file_id", F.concat(F.lit("<?php function f"), F.col("file_id").cast("string"), F.lit("($p) { "), "body", sink, F.lit(" }")).alias("code"))
     params = programs.function_rows(files).where("idx >= 0").select("file_id", F.col("name").alias("func"), "param", F.col("idx").alias("idx"))

@@ -63,10 +63,10 @@ def g28_types(spark, sf_dir):
     return programs.types(_nested(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT 'f' || (user_id % 60) AS caller, 'f' || (event_id % 60) AS callee FROM events) SELECT DISTINCT caller AS src, callee AS dst FROM c WHERE callee IN (SELECT caller FROM c)""")
+@query("""WITH c AS (SELECT 'f' || user_id AS caller, 'f' || (event_id // 20) AS callee FROM events) SELECT DISTINCT caller AS src, callee AS dst FROM c WHERE callee IN (SELECT caller FROM c)""")
 def g19_calls_by_parsing(spark, sf_dir):
     i, u = F.col("event_id"), F.col("user_id")
-    code = read(spark, sf_dir, "events").groupBy((u % 60).alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(i % 60)), lambda x: F.concat(F.lit("f"), x.cast("string"), F.lit("($p, 1);"))), " ").alias("body"))
+    code = read(spark, sf_dir, "events").groupBy(u.alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.floor(i / 20))), lambda x: F.concat(F.lit("f"), x.cast("string"), F.lit("($p, 1);"))), " ").alias("body"))
     files = code.select("file_id", F.concat(F.lit("<?php function f"), F.col("file_id").cast("string"), F.lit("($p) { "), "body", F.lit(" }")).alias("code"))
     c = programs.calls(files).where("idx = -1")
     return graphs.call_graph(c, programs.function_rows(files).where("name <> '{main}'"))

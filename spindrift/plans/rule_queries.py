@@ -38,22 +38,6 @@ def c2_c17_rules_on_lines(spark, sf_dir):
     return matching.hits(event_lines(spark, sf_dir), _PHP).drop("text")
 
 
-@query("""SELECT page_id, i AS start, regexp_matches(substr(html, greatest(1, i - 30), 30 + 20), 'track|style') AS is_fp, contains(lower(substr(html, greatest(1, i - 10), 30)), 'var') AS is_safe
-    FROM (SELECT page_id, html, CAST(instr(html, '<script') AS INTEGER) AS i FROM pages) WHERE i > 0""")
-def f10_f11_char_windows(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", "html", F.instr("html", "<script").alias("start")).where("start > 0")
-    at = lambda before, n: F.substring("html", F.greatest(F.lit(1), F.col("start") - before), F.lit(n))
-    return p.select("page_id", "start", at(30, 50).rlike("track|style").alias("is_fp"), F.contains(F.lower(at(10, 30)), F.lit("var")).alias("is_safe"))
-
-
-@query(f"""WITH {FILES}, c AS (SELECT file_id, code, len(string_split(code, chr(10))) AS n_lines FROM files) SELECT file_id, n_lines < 20 AND length(code) > 5000 AND (contains(lower(code), 'ioncube') OR contains(code, 'ea')) AS skipped,
-    NOT regexp_matches(code, '\\$_(GET|POST)') AND NOT contains(code, '%%%') AS quick_skip FROM c""")
-def f1_f6_file_gates(spark, sf_dir):
-    c = F.col("code")
-    gate = (F.size(F.split(c, "\n", -1)) < 20) & (F.length(c) > 5000) & (F.contains(F.lower(c), F.lit("ioncube")) | F.contains(c, F.lit("ea")))
-    return doc_files(spark, sf_dir).select("file_id", gate.alias("skipped"), (~c.rlike(r"\$_(GET|POST)") & ~F.contains(c, F.lit("%%%"))).alias("quick_skip"))
-
-
 _FP_TYPES = "CASE seq % 4 WHEN 0 THEN 'XSS' WHEN 1 THEN 'SQL_INJECTION' WHEN 2 THEN 'AUTH_BYPASS' ELSE 'SSRF' END"
 _FP = [r for r in rows("fp_rules") if r["name"] in ("prepared", "numeric_func", "escaped", "whitelist", "comment_line")]
 _FP_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){_sql(r['regex'])}')" + (f" AND vt IN ({', '.join(repr(t) for t in r['applies_to'])})" if r["applies_to"] else "") + f" THEN '{r['category']}' END" for r in _FP) + ")"
@@ -90,43 +74,6 @@ def f4_f7_f16_safe_context(spark, sf_dir):
     return w.select("file_id", "line_no", reason.alias("reason"), "sql_near")
 
 
-@query(f"""WITH {FILES}, f AS (SELECT file_id, regexp_matches(path, '(?i)[/\\\\](admin|src3|panel)[/\\\\]') AS admin_path, regexp_matches(array_to_string(string_split(code, chr(10))[1:50], chr(10)), '(?i)(idiot|moron)') AS admin_code FROM files) SELECT *, admin_path AND admin_code AS admin_only FROM f""")
-def f8_admin_files(spark, sf_dir):
-    head = F.array_join(F.slice(F.split("code", "\n", -1), 1, 50), "\n")
-    f = doc_files(spark, sf_dir).select("file_id", F.col("path").rlike(r"(?i)[/\\](admin|src3|panel)[/\\]").alias("admin_path"), head.rlike("(?i)(idiot|moron)").alias("admin_code"))
-    return f.withColumn("admin_only", F.col("admin_path") & F.col("admin_code"))
-
-
-@query(f"""WITH {ASSIGNS}, {SINKS}, a AS (SELECT s.*, count(x.line_no) AS n, count_if(x.source IS NULL) AS clean FROM sinks s LEFT JOIN assigns x ON x.file_id = s.file_id AND x.lhs = s.var AND x.line_no BETWEEN s.line_no - 99 AND s.line_no - 1 GROUP BY ALL)
-    SELECT file_id, line_no, var, n = 0 AS never_assigned, n > 0 AND clean = n AS internal FROM a""")
-def f13_f20_internal_source(spark, sf_dir):
-    from ..operators import taint
-
-    lines = event_lines(spark, sf_dir)
-    x = taint.assigns(lines).select(F.col("file_id").alias("k"), F.col("line_no").alias("l"), "lhs", F.col("source").isNull().alias("clean"))
-    s = taint.sink_hits(lines)
-    hit = (F.col("k") == F.col("file_id")) & (F.col("lhs") == F.col("var")) & F.col("l").between(F.col("line_no") - 99, F.col("line_no") - 1)
-    a = s.join(x, hit, "left").groupBy("file_id", "line_no", "var", "vuln_type").agg(F.count("l").alias("n"), F.count_if("clean").alias("c"))
-    return a.select("file_id", "line_no", "var", (F.col("n") == 0).alias("never_assigned"), ((F.col("n") > 0) & (F.col("c") == F.col("n"))).alias("internal"))
-
-
-@query(f"""WITH {FILES}, r AS (SELECT file_id, regexp_matches(path, 'src1') AS named, length(code) AS size, row_number() OVER (PARTITION BY regexp_matches(path, 'src1') ORDER BY path) AS rn FROM files)
-    SELECT file_id, named FROM r WHERE named OR (rn <= 100 AND size > 3000)""")
-def f21_t5_critical_files(spark, sf_dir):
-    f = doc_files(spark, sf_dir).select("file_id", "path", F.col("path").rlike("src1").alias("named"), F.length("code").alias("size"))
-    head = f.where("NOT named").orderBy("path").limit(100).where("size > 3000")
-    return f.where("named").unionByName(head).select("file_id", "named")
-
-
-@query(f"""WITH {FILES}, r AS (SELECT file_id, list_filter([CASE WHEN contains(code, 'idiot') THEN 'a' END, CASE WHEN contains(code, 'clown') THEN 'b' END, CASE WHEN CAST(contains(code, 'the') AS INT) + CAST(contains(code, 'und') AS INT) + CAST(contains(code, 'que') AS INT) >= 2 THEN 'c' END], lambda x: x IS NOT NULL) AS r FROM files)
-    SELECT file_id, array_to_string(r, ',') AS roles FROM r""")
-def f24_roles_prose(spark, sf_dir):
-    c = F.col("code")
-    two = sum((F.contains(c, F.lit(x)).cast("int") for x in ("the", "und", "que")), F.lit(0)) >= 2
-    r = F.array_compact(F.array(F.when(F.contains(c, F.lit("idiot")), "a"), F.when(F.contains(c, F.lit("clown")), "b"), F.when(two, "c")))
-    return doc_files(spark, sf_dir).select("file_id", F.array_join(r, ",").alias("roles"))
-
-
 _FW = [{"name": "alpha", "detect": ["the ", "and "]}, {"name": "beta", "detect": ["der ", "und ", "die "]}, {"name": "gamma", "detect": ["que ", "los "]}]
 _VOTE = ", ".join(f"({' + '.join(f'''CAST(contains(code, '{d}') AS INT)''' for d in r['detect'])}) AS {r['name']}" for r in _FW)
 
@@ -138,23 +85,17 @@ def a13_c8_frameworks(spark, sf_dir):
     return doc_files(spark, sf_dir).select("file_id", matching.framework_votes(c, _FW)["name"].alias("voted"), matching.frameworks(c, _FW).alias("first_"))
 
 
-@query(f"WITH {FILES} SELECT file_id, CAST(len(regexp_extract_all(code, 'th')) AS INTEGER) AS branches, CAST(least(len(regexp_extract_all(code, 'ing')), 20) AS INTEGER) AS capped, CAST(len(regexp_extract_all(lower(code), '[a-z]+')) AS INTEGER) AS tokens FROM files")
-def a23_m1_counts(spark, sf_dir):
-    c = F.col("code")
-    return doc_files(spark, sf_dir).select("file_id", F.regexp_count(c, F.lit("th")).alias("branches"), F.least(F.regexp_count(c, F.lit("ing")), F.lit(20)).alias("capped"), F.regexp_count(F.lower(c), F.lit("[a-z]+")).alias("tokens"))
-
-
 _M2 = """f AS (SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'SQL_INJECTION' WHEN 1 THEN 'XSS' ELSE 'SSRF' END AS vuln_type, event_id % 10 / 1e1 AS source_risk, event_id % 7 / 7e0 AS sink_danger, event_id % 2 AS sanitizer_type_match, event_id % 3 % 2 AS sanitizer_present, event_id % 5 % 2 AS prepared_stmt, event_id % 4 / 4 AS direct_source FROM events)"""
 
 
-@query(f"""WITH {_M2.replace("event_id % 4 / 4", "CAST(event_id % 4 = 0 AS INTEGER)")}, s AS (SELECT seq, greatest(0e0, least(1e0, CASE vuln_type WHEN 'SQL_INJECTION' THEN 5e-1 ELSE 45e-2 END + source_risk * 25e-2 + sink_danger * 2e-1 + CAST(sanitizer_type_match AS DOUBLE) * -55e-2
+@query(f"""WITH {_M2.replace("event_id % 4 / 4", "CAST(event_id % 4 = 0 AS INTEGER)")}, s AS (SELECT seq, greatest(0e0, least(1e0, CASE vuln_type WHEN 'XSS' THEN 4e-1 ELSE 45e-2 END + source_risk * 25e-2 + sink_danger * 2e-1 + CAST(sanitizer_type_match AS DOUBLE) * -55e-2
       + CASE WHEN vuln_type = 'SQL_INJECTION' THEN CAST(prepared_stmt AS DOUBLE) ELSE 0e0 END * -3e-1 + CASE WHEN sanitizer_type_match > 0 THEN 0e0 ELSE CAST(sanitizer_present AS DOUBLE) END * -1e-1 + CAST(direct_source AS DOUBLE) * 1e-1)) AS score FROM f)
     SELECT seq, round(score, 9) AS score, score > 45e-2 AS is_tp, round(least(1e0, abs(score - 45e-2) * 2), 9) AS certainty FROM s""")
 def m2_heuristic(spark, sf_dir):
     i = F.col("event_id")
     f = read(spark, sf_dir, "events").select(
         i.alias("seq"), F.when(i % 3 == 0, "SQL_INJECTION").when(i % 3 == 1, "XSS").otherwise("SSRF").alias("vuln_type"), (i % 10 / F.lit(10.0)).alias("source_risk"), (i % 7 / F.lit(7.0)).alias("sink_danger"),
-        (i % 2).alias("sanitizer_type_match"), (i % 3 % 2).alias("sanitizer_present"), (i % 5 % 2).alias("prepared_stmt"), (i % 4 == 0).cast("int").alias("direct_source"),
+        (i % 2).alias("sanitizer_type_match"), (i % 3 % 2).alias("sanitizer_present"), (i % 5 % 2).alias("prepared_stmt_nearby"), (i % 4 == 0).cast("int").alias("has_direct_source"),
     )
     return classify.heuristic(f).select("seq", F.round("score", 9).alias("score"), "is_tp", F.round("certainty", 9).alias("certainty"))
 

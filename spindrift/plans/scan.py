@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 from ..functions import score as S
 from ..functions import text as T
-from ..operators import joins, matching, ranking, taint
+from ..operators import joins, matching, ranking, stages, taint
+from ..operators.graphs import cut
 from ..sources import catalog
 
-ADMIN_PATH = r"(?i)[/\\](?:admin|backend|dashboard|panel|manage|administrator|moderator|staff|internal)[/\\]"
-ADMIN_CODE = r"(?i)\b(?:is_?admin|check_?admin|require_?admin|has_?permission|check_?permission)\s*\("
-AUTH = r"(?i)if\s*\([^)]*(?:logged|auth|admin|session)|->is(?:Admin|Authenticated|LoggedIn)\(|current_user_can\s*\(|check_permission\s*\("
+AUTH = r"(?i)\bif\s*\([^)]*(?:logged_?in|auth|admin|session|capab)|->is(?:Admin|Authenticated|LoggedIn)\(|\bcurrent_user_can\s*\(|\b(?:check|require)_(?:login|auth|permission)\s*\("
 STRONG, WEAK = r"\$_(GET|POST|REQUEST|COOKIE|FILES|SERVER)", r"(?i)\$(?:post|data|input|request|params|args|body)\s*\["
 CUSTOM = r"(?i)\b((?:my_|app_)?(?:sanitize|clean|escape|filter|safe)_?\w*)\s*\("
 #: For some types, what in the lines around rules a finding out.
@@ -39,10 +38,8 @@ MULTILINE_CONFIDENCE = 0.80
 def file_facts(files: DataFrame, rules_dir: str) -> DataFrame:
     """(file_id, framework, admin_path, admin_only) of each file that isn't obfuscated, with its code."""
     c = F.col("code")
-    packed = (F.size(F.split(c, "\n", -1)) < 20) & (F.length(c) > 5000) & c.rlike(r"\$_F=__FILE__|\$_X=|(?i:ioncube)|sg_load")
-    head = F.array_join(F.slice(F.split(c, "\n", -1), 1, 50), "\n")
-    admin = F.col("path").rlike(ADMIN_PATH)
-    return files.where(~packed).select("file_id", "code", matching.frameworks(c, catalog.rows("frameworks", rules_dir)).alias("framework"), admin.alias("admin_path"), (admin & head.rlike(ADMIN_CODE)).alias("admin_only"))
+    f = stages.admin_files(files.where(~stages.packed(c)))
+    return f.select("file_id", "code", matching.frameworks(c, catalog.rows("frameworks", rules_dir)).alias("framework"), "admin_path", "admin_only")
 
 
 def _flag(pattern: str, text: str = "text"):
@@ -52,7 +49,8 @@ def _flag(pattern: str, text: str = "text"):
 def scan(files: DataFrame, rules_dir: str = catalog.OWN) -> DataFrame:
     """files (file_id, path, code) to findings: file_id, line_no, vuln_type, severity, confidence, source, sanitizers, code, stage."""
     facts = file_facts(files, rules_dir)
-    lines = L.explode_lines(facts).withColumn("seq", F.col("line_no").cast("long"))
+    # written once, as rules, frames, assignments and sinks all read them
+    lines = cut(L.explode_lines(facts).withColumn("seq", F.col("line_no").cast("long")))
     sans = catalog.rows("sanitizers", rules_dir)
     called = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(\w+)\s*\("), 1), F.lower))
     w = {k: L.ordered().rowsBetween(*L.FRAMES[k]) for k in ("sanitizer", "custom_sanitizer", "source", "auth", "safe_context")}
@@ -77,7 +75,7 @@ def scan(files: DataFrame, rules_dir: str = catalog.OWN) -> DataFrame:
         safe = F.when(F.col("vuln_type") == t, F.col(f"safe_{t}")).otherwise(safe)
     fp = matching.fp_reason(F.col("text"), F.col("vuln_type"), catalog.rows("fp_rules", rules_dir))
     hits = hits.where(~F.col("in_comment") & ~safe & fp.isNull()).withColumns({"sources": sources, "sanitizers": F.array_union(right, F.col("custom"))})
-    assigned = taint.assigns(lines)
+    assigned = cut(taint.assigns(lines))
     used = hits.select("file_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\$([a-zA-Z]\w*)"), 1))).alias("var"))
     tracked = taint.backward(used, assigned)
     hits = hits.join(tracked, ["file_id", "line_no"], "left").fillna({"tainted": False, "sanitized": False, "hops": 0})

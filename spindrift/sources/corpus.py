@@ -10,8 +10,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Path segments that hold other people's code.
-VENDOR = ["vendor", "node_modules", "bower_components", ".git", ".svn", "__pycache__", "third_party", "thirdparty", "third-party", "libraries", "lib", "libs", "external", "ext", "packages", "dist", "build", "cache", "tests", "test"]
+#: Path segments that hold other people's code, and what tools leave.
+VENDOR = [
+    "vendor", "node_modules", "composer", "bower_components", "htmlpurifier", "phpseclib", "phpmailer", "guzzle", "guzzlehttp", "aws", "aws-sdk", "symfony", "laravel", "illuminate", "monolog", "psr", "doctrine", "twig", "swiftmailer",
+    "phpunit", "mockery", "fzaninotto", "fakerphp", "league", "nesbot", "carbon", "ramsey", "nikic", "paragonie", "defuse", "firebase", "google", ".git", ".svn", "__pycache__", "cache", "tmp",
+]
 
 
 def source_files(spark: SparkSession, path: str, pattern: str = "*.php") -> DataFrame:

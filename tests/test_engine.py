@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from spindrift.functions import lines as L
-from spindrift.operators import context, filters, graphs, learning, programs, ranking, reports
+from spindrift.operators import context, filters, graphs, learning, programs, ranking, reports, stages
 from spindrift.plans.finding_queries import repeated
 from spindrift.plans.program_queries import _labelled
 from spindrift.sources import catalog, corpus
@@ -32,8 +32,15 @@ def test_composer(spark):
 
 
 def test_catalog(spark):
-    assert catalog.catalog(spark, "sinks").count() == 120
-    assert catalog.sinks_of(spark, "XSS").count() == 6
+    sinks = catalog.catalog(spark, "sinks")
+    assert sinks.count() == len(catalog.rows("sinks")) > 150 and sinks.where("name IS NULL OR vuln_type IS NULL OR severity IS NULL OR cwe IS NULL OR arg IS NULL").count() == 0
+    assert catalog.sinks_of(spark, "XSS").where("name = 'echo'").count() == 1
+    assert catalog.is_sink(spark, "Mysqli_Query") and not catalog.is_sink(spark, "strlen")
+    assert (catalog.severity_of("XSS"), catalog.severity_of("NONE"), catalog.cwe_of("SSRF")) == ("HIGH", None, "CWE-918")
+    assert catalog.sources(spark).count() < catalog.sources(spark, live=False).count()
+    assert {r.rule_set: r.n for r in catalog.stats(spark).collect()}["sinks"] == sinks.count()
+    assert catalog.fp_rules_for(spark, "XSS").count() >= catalog.fp_rules_for(spark, "NO_SUCH").count() > 0
+    assert catalog.patterns_of(spark, "XSS").count() > 0 and catalog.frameworks(spark).count() == len(catalog.rows("frameworks"))
     assert catalog.sanitizers_for(spark, "XSS").where("name = 'htmlspecialchars'").count() == 1
 
 
@@ -204,3 +211,16 @@ def test_intermediate_tables_go(spark):
     assert kept.count() == 5 and not list(own.glob("gone-*"))
     tables.clean(spark)
     assert not own.exists()
+
+
+def test_versions_over_branches(spark):
+    code = "<?php\n$a = 1;\nif ($c) {\n$a = 2;\n} else {\n$a = 3;\n}\necho $a;\n$a = 4;"
+    got = programs.versions(spark.createDataFrame([(1, code)], "file_id long, code string")).where("var = 'a'").collect()
+    assert sorted(r.version for r in got) == list(range(5)) and [r.is_phi for r in got].count(True) == 1
+    by_line = {r.line: r.version for r in got if not r.is_phi}
+    assert by_line[2] == 0 and by_line[9] == max(by_line.values())
+
+
+def test_staged_without_stages(spark):
+    f = spark.createDataFrame([(1, 1, None, False, True, False, False, "k", "x")], "file_id long, line_no int, text string, in_comment boolean, tainted boolean, sanitized boolean, checked boolean, source_key string, near string")
+    assert [(r.is_fp, r.reason) for r in stages.zero_fp(f).collect()] == [(False, None)]
