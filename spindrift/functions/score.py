@@ -14,6 +14,10 @@ LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "not
 CWE = {"SQL_INJECTION": "CWE-89", "XSS": "CWE-79", "COMMAND_INJECTION": "CWE-78", "CODE_INJECTION": "CWE-94", "FILE_INCLUSION": "CWE-98", "SSRF": "CWE-918", "XXE": "CWE-611", "DESERIALIZATION": "CWE-502", "PATH_TRAVERSAL": "CWE-22"}
 
 
+#: Types of program findings that are critical when they're sure.
+CRITICAL_WHEN_SURE = ["SQL_INJECTION", "COMMAND_INJECTION", "CODE_INJECTION", "FILE_INCLUSION", "DESERIALIZATION"]
+
+
 def _d(x: float) -> Column:
     return F.lit(float(x))
 
@@ -69,3 +73,16 @@ def risk(critical: Column, high: Column, medium: Column, low: Column) -> Column:
 
 def risk_level(score: Column) -> Column:
     return F.when(score >= 75, "CRITICAL").when(score >= 50, "HIGH").when(score >= 25, "MEDIUM").otherwise("LOW")
+
+
+def program_severity(vuln_type: Column, confidence: Column) -> Column:
+    """Severity of what the front end finds: critical for some types from a confidence of .8, else high."""
+    return F.when(vuln_type.isin(CRITICAL_WHEN_SURE) & (confidence >= 0.8), "CRITICAL").otherwise("HIGH")
+
+
+def additive(direct: Column, in_function: Column, validated: Column, in_try: Column, partial: Column) -> Column:
+    """The two-pass line analysis' confidence: more for a source on the line, less for each thing that may guard it; partial counts sanitisers that leave something."""
+    c = _d(0.7) + F.when(direct, _d(0.2)).otherwise(_d(0))
+    for flag, less in ((in_function, 0.05), (validated, 0.15), (in_try, 0.05)):
+        c = c - F.when(flag, _d(less)).otherwise(_d(0))
+    return F.least(_d(1), F.greatest(_d(0.1), c - partial * _d(0.1)))

@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 64
+#: Rows that a catalog may have to be broadcast by hint.
+SMALL = 10_000
 
 
 def lookup(rows: DataFrame, catalog: DataFrame, on: str, default: dict) -> DataFrame:
-    """Left join to a small catalog, with defaults for what it lacks. The catalog is a rule set, of bounded size."""
-    return rows.join(F.broadcast(catalog), on, "left").fillna(default)
+    """Left join to a catalog, with defaults for what it lacks. It is broadcast if it is small; a large one is joined as Spark sees fit."""
+    return rows.join(F.broadcast(catalog) if small(catalog) else catalog, on, "left").fillna(default)
+
+
+def small(catalog: DataFrame) -> bool:
+    return catalog.limit(SMALL + 1).count() <= SMALL
 
 
 def containing(rows: DataFrame, catalog: DataFrame, name: Column, entry: Column, order: Column, keys: list[str]) -> DataFrame:
-    """The first catalog entry, in its order, that contains the name or is contained in it. The catalog is of bounded size."""
+    """The first catalog entry, in its order, that contains the name or is contained in it. Every name meets every entry, so the catalog must be small."""
+    if not small(catalog):
+        raise ValueError(f"a catalog for `containing` has {SMALL} rows at most")
     hit = (F.instr(name, entry) > 0) | (F.instr(entry, name) > 0)
     w = Window.partitionBy(*keys).orderBy(order)
     return rows.join(F.broadcast(catalog), hit).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
@@ -39,8 +47,9 @@ def near(points: DataFrame, others: DataFrame, key: str, at: str, other_at: str,
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, name: str, prefix: str, keys: list[str]) -> DataFrame:
-    """Each row with its longest prefix. A row is looked up once for each of its own prefixes' lengths: an equi-join."""
-    cuts = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(F.col(name), F.lit(1), i))
+    """Each row with its longest prefix. A row is looked up once for each length that some prefix has and that it is long enough for: an equi-join."""
+    lengths = sorted(r[0] for r in prefixes.select(F.length(prefix)).where(F.col(prefix).isNotNull()).distinct().collect())  # as many as the longest prefix has characters
+    cuts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda i: i <= F.length(name)), lambda i: F.substring(F.col(name), F.lit(1), i))
     found = rows.withColumn("__p", F.explode(cuts)).join(prefixes, F.col("__p") == F.col(prefix)).drop("__p")
     w = Window.partitionBy(*keys).orderBy(F.desc(F.length(prefix)))
     return found.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

@@ -65,6 +65,40 @@ def anomaly(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame
     return rows.crossJoin(F.broadcast(stats)).withColumn("anomaly", F.sqrt(sum(squares, F.lit(0.0)))).select(*rows.columns, "anomaly")  # stats is one row
 
 
+def importances(model: PipelineModel, features: list[str], n: int = 15) -> list[tuple[str, float]]:
+    """The n features that a tree model leans on most, with their shares."""
+    shares = model.stages[-1].featureImportances.toArray().tolist()
+    return sorted(zip(features, shares, strict=True), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def per_type(train: DataFrame, groups: dict[str, list[str]], features: list[str], vuln_type: str = "vuln_type", label: str = "label", least: int = 100) -> dict[str, PipelineModel]:
+    """A model of its own for each group of types with enough rows of both labels."""
+    sizes = {r[0]: (r["n"], r["y"]) for r in train.groupBy(group_of(groups, vuln_type).alias("g")).agg(F.count("*").alias("n"), F.sum(label).alias("y")).collect()}  # a row for each group
+    enough = [g for g in groups if g in sizes and sizes[g][0] >= least and 0 < sizes[g][1] < sizes[g][0]]
+    return {g: boosted(train.where(group_of(groups, vuln_type) == g), features, label) for g in enough}
+
+
+def group_of(groups: dict[str, list[str]], vuln_type: str = "vuln_type"):
+    out = F.lit("other")
+    for g, types in groups.items():
+        out = F.when(F.col(vuln_type).isin(types), g).otherwise(out)
+    return out
+
+
+def cross_validated(rows: DataFrame, features: list[str], label: str = "label", key: str = "id", folds: int = 3) -> list[float]:
+    """F2 of each fold, folds by a hash of the row's key."""
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    return [f2(scored(boosted(rows.where(F.col("fold") != k), features, label), rows.where(F.col("fold") == k)), 0.5, label) for k in range(folds)]
+
+
 def f2(scored_rows: DataFrame, threshold: float, label: str = "label", score: str = "ml_score") -> float:
     """F-measure in which recall weighs twice."""
     p, y = F.col(score) >= threshold, F.col(label) == 1

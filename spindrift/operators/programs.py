@@ -157,6 +157,12 @@ def findings(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OW
     return _each(files, "name string, line int, vuln_type string, sink string, confidence double, source string", lambda t: interpret.findings(t, rules), key)
 
 
+def passed(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -> DataFrame:
+    """(name, line, callee, idx, source): arguments of calls that a source, or a parameter of the function (param:its name), reaches uncleaned."""
+    rules = interpret.Rules.load(rules_dir)
+    return _each(files, "name string, line int, callee string, idx int, source string", lambda t: interpret.passed(t, rules), key)
+
+
 def types(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(name, var, types) of each function's variables; types sorted, joined by |."""
     return _each(files, "name string, var string, types string", lambda t: [(n, v, "|".join(sorted(k))) for n, _, body, _ in flow.functions(t) for v, k in sorted(interpret.types(body).items())], key)

@@ -97,3 +97,16 @@ def bands(scored: DataFrame, low: float = 0.3, high: float = 0.55) -> DataFrame:
     band = F.when(F.col("score") < low, "SAFE").when(F.col("score") < high, "SUSPICIOUS").otherwise("VULNERABLE")
     out = scored.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("truth") == 1).alias("tp"), F.count_if(F.col("truth") == 0).alias("fp"))
     return out.withColumn("tp_share", F.col("tp") * F.lit(100.0) / F.col("n"))
+
+
+def fenced_json(text: Column, schema: str) -> Column:
+    """The JSON that a verifier's answer holds: what stands between fences, or else from the first brace to the last; null if it can't be read."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.from_json(F.when(fenced != "", fenced).otherwise(F.nullif(bare, F.lit(""))), schema)
+
+
+def dated(findings: DataFrame, target: str, at: Column | None = None) -> DataFrame:
+    """One row for a report's head: scan_date (ISO 8601, UTC), target, and counts by severity."""
+    when = F.date_format(F.to_utc_timestamp(at if at is not None else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return findings.agg(*severity_counts()).select(when.alias("scan_date"), F.lit(target).alias("target"), "*")

@@ -43,7 +43,7 @@ def g11_dominators(spark, sf_dir):
     return per.groupBy("file_id").agg(F.sum("n").alias("edges"), F.count_if(F.col("n") > 1).alias("joins_"))
 
 
-@query()
+@query(f"WITH {LINES} SELECT file_id, '{{main}}' AS name, CAST(count_if(seq % 6 < 2 AND starts_with(text, '$')) AS INTEGER) AS phis FROM lines GROUP BY 1".replace("{{main}}", "{main}"))
 def g12_ssa_phis(spark, sf_dir):
     return programs.graphs(_nested(spark, sf_dir)).select("file_id", "name", "phis")
 
@@ -94,7 +94,16 @@ def st2_sessions(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count_if("fresh").alias("sessions"))
 
 
-@query()
+_HOPS = "".join(
+    f""", t{d} AS (SELECT s.file_id, s.lhs AS var, arg_min(t.origin, s.line_no) AS origin, min(s.line_no) AS line_no, {d} AS hops FROM steps s JOIN t{d - 1} t ON s.file_id = t.file_id AND s.rhs_var = t.var AND s.line_no >= t.line_no
+    WHERE {' AND '.join(f'(s.file_id, s.lhs) NOT IN (SELECT (file_id, var) FROM t{k})' for k in range(d))} GROUP BY 1, 2)"""
+    for d in range(1, 6)
+)
+
+
+@query(f"""WITH {ASSIGNS}, {SINKS}, steps AS (SELECT file_id, line_no, lhs, regexp_extract(rhs, '\\$(\\w+)', 1) AS rhs_var FROM assigns WHERE source IS NULL AND func IS NULL),
+    t0 AS (SELECT file_id, lhs AS var, arg_min(source, line_no) AS origin, min(line_no) AS line_no, 0 AS hops FROM assigns WHERE source IS NOT NULL GROUP BY 1, 2){_HOPS}, every AS ({' UNION ALL '.join(f'SELECT * FROM t{d}' for d in range(6))})
+    SELECT s.file_id, s.line_no, s.var, t.origin, t.hops FROM sinks s JOIN every t ON t.file_id = s.file_id AND t.var = s.var AND s.line_no > t.line_no""")
 def g18_regex_trace(spark, sf_dir):
     lines = event_lines(spark, sf_dir)
     return taint.flows(taint.closure(taint.assigns(lines), depth=5), taint.sink_hits(lines)).select("file_id", "line_no", "var", "origin", "hops")

@@ -184,3 +184,37 @@ def j13_g39_include_chains(spark, sf_dir):
 @query(f"WITH {FILES} SELECT file_id, list_aggregate(list_transform(string_split(substr(code, 1, 60), ''), lambda c: CASE WHEN contains('\\.^$|?*+()[]{{}}-', c) THEN '\\' || c ELSE c END), 'string_agg', '') AS pattern FROM files")
 def fn_regex_escape(spark, sf_dir):
     return doc_files(spark, sf_dir).select("file_id", stages.escaped(F.substring("code", 1, 60)).alias("pattern"))
+
+
+@query("""WITH g AS (SELECT event_id AS seq, event_id % 101 / 100e0 AS c, CASE event_id % 4 WHEN 0 THEN 'CODE_INJECTION' WHEN 1 THEN 'XSS' WHEN 2 THEN 'FILE_INCLUSION' ELSE 'SSRF' END AS vt, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 = 0 AS v, event_id % 7 = 0 AS t, event_id % 9 AS n FROM events)
+    SELECT seq, CASE WHEN vt IN ('CODE_INJECTION', 'FILE_INCLUSION') AND c >= 8e-1 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
+      round(least(1e0, greatest(1e-1, 7e-1 + CASE WHEN a THEN 2e-1 ELSE 0e0 END - CASE WHEN b THEN 5e-2 ELSE 0e0 END - CASE WHEN v THEN 15e-2 ELSE 0e0 END - CASE WHEN t THEN 5e-2 ELSE 0e0 END - n * 1e-1)), 9) AS confidence FROM g""")
+def p8_c19_scores(spark, sf_dir):
+    from ..functions import score as S
+
+    i = F.col("event_id")
+    vt = F.when(i % 4 == 0, "CODE_INJECTION").when(i % 4 == 1, "XSS").when(i % 4 == 2, "FILE_INCLUSION").otherwise("SSRF")
+    c = S.additive(i % 2 == 0, i % 3 == 0, i % 5 == 0, i % 7 == 0, i % 9)
+    return read(spark, sf_dir, "events").select(i.alias("seq"), S.program_severity(vt, i % 101 / F.lit(100.0)).alias("severity"), F.round(c, 9).alias("confidence"))
+
+
+@query("""WITH s AS (SELECT event_id AS seq, event_id % 101 / 100e0 AS score, CASE event_id % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'LOW' END AS severity, CASE event_id % 4 WHEN 0 THEN 'RCE' ELSE 'XSS' END AS vt, event_id % 5 = 0 AS safe FROM events)
+    SELECT seq, CASE WHEN score < 3e-1 THEN 'SAFE' WHEN score <= 55e-2 THEN 'SUSPICIOUS' ELSE 'VULNERABLE' END AS ml_class, CASE WHEN score >= 3e-1 AND score <= 55e-2 THEN CASE severity WHEN 'CRITICAL' THEN 'HIGH' WHEN 'HIGH' THEN 'MEDIUM' ELSE severity END ELSE severity END AS ml_severity
+    FROM s WHERE score > 45e-2 OR vt = 'RCE' AND NOT safe""")
+def m9_annotated(spark, sf_dir):
+    i = F.col("event_id")
+    s = read(spark, sf_dir, "events").select(
+        i.alias("seq"), (i % 101 / F.lit(100.0)).alias("score"), F.when(i % 3 == 0, "CRITICAL").when(i % 3 == 1, "HIGH").otherwise("LOW").alias("severity"), F.when(i % 4 == 0, "RCE").otherwise("XSS").alias("vuln_type"),
+        F.when(i % 5 == 0, "basename($f)").otherwise("x").alias("code"), F.lit(0.5).alias("certainty"), F.lit("").alias("reasons"),
+    ).withColumn("is_tp", F.col("score") > 0.45)
+    return classify.annotated(s).select("seq", "ml_class", "ml_severity")
+
+
+@query("SELECT event_id AS seq, CASE event_id % 3 WHEN 2 THEN NULL ELSE event_id % 2 = 0 END AS is_real FROM events")
+def fn_fenced_json(spark, sf_dir):
+    from ..operators import reports
+
+    i = F.col("event_id")
+    answer = F.concat(F.lit('{"is_real": '), (i % 2 == 0).cast("string"), F.lit("}"))
+    text = F.when(i % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), answer, F.lit("\n```\nfurther {text}"))).when(i % 3 == 1, F.concat(F.lit("I say "), answer, F.lit("."))).otherwise("none")
+    return read(spark, sf_dir, "events").select(i.alias("seq"), reports.fenced_json(text, "is_real boolean")["is_real"].alias("is_real"))

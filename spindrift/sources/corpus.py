@@ -35,6 +35,14 @@ def first_files(files: DataFrame, n: int, path_col: str = "path") -> DataFrame:
     return files.orderBy(path_col).limit(n)
 
 
+def prior_findings(spark: SparkSession, path: str, label: int | None = None) -> DataFrame:
+    """Findings of earlier scans, a JSON document each: (target, file, line, type, severity, confidence, code, label). A percentage becomes a share."""
+    schema = "target string, findings array<struct<type: string, severity: string, line: int, code: string, file: string, confidence: string>>"
+    one = spark.read.schema(schema).option("multiLine", True).json(path).select("target", F.explode("findings").alias("f"))
+    share = F.try_to_number(F.regexp_replace("f.confidence", "%", ""), F.lit("999")).cast("double") / 100
+    return one.select("target", "f.file", "f.line", "f.type", "f.severity", share.alias("confidence"), "f.code", F.lit(label).cast("int").alias("label"))
+
+
 def labelled(files: DataFrame, path_col: str = "path") -> DataFrame:
     """label by directory or name: 0 for what is known to be safe, 1 for what is known to be vulnerable, null for mixed."""
     p = F.lower(F.col(path_col))
