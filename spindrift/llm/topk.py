@@ -21,8 +21,8 @@ from .shared import rows_of
 
 SCALE = 1024
 BINS = 64
-#: Queries that are broadcast at a time.
-BLOCK = 1024
+#: Queries that are broadcast at a time, and scores that a Python worker holds of them at a time.
+BLOCK, SCORES = 8192, 1 << 21
 _EXACT = 2**53
 
 
@@ -70,7 +70,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def ranges(batches):
         low, high, total = np.full(n, 2**63 - 1), np.full(n, -(2**63)), np.zeros(n, np.int64)
-        for b in rows_of(batches, 2048):
+        for b in rows_of(batches, max(16, SCORES // max(n, 1))):
             for _, at, s, counts in sent.value.scores(b):
                 low[at] = np.minimum(low[at], np.where(counts, s, 2**63 - 1).min(axis=0))
                 high[at] = np.maximum(high[at], np.where(counts, s, -(2**63)).max(axis=0))
@@ -92,7 +92,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def counts_(batches, state=state):
             low, high, width, done = state.value
             total = np.zeros((n, BINS), np.int64)
-            for b in rows_of(batches, 2048):
+            for b in rows_of(batches, max(16, SCORES // max(n, 1))):
                 for _, at, s, counts in sent.value.scores(b):
                     bins = (s - low[at]) // width[at]
                     good = counts & (s >= low[at]) & (s <= high[at]) & ~done[at]
@@ -120,7 +120,7 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """Scores from the kth upwards; of the equal ones, those of the least ids that this task has, as many as are wanted."""
         low, room = last.value
         ties: dict[int, list[int]] = {}
-        for b in rows_of(batches, 2048):
+        for b in rows_of(batches, max(16, SCORES // max(n, 1))):
             for ids, at, s, counts in sent.value.scores(b):
                 r, c = np.nonzero(counts & (s > low[at]))
                 if len(r):
