@@ -123,16 +123,22 @@ def j20_auth_gaps(spark, sf_dir):
     return context.auth_gaps(read(spark, sf_dir, "events").select(F.floor(i / 3).alias("file_id"), role.alias("role")).distinct())
 
 
-@query("""WITH p(path, field, rule, safe_for) AS (VALUES ('a', 'id', 'integer', 'COMMAND_INJECTION,SQL_INJECTION,XSS'), ('a', 'mail', 'email', 'SQL_INJECTION'), ('a', 'kind', 'in', 'FILE_INCLUSION,SQL_INJECTION,XSS')) SELECT * FROM p""")
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents), r AS (SELECT doc_id, 'f' || doc_id AS field, CASE k WHEN 0 THEN 'integer' WHEN 1 THEN 'email' WHEN 2 THEN 'in' END AS rule FROM d UNION ALL SELECT doc_id, 'u', 'uuid' FROM d WHERE doc_id % 3 = 0)
+    SELECT CAST(doc_id AS VARCHAR) AS path, field, rule, CASE rule WHEN 'integer' THEN 'COMMAND_INJECTION,SQL_INJECTION,XSS' WHEN 'email' THEN 'SQL_INJECTION' WHEN 'in' THEN 'FILE_INCLUSION,SQL_INJECTION,XSS' ELSE 'SQL_INJECTION,XSS' END AS safe_for FROM r WHERE rule IS NOT NULL""")
 def g37_validated_fields(spark, sf_dir):
-    files = spark.createDataFrame([("a", "$r->validate([\n'id' => 'required|integer|min:1', 'mail' => 'email',\n\"kind\" => \"in:x,y\", 'n' => 'string'\n]);"), ("b", "x")], "path string, code string")
+    i = F.col("doc_id")
+    rule = F.when(i % 4 == 0, "required|integer|min:1").when(i % 4 == 1, "email").when(i % 4 == 2, "in:x,y").otherwise("string")
+    other = F.when(i % 3 == 0, ", \"u\" => \"nullable|uuid\"").otherwise("")
+    code = F.concat(F.lit("<?php\n$r->validate([\n'f"), i.cast("string"), F.lit("' => '"), rule, F.lit("'"), other, F.lit("]);"))
+    files = read(spark, sf_dir, "documents").select(i.cast("string").alias("path"), code.alias("code"))
     return context.validated_fields(files).select("path", "field", "rule", F.array_join(F.array_sort("safe_for"), ",").alias("safe_for"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'auth'), ('a', 'verified'), ('a', 'throttle:6')) t(path, name)")
+@query("WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 3 AS k FROM documents) SELECT path, unnest(CASE k WHEN 0 THEN ['auth', 'verified'] WHEN 1 THEN ['throttle:6', 'auth'] ELSE [] END) AS name FROM d")
 def g37_middleware(spark, sf_dir):
-    files = spark.createDataFrame([("a", "Route::get('/x')->middleware(['auth', 'verified']); Route::get('/y')->middleware('throttle:6');"), ("b", "x")], "path string, code string")
-    return context.middleware(files)
+    k = F.col("doc_id") % 3
+    code = F.when(k == 0, "Route::get('/x')->middleware(['auth', 'verified']);").when(k == 1, "Route::get('/y')->middleware('throttle:6'); Route::get('/z')->middleware( \"auth\" );").otherwise("x")
+    return context.middleware(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), code.alias("code")))
 
 
 @query("""WITH g AS (SELECT event_id AS seq, event_id % 2 = 0 AS nosrc, event_id % 3 AS n, event_id % 5 < 2 AS fw, event_id % 7 < 3 AS orm, event_id % 11 = 0 AS auth FROM events)
@@ -142,11 +148,19 @@ def c18_multiplicative(spark, sf_dir):
     return read(spark, sf_dir, "events").select(i.alias("seq"), context.multiplicative(i % 2 == 0, i % 3, i % 5 < 2, i % 7 < 3, i % 11 == 0).alias("confidence"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'INT'), (2, 'ARRAY,BOOL,CALLABLE,FLOAT,NULL,OBJECT,RESOURCE,STRING'), (3, 'FLOAT,INT'), (4, 'NULL'), (5, 'OBJECT'), (6, 'ARRAY,BOOL,CALLABLE,FLOAT,INT,OBJECT,RESOURCE,STRING'), (7, 'ARRAY,BOOL,CALLABLE,FLOAT,INT,NULL,OBJECT,RESOURCE,STRING')) t(id, types)""")
+#: (condition, whether its false branch is meant, the types that it leaves)
+NARROWINGS = [
+    ("is_int($x)", False, "INT"), ("!is_int($x)", False, "ARRAY,BOOL,CALLABLE,FLOAT,NULL,OBJECT,RESOURCE,STRING"), ("is_numeric($x)", False, "FLOAT,INT"), ("isset($x)", True, "NULL"), ("$x instanceof A", False, "OBJECT"),
+    ("$x === null", True, "ARRAY,BOOL,CALLABLE,FLOAT,INT,OBJECT,RESOURCE,STRING"), ("$x > 3", False, "ARRAY,BOOL,CALLABLE,FLOAT,INT,NULL,OBJECT,RESOURCE,STRING"),
+]
+
+
+@query("SELECT event_id AS seq, CASE event_id % 7 " + " ".join(f"WHEN {k} THEN '{t}'" for k, (_, _, t) in enumerate(NARROWINGS)) + " END AS types FROM events")
 def g29_narrowing(spark, sf_dir):
-    rows = [(1, "is_int($x)", False), (2, "!is_int($x)", False), (3, "is_numeric($x)", False), (4, "isset($x)", True), (5, "$x instanceof A", False), (6, "$x === null", True), (7, "$x > 3", False)]
-    t = spark.createDataFrame(rows, "id int, c string, neg boolean")
-    return t.select("id", F.array_join(context.narrowed(F.col("c"), F.col("neg")), ",").alias("types"))
+    i, text, negated = F.col("event_id"), F.lit(None).cast("string"), F.lit(False)
+    for k, (condition, neg, _) in enumerate(NARROWINGS):
+        text, negated = F.when(i % 7 == k, condition).otherwise(text), F.when(i % 7 == k, neg).otherwise(negated)
+    return read(spark, sf_dir, "events").select(i.alias("seq"), F.array_join(context.narrowed(text, negated), ",").alias("types"))
 
 
 _ML = "m AS (SELECT event_id AS seq, event_id % 10 / 1e1 AS ml_score, CASE event_id % 3 WHEN 0 THEN 'SAFE' WHEN 1 THEN 'VULN' END AS ml_class, event_id % 9 / 9e0 AS ml_prob, CASE WHEN event_id % 4 > 0 THEN 'GET' END AS source, event_id % 8 = 0 AS verified FROM events)"

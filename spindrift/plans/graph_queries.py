@@ -125,11 +125,11 @@ def g26_cross_file_flows(spark, sf_dir):
     return got.select("source_file", "sink_file", "name", F.round("confidence", 2).alias("confidence"))
 
 
-@query("WITH l(v) AS (VALUES (0), (1), (2), (3), (4)) SELECT a.v AS a, b.v AS b, greatest(a.v, b.v) AS join_, least(a.v, b.v) AS meet_, CASE WHEN b.v > a.v THEN 4 ELSE a.v END AS widen_ FROM l a CROSS JOIN l b")
+@query("WITH l AS (SELECT event_id AS seq, CAST(event_id % 5 AS INTEGER) AS a, CAST(event_id // 5 % 5 AS INTEGER) AS b FROM events) SELECT seq, greatest(a, b) AS join_, least(a, b) AS meet_, CASE WHEN b > a THEN 4 ELSE a END AS widen_ FROM l")
 def g14_lattice(spark, sf_dir):
-    t = spark.createDataFrame([(a, b) for a in range(5) for b in range(5)], "a int, b int")
-    a, b = F.col("a"), F.col("b")
-    return t.select("a", "b", lattice.join(a, b).alias("join_"), lattice.meet(a, b).alias("meet_"), lattice.widen(a, b).alias("widen_"))
+    i = F.col("event_id")
+    a, b = (i % 5).cast("int"), (F.floor(i / 5) % 5).cast("int")
+    return read(spark, sf_dir, "events").select(i.alias("seq"), lattice.join(a, b).alias("join_"), lattice.meet(a, b).alias("meet_"), lattice.widen(a, b).alias("widen_"))
 
 
 _SETS = """s AS (SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN ['SQL', 'XSS'] WHEN 1 THEN ['XSS'] WHEN 2 THEN ['CMD', 'SQL', 'XSS'] ELSE [] END AS types, CASE event_id % 3 WHEN 0 THEN ['XSS'] WHEN 1 THEN ['SQL', 'CMD'] ELSE [] END AS san,
@@ -178,11 +178,20 @@ def u7_a10_merge_states(spark, sf_dir):
     return got.select("var", "level", F.array_join("types", ",").alias("types"), F.array_join("sanitized", ",").alias("sanitized"))
 
 
-@query(r"""WITH p(id, prefix, vt) AS (VALUES (1, 'SELECT a FROM t WHERE x = ', 'SQL_INJECTION'), (2, 'SELECT a FROM ', 'SQL_INJECTION'), (3, 'SELECT ', 'SQL_INJECTION'), (4, '<!-- ', 'XSS'), (5, '<a href="', 'XSS'), (6, '<p>', 'XSS'), (7, '', 'COMMAND_INJECTION'), (8, 'ls -l ', 'COMMAND_INJECTION'), (9, 'ls', 'COMMAND_INJECTION'), (10, 'x', 'SSRF'))
-    SELECT id, CASE vt WHEN 'SQL_INJECTION' THEN CASE WHEN regexp_matches(prefix, '(?i)\b(where|and|or|having|set|values)\b[^;]*$') THEN 'high' WHEN regexp_matches(prefix, '(?i)\b(from|into|table|join)\s*$') THEN 'medium' ELSE 'low' END
-      WHEN 'XSS' THEN CASE WHEN regexp_matches(prefix, '<!--[^>]*$') THEN 'safe' WHEN regexp_matches(prefix, '(?i)<[a-z][^>]*=\s*["'']?[^"''>]*$') THEN 'high' ELSE 'medium' END
-      WHEN 'COMMAND_INJECTION' THEN CASE WHEN trim(prefix) = '' THEN 'high' WHEN regexp_matches(prefix, '\s$') THEN 'medium' ELSE 'low' END ELSE 'medium' END AS exposure FROM p""")
+#: (literal text before what is tainted, type, how exposed it is)
+POSITIONS = [
+    ("SELECT a FROM t WHERE x = ", "SQL_INJECTION", "high"), ("SELECT a FROM ", "SQL_INJECTION", "medium"), ("SELECT ", "SQL_INJECTION", "low"), ("<!-- ", "XSS", "safe"), ('<a href="', "XSS", "high"), ("<p>", "XSS", "medium"),
+    ("", "COMMAND_INJECTION", "high"), ("ls -l ", "COMMAND_INJECTION", "medium"), ("ls", "COMMAND_INJECTION", "low"), ("x", "SSRF", "medium"),
+]
+
+
+@query("SELECT event_id AS seq, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{e}'" for k, (_, _, e) in enumerate(POSITIONS)) + " END AS exposure FROM events")
 def g31_string_positions(spark, sf_dir):
-    rows = [(1, "SELECT a FROM t WHERE x = ", "SQL_INJECTION"), (2, "SELECT a FROM ", "SQL_INJECTION"), (3, "SELECT ", "SQL_INJECTION"), (4, "<!-- ", "XSS"), (5, '<a href="', "XSS"), (6, "<p>", "XSS"), (7, "", "COMMAND_INJECTION"), (8, "ls -l ", "COMMAND_INJECTION"), (9, "ls", "COMMAND_INJECTION"), (10, "x", "SSRF")]
-    t = spark.createDataFrame([(i, [(p[:3], False), (p[3:], False), (None, True), ("tail", False)], v) for i, p, v in rows], "id int, fragments array<struct<value: string, tainted: boolean>>, vt string")
-    return t.select("id", lattice.sink_position(lattice.first_tainted_prefix(F.col("fragments")), F.col("vt")).alias("exposure"))
+    """Prefixes are cut in two at a place that depends on the row, so that fragments have to be put together."""
+    i, prefix, kind = F.col("event_id"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (text, vuln_type, _) in enumerate(POSITIONS):
+        prefix, kind = F.when(i % 10 == k, text).otherwise(prefix), F.when(i % 10 == k, vuln_type).otherwise(kind)
+    at = (i % 7).cast("int")
+    fragment = lambda value, tainted: F.struct(value.alias("value"), F.lit(tainted).alias("tainted"))
+    parts = F.array(fragment(F.substring(prefix, F.lit(1), at), False), fragment(F.substring(prefix, at + 1, F.lit(1000)), False), fragment(F.lit(None).cast("string"), True), fragment(F.lit("tail"), False))
+    return read(spark, sf_dir, "events").select(i.alias("seq"), lattice.sink_position(lattice.first_tainted_prefix(parts), kind).alias("exposure"))
