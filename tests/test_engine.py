@@ -124,9 +124,9 @@ def test_long_chains_and_cycles(spark):
     import random
 
     random.seed(3)
-    order = random.sample(range(1000), 120)
+    order = random.sample(range(1000), 60)
     pairs = list(zip(order, order[1:] + order[:1], strict=True))  # one cycle
-    pairs += [(2000 + i, 2001 + i) for i in range(40)] + [(2040, order[0]), (order[5], 3000), (3000, 3001), (3001, 3000), (7, 7)]  # a chain into it, a small cycle out of it
+    pairs += [(2000 + i, 2001 + i) for i in range(12)] + [(2012, order[0]), (order[5], 3000), (3000, 3001), (3001, 3000), (7, 7)]  # a chain into it, a small cycle out of it
     pairs += [(random.randrange(4000, 4060), random.randrange(4000, 4060)) for _ in range(80)]
     far = reached(pairs)
     nodes = {x for p in pairs for x in p}
@@ -137,12 +137,12 @@ def test_long_chains_and_cycles(spark):
 
 
 def test_calls_of_any_depth(spark):
-    n = 60
+    n = 25
     direct = spark.createDataFrame([(f"f{n}", 0, "XSS")], "func string, idx int, vuln_type string")
     passes = spark.createDataFrame([(f"f{i}", 0, f"f{i + 1}", 0) for i in range(n)] + [("g", 1, "f0", 1)], "func string, idx int, callee string, callee_idx int")
     assert {r.func for r in graphs.params_to_sinks(direct, passes).collect()} == {f"f{i}" for i in range(n + 1)}
-    e = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
-    assert max(graphs.shortest_paths(e, e.where("src = 0")).collect(), key=lambda r: r.depth).path == list(range(31))
+    e = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    assert max(graphs.shortest_paths(e, e.where("src = 0")).collect(), key=lambda r: r.depth).path == list(range(13))
 
 
 def test_points_to_with_fields(spark):
