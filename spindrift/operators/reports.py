@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,3 +111,8 @@ def dated(findings: DataFrame, target: str, at: Column | None = None) -> DataFra
     """One row for a report's head: scan_date (ISO 8601, UTC), target, and counts by severity."""
     when = F.date_format(F.to_utc_timestamp(at if at is not None else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return findings.agg(*severity_counts()).select(when.alias("scan_date"), F.lit(target).alias("target"), "*")
+
+
+def json_line(finding: dict) -> str:
+    """A finding as one line of JSON, confidence as a percentage."""
+    return json.dumps({**finding, "confidence": f"{finding['confidence']:.0%}"}, ensure_ascii=False, sort_keys=True)
