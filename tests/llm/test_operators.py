@@ -527,3 +527,65 @@ def test_words_are_pythons(spark):
     stream, *_ = line_dedup.tokens(pa.array([" ".join(own)]))
     hashes = stream.runs(np.arange(len(own)), np.arange(1, len(own) + 1)).tolist()
     assert len(set(hashes)) == 5 and hashes[:7] == hashes[7:14] == hashes[14:] and hashes[0] == hashes[3]
+
+
+def test_packing_of_odd_texts(spark):
+    """Every id is packed once, whatever white space, marks and special tokens a text has; texts of every length around a window's."""
+    random.seed(15)
+    library = Tokenizer.from_file(PATH)
+    parts = ["a", "the", "  ", " ", "\n", "\t", "'s", "'ll", "9", "é", "日本", " ", "\xa0", "\x1c", "<|endoftext|>", "!?", "😀", "_", " 'd", "\r\n", "́", "\x00"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 60))) for _ in range(400)] + [" the" * n for n in (1022, 1023, 1024, 1025, 2046, 2047, 2048, 47, 48)]
+    by_id = defaultdict(list)
+    for r in packing.pack(docs_of(spark, list(enumerate(texts))), PATH).collect():
+        by_id[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        raw, end = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes(), 0
+        for r in sorted(by_id[i], key=lambda r: r.start):
+            assert r.start == end and r.length > 0 and r.doc_tokens == len(raw) // 4
+            assert r.ids_crc32 == zlib.crc32(raw[4 * r.start : 4 * (r.start + r.length)])
+            end += r.length
+        assert end == len(raw) // 4
+
+
+def slow_differencing(sizes, windows):
+    """Karmarkar-Karp by its definition: the two partial partitions of the largest imbalance are merged, fullest with emptiest; the sums that are left."""
+    parts = [[s] + [0] * (windows - 1) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0] - p[-1])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return parts[0]
+
+
+def test_differencing_is_as_even_as_by_definition():
+    rng = np.random.default_rng(16)
+    for _ in range(40):
+        sizes, windows = rng.integers(1, 900, rng.integers(2, 60)), int(rng.integers(2, 9))
+        sums = np.bincount(packing.differencing(sizes, windows), sizes, windows)
+        slow = slow_differencing(sizes.tolist(), windows)
+        assert sums.sum() == sum(slow) and sums.max() - sums.min() <= slow[0] - slow[-1] + sizes.min()
+
+
+def slow_ftrl(rows, epochs):
+    """FTRL-proximal with a dictionary for each of its sums, by the published formulas."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k, l1, l2: 0.0 if abs(z[k]) <= l1 else -(z[k] - (l1 if z[k] > 0 else -l1)) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + l2)
+    of = lambda k: weight(k, 0.0, 0.0) if k == "bias" else weight(k, toxicity.L1, toxicity.L2)
+    for _ in range(epochs):
+        for at, y in rows:
+            keys = [*at.tolist(), "bias"]
+            w = {k: of(k) for k in keys}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for k in keys:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    return {k: of(k) for k in z if k != "bias" and of(k)}, of("bias")
+
+
+def test_ftrl_by_its_formulas():
+    rng = np.random.default_rng(17)
+    rows = [(np.unique(np.concatenate([rng.integers(0, 500, 20), [7, 8] if y else [9]])), int(y)) for y in rng.random(300) < 0.3]
+    at, w, bias = toxicity.fit(rows, 3)
+    want, want_bias = slow_ftrl(rows, 3)
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(want_bias)
+    assert 0 < len(want) < 400
