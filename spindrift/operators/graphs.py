@@ -72,22 +72,28 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return known.rows
 
 
-def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, least): the least node that reaches each node, itself included.
+def _least_around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, before, after): the least node that reaches each node and the least one that it reaches, itself included.
 
-    A round hands labels on over edges and then jumps: whatever reaches a node's label reaches the node. So labels travel
-    twice as far in each round where they can.
+    Both directions go through the same rounds. A round hands labels on over edges and then jumps: whatever reaches a
+    node's label reaches the node. So labels travel twice as far in each round where they can.
     """
-    now = cut(nodes.select("node", F.col("node").alias("least")))
+    both = edges.select("src", "dst", F.lit(False).alias("back")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back")))
+    both = cut(both)
+    now = cut(nodes.select("node", F.explode(F.array(F.lit(False), F.lit(True))).alias("back"), F.col("node").alias("least")))
+    kind = now.schema["least"].dataType
     while True:
-        handed = edges.join(now, edges["src"] == now["node"]).select(F.col("dst").alias("node"), "least", F.lit(None).cast(now.schema["least"].dataType).alias("own"))
-        better = handed.unionByName(now.withColumn("own", F.col("least"))).groupBy("node").agg(F.min("least").alias("least"), F.max("own").alias("own"))
-        jump = now.select(F.col("node").alias("least"), F.col("least").alias("over"))
-        new = cut(better.join(jump, "least", "left").select("node", F.least("least", "over").alias("least"), "own"))
+        own = now.select("node", "back", "least", F.col("least").alias("own"))
+        handed = both.join(now.withColumnRenamed("node", "src"), ["src", "back"]).select(F.col("dst").alias("node"), "back", "least", F.lit(None).cast(kind).alias("own"))
+        better = handed.unionByName(own).groupBy("node", "back").agg(F.min("least").alias("least"), F.max("own").alias("own"))
+        jump = now.select(F.col("node").alias("least"), "back", F.col("least").alias("over"))
+        new = cut(better.join(jump, ["least", "back"], "left").select("node", "back", F.least("least", "over").alias("least"), "own"))
         dropped(now)
-        now = new.select("node", "least")
+        now = new.select("node", "back", "least")
         if new.where("least <> own").isEmpty():
-            return now
+            dropped(both)
+            side = lambda back: F.max(F.when(F.col("back") == back, F.col("least")))
+            return now.groupBy("node").agg(side(False).alias("before"), side(True).alias("after"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -105,14 +111,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         alone = nodes.join(own, "node", "left_anti").select("node", F.col("node").alias("scc"))  # no edge is left
         if e.isEmpty():
             return alone if done is None else done.unionByName(alone)
-        own = cut(own)
-        before = _least_before(e, own)
-        after = _least_before(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), own).withColumnRenamed("least", "after")
-        both = cut(before.join(after, "node"))
-        found = cut(both.where("least = after").select("node", F.col("least").alias("scc")).unionByName(alone))
-        done = found if done is None else cut(done.unionByName(found))
-        nodes = cut(both.where("least <> after").select("node"))
-        side = lambda c, n: both.where("least <> after").select(F.col("node").alias(c), F.struct("least", "after").alias(n))  # noqa: E731, B023
+        both = cut(_least_around(e, own))
+        found = both.where("before = after").select("node", F.col("before").alias("scc")).unionByName(alone)
+        done = cut(found if done is None else done.unionByName(found))
+        left = both.where("before <> after")
+        nodes = left.select("node")
+        side = lambda c, n: left.select(F.col("node").alias(c), F.struct("before", "after").alias(n))  # noqa: E731, B023
         e = cut(e.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("a = b").select("src", "dst"))
 
 

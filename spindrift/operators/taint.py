@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,28 +103,27 @@ def backward(hits: DataFrame, assigned: DataFrame, depth: int = 7, step: int = 1
     """For each hit (key, line_no, var): tainted, sanitized, hops, by following assignments backwards.
 
     At depth d the lines from 10*d above the hit on are open; an assignment to a tracked variable adds the variables it
-    takes. hops is the largest depth at which a source is met.
+    takes. hops is the least depth at which a source is met, plus one. A hit sees the assignments of so many lines above
+    it by one window, and all depths are steps of one expression over them: one shuffle, no rounds.
     """
-    a = cut(
-        assigned.select(
-            F.col(key).alias("k"), F.col("line_no").alias("l"), "lhs", F.col("source").isNotNull().alias("src"), sanitising(F.col("func")).alias("san"), F.array_distinct(F.regexp_extract_all("rhs", F.lit(r"\$([a-zA-Z]\w*)"), 1)).alias("vars")
+    vars_ = F.array_distinct(F.regexp_extract_all("rhs", F.lit(r"\$([a-zA-Z]\w*)"), 1))
+    one = F.struct(F.col("line_no").alias("l"), "lhs", F.col("source").isNotNull().alias("src"), sanitising(F.col("func")).alias("san"), vars_.alias("vars"))
+    a = assigned.select(key, "line_no", one.alias("a"), F.lit(None).cast("array<string>").alias("tracked"))
+    h = hits.groupBy(key, "line_no").agg(F.collect_set("var").alias("tracked")).select(key, "line_no", F.lit(None).cast(a.schema["a"].dataType).alias("a"), "tracked")
+    w = Window.partitionBy(key).orderBy("line_no").rangeBetween(-step * (depth - 1), -1)
+    seen = a.unionByName(h).withColumn("near", F.collect_list("a").over(w)).where("tracked IS NOT NULL")
+    state = lambda tracked, tainted, sanitized, hops: F.struct(tracked.alias("tracked"), tainted.alias("tainted"), sanitized.alias("sanitized"), hops.alias("hops"))
+
+    def deeper(s: Column, d: Column) -> Column:
+        met = F.filter("near", lambda x: (x["l"] >= F.col("line_no") - d * step) & F.array_contains(s["tracked"], x["lhs"]))
+        add = lambda m: state(
+            F.array_union(s["tracked"], F.flatten(F.transform(m, lambda x: x["vars"]))), s["tainted"] | F.exists(m, lambda x: x["src"]), s["sanitized"] | F.exists(m, lambda x: x["san"]), F.when((s["hops"] == 0) & F.exists(m, lambda x: x["src"]), d + 1).otherwise(s["hops"])
         )
-    )
-    # what is tracked, with the line that its assignments have been looked for down to: a round looks on from there
-    known = cut(hits.select(key, "line_no", F.col("var").alias("tracked")).distinct().withColumn("upto", F.col("line_no")))
-    met = []
-    for d in range(1, depth):
-        low = F.col("line_no") - step * d
-        hit = (F.col("k") == F.col(key)) & (F.col("lhs") == F.col("tracked")) & (F.col("l") < F.col("upto")) & (F.col("l") >= low)
-        got = cut(known.join(a, hit).select(key, "line_no", "src", "san", "vars", F.lit(d + 1).alias("depth")))
-        met.append(got.select(key, "line_no", "src", "san", "depth"))
-        if d + 1 < depth:
-            more = got.select(key, "line_no", F.explode("vars").alias("tracked")).distinct().join(known, [key, "line_no", "tracked"], "left_anti")
-            known = cut(known.select(key, "line_no", "tracked", low.alias("upto")).unionByName(more.withColumn("upto", F.col("line_no"))))
-    every = reduce(DataFrame.unionByName, met)
-    sums = every.groupBy(key, "line_no").agg(F.bool_or("src").alias("tainted"), F.bool_or("san").alias("sanitized"), F.coalesce(F.min(F.when(F.col("src"), F.col("depth"))), F.lit(0)).alias("hops"))
-    lines = hits.select(key, "line_no").distinct()
-    return lines.join(sums, [key, "line_no"], "left").fillna({"tainted": False, "sanitized": False, "hops": 0})
+        return F.transform(F.array(met), add)[0]
+
+    start = state(F.col("tracked"), F.lit(False), F.lit(False), F.lit(0))
+    out = seen.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(depth - 1)), start, deeper))
+    return out.select(key, "line_no", "s.tainted", "s.sanitized", "s.hops")
 
 
 def sanitized_before(hits: DataFrame, assigned: DataFrame, key: str = "file_id") -> DataFrame:
