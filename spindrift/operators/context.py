@@ -11,7 +11,7 @@ from . import graphs, joins
 
 INCLUDE = r"""(?i)\b(include|include_once|require|require_once)\b\s*\(?\s*(?:__DIR__\s*\.\s*|dirname\(__FILE__\)\s*\.\s*)?['"]([^'"$]+)['"]"""
 AUTH = r"(?i)if\s*\([^)]*(?:logged|auth|admin|session)|->is(?:Admin|Authenticated|LoggedIn)\(|current_user_can\s*\(|Auth::\w+\s*\("
-#: (kind, pattern with the variable as its first group), in order of strength.
+#: (kind, pattern with the variable as its first group), in order of strength. Kinds are the specification's terms; the patterns are our own.
 WHITELISTS = [
     ("in_array", r"(?i)\bin_array\s*\(\s*(\$\w+)"),
     ("switch", r"(?i)\bswitch\s*\(\s*(\$\w+)"),
