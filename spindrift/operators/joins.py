@@ -37,13 +37,13 @@ def contained_in(points: DataFrame, spans: DataFrame, key: str, at: str, start:
 
 def near(points: DataFrame, others: DataFrame, key: str, at: str, other_at: str, within: int, how: str) -> DataFrame:
     """Points with (left_semi) or without (left_anti) another of the same key at most so many lines away. Each of the others
-    stands in the buckets that it can be near to."""
+    stands in the buckets that it can be near to. Both sides grow with the corpus, so they are merged and neither is broadcast."""
     width = max(BUCKET, 2 * within)
     p = points.withColumn("__b", F.floor(F.col(at) / width))
     low, high = (F.floor((F.col(other_at) + d) / width) for d in (-within, within))
     o = others.select(F.col(key).alias("__k"), F.col(other_at).alias("__at"), F.explode(F.array_distinct(F.array(low, high))).alias("__ob"))
     hit = (p[key] == o["__k"]) & (p["__b"] == o["__ob"]) & (F.abs(p[at] - o["__at"]) <= within)
-    return p.join(o, hit, how).drop("__b")
+    return p.join(o.hint("merge"), hit, how).drop("__b")
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, name: str, prefix: str, keys: list[str]) -> DataFrame:

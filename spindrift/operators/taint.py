@@ -1,4 +1,8 @@
-"""Taint: sources, assignments and sinks of lines, and how taint reaches one from the other."""
+"""Taint: sources, assignments and sinks of lines, and how taint reaches one from the other.
+
+What is joined here grows with the corpus, and intermediate tables are much smaller in their files than in memory, so that
+Spark would take them for small ones and send them to the driver. Joins are therefore by merging, whatever the sizes look like.
+"""
 
 from __future__ import annotations
 
@@ -78,8 +82,8 @@ def closure(assigned: DataFrame, depth: int = 3, key: str = "file_id") -> DataFr
     fresh = known
     for hop in range(1, depth + 1):
         hit = (F.col("k") == F.col(key)) & (F.col("rhs_var") == F.col("var")) & (F.col("l") >= F.col("line_no"))
-        reached = steps.join(fresh, hit).groupBy(F.col("k").alias(key), F.col("lhs").alias("var")).agg(F.min_by("origin", F.struct("l", "rhs_var")).alias("origin"), F.min("l").alias("line_no"))
-        fresh = cut(reached.join(known.select(key, "var"), [key, "var"], "left_anti").select(key, "var", "line_no", "origin", F.lit(hop).alias("hops")))
+        reached = steps.join(fresh.hint("merge"), hit).groupBy(F.col("k").alias(key), F.col("lhs").alias("var")).agg(F.min_by("origin", F.struct("l", "rhs_var")).alias("origin"), F.min("l").alias("line_no"))
+        fresh = cut(reached.join(known.select(key, "var").hint("merge"), [key, "var"], "left_anti").select(key, "var", "line_no", "origin", F.lit(hop).alias("hops")))
         known = known.unionByName(fresh)
     return known
 
@@ -88,7 +92,7 @@ def flows(tainted: DataFrame, sinks: DataFrame, key: str = "file_id") -> DataFra
     """Tainted variables in later sinks of their file: an equi-join on file and variable with a range of lines."""
     t = tainted.select(F.col(key).alias("k"), F.col("var").alias("v"), F.col("line_no").alias("source_line"), "origin", "hops")
     hit = (t["k"] == sinks[key]) & (t["v"] == sinks["var"]) & (sinks["line_no"] > t["source_line"])
-    return sinks.join(t, hit).drop("k", "v")
+    return sinks.join(t.hint("merge"), hit).drop("k", "v")
 
 
 def flow_confidence(origin: Column, sanitized: Column, framework: Column, admin: Column) -> Column:
@@ -135,11 +139,13 @@ def sanitized_before(hits: DataFrame, assigned: DataFrame, key: str = "file_id")
     return both.where("is_hit = 1").select(key, "line_no", "var", F.col("last.at").alias("assigned_at"), F.coalesce("last.clean", F.lit(False)).alias("clean"), F.coalesce("last.dirty", F.lit(False)).alias("dirty"))
 
 
-def multiline(lines: DataFrame, key: str = "file_id") -> DataFrame:
-    """A source assignment and a sink of the same variable within the 15 lines that begin with it: (key, line_no, source_line, vuln_type, severity)."""
+def multiline(lines: DataFrame, key: str = "file_id", assigned: DataFrame | None = None, sinks: DataFrame | None = None) -> DataFrame:
+    """A source assignment and a sink of the same variable within the 15 lines that begin with it: (key, line_no, source_line, vuln_type, severity).
+
+    assigned, sinks: those of lines, if they are known already."""
     first, last = L.FRAMES["multiline"]
-    a = seeds(assigns(lines, key)).select(F.col(key).alias("k"), "lhs", F.col("line_no").alias("source_line"))
-    s = sink_hits(lines, key)
+    a = seeds(assigns(lines, key) if assigned is None else assigned).select(F.col(key).alias("k"), "lhs", F.col("line_no").alias("source_line"))
+    s = sink_hits(lines, key) if sinks is None else sinks
     hit = (F.col("k") == F.col(key)) & (F.col("lhs") == F.col("var")) & F.col("line_no").between(F.col("source_line") + first, F.col("source_line") + last)
-    found = s.join(a, hit).where("line_no > source_line")
+    found = s.join(a.hint("merge"), hit).where("line_no > source_line")
     return found.groupBy(key, "source_line", "var", "vuln_type").agg(F.min("line_no").alias("line_no"), F.max("severity").alias("severity"))

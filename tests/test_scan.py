@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.operators import taint
+from spindrift.plans import scan as plan
 from spindrift.plans.scan import scan
 
 PHP = "<?php\n"
@@ -67,3 +69,21 @@ def test_admin_and_obfuscated_files(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "file_id string, path string, code string")).collect() == []
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Tables that grow with the corpus aren't sent to the driver, however small their files are."""
+    plans = []
+
+    def kept(df, cut=taint.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(taint, "cut", kept)
+    monkeypatch.setattr(plan, "cut", kept)
+    rows = [(k, f"/app/{k}.php", PHP + CASES["chain"][0]) for k in range(20)]
+    out = scan(spark.createDataFrame(rows, "file_id long, path string, code string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {(r.file_id, r.vuln_type) for r in out.collect()} >= {(k, "PATH_TRAVERSAL") for k in range(20)}
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum("SortMergeJoin" in p for p in plans) > 3
