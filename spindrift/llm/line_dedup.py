@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,12 +257,19 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
 
 
-def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with a place (id, text_hash, row, kind, a, z) that some earlier row has the same keys as."""
-    place = F.struct("id", "text_hash", "row", "a")
-    firsts = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select(*keys, "first")
-    # written, so that the join can split a group that many rows belong to
-    return rows.join(written(firsts, "first-places"), keys).where(place > F.col("first")).select("row", "kind", "a", "z")
+#: What places are ordered by.
+_PLACE = ("id", "text_hash", "row", "a")
+
+
+def _firsts(rows: DataFrame, keys: list[str], carried: tuple[str, ...] = (), *more) -> DataFrame:
+    """Of each group of rows the first place, with columns that are carried, and c, how many it has. To be written, so that a join with it can split a group that many rows belong to."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE, *carried)).alias("first"), F.count("*").alias("c"), *more)
+
+
+def _later(rows: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
+    """rows with a place (id, text_hash, row, kind, a, z) that some earlier row has the same keys as. Only firsts, of which each partition has few, are put into a hash table; nothing is sorted."""
+    firsts = firsts.where("c > 1").select(*keys, F.struct(*(f"first.{c}" for c in _PLACE)).alias("first"))
+    return rows.join(firsts.hint("shuffle_hash"), keys).where(F.struct(*_PLACE) > F.col("first")).select("row", "kind", "a", "z")
 
 
 def repeated(base: DataFrame, kind: str) -> DataFrame:
@@ -290,14 +296,16 @@ def repeated(base: DataFrame, kind: str) -> DataFrame:
     schema = f"gram long, stretch long, row long, id {kind}, text_hash long, kind byte, a int, z int"
     found = written(base.mapInArrow(grams, schema), "grams")
     counts = found.groupBy("gram").agg(F.count("*").alias("c"), (F.min("stretch") != F.max("stretch")).alias("many")).where("c > 1").select("gram", "many")
-    again = written(found.join(written(counts, "recurring-grams"), "gram"), "recurring-places")
-    spans = _later(again.drop("many"), ["gram", "stretch"])
+    again = written(found.join(written(counts, "recurring-grams").hint("shuffle_hash"), "gram"), "recurring-places")
+    keys = ["gram", "stretch"]
+    firsts = written(_firsts(again, keys, ("z", "kind"), F.max("many").alias("many")).where("c > 1 or many"), "first-places")
+    spans = _later(again.drop("many"), keys, firsts)
     # the first place of each stretch of a gram that stands in several
-    firsts = again.where("many").groupBy("gram", "stretch").agg(F.min(F.struct("id", "text_hash", "row", "a", "z", "kind")).alias("p"))
-    wanted = written(firsts.groupBy("p.row").agg(F.collect_list(F.struct("gram", "p.kind", "p.a", "p.z")).alias("own")), "stretches")
+    wanted = firsts.where("many").groupBy("first.row").agg(F.collect_list(F.struct("gram", "first.kind", "first.a", "first.z")).alias("own"))
+    wanted = written(wanted, "stretches")
     texts = probable(base, wanted.select("row")).where("maybe").drop("maybe")
     parts = written(texts.join(wanted, "row").select("row", "id", "text_hash", "text", "own").mapInArrow(exploded, schema), "windows")
-    spans = spans.unionByName(_later(parts, ["gram", "stretch"]))
+    spans = spans.unionByName(_later(parts, keys, written(_firsts(parts, keys).where("c > 1"), "first-windows")))
     return spans.groupBy("row").agg(F.collect_list(F.struct("kind", "a", "z")).alias("spans"))
 
 
@@ -315,16 +323,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     time. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
 
-    def numbered(batches):
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), *b.columns], ["row", "id", "text_hash", "text"])
-            row += b.num_rows
-
     def cleaned(batches):
         for b in rows_of(batches):
             out = []
             for text, kinds, firsts, lasts in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                if kinds is None:  # let through by the filter, though it loses nothing
+                    out.append((text or "", (text or "").count("\n") + 1, 0, 0, ""))
+                    continue
                 left, n, removed, gone = without(text, list(zip(kinds, firsts, lasts, strict=True)))
                 out.append((left, n, removed, sum(z - a + 1 for a, z in gone), " ".join(f"{a}-{z}" for a, z in gone)))
             types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -333,15 +338,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = [id_col, "text", "n_lines", "removed_lines", "removed_words", "spans"]
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = src.schema[0].dataType.simpleString()
-    base = written(src.mapInArrow(numbered, f"row long, id {kind}, text_hash long, text string"), "texts")
+    # written, so that the numbers stay
+    base = written(src.select(F.monotonically_increasing_id().alias("row"), "id", "text_hash", "text"), "texts")
     spans = written(repeated(base, kind), "spans")
     # texts that lose nothing are neither shuffled nor handed to Python
     parts = probable(base, spans.select("row"))
     some = parts.where("maybe").select("row", "id", "text").join(spans, "row", "left")
-    changed = some.where("spans IS NOT NULL").select("id", "text", "spans.kind", "spans.a", "spans.z")
+    changed = some.select("id", "text", "spans.kind", "spans.a", "spans.z")
     changed = changed.mapInArrow(cleaned, f"`{id_col}` {kind}, text string, n_lines long, removed_lines long, removed_words long, spans string")
-    rest = some.where("spans IS NULL").select("id", "text").unionByName(parts.where("not maybe").select("id", "text"))
+    rest = parts.where("not maybe").select("id", "text")
     text = F.coalesce("text", F.lit(""))
-    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     zero = F.lit(0).cast("long")
     return changed.unionByName(rest.select(F.col("id").alias(id_col), text.alias("text"), n.cast("long").alias("n_lines"), zero.alias("removed_lines"), zero.alias("removed_words"), F.lit("").alias("spans")))

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindrift.llm import bpe, exact_dedup, html_extract, licenses, line_dedup, packing, simhash, topk, toxicity, url_filter
@@ -496,6 +497,26 @@ def test_line_dedup_deletes_whole_runs(spark):
     assert (got[3].removed_words, got[3].spans, got[3].n_lines, got[3].removed_lines) == (115, "1-115", 1, 0)
 
 
+def test_line_dedup_sorts_no_places(spark, monkeypatch):
+    """Texts are numbered outside of Python, and places meet what recurs by hash. Texts that the filter lets through in vain stay as they are."""
+    plans = {}
+
+    def kept(df, name, written=line_dedup.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", kept)
+    monkeypatch.setattr(line_dedup, "probable", lambda df, rows: df.withColumn("maybe", F.lit(True)))
+    x = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, x), (2, f"a\n{x}\n\nb"), (3, None), (4, ""), (5, "é\n \n"), (6, f"c {x}"), (7, "one line")]
+    check_lines(spark, rows)
+    assert "MapInArrow" not in plans["texts"]
+    assert "ShuffledHashJoin" in plans["recurring-places"] and "ShuffledHashJoin" in plans["spans"]
+    assert not [n for n in ("recurring-places", "spans") if "SortMergeJoin" in plans[n]]
+    got = {r.doc_id: (r.text, r.n_lines, r.removed_lines, r.spans) for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in (3, 4, 5, 7)] == [("", 1, 0, ""), ("", 1, 0, ""), ("é\n \n", 3, 0, ""), ("one line", 1, 0, "")]
+
+
 def test_line_dedup_of_random_runs(spark):
     """Few words, so that runs overlap in all ways; with windows as long as in use."""
     random.seed(12)
