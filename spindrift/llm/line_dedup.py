@@ -243,13 +243,13 @@ def without(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, int, int
     return "\n".join(left), len(lines), len(lines) - len(left), gone
 
 
-def probable(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """df with `maybe`: whether its row passes a Bloom filter, of bounded size, of rows (row). Of those in rows each does."""
-    filter_, blocks = bloom_filter(rows, "row")
+def probable(df: DataFrame, rows: DataFrame, key: str = "row") -> DataFrame:
+    """df with `maybe`: whether its key passes a Bloom filter, of bounded size, of the keys in rows. Of those in rows each does."""
+    filter_, blocks = bloom_filter(rows, key)
     hit = F.lit(True)
-    for i, bit in enumerate(_bits(F.col("row"))):
+    for i, bit in enumerate(_bits(F.col(key))):
         hit &= F.col(f"w{i}").bitwiseAND(bit) != 0
-    out = df.withColumn("block", _block(F.col("row"), blocks)).join(F.broadcast(filter_), "block", "left")
+    out = df.withColumn("block", _block(F.col(key), blocks)).join(F.broadcast(filter_), "block", "left")
     return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
 
 
