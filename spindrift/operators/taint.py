@@ -10,28 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..sources import catalog
+from . import calls
 from .graphs import cut
 
 SOURCE = r"\$_(GET|POST|REQUEST|COOKIE)"
-SANITIZERS = ["intval", "floatval", "boolval", "abs", "htmlspecialchars", "htmlentities", "strip_tags", "escapeshellarg", "escapeshellcmd", "addslashes", "basename", "realpath", "md5", "sha1", "trim", "substr", "strtolower", "count", "strlen", "urlencode", "json_encode"]
-#: (sink pattern up to its variable, type, severity)
-SINKS = [
-    (r"(?:mysql_query|mysqli_query|pg_query)\s*\([^)]*", "SQL_INJECTION", "CRITICAL"),
-    (r"->query\s*\([^)]*", "SQL_INJECTION", "HIGH"),
-    (r"\b(?:echo|print)\s+[^;]*", "XSS", "HIGH"),
-    (r"\b(?:exec|system|passthru|shell_exec|popen)\s*\([^)]*", "COMMAND_INJECTION", "CRITICAL"),
-    (r"\beval\s*\([^)]*", "CODE_INJECTION", "CRITICAL"),
-    (r"\b(?:include|require)(?:_once)?\b[^;]*", "FILE_INCLUSION", "HIGH"),
-    (r"\b(?:file_put_contents|fwrite)\s*\([^)]*", "FILE_WRITE", "HIGH"),
-    (r"\b(?:file_get_contents|readfile|fopen)\s*\([^)]*", "FILE_READ", "HIGH"),
-    (r"\bunserialize\s*\([^)]*", "DESERIALIZATION", "CRITICAL"),
-    (r"\bheader\s*\([^)]*", "HEADER_INJECTION", "HIGH"),
-    (r"\bunlink\s*\([^)]*", "PATH_TRAVERSAL", "HIGH"),
-    (r"\b(?:simplexml_load_string|loadXML)\s*\([^)]*", "XXE", "HIGH"),
-    (r"->xpath\s*\([^)]*", "XPATH_INJECTION", "HIGH"),
-    (r"\bldap_\w+\s*\([^)]*", "LDAP_INJECTION", "MEDIUM"),
-    (r"\bcurl_init\s*\([^)]*", "SSRF", "HIGH"),
-]
 
 
 def assigns(lines: DataFrame, key: str = "file_id") -> DataFrame:
@@ -49,14 +32,14 @@ def assigns(lines: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def sanitising(func: Column) -> Column:
-    return F.coalesce(func.isin(SANITIZERS) | func.rlike("sanitize|escape|clean|filter|safe|valid"), F.lit(False))
+    """Whether a function makes a value harmless for any type: one of the catalog's, or one whose name says so."""
+    return F.coalesce(func.isin(list(calls.sanitizers())) | func.rlike(calls.CUSTOM), F.lit(False))
 
 
-def sink_hits(lines: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, line_no, seq, var, vuln_type, severity): the variables that sinks take. One pass over the lines for all templates."""
-    found = F.array(*[F.struct(F.regexp_extract_all("text", F.lit(f"(?i){p}\\$(\\w+)"), 1).alias("vars"), F.lit(t).alias("vuln_type"), F.lit(s).alias("severity")) for p, t, s in SINKS])
-    out = lines.select(key, "line_no", "seq", "text", F.explode(F.filter(found, lambda x: F.size(x["vars"]) > 0)).alias("hit"))
-    return out.select(key, "line_no", "seq", "text", F.explode("hit.vars").alias("var"), "hit.vuln_type", "hit.severity").distinct()
+def sink_hits(lines: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -> DataFrame:
+    """(key, line_no, seq, text, var, vuln_type, severity): the variables that the catalog's sinks take, in the arguments that do harm. One pass over the lines, without a shuffle."""
+    some = lines.where(calls.may_sink("text", rules_dir))
+    return some.select(key, "line_no", "seq", "text", F.inline(calls.sink_variables("text", rules_dir)))
 
 
 def seeds(assigned: DataFrame) -> DataFrame:
