@@ -8,6 +8,8 @@ by id. What meets in the driver or in one task is one histogram or k rows for ea
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -27,21 +29,30 @@ _EXACT = 2**53
 
 
 def integers(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, floor(1024 * x) of their components) for each length of vector; rows with nulls or non-finite components are left out."""
+    """(row numbers, floor(1024 * x) of their components) for each length of vector; rows with nulls or non-finite components are left out.
+
+    Rows with components that a double can't hold 1024 times are an entry of their own, of Python's integers.
+    """
     lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
     out = []
     for d in np.unique(lengths[lengths >= 0]).tolist():
         rows = np.flatnonzero(lengths == d)
         x = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), d)
         good = np.isfinite(x).all(axis=1)
+        huge = good & (np.abs(x) > np.finfo(np.float64).max / SCALE).any(axis=1)
+        good &= ~huge
         out.append((rows[good], np.floor(SCALE * x[good])))
+        if huge.any():
+            exact = np.array([[math.floor(SCALE * Fraction(c)) for c in row] for row in x[huge].tolist()], object)
+            out.append((rows[huge], exact))
     return out
 
 
 def _product(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products as exact integers; in Python's integers if doubles can't hold them."""
-    if not x.size or not q.size or np.abs(x).max() * np.abs(q).max() * x.shape[1] < _EXACT:
-        return (x @ q.T).astype(np.int64)
+    doubles = x.dtype != object and q.dtype != object
+    if not x.size or not q.size or doubles and np.abs(x).max() * np.abs(q).max() * x.shape[1] < _EXACT:
+        return (x.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64) if doubles else np.zeros((len(x), len(q)), np.int64)
     whole = np.vectorize(int, otypes=[object])
     return np.clip(whole(x) @ whole(q).T, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
@@ -52,14 +63,16 @@ class Queries:
     def __init__(self, rows: list[tuple[int, list[float]]]):
         rows = sorted(rows)
         self.ids = np.array([r[0] for r in rows], np.int64)
-        self.by_length = {x.shape[1]: (at, x) for at, x in integers(pa.array([r[1] for r in rows], pa.list_(pa.float64())))}
+        self.by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for at, x in integers(pa.array([r[1] for r in rows], pa.list_(pa.float64()))):
+            if len(at):
+                self.by_length.setdefault(x.shape[1], []).append((at, x))
 
     def scores(self, batch: pa.RecordBatch):
         """(row ids, queries, scores, which of the scores count) for each length of vector. A query's own id doesn't count."""
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for rows, x in integers(batch.column(1)):
-            if (got := self.by_length.get(x.shape[1])) and len(rows):
-                at, q = got
+            for at, q in self.by_length.get(x.shape[1], ()) if len(rows) else ():
                 yield ids[rows], at, _product(x, q), ids[rows][:, None] != self.ids[at][None, :]
 
 
@@ -94,9 +107,9 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             total = np.zeros((n, BINS), np.int64)
             for b in rows_of(batches, max(16, SCORES // max(n, 1))):
                 for _, at, s, counts in sent.value.scores(b):
-                    bins = (s - low[at]) // width[at]
                     good = counts & (s >= low[at]) & (s <= high[at]) & ~done[at]
-                    flat = (np.broadcast_to(np.arange(len(at)) * BINS, s.shape) + bins)[good]
+                    bins = (s.view(np.uint64) - low[at].view(np.uint64)) // width[at].view(np.uint64)  # of 64 bits, as the scores' range may be
+                    flat = np.broadcast_to(np.arange(len(at)) * BINS, s.shape)[good] + bins[good].astype(np.int64)
                     total[at] += np.bincount(flat, minlength=len(at) * BINS).reshape(-1, BINS)
             seen = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(total[seen, i]) for i in range(BINS))], counted)
@@ -107,11 +120,11 @@ def _block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             while above[q] + bins[i] < k:
                 above[q] += bins[i]
                 i -= 1
-            low[q] += i * width[q]
+            low[q] = int(low[q]) + i * int(width[q])
             high[q] = min(int(high[q]), int(low[q]) + int(width[q]) - 1)
             if width[q] == 1:
                 done[q] = True
-            width[q] = -(-(high[q] - low[q] + 1) // BINS)
+            width[q] = -(-(int(high[q]) - int(low[q]) + 1) // BINS)
         state.unpersist()
     # low is now the kth value, or the least one, and above how many are higher
     last = spark.sparkContext.broadcast((low, k - above))
@@ -140,7 +153,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
 
     Components are floor(1024 * x). Ties go to the smaller id. A query meets every row whose id differs from its own; a
     query id that repeats is one query, by its least vector; other rows that repeat are each a candidate. Vectors that are
-    null or hold null or non-finite components take no part, nor do null ids; vectors of unlike lengths don't meet. Scores
+    null or hold null or non-finite components take no part, nor do null ids; vectors of unlike lengths don't meet. Products
+    and sums are exact, whatever doubles the components are; scores
     beyond 64 bits become the nearest long. Other columns are ignored, whatever their names; an empty table gives an empty
     result.
     """
