@@ -42,6 +42,10 @@ BAD_WORDS = {
 #: Those of them that an article's own parts are called by, too.
 OF_ARTICLES = {"header", "masthead", "tags", "side", "foot", "form", "text"}
 GOOD_WORDS = {"article", "articlebody", "main", "content", "entry", "post", "story", "body", "text"}
+#: Names that begin with these say what an element has, or how it is filed or laid out, not what it is.
+QUALIFIERS = {"has", "no", "with", "without", "category", "cat", "tag", "type", "status", "format", "layout", "is"}
+#: Of BAD_WORDS, those that articles and main elements are given for what stands beside them.
+BESIDES = OF_ARTICLES | {"sidebar", "nav", "navbar", "navigation", "menu", "footer", "banner", "social", "share", "sharing", "search", "widget", "hidden", "legal", "notice"}
 #: Where a tag, a comment or a declaration begins, and what ends it or begins a quoted value in it.
 OPENS = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 STOPS = re.compile(r"[>\"']")
@@ -55,15 +59,15 @@ NEXT, SIBLING = 0.5, 2.0
 
 
 class _Node:
-    __slots__ = ("bad", "good", "hidden", "inner", "link", "number", "outer", "tag")
+    __slots__ = ("bad", "good", "hidden", "hint", "inner", "link", "number", "outer", "tag")
 
     def __init__(self, tag: str, number: int, parent: _Node | None, attributes: str):
         self.tag, self.number = tag, number
         #: The numbers of the innermost block element, this one included, and of the one around that.
         self.inner, self.outer = (parent.inner, parent.outer) if parent and tag not in BLOCKS else (number, parent.inner if parent else -1)
-        self.bad = self.good = self.hidden = self.link = False
+        self.bad = self.good = self.hidden = self.hint = self.link = False
         if parent:
-            self.bad, self.good, self.hidden, self.link = parent.bad, parent.good, parent.hidden, parent.link
+            self.bad, self.good, self.hidden, self.hint, self.link = parent.bad, parent.good, parent.hidden, parent.hint, parent.link
         self.hidden |= tag in HIDDEN
         self.link |= tag == "a"
         self.bad |= tag in BAD_TAGS or (tag == "header" and not self.good)
@@ -78,11 +82,16 @@ class _Node:
                 elif name == "aria-hidden":
                     self.hidden |= value.lower() == "true"
                 else:
-                    words |= {w.lower() for w in WORD.findall(value)}
-        if tag in GOOD_TAGS or words & GOOD_WORDS and not words & BAD_WORDS:
-            self.good |= tag in GOOD_TAGS
-        elif (bad := words & BAD_WORDS) and tag not in ("body", "html"):
-            self.bad |= not (self.good and bad <= OF_ARTICLES)
+                    for token in value.split():
+                        own = [w.lower() for w in WORD.findall(token)]
+                        words.update(own if own and own[0] not in QUALIFIERS else ())
+        bad = words & BAD_WORDS
+        if tag in GOOD_TAGS:
+            self.bad |= bool(bad - BESIDES)  # a reader's comment, a teaser or an advert may be an article, too
+            self.good = not self.bad
+        elif tag not in ("body", "html"):
+            self.bad |= bool(bad) and not (self.good and bad <= OF_ARTICLES)
+            self.hint |= bool(words & GOOD_WORDS) and not bad
 
 
 class Block:
@@ -215,7 +224,7 @@ def costs(text: str, linked: float, node: _Node) -> float:
     if node.bad:
         return -9.0
     words = text.count(" ") + 1
-    out = 5.0 if node.good else -1.0
+    out = 5.0 if node.good else 0.5 if node.hint else -1.0
     out += {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "li": -0.5, "td": -0.3}.get(node.tag, 0.5 if node.tag[0] == "h" and node.tag[1:].isdigit() else 0.0)
     out += 1.5 if words >= 25 else 0.8 if words >= 10 else -0.5 if words < 4 else 0.0
     out += 0.4 if text[-1] in ".!?:;…\"'”»" else 0.0
