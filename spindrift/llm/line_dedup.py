@@ -10,13 +10,19 @@ distance. A selected gram's place stands for the stretch of all windows that sel
 
 Windows of lines that hold RUN words or more are left to the windows of words, which find them as well. So a window of RUN words (LINE_RUN lines) goes if and only if an earlier place has the same one, and nothing is joined to
 anything but the first of its kind: work and rows grow with the text, not with the square of a group. Places are in order
-of id, then text, then word. Equality is by two 64-bit hashes, of the gram and of the stretch or window.
+of id, then text, then word.
+
+Sums of a polynomial choose grams and bring together what may be equal; they are the same for equal words, and may be for
+others. What is deleted rests on the words themselves: stretches and windows are told equal by BLAKE2b with 128 bits of
+their words, parted by spaces, or by newlines where lines are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +83,27 @@ class Stream:
         return mixed((self.sums[z] - self.sums[a]) * self.down[a])
 
 
+class Words(NamedTuple):
+    """The words of all texts: their bytes, each word with one byte after it if white space follows, and where each begins and ends. lined: the same with newlines after lines."""
+
+    flat: np.ndarray
+    lined: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def digests(self, first: np.ndarray, last: np.ndarray, lined: np.ndarray) -> np.ndarray:
+        """Of stretches (first and last word): two numbers each, from their words and from where lines end, if that counts."""
+        views = memoryview(self.flat), memoryview(self.lined)
+        own = zip(self.starts[first].tolist(), self.ends[last].tolist(), lined.tolist(), strict=True)
+        return np.frombuffer(b"".join([hashlib.blake2b(views[k][a:z], digest_size=16).digest() for a, z, k in own]), np.int64).reshape(-1, 2)
+
+
 def selected(stream: Stream, lengths: np.ndarray, run: int, gram: int, salt: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Of texts of so many tokens each: text, gram and stretch (hashes), first window and number of windows of each place.
+    """Of texts of so many tokens each: text, gram (hash), first window (over all texts) and number of windows of each place.
 
     counts: words of each token; windows with RUN words or more are left out then."""
     n = len(stream.sums) - 1
-    none = tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    none = tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     if n < run:
         return none
     grams = stream.runs(np.arange(n - gram + 1), np.arange(gram, n + 1)) ^ _U(salt)
@@ -105,9 +126,7 @@ def selected(stream: Stream, lengths: np.ndarray, run: int, gram: int, salt: int
     chosen = (least[at] & _U(_AT)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)]))
     count = np.diff(np.concatenate([starts, [len(chosen)]]))
-    i, m, text = at[starts], chosen[starts], text[starts]
-    stretch = mixed(stream.runs(i, i + count + run - 1) ^ ((m - i).astype(np.uint64) << _U(32) | count.astype(np.uint64)))
-    return text, grams[m], stretch, i - (ends - lengths)[text], count
+    return text[starts], grams[chosen[starts]], at[starts], count
 
 
 def text_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +167,8 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def tokens(texts: pa.StringArray) -> tuple[Stream, np.ndarray, Stream, np.ndarray, np.ndarray]:
-    """The stream of all texts' words and how many each has, that of their lines that have words and how many, and the words of each line."""
+def tokens(texts: pa.StringArray) -> tuple[Stream, np.ndarray, Stream, np.ndarray, np.ndarray, Words]:
+    """The stream of all texts' words and how many each has, that of their lines that have words and how many, the words of each line, and all words."""
     raw, at = text_bytes(texts)
     space = spaces(raw)
     edge = np.zeros(len(raw) + 1, bool)  # where a word can't go on from the byte before
@@ -166,30 +185,48 @@ def tokens(texts: pa.StringArray) -> tuple[Stream, np.ndarray, Stream, np.ndarra
     full = counts > 0
     counts, lines = counts[full], lines[full]
     stops = np.cumsum(counts)
-    return stream, own, Stream(stream.runs(stops - counts, stops)), np.diff(np.searchsorted(lines, at)), counts
+    after = np.append(space, False)[ends]  # whether white space follows the word
+    size = ends - starts + after
+    first = np.cumsum(size) - size
+    flat = raw[word | (space & np.append(False, word[:-1]))] if len(raw) else raw.copy()
+    last = first + ends - starts
+    flat[last[after]] = 32
+    lined, of_lines = flat.copy(), stops - 1
+    lined[last[of_lines[after[of_lines]]]] = 10
+    return stream, own, Stream(stream.runs(stops - counts, stops)), np.diff(np.searchsorted(lines, at)), counts, Words(flat, lined, first, last)
+
+
+def _digests(words: Words, counts: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of stretches of words or lines (first and last one, over all texts): two numbers each."""
+    stops = np.append(np.cumsum(counts), 0)
+    lines = kind == 1
+    a, z = first.copy(), last.copy()
+    a[lines], z[lines] = stops[first[lines]] - counts[first[lines]], stops[last[lines]] - 1
+    return words.digests(a, z, lines)
 
 
 def places(texts: pa.StringArray) -> tuple[np.ndarray, ...]:
-    """text, kind (0: words, 1: lines), gram, stretch, first token and number of windows of each selected gram's place."""
-    words, own, lines, per_text, counts = tokens(texts)
-    found = (selected(words, own, RUN, GRAM, 0), selected(lines, per_text, LINE_RUN, LINE_GRAM, _BASE, counts))
-    text, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
-    return text, np.repeat([0, 1], [len(f[0]) for f in found]), *rest
-
-
-def windows(texts: pa.StringArray, text: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of places (text, kind, first and last token): for each of their windows, the place's number, the hash and the first token."""
-    words, own, lines, per_text, _ = tokens(texts)
+    """text, kind (0: words, 1: lines), gram, digest (two numbers), first token and number of windows of each selected gram's place."""
+    stream, own, lines, per_text, counts, words = tokens(texts)
+    found = (selected(stream, own, RUN, GRAM, 0), selected(lines, per_text, LINE_RUN, LINE_GRAM, _BASE, counts))
+    text, gram, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    kind = np.repeat([0, 1], [len(f[0]) for f in found])
+    digest = _digests(words, counts, kind, at, at + n + np.where(kind == 0, RUN, LINE_RUN) - 2)
+    begin = np.where(kind == 0, (np.cumsum(own) - own)[text], (np.cumsum(per_text) - per_text)[text])
+    return text, kind, gram, digest[:, 0], digest[:, 1], at - begin, n
+
+
+def windows(texts: pa.StringArray, text: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of places (text, kind, first and last token): for each of their windows, the place's number, the digest (two numbers) and the first token."""
+    _, own, _, per_text, counts, words = tokens(texts)
     run = np.where(kind == 0, RUN, LINE_RUN)
     n = last - first - run + 2
     place = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(place)) - (np.cumsum(n) - n)[place] + first[place]
-    hashes = np.empty(len(place), np.uint64)
-    for k, (stream, lengths, size) in enumerate(((words, own, RUN), (lines, per_text, LINE_RUN))):
-        mine = kind[place] == k
-        a = at[mine] + (np.cumsum(lengths) - lengths)[text[place[mine]]]
-        hashes[mine] = stream.runs(a, a + size)
-    return place, hashes, at
+    k = kind[place]
+    begin = np.where(k == 0, (np.cumsum(own) - own)[text[place]], (np.cumsum(per_text) - per_text)[text[place]])
+    digest = _digests(words, counts, k, at + begin, at + begin + run[place] - 1)
+    return place, digest[:, 0], digest[:, 1], at
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -277,10 +314,10 @@ def repeated(base: DataFrame, kind: str) -> DataFrame:
 
     def grams(batches):
         for b in rows_of(batches):
-            text, which, gram, stretch, at, n = places(b.column(3))
+            text, which, gram, d1, d2, at, n = places(b.column(3))
             take = pa.array(text)
             run = np.where(which == 0, RUN, LINE_RUN)
-            yield _batch(names, gram, stretch, *(b.column(c).take(take) for c in range(3)), which.astype(np.int8), at.astype(np.int32), (at + n + run - 2).astype(np.int32))
+            yield _batch(names, gram, d1, d2, *(b.column(c).take(take) for c in range(3)), which.astype(np.int8), at.astype(np.int32), (at + n + run - 2).astype(np.int32))
 
     def exploded(batches):
         for b in rows_of(batches):
@@ -288,16 +325,16 @@ def repeated(base: DataFrame, kind: str) -> DataFrame:
             p = own.flatten()
             text = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
             gram, which, first, last = (p.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "kind", "a", "z"))
-            place, hashes, at = windows(b.column(3), text, which, first.astype(np.int64), last.astype(np.int64))
+            place, d1, d2, at = windows(b.column(3), text, which, first.astype(np.int64), last.astype(np.int64))
             take, k = pa.array(text[place]), which[place]
-            yield _batch(names, gram[place], hashes, *(b.column(c).take(take) for c in range(3)), k, at.astype(np.int32), (at + np.where(k == 0, RUN, LINE_RUN) - 1).astype(np.int32))
+            yield _batch(names, gram[place], d1, d2, *(b.column(c).take(take) for c in range(3)), k, at.astype(np.int32), (at + np.where(k == 0, RUN, LINE_RUN) - 1).astype(np.int32))
 
-    names = ["gram", "stretch", "row", "id", "text_hash", "kind", "a", "z"]
-    schema = f"gram long, stretch long, row long, id {kind}, text_hash long, kind byte, a int, z int"
+    names = ["gram", "d1", "d2", "row", "id", "text_hash", "kind", "a", "z"]
+    schema = f"gram long, d1 long, d2 long, row long, id {kind}, text_hash long, kind byte, a int, z int"
     found = written(base.mapInArrow(grams, schema), "grams")
-    counts = found.groupBy("gram").agg(F.count("*").alias("c"), (F.min("stretch") != F.max("stretch")).alias("many")).where("c > 1").select("gram", "many")
+    counts = found.groupBy("gram").agg(F.count("*").alias("c"), (F.min("d1") != F.max("d1")).alias("many")).where("c > 1").select("gram", "many")
     again = written(found.join(written(counts, "recurring-grams").hint("shuffle_hash"), "gram"), "recurring-places")
-    keys = ["gram", "stretch"]
+    keys = ["gram", "d1", "d2"]
     firsts = written(_firsts(again, keys, ("z", "kind"), F.max("many").alias("many")).where("c > 1 or many"), "first-places")
     spans = _later(again.drop("many"), keys, firsts)
     # the first place of each stretch of a gram that stands in several
