@@ -1,11 +1,13 @@
 """Each operator on small tables, with nulls, empty texts, repeated rows, empty tables and extra columns, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -304,6 +306,23 @@ def test_html_with_any_columns(spark):
     assert html_extract.extract(frame.limit(0)).collect() == []
 
 
+def test_html_of_comments_and_short_articles():
+    """Readers' comments may be articles, as teasers may; short articles count by what they are called; names that say how an article is filed don't."""
+    text = html_extract.main_text
+    body = "<p>The first sentence of the story, which goes on for a while and then ends.</p><p>Short one.</p>"
+    article = "The first sentence of the story, which goes on for a while and then ends.\n\nShort one."
+    comment = "<article class='{}'><header>Reader</header><p>I have read all of this long story with joy, and so has my brother.</p></article>"
+    for name in ("comment", "comment-body", "comment even depth-1", "reader-comment", "post-reply", "related-post", "promo card"):
+        assert text(f"<body><article class='post'>{body}</article><section>{comment.format(name) * 3}</section></body>") == article, name
+        assert text(f"<main>{body}<section><h2 class='comments-title'>Two replies</h2>{comment.format(name)}</section></main>") == article, name
+    for name in ("post category-promo has-comments", "with-sidebar", "hentry tag-ads no-sidebar", "main-content sidebar-left"):
+        assert text(f"<body><article class='{name}'>{body}</article></body>") == article, name
+    for name in ("post-content", "entry", "articleBody", "story-text"):
+        assert text(f"<body><div class='nav'><a href=x>Home</a></div><div class='{name}'><p>Short one.</p></div></body>") == "Short one.", name
+    assert text("<article><p>One of two articles.</p></article><div class=ad>Buy!</div><article><p>The other.</p></article>") == "One of two articles.\n\nThe other."
+    assert text("<body><div>Buy!</div></body>") == text("<body><div class='content-sidebar'><p>Short one.</p></div></body>") == ""
+
+
 def test_html_without_article():
     page = "<body><div id=nav><a href=x>Home page</a> <a href=y>About us</a></div><div><p>" + "Some sentence of the text that is long enough to count. " * 3 + "</p><p>Short.</p><p>" + "Another sentence of the text that is long enough to count. " * 3 + "</p></div><div class=sidebar-left><p>Links and other long things that nobody reads at all, ever, really.</p></div></body>"
     text = html_extract.main_text(page)
@@ -404,6 +423,20 @@ def test_topk(spark, block):
     assert topk.top_k(frame.limit(0), lambda i: i % 100 == 0).collect() == []
 
 
+def test_topk_of_huge_components(spark):
+    """Finite doubles take part, whatever their size; scores beyond 64 bits are the nearest long, so they tie."""
+    rows = [(100, [1.0, 1.0]), (1, [1e306, 0.0]), (2, [-1e306, 1e300]), (3, [1e306, -1e306]), (4, [0.5, 0.25]), (5, [1.7e308, 1.7e308]), (6, [5e-324, -5e-324]), (200, [1e306, 2.0]), (7, [float("inf"), 0.0]), (8, [1e15, 3.0]), (9, [1e-300, 7.0])]
+    rows += [(i, [float(i), -1.0]) for i in range(10, 60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, lambda i: i % 100 == 0).collect())
+    whole = {i: [math.floor(1024 * Fraction(x)) for x in v] for i, v in rows if all(map(math.isfinite, v))}
+    want = []
+    for q in (100, 200):
+        scores = [(max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q]
+        want += [(q, k, i, s) for k, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:10], 1)]
+    assert got == want
+
+
 def test_topk_of_dense_scores(spark):
     """Scores so dense that a bin's width isn't a multiple of the next one's."""
     x = np.random.default_rng(7).standard_normal((4000, 64))
@@ -506,7 +539,7 @@ def test_line_dedup_sorts_no_places(spark, monkeypatch):
         return written(df, name)
 
     monkeypatch.setattr(line_dedup, "written", kept)
-    monkeypatch.setattr(line_dedup, "probable", lambda df, rows: df.withColumn("maybe", F.lit(True)))
+    monkeypatch.setattr(line_dedup, "probable", lambda df, rows, key="row": df.withColumn("maybe", F.lit(True)))
     x = " ".join(f"x{i}" for i in range(60))
     rows = [(1, x), (2, f"a\n{x}\n\nb"), (3, None), (4, ""), (5, "é\n \n"), (6, f"c {x}"), (7, "one line")]
     check_lines(spark, rows)
@@ -534,13 +567,38 @@ def test_line_dedup_of_random_runs(spark):
     assert check_lines(spark, rows) > 2000
 
 
+def thue_morse(n):
+    """A word over two letters, and the same with the letters changed for each other: sums of a polynomial modulo 2**64 are equal, whatever the odd base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return bits, [1 - b for b in bits]
+
+
+def test_line_dedup_of_texts_that_share_a_sum(spark):
+    """Words, lines and windows whose sums are equal, though they aren't, stay."""
+    one, other = ("".join("ab"[b] for b in bits) for bits in thue_morse(1024))
+    words, others = (" ".join(("x", "y")[b] for b in bits) for bits in thue_morse(1024))
+    assert len({line_dedup.Stream(np.frombuffer(w.encode(), np.uint8).astype(np.uint64) + np.uint64(1)).runs(np.array([0]), np.array([1024]))[0] for w in (one, other)}) == 1
+    around = lambda w: f"{' '.join(f'p{i}' for i in range(28))} {w} {' '.join(f'q{i}' for i in range(28))}"
+    rows = [(1, around(one)), (2, around(other)), (3, around(one)), (4, f"one\n{words}\ntwo"), (5, f"one\n{others}\ntwo"), (6, words), (7, others)]
+    check_lines(spark, rows)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got[2] == rows[1][1] and got[3] == ""
+
+
 def test_words_are_pythons(spark):
     """Words, their lines and their numbers are those of str.split, whatever white space parts them."""
     random.seed(14)
     letters = list(" \n\t\x0b\x1c\x1f\x85\xa0  ​   　aé☃Â﻿\x00") + ["😀"]
     for _ in range(2000):
         texts = [random.choice([None, "".join(random.choice(letters) for _ in range(random.randint(0, 12)))]) for _ in range(random.randint(0, 5))]
-        stream, words, _, lines, counts = line_dedup.tokens(pa.array(texts, pa.string()))
+        stream, words, _, lines, counts, own = line_dedup.tokens(pa.array(texts, pa.string()))
+        assert [bytes(own.flat[a:z]).decode() for a, z in zip(own.starts, own.ends, strict=True)] == [w for t in texts for w in (t or "").split()]
+        at = 0
+        for t, n in zip(texts, words.tolist(), strict=True):
+            if n:
+                assert bytes(own.flat[own.starts[at] : own.ends[at + n - 1]]).decode() == " ".join(t.split())
+                assert bytes(own.lined[own.starts[at] : own.ends[at + n - 1]]).decode() == "\n".join(" ".join(x.split()) for x in t.split("\n") if x.split())
+            at += n
         assert words.tolist() == [len((t or "").split()) for t in texts]
         assert lines.tolist() == [sum(bool(x.split()) for x in (t or "").split("\n")) for t in texts]
         assert counts.tolist() == [len(x.split()) for t in texts for x in (t or "").split("\n") if x.split()]
