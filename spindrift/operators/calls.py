@@ -42,7 +42,8 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _calls(text: str) -> str:
+def calls_sql(text: str) -> str:
+    """`calls` as SQL, to be part of more."""
     every = lambda p, i: f"regexp_extract_all({text}, {_q(p)}, {i})"
     known = f"transform(arrays_zip({every(CALL, 1)}, {every(CALL, 2)}, {every(CALL, 3)}), c -> named_struct('name', concat(if(c.`0` <> '', '->', ''), lower(c.`1`)), 'args', c.`2`))"
     known = f"filter({known}, c -> c.name NOT IN ({', '.join(map(_q, CONSTRUCTS))}))"
@@ -58,7 +59,7 @@ def _argument(args: str, at: str, most: int = 3) -> str:
 
 def calls(text: str = "text") -> Column:
     """array<struct<name, args>> of a line, names in small letters, `->` before those of methods; for constructs args is the whole expression."""
-    return F.expr(_calls(text))
+    return F.expr(calls_sql(text))
 
 
 def argument(args: str, at: str, most: int = 3) -> Column:
@@ -146,7 +147,7 @@ def variables(text: str) -> Column:
 
 def sink_variables(text: str = "text", rules_dir: str = catalog.OWN) -> Column:
     """array<struct<var, vuln_type, severity>>: the variables of a line that stand, uncleaned, in arguments that do harm."""
-    found = f"transform(filter({_calls(text)}, c -> {_sinks('c.name', rules_dir)} IS NOT NULL), c -> named_struct('args', c.args, 'sinks', {_sinks('c.name', rules_dir)}))"
+    found = f"transform(filter({calls_sql(text)}, c -> {_sinks('c.name', rules_dir)} IS NOT NULL), c -> named_struct('args', c.args, 'sinks', {_sinks('c.name', rules_dir)}))"
     of = f"transform({_variables(_uncleaned(_argument('c.args', 's.arg'), 's.vuln_type', rules_dir))}, v -> named_struct('var', v, 'vuln_type', s.vuln_type, 'severity', s.severity))"
     return F.expr(f"array_distinct(flatten(transform({found}, c -> flatten(transform(c.sinks, s -> {of})))))")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import catalog
+from . import calls
+
 #: Weights of features, the base score of a type, that of others, and the threshold.
 WEIGHTS = {
     "source_risk": 0.25, "sink_danger": 0.20, "rule_confidence": 0.15, "sanitizer_type_match": -0.55, "prepared_stmt_nearby": -0.30, "type_cast_nearby": -0.25, "validation_nearby": -0.15, "sanitizer_present": -0.10, "in_comment": -0.50,
@@ -25,32 +28,25 @@ CAPS = {
 }
 CRITICAL_TYPES = ["CODE_INJECTION", "COMMAND_INJECTION", "RCE", "DESERIALIZATION", "FILE_INCLUSION", "FILE_WRITE", "UNSAFE_UPLOAD"]
 
-#: What a line, or the lines around it, show, as 0 or 1.
-ON_LINE = {
-    "has_direct_source": r"\$_(?:GET|POST|REQUEST|COOKIE)",
-    "uses_string_concat": r"\.\s*\$\w+",
-    "uses_interpolation": r"\"[^\"]*\$\w+[^\"]*\"",
-    "type_cast_nearby": r"\((?:int|integer|float|bool)\)",
-    "prepared_stmt_nearby": r"->(?:prepare|bindParam|bindValue)\b",
-}
-AROUND = {
-    "validation_nearby": r"\b(?:preg_match|filter_var|ctype_\w+|in_array)\s*\(",
-    "base64_decode_on_input": r"\bbase64_decode\s*\(",
-    "is_ajax_handler": r"(?:wp_ajax_|XMLHttpRequest|HTTP_X_REQUESTED_WITH)",
-    "in_try_catch": r"\btry\s*\{",
-    "has_error_handler": r"\b(?:catch\s*\(|set_error_handler\s*\(|set_exception_handler\s*\()",
-    "is_in_closure": r"\bfunction\s*\([^)]*\)\s*(?:use\s*\([^)]*\)\s*)?\{",
-    "whitelist_check_present": r"\b(?:in_array|array_key_exists)\s*\([^)]*\$|\bswitch\s*\(\s*\$",
-    "orm_detected": r"->(?:where|whereIn|orWhere|find|findOneBy)\s*\(",
-    "auth_check_nearby": r"\b(?:is_logged_in|is_user_logged_in|current_user_can|check_auth|require_login)\s*\(",
-    "dead_code_detected": r"\bif\s*\(\s*(?:false|0)\s*\)",
-}
+#: Words that choose, that repeat, and that add a way through the code.
+CHOICES, LOOPS, WAYS = ["if", "elseif", "switch"], ["for", "foreach", "while", "do"], ["if", "elseif", "case", "while", "for", "foreach"]
+#: Functions that a name calls to find out who is asking, that decode, that look rows up, and how requests of scripts are marked.
+ASKS = ["is_logged_in", "is_user_logged_in", "current_user_can", "check_auth", "require_login"]
+DECODES, LOOKS_UP = ["base64_decode"], ["->where", "->wherein", "->orwhere", "->find", "->findoneby"]
+SCRIPTED = ["wp_ajax_", "xmlhttprequest", "http_x_requested_with"]
+
+
+def _named(rules: str, groups: list[str], rules_dir: str, methods: bool = False) -> list[str]:
+    """The names, as calls have them, of a rule set's groups."""
+    names = {r["name"].lower() for r in catalog.rows(rules, rules_dir) if r["group"] in groups}
+    return sorted(names | ({f"->{n}" for n in names} if methods else set()))
 
 
 def counts(code: Column) -> dict[str, Column]:
-    """Branches, loops and the complexity that they make, of a piece of code; complexity is capped."""
-    branches = F.regexp_count(code, F.lit(r"\b(?:if|elseif|switch|case)\b"))
-    loops = F.regexp_count(code, F.lit(r"\b(?:for|foreach|while)\b"))
+    """Branches, loops and the complexity that they make, of a piece of code, by its words; complexity is capped."""
+    words = F.transform(F.regexp_extract_all(code, F.lit(r"(?<![\w$>])[A-Za-z_]\w*"), 0), F.lower)
+    of = lambda names: F.size(F.filter(words, lambda w: w.isin(names)))
+    branches, loops = of([*CHOICES, "case"]), of([n for n in LOOPS if n != "do"])
     return {"branches": branches, "loops": loops, "complexity": F.least(branches + loops + 1, F.lit(CAPS["cyclomatic_complexity"]))}
 
 
@@ -58,18 +54,48 @@ def capped(name: str, value: Column) -> Column:
     return F.least(value, F.lit(CAPS[name])) if name in CAPS else value
 
 
-def features(line: Column, context: Column) -> dict[str, Column]:
-    """What can be read off the hit line and the lines around it: 0/1 features, and counts with their caps."""
-    out = {name: line.rlike("(?i)" + p).cast("double") for name, p in ON_LINE.items()}
-    out |= {name: context.rlike("(?i)" + p).cast("double") for name, p in AROUND.items()}
-    branches, loops = (F.regexp_count(context, F.lit(p)) for p in (r"\b(?:if|switch|elseif)\s*\(", r"\b(?:for|foreach|while|do)\s*[({]"))
-    complexity = F.regexp_count(context, F.lit(r"\b(?:if|elseif|case|while|for|foreach)\b")) + 1
-    fragments = F.size(F.split(line, r"\.(?=\s*[$'\"])"))
-    literal = F.length(F.array_join(F.regexp_extract_all(line, F.lit(r"('[^']*'|\"[^\"]*\")"), 1), ""))
-    sources = F.regexp_extract_all(context, F.lit(r"\$_(GET|POST|REQUEST|COOKIE)"), 1)
-    numbers = {"branch_count_between": branches, "loop_nesting_depth": loops, "cyclomatic_complexity": complexity, "string_fragment_count": fragments, "taint_source_count": F.size(sources), "nesting_depth": F.regexp_count(context, F.lit(r"\{"))}
-    out |= {name: capped(name, value).cast("double") for name, value in numbers.items()}
-    out["string_literal_ratio"] = F.when(F.length(line) > 0, literal / F.length(line)).otherwise(0.0)
+def features(line: str, context: str, rules_dir: str = catalog.OWN) -> dict[str, Column]:
+    """What can be read off the hit line and the lines around it (columns, by name): 0/1 features, and counts with their caps.
+
+    Read off words, calls and literals, as `calls` finds them; a name within a variable or a member is no word.
+    """
+    quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+    words = f"transform(regexp_extract_all({context}, '(?<![\\\\w$>])[A-Za-z_]\\\\w*', 0), w -> lower(w))"
+    called = lambda text: f"transform({calls.calls_sql(text)}, c -> c.name)"
+    any_of = lambda names, among: f"arrays_overlap({among}, array({quoted(names)}))"
+    count_of = lambda names: f"size(filter({words}, w -> w IN ({quoted(names)})))"
+    request = sorted({r["name"].removeprefix("$") for r in catalog.rows("sources", rules_dir) if r.get("live") and r["name"].startswith("$_")})
+    taken = lambda text: f"filter(regexp_extract_all({text}, '[$](_[A-Z]+)', 1), v -> v IN ({quoted(request)}))"
+    checks = [*(n for n in _named("sanitizers", ["tests_of_numbers", "tests_of_letters"], rules_dir) if n.startswith("ctype_")), "in_array", "filter_var", "preg_match"]
+    strings = f"regexp_extract_all({line}, '(\"[^\"]*\"|\\'[^\\']*\\')', 1)"
+    flags = {
+        "has_direct_source": f"size({taken(line)}) > 0",
+        "uses_string_concat": f"{line} RLIKE '[.]\\\\s*[$]'",
+        "uses_interpolation": f"exists({strings}, s -> startswith(s, '\"') AND s RLIKE '[$][A-Za-z_]')",
+        "type_cast_nearby": f"{line} RLIKE '(?i)[(]\\\\s*(?:int|integer|float|double|bool|boolean)\\\\s*[)]'",
+        "prepared_stmt_nearby": any_of(_named("sanitizers", ["database_binding"], rules_dir, True), called(line)),
+        "validation_nearby": any_of(checks, called(context)),
+        "base64_decode_on_input": any_of(DECODES, called(context)),
+        "is_ajax_handler": " OR ".join(f"contains(lower({context}), '{m}')" for m in SCRIPTED),
+        "in_try_catch": f"array_contains({words}, 'try')",
+        "has_error_handler": f"arrays_overlap({words}, array('catch', 'set_error_handler', 'set_exception_handler'))",
+        "is_in_closure": any_of(["function", "fn"], called(context)),  # that have no name, as what is called function or fn shows
+        "whitelist_check_present": f"{any_of(["in_array", "array_key_exists"], called(context))} OR array_contains({words}, 'switch')",
+        "orm_detected": any_of(LOOKS_UP, called(context)),
+        "auth_check_nearby": any_of([*ASKS, *(f"->{n}" for n in ASKS)], called(context)),
+        "dead_code_detected": f"exists({calls.calls_sql(context)}, c -> c.name = 'if' AND lower(trim(c.args)) IN ('false', '0'))",
+    }
+    numbers = {
+        "branch_count_between": count_of(CHOICES),
+        "loop_nesting_depth": count_of(LOOPS),
+        "cyclomatic_complexity": f"{count_of(WAYS)} + 1",
+        "string_fragment_count": f"size(regexp_extract_all({line}, '[.]\\\\s*[$\"\\']', 0)) + 1",
+        "taint_source_count": f"size({taken(context)})",
+        "nesting_depth": f"length({context}) - length(replace({context}, '{{', ''))",
+    }
+    out = {name: F.expr(f"coalesce({e}, false)").cast("double") for name, e in flags.items()}
+    out |= {name: capped(name, F.expr(e)).cast("double") for name, e in numbers.items()}
+    out["string_literal_ratio"] = F.expr(f"CASE WHEN length({line}) > 0 THEN length(array_join({strings}, '')) / length({line}) ELSE 0D END")
     return out
 
 

@@ -5,6 +5,7 @@ Fixed points end when a round finds nothing new, whatever number of rounds that
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from ..sources.tables import dropped, written
 
 #: Tables that a union of rounds holds before it is written as one.
 ROUNDS = 8
+#: Edges that a task solves at a time.
+LOCAL = 1 << 16
+#: How often nodes without edges to or from them are taken off before a round.
+TRIMS = 2
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -96,17 +101,135 @@ def _least_around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return now.groupBy("node").agg(side(False).alias("before"), side(True).alias("after"))
 
 
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, part): part is the least node that edges lead to, whatever their direction.
+
+    Labels go over edges, and then jump: a node takes its label's label, so they go twice as far in each round.
+    """
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    every = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    now = cut(every.join(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")), "node", "left").select("node", F.least("node", "least").alias("part")))
+    kind = now.schema["part"].dataType
+    while True:
+        handed = both.join(now.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "part", F.lit(None).cast(kind).alias("own"))
+        better = handed.unionByName(now.select("node", "part", F.col("part").alias("own"))).groupBy("node").agg(F.min("part").alias("part"), F.max("own").alias("own"))
+        new = cut(better.join(now.select(F.col("node").alias("part"), F.col("part").alias("over")), "part").select("node", F.least("part", "over").alias("part"), "own"))
+        dropped(now)
+        now = new.select("node", "part")
+        if new.where("part <> own").isEmpty():
+            dropped(both)
+            return now
+
+
+def _tarjan(n: int, heads: list[int], tails: list[int]) -> tuple[list[int], list[int]]:
+    """Of a graph of nodes 0 to n - 1 with edges from heads to tails: for each node its component, numbered so that those that it leads to come first, and the component's level."""
+    after: list[list[int]] = [[] for _ in range(n)]
+    for a, b in zip(heads, tails, strict=True):
+        after[a].append(b)
+    seen, low, of, levels, stack, count = [-1] * n, [0] * n, [-1] * n, [], [], 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        work = [(root, 0)]
+        while work:
+            v, i = work.pop()
+            if i == 0:
+                seen[v] = low[v] = count
+                count += 1
+                stack.append(v)
+            elif of[after[v][i - 1]] < 0:
+                low[v] = min(low[v], low[after[v][i - 1]])
+            while i < len(after[v]):
+                w = after[v][i]
+                i += 1
+                if seen[w] < 0:
+                    work += [(v, i), (w, 0)]
+                    break
+                if of[w] < 0:
+                    low[v] = min(low[v], seen[w])
+            else:
+                if low[v] == seen[v]:
+                    own = len(levels)
+                    members = []
+                    while not members or members[-1] != v:
+                        members.append(stack.pop())
+                        of[members[-1]] = own
+                    levels.append(max((levels[of[w]] + 1 for m in members for w in after[m] if of[w] != own), default=0))
+    return of, [levels[c] for c in of]
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """(node, scc, level) of edges (src, dst, bucket): whole weak components, as many as a task can hold in each bucket."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted({*frame["src"], *frame["dst"]})
+        at = {v: i for i, v in enumerate(nodes)}
+        of, levels = _tarjan(len(nodes), [at[v] for v in frame["src"]], [at[v] for v in frame["dst"]])
+        first: dict[int, object] = {}
+        for i, c in enumerate(of):
+            first.setdefault(c, nodes[i])
+        return pd.DataFrame({"node": nodes, "scc": [first[c] for c in of], "level": levels})
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.groupBy("bucket").applyInPandas(solve, f"node {kind}, scc {kind}, level int")
+
+
+def leaves_first(edges: DataFrame) -> DataFrame:
+    """(node, scc, level): scc is the least node of the component, those that reach each other. Level 0 are components with no edge to another, others are one above the highest that they have an edge to, so what a component needs comes before it.
+
+    Components lie within weak ones. Of these, those of up to LOCAL edges are solved many at a time, as a task holds them;
+    larger ones by rounds over all of their edges.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    parts = weak_components(edges)
+    of = cut(edges.join(parts.withColumnRenamed("node", "src"), "src"))
+    sizes = cut(of.groupBy("part").agg(F.count("*").alias("c")))
+    total = sizes.where(F.col("c") <= LOCAL).agg(F.sum("c")).first()[0] or 0
+    large = sizes.where(F.col("c") > LOCAL).select("part")
+    bucket = F.pmod(F.xxhash64("part"), F.lit(-(-total // LOCAL) or 1))
+    out = _solved(of.join(large, "part", "left_anti").select("src", "dst", bucket.alias("bucket")))
+    if large.isEmpty():
+        return out
+    far = cut(of.join(large, "part", "left_semi").select("src", "dst"))
+    found = cut(_by_rounds(far))
+    return out.unionByName(found.join(levels(far, found), "scc").select("node", "scc", "level"))
+
+
+def levels(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(scc, level) of components (node, scc), as `leaves_first` has them, by peeling: each round takes components whose edges all lead to those taken before."""
+    end = lambda c, n: components.select(F.col("node").alias(c), F.col("scc").alias(n))
+    left = cut(edges.join(end("src", "a"), "src").join(end("dst", "b"), "dst").where("a <> b").select("a", "b").distinct())
+    fresh = cut(components.select("scc").distinct().join(left.select(F.col("a").alias("scc")), "scc", "left_anti").withColumn("level", F.lit(0)))
+    known, level = _Known(fresh), 0
+    while not left.isEmpty():
+        level += 1
+        rest = cut(left.join(fresh.select(F.col("scc").alias("b")), "b", "left_anti"))
+        freed = left.select(F.col("a").alias("scc")).distinct().join(rest.select(F.col("a").alias("scc")), "scc", "left_anti")
+        fresh = cut(freed.select("scc", F.lit(level).alias("level")))
+        dropped(left)
+        left = rest
+        known.add(fresh)
+    return known.rows
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, scc): scc is the least node of the component: those that reach each other.
+    """(node, scc): scc is the least node of the component: those that reach each other."""
+    return leaves_first(edges).select("node", "scc")
+
 
-    A round finds for each node the least one that reaches it and the least one that it reaches. Where they are the same,
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """(node, scc). A round finds for each node the least one that reaches it and the least one that it reaches. Where they are the same,
     that is its component. Others can share a component only if both agree, so all other edges are dropped, and the rest
-    goes to the next round. No closure is made: rows never outnumber nodes and edges.
+    goes to the next round. Nodes without edges to or from them are components of their own, so they go first. No closure
+    is made: rows never outnumber nodes and edges.
     """
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
     done = None
     while True:
+        for _ in range(TRIMS):  # what has no edge to it, or none from it, is on no cycle
+            e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        e = cut(e)
         own = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
         alone = nodes.join(own, "node", "left_anti").select("node", F.col("node").alias("scc"))  # no edge is left
         if e.isEmpty():

@@ -85,7 +85,7 @@ def u8_training_union(spark, sf_dir):
     SELECT file_id, line_no, CAST(regexp_matches(text, '\\$_(GET|POST|REQUEST|COOKIE)') AS INTEGER) AS has_direct_source, CAST(regexp_matches(text, '\\((int|integer|float|bool)\\)') AS INTEGER) AS type_cast_nearby, CAST(regexp_matches(text, '->(prepare|bindParam|bindValue)') AS INTEGER) AS prepared_stmt_nearby,
       CAST(regexp_matches(ctx, '(in_array|filter_var|preg_match)\\s*\\(') AS INTEGER) AS validation_nearby, CAST(least(len(regexp_extract_all(ctx, '(^|[^A-Za-z_])(if|elseif|case|while|for|foreach)[^A-Za-z_]')) + 1, 50) AS INTEGER) AS cyclomatic_complexity FROM w""")
 def m1_features(spark, sf_dir):
-    f = classify.features(F.col("text"), F.col("ctx"))
+    f = classify.features("text", "ctx")
     w = mixed(spark, sf_dir).select("file_id", "line_no", "text", L.context("features").alias("ctx"))
     return w.select("file_id", "line_no", *[f[n].cast("int").alias(n) for n in ("has_direct_source", "type_cast_nearby", "prepared_stmt_nearby", "validation_nearby", "cyclomatic_complexity")])
 

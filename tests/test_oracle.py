@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from spindrift.plans import context_queries, finding_queries, graph_queries, line_queries, more_queries, program_queries, rule_queries, stage_queries  # noqa: F401
+from spindrift.plans import call_queries, context_queries, finding_queries, graph_queries, line_queries, more_queries, program_queries, rule_queries, stage_queries  # noqa: F401
 from spindrift.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
