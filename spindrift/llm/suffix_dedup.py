@@ -11,9 +11,8 @@ the last pass has single windows and all of their bytes. In each pass
 * pieces that are equal as a whole repeat as a whole; one of them goes on, for the sake of others;
 * what else shares its digit goes on to the next pass.
 
-Places within text are carried as numbers, the first passes' pieces as 128-bit digests and later ones as the bytes
-themselves; nothing is told equal by a weaker hash. Groups are counted, never gathered, and each row is joined to
-one row for its group.
+Places within text are carried as numbers, and pieces as 128 bits of BLAKE2b or SHA-256; nothing is told equal by a weaker
+hash. Groups are counted, never gathered, and each row is joined to one row for its group.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import dropped, written
 from .line_dedup import Stream, probable, text_bytes
 from .shared import rows_of
 
@@ -80,8 +79,13 @@ def _bytes(n: Column) -> Column:
     return n + (WIDTH - 1)
 
 
+def _key(raw: Column) -> Column:
+    """128 bits of the bytes' SHA-256: what is compared and shuffled in their place."""
+    return F.substring(F.unhex(F.sha2(raw, 256)), F.lit(1), F.lit(16))
+
+
 def _split(parts: DataFrame, block: int) -> DataFrame:
-    """Pieces cut by where the gram stands, with a digit: what all windows of the block have in common."""
+    """Pieces cut by where the gram stands, numbered, with a digit, which is what all windows of the block have in common, and whole, all that they cover; the bytes are kept for a next pass."""
     low, high = F.col("gram_at") - F.col("n") + 1, F.col("gram_at")
     blocks = F.sequence(F.call_function("div", low, F.lit(block)), F.call_function("div", high, F.lit(block)))
     parts = parts.select("*", F.explode(blocks).alias("block")).withColumn("block", F.col("block").cast("int"))
@@ -90,7 +94,10 @@ def _split(parts: DataFrame, block: int) -> DataFrame:
     parts = parts.withColumn("skip", F.col("gram_at") - last).withColumn("n", last - first + 1)
     raw = F.substring(F.col("raw"), F.col("skip") + 1, _bytes(F.col("n")))
     parts = parts.select("gram", "block", "row", (F.col("a") + F.col("skip")).alias("a"), "n", (F.col("gram_at") - F.col("skip")).alias("gram_at"), "c", raw.alias("raw"))
-    return parts.withColumn("digit", F.substring("raw", F.col("gram_at") - F.col("block") * block + 1, F.lit(WIDTH - block + 1)))
+    digit = F.substring("raw", F.col("gram_at") - F.col("block") * block + 1, F.lit(WIDTH - block + 1))
+    parts = parts.withColumn("whole", _key(F.col("raw")))
+    parts = parts.withColumn("digit", _key(digit)) if block > 1 else parts.drop("raw")
+    return parts.withColumn("id", F.monotonically_increasing_id())
 
 
 def _passes(parts: DataFrame) -> list[DataFrame]:
@@ -98,15 +105,16 @@ def _passes(parts: DataFrame) -> list[DataFrame]:
     spans = []
     for block in BLOCKS:
         now = written(_split(parts, block), f"pieces-{block}")
-        group = ["gram", "block", "digit"]
-        equal = now.groupBy(*group, "raw").agg(F.min(F.struct("row", "a", "n", "gram_at")).alias("first"), F.sum("c").alias("c"))
-        equal = written(equal, f"equal-pieces-{block}")
-        more = equal.where("c > 1").select(*group, "raw")
-        alone = now.where("c = 1")
-        spans.append(alone.join(more.hint("shuffle_hash"), [*group, "raw"], "left_semi").select("row", "a", (F.col("a") + _bytes(F.col("n"))).alias("z")))
+        group = ["gram", "block", "digit"] if block > 1 else ["gram", "block"]
+        equal = now.groupBy(*group, "whole").agg(F.min("id").alias("id"), F.sum("c").alias("c"))
+        equal = written(equal if block > 1 else equal.where("c > 1"), f"equal-pieces-{block}")
+        more = equal.where("c > 1").select(*group, "whole")
+        alone = now.where("c = 1").select(*group, "whole", "row", "a", "n")
+        spans.append(alone.join(more.hint("shuffle_hash"), [*group, "whole"], "left_semi").select("row", "a", (F.col("a") + _bytes(F.col("n"))).alias("z")))
         if block > 1:
-            open_ = written(equal.groupBy(*group).agg(F.count("*").alias("k"), F.count_if(F.col("c") == 1).alias("ones")).where("k > 1 and ones > 0").select(*group), f"open-{block}")
-            parts = equal.join(open_.hint("shuffle_hash"), group, "left_semi").select("gram", "first.*", "c", "raw")
+            open_ = equal.groupBy(*group).agg(F.count("*").alias("k"), F.count_if(F.col("c") == 1).alias("ones")).where("k > 1 and ones > 0").select(*group)
+            going = written(equal.join(written(open_, f"open-{block}").hint("shuffle_hash"), group, "left_semi").select("id", "c"), f"going-{block}")
+            parts = probable(now.drop("c", "block", "digit", "whole"), going, "id").where("maybe").join(going, "id").drop("id", "maybe")
     return spans
 
 
@@ -124,6 +132,7 @@ def repeated(base: DataFrame) -> DataFrame:
     counts = found.groupBy("gram").agg(F.count("*").alias("c"), (F.min("d1") != F.max("d1")).alias("many")).where("c > 1")
     counts = written(counts.select("gram", "many"), "recurring-digits")
     again = written(probable(found, counts, "gram").where("maybe").drop("maybe").join(counts.hint("shuffle_hash"), "gram"), "recurring-pieces")
+    dropped(found)
     keys = ["gram", "d1", "d2"]
     firsts = again.groupBy(*keys).agg(F.min(F.struct("row", "a", "n", "gram_at")).alias("first"), F.count("*").alias("c"), F.max("many").alias("many"))
     firsts = written(firsts.where("c > 1 or many"), "first-pieces")
@@ -138,7 +147,9 @@ def repeated(base: DataFrame) -> DataFrame:
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
-    return out.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    out = written(out.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
+    dropped(again, firsts, wanted)
+    return out
 
 
 def merged(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +188,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = src.schema[0].dataType.simpleString()
     # written, so that the numbers stay
     base = written(src.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "texts")
-    found = written(repeated(base), "spans")
+    found = repeated(base)
     # texts that lose nothing are neither shuffled nor handed to Python
     parts = probable(base, found, "row").withColumn("raw", F.coalesce("text", F.lit("")).cast("binary"))
     some = parts.where("maybe").select("row", "id", "raw").join(found, "row", "left").select("id", "raw", "spans")
