@@ -53,7 +53,7 @@ def _each(files: DataFrame, columns: str, make: Callable[[syntax.Node], list[tup
     src = files.select(F.col(key), F.col("code"))
     kind = src.schema[0].dataType.simpleString()
     names = [key, *(c.split()[0] for c in columns.split(", "))]
-    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
     types = [arrow[c.split()[1]] for c in columns.split(", ")]
 
     def run(batches):
@@ -158,9 +158,9 @@ def findings(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OW
 
 
 def passed(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -> DataFrame:
-    """(name, line, callee, idx, source): arguments of calls that a source, or a parameter of the function (param:its name), reaches uncleaned."""
+    """(name, line, callee, idx, source, cleaned): arguments of calls that a source, or a parameter of the function (param:its name), reaches, and the types that it was made harmless for."""
     rules = interpret.Rules.load(rules_dir)
-    return _each(files, "name string, line int, callee string, idx int, source string", lambda t: interpret.passed(t, rules), key)
+    return _each(files, "name string, line int, callee string, idx int, source string, cleaned array<string>", lambda t: [(*x[:-1], list(x[-1])) for x in interpret.passed(t, rules)], key)
 
 
 def types(files: DataFrame, key: str = "file_id") -> DataFrame:

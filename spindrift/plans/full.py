@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 from ..functions import score as S
 from ..functions import text as T
-from ..operators import context, graphs, programs, ranking, taint
+from ..operators import context, programs, ranking, summaries, taint
 from ..operators.graphs import cut
 from ..sources import catalog
 from .scan import scan
@@ -19,19 +19,16 @@ CALL_CONFIDENCE = 0.85
 COLUMNS = ["file_id", "line_no", "vuln_type", "severity", "confidence", "source", "sanitizers", "code", "stage"]
 
 
-def interprocedural(files: DataFrame, rules_dir: str = catalog.OWN) -> DataFrame:
-    """(file_id, line, vuln_type, callee, source, confidence): calls that hand a source to a parameter that reaches a sink, in the function called or through those that it calls.
+def interprocedural(files: DataFrame, rules_dir: str = catalog.OWN, lines: DataFrame | None = None) -> DataFrame:
+    """(file_id, line, vuln_type, callee, source, confidence): sources that reach a sink through values that calls hand in or out, not made harmless for its type.
 
-    Functions are known by name, across all files.
+    callee is the function called at the line, null where the sink itself stands there. A call means the function of its
+    own file, or else those of that name in other files. lines: those of files, if they are known already.
     """
-    params = programs.function_rows(files).where("idx >= 0").select("file_id", F.col("name").alias("func"), "param", "idx")
-    direct = programs.findings(files, rules_dir=rules_dir).where("source LIKE 'param:%'").select("file_id", F.col("name").alias("func"), F.substring("source", 7, 1000).alias("param"), "vuln_type")
-    passed = cut(programs.passed(files, rules_dir=rules_dir))
-    handed = passed.where("source LIKE 'param:%'").select("file_id", F.col("name").alias("func"), F.substring("source", 7, 1000).alias("param"), "callee", F.col("idx").alias("callee_idx"))
-    on = ["file_id", "func", "param"]
-    sums = graphs.params_to_sinks(direct.join(params, on), handed.join(params, on))
-    hit = passed.where("source NOT LIKE 'param:%'").join(sums.select(F.col("func").alias("callee"), "idx", "vuln_type"), ["callee", "idx"])
-    return hit.select("file_id", "line", "vuln_type", "callee", "source", F.lit(CALL_CONFIDENCE).alias("confidence")).distinct()
+    lines = L.explode_lines(files.select("file_id", "code")) if lines is None else lines
+    found = summaries.findings(summaries.program(lines, rules_dir=rules_dir))
+    file = F.regexp_extract("func", r"(?s)^(.*):[^:]*$", 1).cast(files.schema["file_id"].dataType)
+    return found.select(file.alias("file_id"), F.col("line_no").alias("line"), "vuln_type", F.element_at(F.split("callee", ":"), -1).alias("callee"), "source", F.lit(CALL_CONFIDENCE).alias("confidence")).distinct()
 
 
 def across_files(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -61,7 +58,7 @@ def scan_full(files: DataFrame, mode: str = "standard", rules_dir: str = catalog
     lines = cut(L.explode_lines(files.select("file_id", "code")).withColumn("seq", F.col("line_no").cast("long")))
     of = lines.select("file_id", "line_no", T.preview(F.col("text")).alias("code"))
     walked = programs.findings(files, rules_dir=rules_dir).where("source NOT LIKE 'param:%'").select("file_id", F.col("line").alias("line_no"), "vuln_type", "confidence", "source", F.lit("program").alias("stage"))
-    called = interprocedural(files, rules_dir).select("file_id", F.col("line").alias("line_no"), "vuln_type", "confidence", "source", F.lit("call").alias("stage"))
+    called = interprocedural(files, rules_dir, lines).select("file_id", F.col("line").alias("line_no"), "vuln_type", "confidence", "source", F.lit("call").alias("stage"))
     more = walked.unionByName(called).withColumn("severity", S.program_severity(F.col("vuln_type"), F.col("confidence")))
     if mode == "deep":
         paths = files.select("file_id", F.col("path").alias("sink_file"))
