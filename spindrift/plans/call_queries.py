@@ -1,11 +1,11 @@
-"""Queries on calls: summaries of functions, and the order of a call graph."""
+"""Queries on calls and on values: summaries of functions, the order of a call graph, access paths."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graphs, summaries
+from ..operators import graphs, paths, summaries
 from ..registry import query
 from ..sources.corpus import read
 from .graph_queries import EDGES, edges
@@ -67,3 +67,52 @@ def g20_findings(spark, sf_dir):
 def g21_leaves_first(spark, sf_dir):
     """Components of the include graph in the order in which they can be summarised."""
     return graphs.leaves_first(edges(spark, sf_dir))
+
+
+#: Events as statements on cells of arrays, whole variables, and cells whose keys aren't known.
+CELLS = """ln AS (SELECT user_id AS u, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS l, event_id AS e, 'v' || (event_id % 3) AS v, 'v' || ((event_id + 1) % 3) AS o, 'k' || (event_id % 2) AS a, 'k' || (event_id // 2 % 2) AS b, event_type AS kind FROM events),
+    df AS (SELECT u, l, v AS var, CASE WHEN kind = 'view' THEN CASE WHEN e % 3 = 0 THEN '' ELSE a END WHEN kind = 'click' THEN CASE WHEN e % 7 = 0 THEN '*' WHEN e % 2 = 0 THEN a ELSE '' END ELSE CASE WHEN e % 2 = 0 THEN '' ELSE a END END AS key FROM ln WHERE kind IN ('view', 'click', 'signup')),
+    rd AS (SELECT u, l, o AS var, CASE WHEN e % 7 = 0 OR e % 2 = 1 THEN '' ELSE b END AS key, []::VARCHAR[] AS c, NULL::VARCHAR AS t FROM ln WHERE kind = 'click' UNION ALL SELECT u, l, o, CASE WHEN e % 2 = 0 THEN '' ELSE b END, CASE WHEN e % 2 = 0 THEN ['SQL_INJECTION', 'XSS'] ELSE ['XSS'] END, NULL FROM ln WHERE kind = 'signup'
+        UNION ALL SELECT u, l, v, CASE WHEN kind = 'purchase' THEN a ELSE '' END, [], CASE WHEN kind = 'purchase' THEN 'SQL_INJECTION' ELSE 'XSS' END FROM ln WHERE kind NOT IN ('view', 'click', 'signup')),
+    dd AS (SELECT d.*, coalesce((SELECT max(w.l) FROM df w WHERE w.u = d.u AND w.var = d.var AND w.key = '' AND w.l < d.l), 0) AS epoch FROM df d),
+    r0 AS (SELECT r.*, coalesce((SELECT max(w.l) FROM df w WHERE w.u = r.u AND w.var = r.var AND w.key = '' AND w.l < r.l), 0) AS epoch FROM rd r),
+    rr AS (SELECT r.*, greatest(epoch, coalesce((SELECT max(w.l) FROM df w WHERE w.u = r.u AND w.var = r.var AND w.key = r.key AND w.key <> '*' AND w.l < r.l), 0)) AS exact FROM r0 r),
+    seed AS (SELECT u, l, CASE WHEN e % 3 = 0 THEN '_GET' ELSE '_POST' END AS o, []::VARCHAR[] AS c FROM ln WHERE kind = 'view')"""
+
+
+def _taint(name: str, seeds: str) -> str:
+    on = "r.t IS NULL AND r.u = x.u"
+    return f"""{name}(u, l, o, c) AS ({seeds} UNION (SELECT r.u, r.l, x.o, list_sort(list_distinct(x.c || r.c)) FROM {name} x JOIN rr r ON {on} AND r.exact = x.l
+        UNION ALL SELECT r.u, r.l, x.o, list_sort(list_distinct(x.c || r.c)) FROM {name} x JOIN dd d ON d.u = x.u AND d.l = x.l AND d.key <> '' JOIN rr r ON {on} AND r.var = d.var AND r.epoch = d.epoch AND r.l > d.l AND (r.key IN ('', '*') OR d.key = '*'))),
+    {name}_sunk AS (SELECT r.u, r.l, r.t, r.var, r.key, x.o, x.c || r.c AS c FROM {name} x JOIN rr r ON r.t IS NOT NULL AND r.u = x.u AND r.exact = x.l
+        UNION SELECT r.u, r.l, r.t, r.var, r.key, x.o, x.c || r.c FROM {name} x JOIN dd d ON d.u = x.u AND d.l = x.l AND d.key <> '' JOIN rr r ON r.t IS NOT NULL AND r.u = x.u AND r.var = d.var AND r.epoch = d.epoch AND r.l > d.l AND (r.key IN ('', '*') OR d.key = '*'))"""
+
+
+def cell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of CELLS: (file_id, line_no, text)."""
+    i = F.col("event_id")
+    v, o = (F.concat(F.lit("$v"), ((i + k) % 3).cast("string")) for k in (0, 1))
+    a, b = (F.concat(F.lit("['k"), k.cast("string"), F.lit("']")) for k in (i % 2, F.floor(i / 2) % 2))
+    text = (
+        F.when(F.col("event_type") == "view", F.when(i % 3 == 0, F.concat(v, F.lit(" = $_GET['x'];"))).otherwise(F.concat(v, a, F.lit(" = $_POST['x'];"))))
+        .when(F.col("event_type") == "click", F.when(i % 7 == 0, F.concat(v, F.lit("[$i] = "), o, F.lit(";"))).when(i % 2 == 0, F.concat(v, a, F.lit(" = "), o, b, F.lit(";"))).otherwise(F.concat(v, F.lit(" = "), o, F.lit(";"))))
+        .when(F.col("event_type") == "signup", F.when(i % 2 == 0, F.concat(v, F.lit(" = intval("), o, F.lit(");"))).otherwise(F.concat(v, a, F.lit(" = htmlspecialchars("), o, b, F.lit(");"))))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('mysql_query("x" . '), v, a, F.lit(");")))
+        .otherwise(F.concat(F.lit("echo "), v, F.lit(";")))
+    )
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), F.row_number().over(w).alias("line_no"), text.alias("text"))
+
+
+@query(f"WITH RECURSIVE {CELLS}, {_taint('tt', 'SELECT * FROM seed')} SELECT DISTINCT u AS file_id, l AS line_no, t AS vuln_type, o AS origin FROM tt_sunk WHERE NOT list_contains(c, t)")
+def g1_access_paths(spark, sf_dir):
+    """Sources that reach sinks through variables and cells of arrays, with what overwrites them."""
+    return paths.findings(paths.uses(cell_lines(spark, sf_dir))).withColumnRenamed("file", "file_id")
+
+
+@query(f"""WITH RECURSIVE {CELLS}, {_taint('tt', "SELECT * FROM seed UNION SELECT u, l, 'UNDEFINED', c FROM rr WHERE exact = 0 AND t IS NULL")}
+    SELECT r.u AS file_id, r.l AS line_no, r.t AS vuln_type, r.var, r.key, CAST(r.exact AS INTEGER) AS assigned_at,
+      r.exact > 0 AND NOT EXISTS (SELECT 1 FROM tt_sunk x WHERE x.u = r.u AND x.l = r.l AND x.var = r.var AND x.key = r.key AND x.t = r.t AND NOT list_contains(x.c, r.t)) AS is_clean FROM rr r WHERE r.t IS NOT NULL""")
+def g7_presink_index(spark, sf_dir):
+    """What sinks read, and whether it has been made harmless for them by then."""
+    return paths.presink(paths.uses(cell_lines(spark, sf_dir))).withColumnRenamed("file", "file_id")
