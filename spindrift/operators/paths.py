@@ -8,7 +8,7 @@ takes the definition of the whole, and all cells that the epoch has before.
 
 So each read has one exact definition, found by windows, and for the rest an epoch, of which only the first tainted line
 for each source counts: rows grow with lines, not with pairs of them. Taint is a set of types that it has not been made
-harmless for. Rounds join what is new, and end when nothing is.
+harmless for. Rounds join what is new, and end when nothing is. As in `taint`, tables that grow with the corpus are merged.
 """
 
 from __future__ import annotations
@@ -79,8 +79,8 @@ def uses(lines: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -
     found, inside = within_functions(lines, "file")
     wraps = inside.where("name <> ''").select("file", F.lower("name").alias("name"), F.explode(F.expr(_reads(f"regexp_extract(text, {calls._q('(?i)^[^;]*' + chr(92) + 'breturn' + chr(92) + 'b(.*?);')}, 1)", rules_dir))).alias("r"))
     wraps = wraps.where(F.col("r.path.var").isin(request) & (F.size("r.cleaned") == 0)).select("file", "name", F.concat("r.path.var", F.lit("_WRAP")).alias("origin")).distinct()
-    called = made.select("file", "line_no", F.explode(F.expr(f"array_distinct(transform({calls.calls_sql('rhs')}, c -> c.name))")).alias("name")).join(wraps, ["file", "name"]).select("file", "line_no", "origin", none.alias("cleaned"), no_type)
-    body = made.where(F.col("rhs").contains(INPUT)).select("file", "line_no", F.lit("INPUT").alias("origin"), none.alias("cleaned"), no_type)
+    called = made.select("file", "line_no", F.explode(F.expr(f"array_distinct(transform({calls.calls_sql('rhs')}, c -> c.name))")).alias("name")).join(wraps.hint("merge"), ["file", "name"]).select("file", "line_no", "origin", none.alias("cleaned"), no_type)
+    body = made.where(F.col("rhs").contains(INPUT)).select("file", "line_no", F.lit("_INPUT").alias("origin"), none.alias("cleaned"), no_type)
     seeds = reads.where(F.col("var").isin(request)).select("file", "line_no", F.col("var").alias("origin"), "cleaned", "vuln_type").unionByName(called).unionByName(body)
     reads = reads.where(~F.col("var").isin(request))
     # windows: definitions and reads of a variable in order; a read comes before what its own line defines
@@ -156,22 +156,21 @@ def _onward(fresh: DataFrame, reads: DataFrame, defs: DataFrame) -> DataFrame:
     more = [c for c in reads.columns if c not in ("file", "line_no", "cleaned", "var", "key", "epoch", "exact")]
     r = reads.withColumnRenamed("cleaned", "more")
     out = ["file", "line_no", *more, "origin", _with("cleaned", "more").alias("cleaned")]
-    exact = r.join(fresh.withColumnRenamed("line_no", "exact"), ["file", "exact"]).select(*out)
-    cells = fresh.join(defs.where("key <> ''"), ["file", "line_no"])
+    exact = r.join(fresh.withColumnRenamed("line_no", "exact").hint("merge"), ["file", "exact"]).select(*out)
+    cells = fresh.join(defs.where("key <> ''").hint("merge"), ["file", "line_no"])
     first = cells.groupBy("file", "var", "epoch", (F.col("key") == "*").alias("star"), "origin", "cleaned").agg(F.min("line_no").alias("since"))
     reach = F.col("key").isin("", "*") | F.col("star")
-    rest = r.join(first, ["file", "var", "epoch"]).where(reach & (F.col("line_no") > F.col("since"))).select(*out)
+    rest = r.join(first.hint("merge"), ["file", "var", "epoch"]).where(reach & (F.col("line_no") > F.col("since"))).select(*out)
     return exact.unionByName(rest).distinct()
 
 
-def findings(u: Uses) -> DataFrame:
-    """(file, line_no, vuln_type, origin): sinks that a source reaches along paths, not made harmless for their type; of sources within the sink's own line, too."""
+def findings(u: Uses, own: bool = True) -> DataFrame:
+    """(file, line_no, vuln_type, origin): sinks that a source reaches along paths, not made harmless for their type; with own also sources within the sink's own line.
+
+    Origins are a request's names, those with _WRAP where a function returns it, and _INPUT for a request's body."""
     at = _onward(cut(tainted(u)), u.reads.where("vuln_type IS NOT NULL"), u.defs)
-    own = u.seeds.where("vuln_type IS NOT NULL").select("file", "line_no", "vuln_type", "origin", "cleaned")
-    every = at.select("file", "line_no", "vuln_type", "origin", "cleaned").unionByName(own)
+    every = at.select("file", "line_no", "vuln_type", "origin", "cleaned")
+    if own:
+        every = every.unionByName(u.seeds.where("vuln_type IS NOT NULL").select("file", "line_no", "vuln_type", "origin", "cleaned"))
     return every.where(~F.array_contains("cleaned", F.col("vuln_type"))).select("file", "line_no", "vuln_type", "origin").distinct()
 
-
-def confidence(origin: Column) -> Column:
-    """Of a flow: requests' parameters are surest, then functions that return a request."""
-    return F.lit(0.75) + F.when(origin.isin("_GET", "_POST", "_REQUEST"), F.lit(0.10)).when(origin.endswith("_WRAP"), F.lit(0.08)).otherwise(F.lit(0.0))

@@ -55,10 +55,10 @@ def within_functions(lines: DataFrame, key: str = "file_id") -> tuple[DataFrame,
     """Functions (key, name, start_line, end_line) and lines with `name`, that of the function that they stand in, `` outside. A function that isn't closed ends with its file."""
     found = L.function_extents(lines, key).withColumn("end_line", F.coalesce("end_line", F.lit(2**31 - 1)))
     last = lines.groupBy(key).agg(F.max("line_no").alias("last"))
-    found = cut(found.join(last, key).withColumn("end_line", F.least("end_line", "last")).drop("last"))
-    inside = joins.contained_in(lines, found.select(key, "name", "start_line", "end_line"), key, "line_no", "start_line", "end_line")
+    found = cut(found.join(last.hint("merge"), key).withColumn("end_line", F.least("end_line", "last")).drop("last"))
+    inside = joins.contained_in(lines, found.select(key, "name", "start_line", "end_line").hint("merge"), key, "line_no", "start_line", "end_line")
     one = inside.groupBy(key, "line_no").agg(F.max_by("name", "start_line").alias("name"))  # the innermost
-    return found, lines.join(one, [key, "line_no"], "left").fillna({"name": ""})
+    return found, lines.join(one.hint("merge"), [key, "line_no"], "left").fillna({"name": ""})
 
 
 def program(lines: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -> Program:
@@ -116,7 +116,7 @@ def _news(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     same = F.size(F.array_except("k_cleaned", "cleaned")) == 0
     for c in keys:
         same = (F.col(c) == F.col(f"k_{c}")) & same
-    return found.distinct().join(k, same, "left_anti")
+    return found.distinct().join(k.hint("merge"), same, "left_anti")
 
 
 def facts(p: Program) -> DataFrame:

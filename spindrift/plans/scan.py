@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 from ..functions import score as S
 from ..functions import text as T
-from ..operators import joins, matching, ranking, stages, taint
+from ..operators import joins, matching, paths, ranking, stages, taint
 from ..operators.graphs import cut
 from ..sources import catalog
 
@@ -89,7 +89,8 @@ def scan(files: DataFrame, rules_dir: str = catalog.OWN) -> DataFrame:
     where = lines.select("file_id", "line_no", "text", "framework", "admin_path")
     sinks = cut(taint.sink_hits(lines))
     between = joins.near(sinks.select("file_id", "line_no").distinct(), assigned.where(taint.sanitising(F.col("func")) | F.col("cast")).select("file_id", F.col("line_no").alias("at")), "file_id", "line_no", "at", 19, "left_semi").withColumn("cleaned", F.lit(True))
-    f = taint.flows(taint.closure(assigned), sinks.drop("text")).join(between.hint("merge"), ["file_id", "line_no"], "left").join(where.hint("merge"), ["file_id", "line_no"])
+    f = paths.findings(paths.uses(lines, rules_dir=rules_dir), own=False).select(F.col("file").alias("file_id"), "line_no", "vuln_type", F.substring("origin", 2, 99).alias("origin"))
+    f = f.join(sinks.groupBy("file_id", "line_no", "vuln_type").agg(F.max("severity").alias("severity")).hint("merge"), ["file_id", "line_no", "vuln_type"]).join(between.hint("merge"), ["file_id", "line_no"], "left").join(where.hint("merge"), ["file_id", "line_no"])
     f = f.withColumn("confidence", taint.flow_confidence(F.col("origin"), F.coalesce("cleaned", F.lit(False)), F.col("framework").isNotNull(), F.col("admin_path"))).where("confidence >= 0.5")
     wide = f.where(fp.isNull()).select("file_id", "line_no", "vuln_type", "severity", "confidence", F.col("origin").alias("source"), F.array().cast("array<string>").alias("sanitizers"), code.alias("code"), F.lit("file").alias("stage"))
     m = taint.multiline(lines, assigned=assigned, sinks=sinks).join(between.hint("merge"), ["file_id", "line_no"], "left_anti").join(where.hint("merge"), ["file_id", "line_no"])

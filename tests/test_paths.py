@@ -11,7 +11,7 @@ FILES = {
     "unknown": ("$r[$i] = $_COOKIE['c'];\necho $r['k'];\n$r['k'] = 'x';\n$q[] = $_GET['x'];\nmysql_query($q);\necho $q[0];", {(2, "XSS", "_COOKIE"), (5, "SQL_INJECTION", "_GET"), (6, "XSS", "_GET")}),
     "whole": ("$r = $_POST;\necho $r['k'];\n$r['k'] = htmlspecialchars($r['k']);\necho $r['k'];\nmysql_query($r['k']);\necho $r['l'];", {(2, "XSS", "_POST"), (5, "SQL_INJECTION", "_POST"), (6, "XSS", "_POST")}),
     "wrap": ("function param($n) {\nreturn $_REQUEST[$n];\n}\nfunction safe_param($n) {\nreturn intval($_REQUEST[$n]);\n}\n$a = param('a');\n$b = safe_param('b');\nsystem($a);\nsystem($b);", {(9, "COMMAND_INJECTION", "_REQUEST_WRAP")}),
-    "body": ("$d = json_decode(file_get_contents('php://input'), true);\n$x = $d['name'];\necho \"Hi $x\";\necho (int) $d['n'];", {(3, "XSS", "INPUT")}),
+    "body": ("$d = json_decode(file_get_contents('php://input'), true);\n$x = $d['name'];\necho \"Hi $x\";\necho (int) $d['n'];", {(3, "XSS", "_INPUT")}),
     "nested": ("$x = trim(htmlspecialchars($_GET['x']));\necho $x;\n$y = htmlspecialchars($_GET['y']) . $_GET['y'];\necho $y;\n$z .= $_GET['z'];\n$z .= 'end';\necho $z;", {(4, "XSS", "_GET"), (7, "XSS", "_GET")}),
     "inline": ("echo $_GET['a'];\necho htmlspecialchars($_GET['a']);\nmysql_query(htmlspecialchars($_GET['a']));", {(1, "XSS", "_GET"), (3, "SQL_INJECTION", "_GET")}),
 }

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import taint
+from spindrift.operators import paths, taint
 from spindrift.plans import scan as plan
 from spindrift.plans.scan import scan
 
@@ -80,6 +80,7 @@ def test_nothing_is_broadcast(spark, monkeypatch):
         return cut(df)
 
     monkeypatch.setattr(taint, "cut", kept)
+    monkeypatch.setattr(paths, "cut", kept)
     monkeypatch.setattr(plan, "cut", kept)
     rows = [(k, f"/app/{k}.php", PHP + CASES["chain"][0]) for k in range(20)]
     out = scan(spark.createDataFrame(rows, "file_id long, path string, code string"))
