@@ -175,3 +175,32 @@ def narrowed(condition: Column, negated: Column) -> Column:
     own = F.when(condition.rlike(r"\bisset\s*\("), not_null).otherwise(own)
     flip = negated != condition.rlike(r"^\s*!")
     return F.when(own.isNull(), every).when(flip, F.array_sort(F.array_except(every, own))).otherwise(F.array_sort(own))
+
+
+def alias_constraints(lines: DataFrame, key: str = "file_id") -> dict[str, DataFrame]:
+    """What lines (key, line_no, text) say of variables of a file, by name as `graphs.points_to` takes it: allocs, moves, stores and loads.
+
+    New objects and arrays are locations of their own, `file:line`. A reference goes both ways. A cell with a literal key is a field, any other is the field `*`.
+    """
+    name = r"\$(\w+)"
+    field = r"(?:->(\w+)|\[\s*['\"]?(\w*)['\"]?\s*\])"
+    var = lambda c: F.concat(F.col(key).cast("string"), F.lit(":"), c)
+    part = lambda p, i: F.regexp_extract("text", p, i)
+
+    def field_of(p: str, i: int) -> Column:
+        return F.when(part(p, i) != "", part(p, i)).when(part(p, i + 1) != "", part(p, i + 1)).otherwise("*")
+
+    start, end = r"^\s*", r"\s*;"
+    made = rf"{start}{name}\s*=\s*&?\s*(?:new\b|array\s*\(|\[)"
+    moved = rf"{start}{name}\s*=\s*(&?)\s*{name}{end}"
+    stored = rf"{start}{name}{field}\s*=\s*&?\s*{name}{end}"
+    loaded = rf"{start}{name}\s*=\s*&?\s*{name}{field}{end}"
+    is_ = lambda p: lines.where(F.col("text").rlike(p))
+    place = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("line_no").cast("string"))
+    one = is_(moved).select(var(part(moved, 1)).alias("lhs"), var(part(moved, 3)).alias("rhs"), (part(moved, 2) == "&").alias("both"))
+    return {
+        "allocs": is_(made).select(var(part(made, 1)).alias("var"), place.alias("loc")).distinct(),
+        "moves": one.select("lhs", "rhs").unionByName(one.where("both").select(F.col("rhs").alias("lhs"), F.col("lhs").alias("rhs"))).distinct(),
+        "stores": is_(stored).select(var(part(stored, 1)).alias("base"), field_of(stored, 2).alias("field"), var(part(stored, 4)).alias("rhs")).distinct(),
+        "loads": is_(loaded).select(var(part(loaded, 1)).alias("lhs"), var(part(loaded, 2)).alias("base"), field_of(loaded, 3).alias("field")).distinct(),
+    }

@@ -249,33 +249,76 @@ def visible(edges: DataFrame) -> DataFrame:
     return r.select(F.col("src").alias("file"), F.col("dst").alias("other")).unionByName(r.select(F.col("dst").alias("file"), F.col("src").alias("other"))).distinct()
 
 
+class _Merged:
+    """Variables of cycles of moves have the same locations: one of them, the least, stands for all. reps: (node, rep) where they differ."""
+
+    def __init__(self, kind: str):
+        self.kind, self.reps = kind, None
+
+    def of(self, df: DataFrame, *columns: str) -> DataFrame:
+        """df with these columns' variables by those that stand for them."""
+        for c in columns if self.reps is not None else ():
+            r = self.reps.select(F.col("node").alias(c), F.col("rep").alias("__rep"))
+            df = df.join(r, c, "left").withColumn(c, F.coalesce("__rep", c)).drop("__rep")
+        return df
+
+    def merge(self, moves: DataFrame) -> bool:
+        """Finds the cycles of moves (lhs, rhs) between variables that stand for others already; whether there are any."""
+        found = strong_components(moves.select(F.col("rhs").alias("src"), F.col("lhs").alias("dst")))
+        new = cut(found.where("node <> scc").select("node", F.col("scc").alias("rep")))
+        if new.isEmpty():
+            return False
+        if self.reps is not None:
+            old, self.reps = self.reps, new
+            new = cut(self.of(old, "rep").unionByName(new))
+        self.reps = new
+        return True
+
+
 def points_to(allocs: DataFrame, moves: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None) -> DataFrame:
     """(var, loc) of inclusion constraints, Andersen's least solution, for variables and for fields of locations ("loc.field").
 
     allocs (var, loc): var is loc. moves (lhs, rhs): lhs = rhs. stores (base, field, rhs): base.field = rhs. loads (lhs,
     base, field): lhs = base.field. A store or load is a move to or from the field of each location that its base points
-    to, so new facts bring new moves. Semi-naive: new facts meet all moves, and new moves meet all facts.
+    to, so new facts bring new moves. Semi-naive: new facts meet all moves, and new moves meet all facts. Variables that
+    moves connect in a cycle are one while facts are found, also where new moves close a cycle: a fact is found once for
+    all of them, and told for each at the end.
     """
+    kind = "string" if stores is not None or loads is not None else allocs.schema["var"].dataType.simpleString()
     cell = F.concat(F.col("loc").cast("string"), F.lit("."), F.col("field").cast("string"))
-    kind = "string" if stores is not None or loads is not None else allocs.schema["var"].dataType
-    fresh = cut(allocs.select(F.col("var").cast(kind).alias("var"), "loc").distinct())
+    typed = lambda df, *columns: df.withColumns({c: F.col(c).cast(kind) for c in columns})
+    merged = _Merged(kind)
+    all_moves = cut(typed(moves.select("lhs", "rhs"), "lhs", "rhs").distinct())
+    merged.merge(all_moves)
+    thin = lambda df: merged.of(df, "lhs", "rhs").where("lhs <> rhs").distinct()
+    moved = _Known(cut(thin(all_moves)))
+    fresh = cut(merged.of(typed(allocs.select("var", "loc"), "var"), "var").distinct())
     known = _Known(fresh)
-    moved = _Known(cut(moves.select(F.col("lhs").cast(kind).alias("lhs"), F.col("rhs").cast(kind).alias("rhs")).distinct()))
     while not fresh.isEmpty():
         found = fresh.join(moved.rows, F.col("var") == F.col("rhs")).select(F.col("lhs").alias("var"), "loc")
         new = []
         if stores is not None:
-            new.append(stores.join(fresh, stores["base"] == fresh["var"]).select(cell.alias("lhs"), F.col("rhs").cast(kind).alias("rhs")))
+            s = merged.of(typed(stores, "base", "rhs"), "base")
+            new.append(s.join(fresh, s["base"] == fresh["var"]).select(cell.alias("lhs"), "rhs"))
         if loads is not None:
-            new.append(loads.join(fresh, loads["base"] == fresh["var"]).select(F.col("lhs").cast(kind).alias("lhs"), cell.alias("rhs")))
+            o = merged.of(typed(loads, "base", "lhs"), "base")
+            new.append(o.join(fresh, o["base"] == fresh["var"]).select("lhs", cell.alias("rhs")))
+        steps = None
         if new:
-            steps = cut((new[0] if len(new) == 1 else new[0].unionByName(new[1])).distinct().join(moved.rows, ["lhs", "rhs"], "left_anti"))
+            steps = cut(thin(new[0] if len(new) == 1 else new[0].unionByName(new[1])).join(moved.rows, ["lhs", "rhs"], "left_anti"))
             found = found.unionByName(steps.join(known.rows, F.col("var") == F.col("rhs")).select(F.col("lhs").alias("var"), "loc"))
         fresh = cut(found.distinct().join(known.rows, ["var", "loc"], "left_anti"))
-        if new:
-            moved.add(steps)
         known.add(fresh)
-    return known.rows
+        if steps is not None and not steps.isEmpty():
+            moved.add(steps)
+            if merged.merge(moved.rows):  # what was known of one of the merged is news to what the others move to
+                moved, everything = _Known(cut(thin(moved.rows))), merged.of(known.rows, "var").distinct()
+                old = known.rows
+                known = _Known(cut(everything))
+                fresh = cut(merged.of(fresh, "var").unionByName(known.rows.join(old, ["var", "loc"], "left_anti")).unionByName(known.rows.join(merged.reps.select(F.col("rep").alias("var")).distinct(), "var", "left_semi")).distinct())
+    if merged.reps is None:
+        return known.rows
+    return known.rows.unionByName(known.rows.join(merged.reps, F.col("var") == F.col("rep")).select(F.col("node").alias("var"), "loc"))
 
 
 def may_alias(pts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graphs, paths, summaries
+from ..operators import context, graphs, paths, summaries
 from ..registry import query
 from ..sources.corpus import read
 from .graph_queries import EDGES, edges
@@ -116,3 +116,32 @@ def g1_access_paths(spark, sf_dir):
 def g7_presink_index(spark, sf_dir):
     """What sinks read, and whether it has been made harmless for them by then."""
     return paths.presink(paths.uses(cell_lines(spark, sf_dir))).withColumnRenamed("file", "file_id")
+
+
+OBJECTS = """ln AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l, user_id || ':v' || (event_id % 9) AS v, user_id || ':v' || ((event_id + 1) % 9) AS o, 'f' || (event_id % 2) AS f, event_type AS kind FROM events),
+    mv AS (SELECT v AS lhs, o AS rhs FROM ln WHERE kind = 'click' OR kind NOT IN ('view', 'click', 'signup', 'purchase') UNION SELECT o, v FROM ln WHERE kind NOT IN ('view', 'click', 'signup', 'purchase')),
+    st AS (SELECT DISTINCT v AS base, f, o AS rhs FROM ln WHERE kind = 'signup'), lo AS (SELECT DISTINCT v AS lhs, o AS base, f FROM ln WHERE kind = 'purchase'),
+    pts(v, loc) USING KEY (v, loc) AS (SELECT v, u || ':' || l FROM ln WHERE kind = 'view' AND l % 4 = 0
+        UNION (SELECT m.lhs, p.loc FROM pts p JOIN mv m ON m.rhs = p.v
+        UNION ALL SELECT b.loc || '.' || s.f, r.loc FROM pts b JOIN st s ON s.base = b.v JOIN recurring.pts r ON r.v = s.rhs
+        UNION ALL SELECT b.loc || '.' || s.f, r.loc FROM pts r JOIN st s ON s.rhs = r.v JOIN recurring.pts b ON b.v = s.base
+        UNION ALL SELECT o.lhs, c.loc FROM pts b JOIN lo o ON o.base = b.v JOIN recurring.pts c ON c.v = b.loc || '.' || o.f
+        UNION ALL SELECT o.lhs, c.loc FROM pts c JOIN recurring.pts b ON starts_with(c.v, b.loc || '.') JOIN lo o ON o.base = b.v AND c.v = b.loc || '.' || o.f))"""
+
+
+@query(f"WITH RECURSIVE {OBJECTS} SELECT v AS var, loc FROM pts")
+def g30_from_code(spark, sf_dir):
+    """What variables and fields may point to, by constraints that are drawn from lines, with copies in cycles."""
+    i, k = F.col("event_id"), F.col("event_type")
+    v, o = (F.concat(F.lit("$v"), ((i + d) % 9).cast("string")) for d in (0, 1))
+    f = F.concat(F.lit("->f"), (i % 2).cast("string"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").withColumn("line_no", F.row_number().over(w))
+    text = (
+        F.when(k == "view", F.when(F.col("line_no") % 4 == 0, F.concat(v, F.lit(" = new A();"))).otherwise("// nothing"))
+        .when(k == "click", F.concat(v, F.lit(" = "), o, F.lit(";")))
+        .when(k == "signup", F.concat(v, f, F.lit(" = "), o, F.lit(";")))
+        .when(k == "purchase", F.concat(v, F.lit(" = "), o, f, F.lit(";")))
+        .otherwise(F.concat(v, F.lit(" = &"), o, F.lit(";")))
+    )
+    return graphs.points_to(**context.alias_constraints(e.select(F.col("user_id").alias("file_id"), "line_no", text.alias("text"))))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spindrift.operators import graphs
+from spindrift.operators import context, graphs
 
 
 def slow_order(edges):
@@ -47,3 +47,37 @@ def test_tarjan_of_a_long_path():
     n = 200_000
     of, levels = graphs._tarjan(n, list(range(n - 1)), list(range(1, n)))
     assert levels == list(range(n - 1, -1, -1)) and len(set(of)) == n
+
+
+def slow_points_to(allocs, moves, stores, loads):
+    pts = {}
+    for v, loc in allocs:
+        pts.setdefault(v, set()).add(loc)
+    while True:
+        before = sum(map(len, pts.values()))
+        steps = list(moves)
+        steps += [(f"{loc}.{f}", r) for b, f, r in stores for loc in pts.get(b, ())] + [(v, f"{loc}.{f}") for v, b, f in loads for loc in pts.get(b, ())]
+        for lhs, rhs in steps:
+            pts.setdefault(lhs, set()).update(pts.get(rhs, ()))
+        if sum(map(len, pts.values())) == before:
+            return {(v, loc) for v, locs in pts.items() for loc in locs}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_points_to(spark, seed):
+    """With cycles from the start, and such as stores and loads close."""
+    rng = random.Random(seed)
+    v = lambda: f"v{rng.randrange(12)}"
+    allocs, moves = [(v(), f"o{i}") for i in range(5)], [(v(), v()) for _ in range(7)] + [("v0", "v1"), ("v1", "v2"), ("v2", "v0")]
+    stores, loads = [(v(), rng.choice("fg"), v()) for _ in range(5)] + [("v0", "f", "v3")], [(v(), v(), rng.choice("fg")) for _ in range(4)] + [("v3", "v0", "f")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graphs.points_to(frame(allocs, "var string, loc string"), frame(moves, "lhs string, rhs string"), frame(stores, "base string, field string, rhs string"), frame(loads, "lhs string, base string, field string"))
+    rows = [(r["var"], r["loc"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == slow_points_to(allocs, moves, stores, loads)
+
+
+def test_points_to_of_code(spark):
+    code = ["$a = new A();", "$b = &$a;", "$b->f = $c;", "$c = array(1);", "$d = $a->f;", "$e['k'] = $d;", "$e = [];", "$g = $e[\"k\"];", "$h = $e[$i];"]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(code, 1)], "file_id int, line_no int, text string")
+    got = {(r["var"], r["loc"]) for r in graphs.points_to(**context.alias_constraints(lines)).collect()}
+    assert got == {("1:a", "1:1"), ("1:b", "1:1"), ("1:c", "1:4"), ("1:1.f", "1:4"), ("1:d", "1:4"), ("1:e", "1:7"), ("1:7.k", "1:4"), ("1:g", "1:4")}
