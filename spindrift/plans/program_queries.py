@@ -131,3 +131,12 @@ def m7_anomaly(spark, sf_dir):
 
     rows = _labelled(spark, sf_dir)
     return learning.anomaly(rows.where("label = 0"), rows, ["size"]).select("id", F.round("anomaly", 6).alias("anomaly"))
+
+
+@query()
+def m7_isolation(spark, sf_dir):
+    """How soon random splits of the features of documents that are not toxic part each document from others."""
+    from ..operators import learning
+
+    rows, features = _labelled(spark, sf_dir), ["size", "insults", "marks"]
+    return learning.isolated(learning.isolation_forest(rows.where("label = 0"), features), rows, features).select("id", "label", "anomaly")
