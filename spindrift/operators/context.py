@@ -49,16 +49,41 @@ def globals_(lines: DataFrame, key: str = "file_id") -> DataFrame:
     return lines.select(key, "line_no", F.explode(F.concat(declared, stored)).alias("name"), F.col("text").rlike(r"\$_(?:GET|POST|REQUEST|COOKIE)").alias("tainted"))
 
 
+def _distances(includes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, at, back, hops, broken) of all that files of starts (start) reach over includes (src, dst, is_resolved), forwards, and (back) against them: the least number of includes, and whether each way of that length has one that isn't resolved.
+
+    Only what starts reach is ever made; a round for each include of the longest way, for both directions."""
+    e = includes.select("src", "dst", F.lit(False).alias("back"), (~F.col("is_resolved")).alias("bad"))
+    e = graphs.cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"), "bad")).groupBy("src", "dst", "back").agg(F.min("bad").alias("bad")))
+    fresh = graphs.cut(starts.select("start", F.col("start").alias("at"), F.explode(F.array(F.lit(False), F.lit(True))).alias("back"), F.lit(0).alias("hops"), F.lit(False).alias("broken")))
+    known, hops = graphs._Known(fresh), 0
+    while not fresh.isEmpty():
+        hops += 1
+        on = fresh.join(e.withColumnRenamed("src", "at"), ["at", "back"]).groupBy("start", F.col("dst").alias("at"), "back").agg(F.min(F.col("broken") | F.col("bad")).alias("broken"))
+        fresh = graphs.cut(on.join(known.rows, ["start", "at", "back"], "left_anti").select("start", "at", "back", F.lit(hops).alias("hops"), "broken"))
+        known.add(fresh)
+    return known.rows.where("hops > 0")
+
+
 def cross_file_flows(includes: DataFrame, tainted: DataFrame, sinks: DataFrame) -> DataFrame:
-    """(source_file, sink_file, name, confidence): globals that one file taints and a sink of another takes, where the files see each other.
+    """(source_file, sink_file, name, hops, confidence): globals that one file taints and a sink of another takes, where the files see each other.
 
-    includes (src, dst); tainted (file, name, direct), direct if the source is assigned as it is; sinks (file, name).
+    includes (src, dst, and is_resolved, true if it is left out); tainted (file, name, direct), direct if the source is a
+    parameter of the request; sinks (file, name). The way is the shortest over includes, or against them if there is none.
+    Short ways are surer; one with an include that isn't resolved is less sure. Only files whose globals some sink takes
+    are followed.
     """
-    g = tainted.select(F.col("file").alias("source_file"), "name", "direct").distinct()
-    s = sinks.select(F.col("file").alias("sink_file"), F.col("name").alias("sink_name")).distinct()
-    seen = graphs.visible(includes).select(F.col("file").alias("source_file"), F.col("other").alias("sink_file"))
-    c = F.lit(0.7) + F.when(F.col("direct"), F.lit(0.15)).otherwise(F.lit(0.1)) + F.lit(0.05)
-    return seen.join(g, "source_file").join(s, "sink_file").where("name = sink_name").select("source_file", "sink_file", "name", F.greatest(F.lit(0.1), F.least(F.lit(1.0), c)).alias("confidence"))
+    if "is_resolved" not in includes.columns:
+        includes = includes.withColumn("is_resolved", F.lit(True))
+    s = graphs.cut(sinks.select(F.col("file").alias("at"), "name").distinct())
+    g = tainted.groupBy(F.col("file").alias("start"), "name").agg(F.max("direct").alias("direct"))
+    g = graphs.cut(g.join(s.select("name").distinct(), "name", "left_semi"))
+    ways = _distances(includes, g.select("start").distinct()).where("start <> at")
+    way = ways.groupBy("start", "at").agg(F.min(F.struct("back", "hops", "broken")).alias("w"))
+    c = F.lit(0.7) + F.when(F.col("direct"), F.lit(0.15)).otherwise(F.lit(0.1))
+    c = c + F.when(F.col("w.hops") <= 1, F.lit(0.1)).when(F.col("w.hops") <= 3, F.lit(0.05)).otherwise(F.lit(0.0)) - F.when(F.col("w.broken"), F.lit(0.2)).otherwise(F.lit(0.0))
+    out = way.join(g, "start").join(s, ["at", "name"])
+    return out.select(F.col("start").alias("source_file"), F.col("at").alias("sink_file"), "name", "w.hops", F.greatest(F.lit(0.1), F.least(F.lit(1.0), c)).alias("confidence"))
 
 
 def namespaces(files: DataFrame) -> DataFrame:

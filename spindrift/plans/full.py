@@ -34,7 +34,7 @@ def interprocedural(files: DataFrame, rules_dir: str = catalog.OWN, lines: DataF
 def across_files(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(source_file, sink_file, name, line_no, vuln_type, severity, confidence): globals that one file taints and another's sink takes, where an include, at any distance, makes them see each other."""
     refs = context.includes(lines).join(files.select("file_id", "path"), "file_id").select("path", "ref")
-    edges = context.include_edges(refs, files.select("path")).where("is_resolved").select("src", "dst").distinct()
+    edges = context.include_edges(refs, files.select("path")).groupBy("src", "dst").agg(F.max("is_resolved").alias("is_resolved"))
     paths = files.select("file_id", "path")
     tainted = context.globals_(lines).where("tainted").join(paths, "file_id").select(F.col("path").alias("file"), "name", F.lit(True).alias("direct"))
     taken = context.globals_(lines).select("file_id", "name").distinct()

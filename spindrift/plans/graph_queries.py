@@ -112,17 +112,23 @@ def g20_params_to_sinks(spark, sf_dir):
     return graphs.params_to_sinks(direct, passes)
 
 
-@query(f"""WITH RECURSIVE {_REACH}, gl AS (SELECT o_orderkey AS file, 'g' || (o_custkey % 7) AS name, o_orderpriority < '3' AS direct FROM orders WHERE o_orderstatus = 'F'),
-    s AS (SELECT o_orderkey AS file, 'g' || (o_custkey % 5) AS name FROM orders WHERE o_orderstatus = 'O'), both_ AS (SELECT src AS a, dst AS b FROM reach UNION SELECT dst, src FROM reach)
-    SELECT g.file AS source_file, s.file AS sink_file, g.name, round(greatest(1e-1, least(1e0, 7e-1 + CASE WHEN g.direct THEN 15e-2 ELSE 1e-1 END + 5e-2)), 2) AS confidence
-    FROM gl g JOIN both_ v ON v.a = g.file JOIN s ON s.file = v.b AND s.name = g.name AND s.file <> g.file""")
+@query(f"""WITH RECURSIVE {EDGES}, gl AS (SELECT o_orderkey AS file, 'g' || (o_custkey % 7) AS name, o_orderpriority < '3' AS direct FROM orders WHERE o_orderstatus = 'F'),
+    s AS (SELECT o_orderkey AS file, 'g' || (o_custkey % 5) AS name FROM orders WHERE o_orderstatus = 'O'),
+    b AS (SELECT src, dst, false AS back, (src + dst) % 11 = 0 AS bad FROM e UNION ALL SELECT dst, src, true, (src + dst) % 11 = 0 FROM e),
+    w AS (SELECT src, dst, back, 1 AS hops, bad FROM b UNION SELECT w.src, b.dst, w.back, w.hops + 1, w.bad OR b.bad FROM w JOIN b ON b.src = w.dst AND b.back = w.back WHERE w.hops < 12),
+    way AS (SELECT src, dst, min({{'back': back, 'hops': hops, 'bad': bad}}) AS w FROM w GROUP BY 1, 2)
+    SELECT g.file AS source_file, s.file AS sink_file, g.name, CAST(v.w.hops AS INTEGER) AS hops,
+      round(greatest(1e-1, least(1e0, 7e-1 + CASE WHEN g.direct THEN 15e-2 ELSE 1e-1 END + CASE WHEN v.w.hops <= 1 THEN 1e-1 WHEN v.w.hops <= 3 THEN 5e-2 ELSE 0e0 END - CASE WHEN v.w.bad THEN 2e-1 ELSE 0e0 END)), 2) AS confidence
+    FROM gl g JOIN way v ON v.src = g.file JOIN s ON s.file = v.dst AND s.name = g.name AND s.file <> g.file""")
 def g26_cross_file_flows(spark, sf_dir):
+    """Every eleventh include isn't resolved."""
     o, k, c = _orders(spark, sf_dir), F.col("o_orderkey"), F.col("o_custkey")
     name = lambda n: F.concat(F.lit("g"), (c % n).cast("string"))
     g = o.where("o_orderstatus = 'F'").select(k.alias("file"), name(7).alias("name"), (F.col("o_orderpriority") < "3").alias("direct"))
     s = o.where("o_orderstatus = 'O'").select(k.alias("file"), name(5).alias("name"))
-    got = context.cross_file_flows(edges(spark, sf_dir), g, s)
-    return got.select("source_file", "sink_file", "name", F.round("confidence", 2).alias("confidence"))
+    includes = edges(spark, sf_dir).withColumn("is_resolved", (F.col("src") + F.col("dst")) % 11 != 0)
+    got = context.cross_file_flows(includes, g, s)
+    return got.select("source_file", "sink_file", "name", "hops", F.round("confidence", 2).alias("confidence"))
 
 
 @query("WITH l AS (SELECT event_id AS seq, CAST(event_id % 5 AS INTEGER) AS a, CAST(event_id // 5 % 5 AS INTEGER) AS b FROM events) SELECT seq, greatest(a, b) AS join_, least(a, b) AS meet_, CASE WHEN b > a THEN 4 ELSE a END AS widen_ FROM l")
