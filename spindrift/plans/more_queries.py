@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
@@ -54,10 +52,14 @@ def f22_critical_override(spark, sf_dir):
     return classify.kept(s).select("seq")
 
 
-@query("SELECT * FROM (VALUES ('App\\', 'src/'), ('Lib\\', 'lib/'), ('Tests\\', 'tests/')) t(prefix, dir)")
+@query(r"""SELECT s_suppkey AS file_id, prefix, dir FROM supplier, LATERAL (VALUES ('App' || s_nationkey || '\', 'src/'), ('Lib\', 'lib' || s_nationkey || '/'), ('Tests\', 'tests/')) t(prefix, dir)""")
 def s8_composer(spark, sf_dir):
-    spec = {"autoload": {"psr-4": {"App\\": "src/", "Lib\\": ["lib/", "old/"]}}, "autoload-dev": {"psr-4": {"App\\": "dev/", "Tests\\": "tests/"}}}
-    return corpus.psr4(spark, json.dumps(spec))
+    """A project's file for each supplier, with a prefix that only development has, and one that it has as well."""
+    n = F.col("s_nationkey").cast("string")
+    main = F.concat(F.lit('{"App'), n, F.lit('\\\\": "src/", "Lib\\\\": ["lib'), n, F.lit('/", "old/"]}'))
+    dev = F.concat(F.lit('{"App'), n, F.lit('\\\\": "dev/", "Tests\\\\": "tests/"}'))
+    code = F.concat(F.lit('{"name": "x", "autoload": {"psr-4": '), main, F.lit('}, "autoload-dev": {"psr-4": '), dev, F.lit("}}"))
+    return corpus.psr4_of(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), code.alias("code")))
 
 
 @query(f"WITH {FILES}, n AS (SELECT path, sha256(code) AS h FROM files), o AS (SELECT path, CASE WHEN file_id % 7 = 0 THEN 'x' ELSE sha256(code) END AS h FROM files WHERE file_id % 11 > 0) SELECT count_if(o.h = n.h) AS hits, count_if(o.h IS NULL OR o.h <> n.h) AS misses, (SELECT count(*) FROM o) AS entries FROM n LEFT JOIN o USING (path)")
@@ -70,10 +72,10 @@ def s9_a17_cache_stats(spark, sf_dir):
     return got.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count("old").alias("entries"))
 
 
-@query("""SELECT 'fixtures' AS origin, toxic AS label, count(*) AS n FROM labels WHERE doc_id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'scans', quality, count(*) FROM labels GROUP BY 2 UNION ALL SELECT 'synthetic', CAST(1 AS INTEGER), count(*) FROM benchmark""")
+@query("""SELECT 'fixtures' AS origin, toxic AS label, count(*) AS n FROM labels GROUP BY 2 UNION ALL SELECT 'scans', quality, count(*) FROM labels GROUP BY 2 UNION ALL SELECT 'synthetic', CAST(1 AS INTEGER), count(*) FROM benchmark""")
 def u8_training_union(spark, sf_dir):
     l, b = read(spark, sf_dir, "labels"), read(spark, sf_dir, "benchmark")
-    parts = [("fixtures", l.where("doc_id % 2 = 0").select(F.col("toxic").alias("label"))), ("scans", l.select(F.col("quality").alias("label"))), ("synthetic", b.select(F.lit(1).alias("label")))]
+    parts = [("fixtures", l.select(F.col("toxic").alias("label"))), ("scans", l.select(F.col("quality").alias("label"))), ("synthetic", b.select(F.lit(1).alias("label")))]
     rows = None
     for origin, part in parts:
         part = part.withColumn("origin", F.lit(origin))

@@ -64,6 +64,16 @@ def psr4(spark: SparkSession, composer_json: str) -> DataFrame:
     return main.unionByName(table.where("dev = 1").join(main, "prefix", "left_anti")).select("prefix", "dir")
 
 
+def psr4_of(files: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, prefix, dir) of composer files (key, code), as `psr4` has them for one; what isn't JSON has none."""
+    part = "struct<`psr-4`: map<string, string>>"
+    spec = files.select(key, F.from_json("code", f"autoload {part}, `autoload-dev` {part}").alias("s"))
+    dir_ = F.when(F.startswith("dir", F.lit("[")), F.get_json_object("dir", "$[0]")).otherwise(F.col("dir"))
+    of = lambda name: spec.select(key, F.explode(F.col("s")[name]["psr-4"]).alias("prefix", "dir")).withColumn("dir", dir_)
+    main = of("autoload")
+    return main.unionByName(of("autoload-dev").join(main.select(key, "prefix"), [key, "prefix"], "left_anti"))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,6 +29,9 @@ def test_composer(spark):
     spec = {"autoload": {"psr-4": {"App\\": "src/", "Lib\\": ["lib/", "old/"]}}, "autoload-dev": {"psr-4": {"App\\": "dev/", "Tests\\": "tests/"}}}
     got = {r.prefix: r.dir for r in corpus.psr4(spark, json.dumps(spec)).collect()}
     assert got == {"App\\": "src/", "Lib\\": "lib/", "Tests\\": "tests/"}
+    files = spark.createDataFrame([(1, json.dumps(spec)), (2, "{}"), (3, "no"), (4, None), (5, json.dumps({"autoload-dev": spec["autoload-dev"]}))], "file_id int, code string")
+    every = {(r.file_id, r.prefix): r.dir for r in corpus.psr4_of(files).collect()}
+    assert every == {**{(1, k): v for k, v in got.items()}, (5, "App\\"): "dev/", (5, "Tests\\"): "tests/"}
 
 
 def test_catalog(spark):
