@@ -303,6 +303,10 @@ def _firsts(rows: DataFrame, keys: list[str], carried: tuple[str, ...] = (), *mo
     return rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE, *carried)).alias("first"), F.count("*").alias("c"), *more)
 
 
+#: What stretches and windows are told equal by: all of their words, and of lines where these end.
+_KEYS = ["d1", "d2"]
+
+
 def _later(rows: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
     """rows with a place (id, text_hash, row, kind, a, z) that some earlier row has the same keys as. Only firsts, of which each partition has few, are put into a hash table; nothing is sorted."""
     firsts = firsts.where("c > 1").select(*keys, F.struct(*(f"first.{c}" for c in _PLACE)).alias("first"))
@@ -324,25 +328,26 @@ def repeated(base: DataFrame, kind: str) -> DataFrame:
             own = b.column(4)
             p = own.flatten()
             text = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
-            gram, which, first, last = (p.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "kind", "a", "z"))
+            which, first, last = (p.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "a", "z"))
             place, d1, d2, at = windows(b.column(3), text, which, first.astype(np.int64), last.astype(np.int64))
-            take, k = pa.array(text[place]), which[place]
-            yield _batch(names, gram[place], d1, d2, *(b.column(c).take(take) for c in range(3)), k, at.astype(np.int32), (at + np.where(k == 0, RUN, LINE_RUN) - 1).astype(np.int32))
+            take = pa.array(text[place])
+            yield _batch(names[1:-1], d1, d2, *(b.column(c).take(take) for c in range(3)), which[place], at.astype(np.int32))
 
     names = ["gram", "d1", "d2", "row", "id", "text_hash", "kind", "a", "z"]
     schema = f"gram long, d1 long, d2 long, row long, id {kind}, text_hash long, kind byte, a int, z int"
     found = written(base.mapInArrow(grams, schema), "grams")
     counts = found.groupBy("gram").agg(F.count("*").alias("c"), (F.min("d1") != F.max("d1")).alias("many")).where("c > 1").select("gram", "many")
-    again = written(found.join(written(counts, "recurring-grams").hint("shuffle_hash"), "gram"), "recurring-places")
-    keys = ["gram", "d1", "d2"]
-    firsts = written(_firsts(again, keys, ("z", "kind"), F.max("many").alias("many")).where("c > 1 or many"), "first-places")
-    spans = _later(again.drop("many"), keys, firsts)
+    again = written(found.join(written(counts, "recurring-grams").hint("shuffle_hash"), "gram").drop("gram"), "recurring-places")
+    firsts = written(_firsts(again, _KEYS, ("z", "kind"), F.max("many").alias("many")).where("c > 1 or many"), "first-places")
+    spans = _later(again.drop("many"), _KEYS, firsts)
     # the first place of each stretch of a gram that stands in several
-    wanted = firsts.where("many").groupBy("first.row").agg(F.collect_list(F.struct("gram", "first.kind", "first.a", "first.z")).alias("own"))
+    wanted = firsts.where("many").groupBy("first.row").agg(F.collect_list(F.struct("first.kind", "first.a", "first.z")).alias("own"))
     wanted = written(wanted, "stretches")
     texts = probable(base, wanted.select("row")).where("maybe").drop("maybe")
-    parts = written(texts.join(wanted, "row").select("row", "id", "text_hash", "text", "own").mapInArrow(exploded, schema), "windows")
-    spans = spans.unionByName(_later(parts, keys, written(_firsts(parts, keys).where("c > 1"), "first-windows")))
+    of_windows = ", ".join(c for c in schema.split(", ") if c not in ("gram long", "z int"))
+    parts = written(texts.join(wanted, "row").select("row", "id", "text_hash", "text", "own").mapInArrow(exploded, of_windows), "windows")
+    last = F.col("a") + F.when(F.col("kind") == 0, RUN - 1).otherwise(LINE_RUN - 1)
+    spans = spans.unionByName(_later(parts.withColumn("z", last), _KEYS, written(_firsts(parts, _KEYS).where("c > 1"), "first-windows")))
     return spans.groupBy("row").agg(F.collect_list(F.struct("kind", "a", "z")).alias("spans"))
 
 
