@@ -5,6 +5,9 @@ Fixed points end when a round finds nothing new, whatever number of rounds that
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +18,11 @@ from ..sources.tables import dropped, written
 ROUNDS = 8
 #: Edges that a task solves at a time.
 LOCAL = 1 << 16
+#: Edges of a weak component whose pairs of nodes a task finds, and pairs that it may find at a time.
+CLOSED = 1 << 10
+PAIRS = 1 << 21
+#: Edges that a task contracts at a time.
+CHUNK = 1 << 18
 #: How often nodes without edges to or from them are taken off before a round.
 TRIMS = 2
 
@@ -47,10 +55,21 @@ class _Known:
 def reach(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): every node that each node reaches, by the least number of edges, itself left out unless by a cycle.
 
-    By doubling: once all pairs of up to n edges are known, those of exactly n are joined with all of them, which finds
-    the ones of up to 2n. So a path of any length takes as many rounds as its length has binary digits. The result has a
-    row for each pair, which is what is asked for; `strong_components` and `stale` do without it.
+    Paths lie within weak components; those of up to CLOSED edges are closed many at a time, as a task holds their pairs,
+    larger ones by rounds. The result has a row for each pair, which is what is asked for; `strong_components` and `stale`
+    do without it.
     """
+    if not edges.where("src IS NULL OR dst IS NULL").isEmpty():
+        return _reach_by_rounds(edges)
+    kind = edges.schema["src"].dataType.simpleString()
+    small, large = _bucketed(parted(edges.select("src", "dst")), CLOSED, PAIRS)
+    out = _solved(small, _closed, f"src {kind}, dst {kind}, depth int")
+    return out if large is None else out.unionByName(_reach_by_rounds(large))
+
+
+def _reach_by_rounds(edges: DataFrame) -> DataFrame:
+    """`reach` by doubling: once all pairs of up to n edges are known, those of exactly n are joined with all of them, which
+    finds the ones of up to 2n. So a path of any length takes as many rounds as its length has binary digits."""
     known = _Known(cut(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))))
     n = 1
     while True:
@@ -101,8 +120,151 @@ def _least_around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return now.groupBy("node").agg(side(False).alias("before"), side(True).alias("after"))
 
 
+def _least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of nodes 0 to n - 1 with edges between a and b: for each the least node of its weak component."""
+    label = np.arange(n)
+    while True:
+        at, to = label[a], label[b]
+        if (at == to).all():
+            return label
+        np.minimum.at(label, np.maximum(at, to), np.minimum(at, to))  # labels are roots, and take lower ones that they meet
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _coded(frame: pd.DataFrame, *columns: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values of columns in order, and for each column where its values stand there."""
+    codes, values = pd.factorize(np.concatenate([frame[c].to_numpy() for c in columns]), sort=True)
+    return values, np.split(codes, len(columns))
+
+
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges with `root`, the least node of their weak component within CHUNK edges."""
+
+    def rooted(held: list[pd.DataFrame]) -> pd.DataFrame:
+        frame = pd.concat(held, ignore_index=True)
+        nodes, (a, b) = _coded(frame, "src", "dst")
+        return frame.assign(root=nodes[_least_joined(len(nodes), a, b)[a]])
+
+    held, n = [], 0
+    for frame in frames:
+        if len(frame):
+            held.append(frame)
+            n += len(frame)
+        if n >= CHUNK:
+            yield rooted(held)
+            held, n = [], 0
+    if held:
+        yield rooted(held)
+
+
+def by_name(edges: DataFrame) -> DataFrame:
+    """edges in order of src, so that those of one file, project or directory stand in few chunks."""
+    return edges.repartitionByRange("src").sortWithinPartitions("src")
+
+
+def parted(edges: DataFrame) -> DataFrame:
+    """edges (src, dst, and what else they have; none null) with `part`, the least node of their weak component.
+
+    Tasks contract the edges that they read, so what stands together in a table isn't shuffled. Nodes that several chunks
+    hold link these chunks' roots. Links are contracted once more, in order of names, and what is left goes by rounds over
+    links alone.
+    """
+    of, label = _rooted(edges)
+    if label is None:
+        return of.withColumnRenamed("root", "part")
+    return of.join(label.withColumnRenamed("node", "root"), "root", "left").withColumn("part", F.coalesce("part", "root")).drop("root")
+
+
+def _rooted(edges: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """edges with `root`, and (node, part) of the roots that aren't their part's only ones, None if there are none."""
+    kind = edges.schema["src"].dataType.simpleString()
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema)
+    of = cut(edges.mapInPandas(_contracted, f"{given}, root {kind}"))
+    ends = of.select(F.col("src").alias("node"), "root").unionByName(of.select(F.col("dst").alias("node"), "root"))
+    split = cut(ends.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("node", "least"))
+    if split.isEmpty():
+        return of, None
+    links = cut(ends.join(split, "node").where("root <> least").select(F.col("root").alias("src"), F.col("least").alias("dst")).distinct())
+    return of, _weak_by_rounds(links) if last else cut(_weak(by_name(links), True))
+
+
+def _weak(edges: DataFrame, last: bool = False) -> DataFrame:
+    of, label = _rooted(edges.select("src", "dst"), last)
+    own = of.select(F.explode(F.array("src", "dst")).alias("node"), "root").distinct()
+    if label is None:
+        return own.withColumnRenamed("root", "part").distinct()
+    return own.join(label.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("part", "root").alias("part")).distinct()
+
+
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, part): part is the least node that edges lead to, whatever their direction.
+    """(node, part): part is the least node that edges lead to, whatever their direction. As `parted` goes."""
+    return cut(_weak(edges))
+
+
+def _bucketed(of: DataFrame, most: int, pairs: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (with part) of weak components of up to `most` edges, with `bucket`, and those of larger ones, None if there are none.
+
+    A bucket has about LOCAL edges, or, if pairs is given, as many as can have that many pairs of nodes.
+    """
+    sizes = cut(of.groupBy("part").agg(F.count("*").alias("c")))
+    weight, held = (F.col("c"), LOCAL) if pairs is None else ((F.col("c") + 1) * (F.col("c") + 1), pairs)
+    total = sizes.where(F.col("c") <= most).agg(F.sum(weight)).first()[0] or 0
+    large = sizes.where(F.col("c") > most).select("part")
+    bucket = F.pmod(F.xxhash64("part"), F.lit(-(-total // held) or 1)).alias("bucket")
+    given = [c for c in of.columns if c != "part"]
+    if large.isEmpty():
+        return of.select(*given, bucket), None
+    return of.join(large, "part", "left_anti").select(*given, bucket), cut(of.join(large, "part", "left_semi").select(*given))
+
+
+def _solved(edges: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What solve makes of each bucket, which holds whole weak components."""
+    return edges.groupBy("bucket").applyInPandas(solve, schema)
+
+
+class _After:
+    """Edges between nodes 0 to n - 1, by where they start."""
+
+    def __init__(self, n: int, heads: np.ndarray, tails: np.ndarray):
+        key = np.unique(heads * n + tails)
+        self.tails, self.first = key % n, np.searchsorted(key // n, np.arange(n + 1))
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, tail) of each edge that starts at nodes[i]."""
+        c = self.first[nodes + 1] - self.first[nodes]
+        i = np.repeat(np.arange(len(nodes)), c)
+        return i, self.tails[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + self.first[nodes][i]]
+
+
+def _rounds(after: _After, n: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth from 1 what is reached first: (pair, i, pair before), pair = start * n + node; i: which of the earlier depth's led there first in their order."""
+    known, fresh = np.zeros(0, dtype=np.int64), starts * n + starts
+    while len(fresh):
+        i, to = after.of(fresh % n)
+        pair, first = np.unique(fresh[i] // n * n + to, return_index=True)
+        new = ~np.isin(pair, known)
+        fresh, i = pair[new], i[first[new]]
+        known = np.union1d(known, fresh)
+        yield fresh, i, known
+
+
+def _pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, pairs, depths) of all that each node reaches, itself unless by a cycle left out."""
+    nodes, (a, b) = _coded(frame, "src", "dst")
+    n = len(nodes)
+    found = [f for f, _, _ in _rounds(_After(n, a, b), n, np.arange(n))]
+    return nodes, np.concatenate(found), np.repeat(np.arange(1, len(found) + 1), [len(f) for f in found])
+
+
+def _closed(frame: pd.DataFrame) -> pd.DataFrame:
+    nodes, pairs, depths = _pairs(frame)
+    n = len(nodes)
+    return pd.DataFrame({"src": nodes[pairs // n], "dst": nodes[pairs % n], "depth": depths})
+
+
+def _weak_by_rounds(edges: DataFrame) -> DataFrame:
+    """`weak_components` by rounds over all edges.
 
     Labels go over edges, and then jump: a node takes its label's label, so they go twice as far in each round.
     """
@@ -158,20 +320,14 @@ def _tarjan(n: int, heads: list[int], tails: list[int]) -> tuple[list[int], list
     return of, [levels[c] for c in of]
 
 
-def _solved(edges: DataFrame) -> DataFrame:
-    """(node, scc, level) of edges (src, dst, bucket): whole weak components, as many as a task can hold in each bucket."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*frame["src"], *frame["dst"]})
-        at = {v: i for i, v in enumerate(nodes)}
-        of, levels = _tarjan(len(nodes), [at[v] for v in frame["src"]], [at[v] for v in frame["dst"]])
-        first: dict[int, object] = {}
-        for i, c in enumerate(of):
-            first.setdefault(c, nodes[i])
-        return pd.DataFrame({"node": nodes, "scc": [first[c] for c in of], "level": levels})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.groupBy("bucket").applyInPandas(solve, f"node {kind}, scc {kind}, level int")
+def _components(frame: pd.DataFrame) -> pd.DataFrame:
+    """(node, scc, level) of edges (src, dst)."""
+    nodes, (a, b) = _coded(frame, "src", "dst")
+    of, levels = _tarjan(len(nodes), a.tolist(), b.tolist())
+    first: dict[int, int] = {}
+    for i, c in enumerate(of):
+        first.setdefault(c, i)
+    return pd.DataFrame({"node": nodes, "scc": nodes[[first[c] for c in of]], "level": levels})
 
 
 def leaves_first(edges: DataFrame) -> DataFrame:
@@ -180,17 +336,12 @@ def leaves_first(edges: DataFrame) -> DataFrame:
     Components lie within weak ones. Of these, those of up to LOCAL edges are solved many at a time, as a task holds them;
     larger ones by rounds over all of their edges.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    parts = weak_components(edges)
-    of = cut(edges.join(parts.withColumnRenamed("node", "src"), "src"))
-    sizes = cut(of.groupBy("part").agg(F.count("*").alias("c")))
-    total = sizes.where(F.col("c") <= LOCAL).agg(F.sum("c")).first()[0] or 0
-    large = sizes.where(F.col("c") > LOCAL).select("part")
-    bucket = F.pmod(F.xxhash64("part"), F.lit(-(-total // LOCAL) or 1))
-    out = _solved(of.join(large, "part", "left_anti").select("src", "dst", bucket.alias("bucket")))
-    if large.isEmpty():
+    kind = edges.schema["src"].dataType.simpleString()
+    small, far = _bucketed(parted(edges.select(F.coalesce("src", "dst").alias("src"), F.coalesce("dst", "src").alias("dst")).where("src IS NOT NULL")), LOCAL)
+    out = _solved(small, _components, f"node {kind}, scc {kind}, level int")
+    if far is None:
         return out
-    far = cut(of.join(large, "part", "left_semi").select("src", "dst"))
+    far = cut(far.distinct())
     found = cut(_by_rounds(far))
     return out.unionByName(found.join(levels(far, found), "scc").select("node", "scc", "level"))
 
@@ -245,8 +396,22 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
 
 def visible(edges: DataFrame) -> DataFrame:
     """(file, other): files that see each other's globals, forwards or backwards over includes."""
-    r = reach(edges).select("src", "dst").where("src <> dst")
-    return r.select(F.col("src").alias("file"), F.col("dst").alias("other")).unionByName(r.select(F.col("dst").alias("file"), F.col("src").alias("other"))).distinct()
+    edges = edges.select("src", "dst").dropna()  # null sees nothing
+    kind = edges.schema["src"].dataType.simpleString()
+    small, large = _bucketed(parted(edges), CLOSED, PAIRS)
+    out = _solved(small, _seen, f"file {kind}, other {kind}")
+    if large is None:
+        return out
+    r = _reach_by_rounds(large).select("src", "dst").where("src <> dst")
+    return out.unionByName(r.select(F.col("src").alias("file"), F.col("dst").alias("other")).unionByName(r.select(F.col("dst").alias("file"), F.col("src").alias("other"))).distinct())
+
+
+def _seen(frame: pd.DataFrame) -> pd.DataFrame:
+    nodes, pairs, _ = _pairs(frame)
+    n = len(nodes)
+    both = np.unique(np.concatenate([pairs, pairs % n * n + pairs // n]))
+    both = both[both // n != both % n]
+    return pd.DataFrame({"file": nodes[both // n], "other": nodes[both % n]})
 
 
 class _Merged:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from spindrift.operators import context, graphs
+from spindrift.sources.tables import written as tables_written
 
 
 def slow_order(edges):
@@ -81,3 +82,37 @@ def test_points_to_of_code(spark):
     lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(code, 1)], "file_id int, line_no int, text string")
     got = {(r["var"], r["loc"]) for r in graphs.points_to(**context.alias_constraints(lines)).collect()}
     assert got == {("1:a", "1:1"), ("1:b", "1:1"), ("1:c", "1:4"), ("1:1.f", "1:4"), ("1:d", "1:4"), ("1:e", "1:7"), ("1:7.k", "1:4"), ("1:g", "1:4")}
+
+
+def tables(monkeypatch):
+    """Names of the tables that are written from now on."""
+    made = []
+    monkeypatch.setattr(graphs, "written", lambda df, name: (made.append(name), tables_written(df, name))[1])
+    return made
+
+
+def projects(spark, size=40, n=20):
+    """Ways of `size` files in each of n projects, with a way back in every other one."""
+    e = spark.range(n * size, numPartitions=3).selectExpr("id AS src", f"IF(id % {size} = {size - 1}, id - IF(id DIV {size} % 2 = 0, {size - 1}, 0), id + 1) AS dst")
+    return e, {(r.src, r.dst) for r in e.collect()}
+
+
+def test_components_of_many_projects_take_no_rounds(spark, monkeypatch):
+    e, pairs = projects(spark)
+    made = tables(monkeypatch)
+    got = {r.node: (r.scc, r.level) for r in graphs.leaves_first(e).collect()}
+    assert got == slow_order(pairs)
+    assert len(made) <= 9  # by rounds, labels of 40 files took more
+
+
+def test_weak_components(spark):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    parts = {v: v for e in pairs for v in e}
+    while any(parts[a] != parts[b] for a, b in pairs):
+        for a, b in pairs:
+            parts[a] = parts[b] = min(parts[a], parts[b])
+    df = spark.createDataFrame(pairs, "src long, dst long").repartition(5)
+    assert {r.node: r.part for r in graphs.weak_components(df).collect()} == parts
+    assert all(r.part == parts[r.src] for r in graphs.parted(df).collect())
+    assert graphs.weak_components(df.limit(0)).collect() == []
