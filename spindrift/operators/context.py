@@ -220,6 +220,7 @@ def alias_constraints(lines: DataFrame, key: str = "file_id") -> dict[str, DataF
     moved = rf"{start}{name}\s*=\s*(&?)\s*{name}{end}"
     stored = rf"{start}{name}{field}\s*=\s*&?\s*{name}{end}"
     loaded = rf"{start}{name}\s*=\s*&?\s*{name}{field}{end}"
+    lines = graphs.cut(lines.select(key, "line_no", "text").where(F.col("text").rlike("|".join((made, moved, stored, loaded)))))  # read by all four
     is_ = lambda p: lines.where(F.col("text").rlike(p))
     place = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("line_no").cast("string"))
     one = is_(moved).select(var(part(moved, 1)).alias("lhs"), var(part(moved, 3)).alias("rhs"), (part(moved, 2) == "&").alias("both"))

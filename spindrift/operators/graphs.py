@@ -5,6 +5,7 @@ Fixed points end when a round finds nothing new, whatever number of rounds that
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -445,9 +446,77 @@ def points_to(allocs: DataFrame, moves: DataFrame, stores: DataFrame | None = No
 
     allocs (var, loc): var is loc. moves (lhs, rhs): lhs = rhs. stores (base, field, rhs): base.field = rhs. loads (lhs,
     base, field): lhs = base.field. A store or load is a move to or from the field of each location that its base points
-    to, so new facts bring new moves. Semi-naive: new facts meet all moves, and new moves meet all facts. Variables that
-    moves connect in a cycle are one while facts are found, also where new moves close a cycle: a fact is found once for
-    all of them, and told for each at the end.
+    to, so new facts bring new moves.
+
+    Facts go between variables that constraints connect, and, where there are fields, between those that have a location
+    in common. Of the weak components of these, those of up to CLOSED constraints are solved many at a time, as a task holds
+    their facts, larger ones by rounds.
+    """
+    fields = stores is not None or loads is not None
+    kind, loc_kind = ("string",) * 2 if fields else (allocs.schema[c].dataType.simpleString() for c in ("var", "loc"))
+    none, as_ = F.lit(None).cast("string"), lambda c, name: F.col(c).cast(kind).alias(name)
+    row = lambda df, what, a, b, loc=None, field=none: df.select(as_(a, "src"), as_(b, "dst"), F.lit(what).alias("what"), (F.lit(None) if loc is None else loc).cast(loc_kind).alias("loc"), field.cast("string").alias("field"))
+    rows = row(allocs, "alloc", "var", "var", F.col("loc")).unionByName(row(moves, "move", "lhs", "rhs"))
+    if stores is not None:
+        rows = rows.unionByName(row(stores, "store", "base", "rhs", None, F.col("field")))
+    if loads is not None:
+        rows = rows.unionByName(row(loads, "load", "lhs", "base", None, F.col("field")))
+    rows = cut(rows.dropna(subset=["src", "dst"]))
+    linked = rows
+    if fields:  # variables that share a location, and those that are named as a location's field
+        at = lambda c: F.concat(F.lit("@"), c)
+        shared = rows.where("what = 'alloc' AND loc IS NOT NULL").withColumns({"dst": at(F.col("loc")), "what": F.lit("link")})
+        ends = rows.select(F.explode(F.array("src", "dst")).alias("src")).where("contains(src, '.')").distinct()
+        named = ends.select("src", F.explode(F.transform(F.sequence(F.lit(1), F.regexp_count("src", F.lit(r"\."))), lambda i: at(F.call_function("substring_index", F.col("src"), F.lit("."), i)))).alias("dst"))
+        linked = rows.unionByName(shared).unionByName(named.select("src", "dst", F.lit("link").alias("what"), F.lit(None).cast(loc_kind).alias("loc"), none.alias("field")))
+    small, large = _bucketed(parted(by_name(linked)), CLOSED, PAIRS)
+    out = _solved(small.where("what <> 'link'"), _pointed, f"var {kind}, loc {loc_kind}")
+    if large is None:
+        return out
+    of = lambda what, **names: large.where(F.col("what") == what).select(*[F.col(c).alias(n) for n, c in names.items()])
+    return out.unionByName(_points_to_by_rounds(of("alloc", var="src", loc="loc"), of("move", lhs="src", rhs="dst"), None if stores is None else of("store", base="src", field="field", rhs="dst"), None if loads is None else of("load", lhs="src", base="dst", field="field")))
+
+
+def _pointed(frame: pd.DataFrame) -> pd.DataFrame:
+    """(var, loc) of constraints (src, dst, what, loc, field): new facts go along moves, and bring moves where they are at a base of stores and loads."""
+    facts: dict[object, set] = defaultdict(set)
+    after, stores, loads = defaultdict(set), defaultdict(list), defaultdict(list)
+    work = []
+    for src, dst, what, loc, field in zip(*(frame[c].tolist() for c in ("src", "dst", "what", "loc", "field")), strict=True):
+        if what == "alloc":
+            work.append((src, {loc}))
+        elif what == "move":
+            after[dst].add(src)
+        elif field is None or pd.isna(field):  # what has no name is no field
+            continue
+        elif what == "store":
+            stores[src].append((field, dst))
+        else:
+            loads[dst].append((field, src))
+    while work:
+        var, locs = work.pop()
+        new = locs - facts[var]
+        if not new:
+            continue
+        facts[var] |= new
+        work += [(to, new) for to in after[var]] if var in after else []
+        for bases, stored in ((stores, True), (loads, False)):
+            for field, other in bases.get(var, ()):
+                for loc in new:
+                    cell = f"{loc}.{field}"
+                    a, b = (other, cell) if stored else (cell, other)
+                    if b not in after[a]:
+                        after[a].add(b)
+                        if facts.get(a):
+                            work.append((b, set(facts[a])))
+    rows = [(var, loc) for var, locs in facts.items() for loc in locs]
+    return pd.DataFrame(rows, columns=["var", "loc"])
+
+
+def _points_to_by_rounds(allocs: DataFrame, moves: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None) -> DataFrame:
+    """`points_to`, semi-naive: new facts meet all moves, and new moves meet all facts. Variables that moves connect in a cycle
+    are one while facts are found, also where new moves close a cycle: a fact is found once for all of them, and told for
+    each at the end.
     """
     kind = "string" if stores is not None or loads is not None else allocs.schema["var"].dataType.simpleString()
     cell = F.concat(F.col("loc").cast("string"), F.lit("."), F.col("field").cast("string"))

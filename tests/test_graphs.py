@@ -116,3 +116,31 @@ def test_weak_components(spark):
     assert {r.node: r.part for r in graphs.weak_components(df).collect()} == parts
     assert all(r.part == parts[r.src] for r in graphs.parted(df).collect())
     assert graphs.weak_components(df.limit(0)).collect() == []
+
+
+def test_points_to_of_many_files_takes_no_rounds(spark, monkeypatch):
+    """Ways of 40 variables through a field, in each of 12 files; a location that two files share."""
+    v = lambda f, k: f"{f}:v{k}"
+    allocs = [(v(f, 0), f"{f}:1") for f in range(12)] + [(v(f, 60), f"{f}:2") for f in range(12)] + [("3:v60", "shared"), ("9:v60", "shared")]
+    moves = [(v(f, k + 1), v(f, k)) for f in range(12) for k in range(40)]
+    stores, loads = [(v(f, 60), "a", v(f, 40)) for f in range(12) if f != 9], [(v(f, 61), v(f, 60), "a") for f in range(12)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    made = tables(monkeypatch)
+    got = graphs.points_to(frame(allocs, "var string, loc string"), frame(moves, "lhs string, rhs string"), frame(stores, "base string, field string, rhs string"), frame(loads, "lhs string, base string, field string"))
+    rows = [(r["var"], r["loc"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == slow_points_to(allocs, moves, stores, loads)
+    assert ("9:v61", "3:1") in rows and len(made) <= 10  # by rounds, one for each move of a way
+
+
+@pytest.mark.parametrize("closed", [1 << 10, 3])
+def test_closures_and_points_to_small_and_large(spark, monkeypatch, closed):
+    monkeypatch.setattr(graphs, "CLOSED", closed)
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (10, 11), (20, 21), (21, 22), (20, 22), (10, 11)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = graphs.reach(e).collect()
+    assert {(r.src, r.dst): r.depth for r in got}[(1, 1)] == 3 and len(got) == len({(r.src, r.dst) for r in got}) == 9 + 3 + 1 + 1 + 3
+    seen = {(r.file, r.other) for r in graphs.visible(e).collect()}
+    assert seen == {(a, b) for r in got for a, b in ((r.src, r.dst), (r.dst, r.src)) if a != b}
+    allocs = spark.createDataFrame([(1, "a"), (10, "b"), (22, "c")], "var long, loc string")
+    pts = [(r["var"], r["loc"]) for r in graphs.points_to(allocs, e.selectExpr("dst AS lhs", "src AS rhs")).collect()]
+    assert sorted(pts) == [(1, "a"), (2, "a"), (3, "a"), (4, "a"), (10, "b"), (11, "b"), (22, "c")]
