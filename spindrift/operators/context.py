@@ -52,7 +52,12 @@ def globals_(lines: DataFrame, key: str = "file_id") -> DataFrame:
 def _distances(includes: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, at, back, hops, broken) of all that files of starts (start) reach over includes (src, dst, is_resolved), forwards, and (back) against them: the least number of includes, and whether each way of that length has one that isn't resolved.
 
-    Only what starts reach is ever made; a round for each include of the longest way, for both directions."""
+    Only what starts reach is ever made: within weak components many at a time in a task, for large ones by rounds, one for each include of the longest way, for both directions."""
+    out, far, from_ = graphs.ways(includes.select("src", "dst", (~F.col("is_resolved")).alias("bad")), starts)
+    return out if far is None else out.unionByName(_distances_by_rounds(far.withColumn("is_resolved", ~F.col("bad")), from_))
+
+
+def _distances_by_rounds(includes: DataFrame, starts: DataFrame) -> DataFrame:
     e = includes.select("src", "dst", F.lit(False).alias("back"), (~F.col("is_resolved")).alias("bad"))
     e = graphs.cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"), "bad")).groupBy("src", "dst", "back").agg(F.min("bad").alias("bad")))
     fresh = graphs.cut(starts.select("start", F.col("start").alias("at"), F.explode(F.array(F.lit(False), F.lit(True))).alias("back"), F.lit(0).alias("hops"), F.lit(False).alias("broken")))

@@ -224,40 +224,72 @@ def _solved(edges: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], sch
     return edges.groupBy("bucket").applyInPandas(solve, schema)
 
 
+def _least_flags(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and whether all of a key's flags are set."""
+    both = np.unique(keys * 2 + flags)
+    both = both[np.concatenate([[True], both[1:] // 2 != both[:-1] // 2])] if len(both) else both
+    return both // 2, both % 2 == 1
+
+
 class _After:
-    """Edges between nodes 0 to n - 1, by where they start."""
+    """Edges between nodes 0 to n - 1, by where they start; of those between the same nodes, `bad` only if all are."""
 
-    def __init__(self, n: int, heads: np.ndarray, tails: np.ndarray):
-        key = np.unique(heads * n + tails)
+    def __init__(self, n: int, heads: np.ndarray, tails: np.ndarray, bad: np.ndarray | None = None):
+        key, self.bad = _least_flags(heads * n + tails, np.zeros(len(heads), dtype=bool) if bad is None else bad)
         self.tails, self.first = key % n, np.searchsorted(key // n, np.arange(n + 1))
 
-    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(i, tail) of each edge that starts at nodes[i]."""
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, tail, bad) of each edge that starts at nodes[i]."""
         c = self.first[nodes + 1] - self.first[nodes]
         i = np.repeat(np.arange(len(nodes)), c)
-        return i, self.tails[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + self.first[nodes][i]]
+        at = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + self.first[nodes][i]
+        return i, self.tails[at], self.bad[at]
 
 
-def _rounds(after: _After, n: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth from 1 what is reached first: (pair, i, pair before), pair = start * n + node; i: which of the earlier depth's led there first in their order."""
-    known, fresh = np.zeros(0, dtype=np.int64), starts * n + starts
+def _rounds(after: _After, n: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each depth from 1 what starts reach first, as start * n + node, and whether each such way has a bad edge."""
+    known, fresh, broken = np.zeros(0, dtype=np.int64), starts * n + starts, np.zeros(len(starts), dtype=bool)
     while len(fresh):
-        i, to = after.of(fresh % n)
-        pair, first = np.unique(fresh[i] // n * n + to, return_index=True)
+        i, to, bad = after.of(fresh % n)
+        pair, flags = _least_flags(fresh[i] // n * n + to, broken[i] | bad)
         new = ~np.isin(pair, known)
-        fresh, i = pair[new], i[first[new]]
+        fresh, broken = pair[new], flags[new]
         known = np.union1d(known, fresh)
-        yield fresh, i, known
+        yield fresh, broken
 
 
 def _pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nodes, pairs, depths) of all that each node reaches, itself unless by a cycle left out."""
     nodes, (a, b) = _coded(frame, "src", "dst")
     n = len(nodes)
-    found = [f for f, _, _ in _rounds(_After(n, a, b), n, np.arange(n))]
+    found = [f for f, _ in _rounds(_After(n, a, b), n, np.arange(n))]
     return nodes, np.concatenate(found), np.repeat(np.arange(1, len(found) + 1), [len(f) for f in found])
 
 
+def ways(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(start, at, back, hops, broken) of all that starts (start) reach over edges (src, dst, bad), themselves left out, forwards, and (back) against them: the least number of edges, and whether each way of that length has a bad one. Then the edges and starts of weak components of more than CLOSED edges, which it leaves out; None if there are none."""
+    kind = edges.schema["src"].dataType.simpleString()
+    own = starts.select(F.col("start").cast(kind).alias("src"), F.col("start").cast(kind).alias("dst"), F.lit(False).alias("bad"), F.lit(True).alias("is_start"))
+    rows = edges.select("src", "dst", F.coalesce("bad", F.lit(False)).alias("bad"), F.lit(False).alias("is_start")).unionByName(own).dropna()
+    small, large = _bucketed(parted(by_name(cut(rows))), CLOSED, PAIRS)
+    out = _solved(small, _ways, f"start {kind}, at {kind}, back boolean, hops int, broken boolean")
+    if large is None:
+        return out, None, None
+    return out, large.where("NOT is_start").select("src", "dst", "bad"), large.where("is_start").select(F.col("src").alias("start")).distinct()
+
+
+def _ways(frame: pd.DataFrame) -> pd.DataFrame:
+    nodes, (a, b) = _coded(frame, "src", "dst")
+    n, starts, bad = len(nodes), frame["is_start"].to_numpy(dtype=bool), frame["bad"].to_numpy(dtype=bool)
+    first, a, b, bad = np.unique(a[starts]), a[~starts], b[~starts], bad[~starts]
+    out = []
+    for back in (False, True):
+        for hops, (pair, broken) in enumerate(_rounds(_After(n, b if back else a, a if back else b, bad), n, first), 1):
+            far = pair // n != pair % n
+            out.append(pd.DataFrame({"start": nodes[pair[far] // n], "at": nodes[pair[far] % n], "back": back, "hops": hops, "broken": broken[far]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"start": nodes[:0], "at": nodes[:0], "back": [], "hops": [], "broken": []})
+
+
 def _closed(frame: pd.DataFrame) -> pd.DataFrame:
     nodes, pairs, depths = _pairs(frame)
     n = len(nodes)

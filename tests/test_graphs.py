@@ -144,3 +144,17 @@ def test_closures_and_points_to_small_and_large(spark, monkeypatch, closed):
     allocs = spark.createDataFrame([(1, "a"), (10, "b"), (22, "c")], "var long, loc string")
     pts = [(r["var"], r["loc"]) for r in graphs.points_to(allocs, e.selectExpr("dst AS lhs", "src AS rhs")).collect()]
     assert sorted(pts) == [(1, "a"), (2, "a"), (3, "a"), (4, "a"), (10, "b"), (11, "b"), (22, "c")]
+
+
+@pytest.mark.parametrize("closed", [1 << 10, 3])
+def test_distances_small_and_large(spark, monkeypatch, closed):
+    """Of two shortest ways one is whole; repeated includes count as resolved if one of them is."""
+    monkeypatch.setattr(graphs, "CLOSED", closed)
+    edges = [(1, 2, False), (2, 4, True), (1, 3, True), (3, 4, True), (4, 1, True), (10, 11, False), (10, 11, True), (12, 13, False)]
+    e = spark.createDataFrame(edges, "src long, dst long, is_resolved boolean")
+    made = tables(monkeypatch)
+    got = {(r.start, r["at"], r.back): (r.hops, r.broken) for r in context._distances(e, spark.createDataFrame([(1,), (11,), (12,), (50,)], "start long")).collect()}
+    forwards = {(1, 2): (1, True), (1, 3): (1, False), (1, 4): (2, False), (12, 13): (1, True)}
+    back = {(1, 4): (1, False), (1, 2): (2, False), (1, 3): (2, False), (11, 10): (1, False)}
+    assert got == {(*k, d): v for d, side in ((False, forwards), (True, back)) for k, v in side.items()}
+    assert closed == 3 or len(made) <= 8
