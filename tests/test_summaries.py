@@ -41,3 +41,19 @@ def test_parameters(found):
 def test_nothing(spark):
     empty = spark.createDataFrame([], "file_id string, line_no int, text string")
     assert summaries.findings(summaries.program(empty)).collect() == []
+
+
+def test_large_files(spark, found, monkeypatch):
+    """Files that are too large for a task, beside some that aren't, exchange what they know all the same."""
+    monkeypatch.setattr(summaries.graphs, "LOCAL", 7)
+    assert {tuple(r) for r in summaries.findings(found).collect()} == WANT
+
+
+def test_few_rounds(spark, monkeypatch):
+    """Tables are written for calls from file to file, not for each move."""
+    written, own = [], summaries.cut
+    monkeypatch.setattr(summaries, "cut", lambda df: written.append(1) or own(df))
+    code = "$v0 = $_GET['x'];\n" + "".join(f"$v{i + 1} = $v{i};\n" for i in range(30)) + "echo $v30;"
+    p = summaries.program(spark.createDataFrame([("f", k, t) for k, t in enumerate(code.split("\n"), 1)], "file_id string, line_no int, text string"))
+    assert [r.line_no for r in summaries.findings(p).collect()] == [32]
+    assert len(written) < 40
