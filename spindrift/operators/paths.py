@@ -13,15 +13,18 @@ harmless for. Rounds join what is new, and end when nothing is. As in `taint`, t
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import catalog
-from . import calls
-from .graphs import _Known, cut
-from .summaries import _OUTER, _news, _with, within_functions
+from . import calls, graphs
+from .graphs import _Known, _solved, cut
+from .summaries import _OUTER, _least, _news, _Sets, _with, within_functions
 
 #: A variable, with what stands in its first brackets.
 PATH = r"\$(\w+)(?:\[\s*+([^\]]*+)\])?"
@@ -96,7 +99,62 @@ def uses(lines: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -
 
 
 def tainted(u: Uses) -> DataFrame:
-    """(file, line_no, origin, cleaned): definitions that a source reaches, and the types that it was made harmless for."""
+    """(file, line_no, origin, cleaned): definitions that a source reaches, and the types that it was made harmless for.
+
+    All of it lies within files. Those of up to LOCAL definitions, reads and sources are solved many at a time in a task, larger ones by rounds.
+    """
+    kind, sets, no = u.defs.schema["file"].dataType.simpleString(), F.array_join("cleaned", "\n").alias("types"), F.lit(None)
+    columns = {"what": "string", "file": kind, "line_no": "int", "var": "string", "key": "string", "epoch": "int", "exact": "int", "origin": "string", "types": "string"}
+    row = lambda df, what, **more: df.select(*[F.lit(what).alias(c) if c == "what" else more.get(c, F.col(c) if c in df.columns else no).cast(t).alias(c) for c, t in columns.items()])
+    seeds = u.seeds.where("vuln_type IS NULL")
+    rows = row(u.defs, "def").unionByName(row(u.reads.where("vuln_type IS NULL"), "read", types=sets)).unionByName(row(seeds, "seed", types=sets))
+    small, large = graphs._bucketed(cut(rows.where("file IS NOT NULL").withColumn("part", F.col("file"))), graphs.LOCAL)
+    found = _solved(small, _tainted_of, f"file {kind}, line_no int, origin string, cleaned string")
+    out = found.withColumn("cleaned", F.filter(F.split("cleaned", "\n"), lambda t: t != ""))
+    if large is None:
+        return out
+    of = lambda df: df.join(large.select("file").distinct().hint("merge"), "file", "left_semi")
+    return out.unionByName(_tainted_by_rounds(Uses(of(u.defs), of(u.reads), of(u.seeds))))
+
+
+def _tainted_of(frame: pd.DataFrame) -> pd.DataFrame:
+    """`tainted` of a bucket's files. Tainted definitions go to the reads that they are exact for, and cells to later reads of their epoch, if these are of the whole or of unknown keys, or the cells' own keys are unknown."""
+    sets, frame = _Sets(), frame.sort_values("line_no")
+    exact, cells, wholes, defs, known, work = defaultdict(list), defaultdict(list), defaultdict(list), {}, defaultdict(list), []
+    since: dict[tuple, int] = {}
+    for what, file, line, var, key, epoch, at, origin, types in zip(*(frame[c].tolist() for c in ("what", "file", "line_no", "var", "key", "epoch", "exact", "origin", "types")), strict=True):
+        if what == "def":
+            defs[file, line] = var, key, epoch
+        elif what == "seed":
+            work.append((file, line, origin, sets.of(types)))
+        else:
+            mask = sets.of(types)
+            exact[file, at].append((line, mask))
+            cells[file, var, epoch].append((line, mask))
+            if key in ("", "*"):
+                wholes[file, var, epoch].append((line, mask))
+    while work:
+        file, line, origin, mask = work.pop()
+        if not _least(known[file, line, origin], mask):
+            continue
+        to = exact.get((file, line), ())
+        if (own := defs.get((file, line))) and own[1] != "":
+            var, key, epoch = own
+            star = key == "*"
+            reads = (cells if star else wholes).get((file, var, epoch), ())
+            # of an epoch's cells only the first tainted line counts: reads after it have been reached from there
+            slot = file, var, epoch, star, origin, mask
+            first = bisect_right(reads, line, key=lambda r: r[0]) if reads else 0
+            last = since.get(slot, len(reads))
+            if first < last:
+                since[slot] = first
+                to = [*to, *reads[first:last]]
+        work += [(file, x, origin, mask | more) for x, more in to]
+    rows = [(file, line, origin, sets.names(m)) for (file, line, origin), masks in known.items() for m in masks]
+    return pd.DataFrame(rows, columns=["file", "line_no", "origin", "cleaned"])
+
+
+def _tainted_by_rounds(u: Uses) -> DataFrame:
     fresh = cut(u.seeds.where("vuln_type IS NULL").select("file", "line_no", "origin", "cleaned").distinct())
     known = _Known(fresh)
     moves = u.reads.where("vuln_type IS NULL").drop("vuln_type")

@@ -142,7 +142,7 @@ def _across(rows: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], sche
     call one of these: they are solved once more with all that they have heard (heard), and only what that adds is found.
     So there is a round for each call from file to file, not for each move. Files of more than LOCAL rows go by by_rounds.
     """
-    rows = rows.withColumn("file", F.regexp_extract("func", r"(?s)^(.*):", 1)).withColumn("part", F.col("file"))
+    rows = rows.where("func IS NOT NULL").withColumn("file", F.regexp_extract("func", r"(?s)^(.*):", 1)).withColumn("part", F.col("file"))
     small, large = graphs._bucketed(cut(rows), graphs.LOCAL)
     cross = lambda df, *c: cut(df.where("startswith(callee, '*:')").select(*c).distinct())
     called, far = cross(small, "file", "bucket", "callee"), None if large is None else cross(large, "file", "callee")
@@ -213,6 +213,14 @@ class _Sets:
         return "\n".join(sorted(t for t, i in self.bits.items() if mask >> i & 1))
 
 
+def _least(masks: list[int], mask: int) -> bool:
+    """Puts mask among masks, none of which has all of another's; whether that is news."""
+    if any(m & mask == m for m in masks):
+        return False
+    masks[:] = [m for m in masks if m & mask != mask] + [mask]
+    return True
+
+
 def _new_rows(frame: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
     """The rows of a frame, and those of them that have been heard just now."""
     rows = list(zip(*(frame[c].tolist() for c in _ROWS), strict=True))
@@ -231,21 +239,14 @@ def _facts_of(frame: pd.DataFrame) -> pd.DataFrame:
             nodes.append((func, name))
         return i
 
-    def least(masks: list[int], mask: int) -> bool:
-        """Puts mask among masks that have no more than others; whether that is news."""
-        if any(m & mask == m for m in masks):
-            return False
-        masks[:] = [m for m in masks if m & mask != mask] + [mask]
-        return True
-
     def add(i: int, origin: str, mask: int) -> None:
-        if least(known[i].setdefault(origin, []), mask):
+        if _least(known[i].setdefault(origin, []), mask):
             work.append((i, origin, mask))
 
     def returned(callee: str, origin: str, mask: int) -> None:
         if origin.startswith("param:"):
             for src, dst in handed.get((callee, int(origin[6:])), ()):
-                if least(after[src].setdefault(dst, []), mask):
+                if _least(after[src].setdefault(dst, []), mask):
                     for o, masks in list(known[src].items()) if src in known else ():
                         for m in list(masks):
                             add(dst, o, m | mask)
@@ -267,7 +268,7 @@ def _facts_of(frame: pd.DataFrame) -> pd.DataFrame:
     heard = []
     for what, func, a, b, idx, callee, _, types in rows:
         if what == "move":
-            least(after[node(func, a)].setdefault(node(func, b), []), sets.of(types))
+            _least(after[node(func, a)].setdefault(node(func, b), []), sets.of(types))
         elif what == "arg":
             handed[callee, int(idx)].add((node(func, a), node(func, b)))
             taken[callee].add(node(func, b))

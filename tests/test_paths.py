@@ -48,3 +48,21 @@ def test_presink(spark):
     u = paths.uses(spark.createDataFrame([(1, k, t) for k, t in enumerate(code.split("\n"), 1)], "file_id int, line_no int, text string"))
     got = {(r.line_no, r.vuln_type, r.var, r.key): (r.assigned_at, r.is_clean) for r in paths.presink(u).collect()}
     assert got == {(2, "XSS", "v", ""): (1, True), (3, "SQL_INJECTION", "v", ""): (1, False), (5, "XSS", "v", ""): (4, False), (6, "XSS", "v", ""): (4, True), (7, "XSS", "never", ""): (0, False), (9, "XSS", "r", "a"): (8, True)}
+
+
+def test_large_files(spark, monkeypatch):
+    """Files that are too large for a task go by rounds, to the same end."""
+    monkeypatch.setattr(paths.graphs, "LOCAL", 6)
+    rows = [(f, k, t) for f, (code, _) in FILES.items() for k, t in enumerate(code.split("\n"), 1)]
+    got = paths.findings(paths.uses(spark.createDataFrame(rows, "file_id string, line_no int, text string"))).collect()
+    assert {(r.file, r.line_no, r.vuln_type, r.origin) for r in got} == {(f, *x) for f, (_, want) in FILES.items() for x in want}
+
+
+def test_few_rounds(spark, monkeypatch):
+    """A long way through a file's lines takes no round for each of them."""
+    written, own = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: written.append(1) or own(df))
+    code = "$v0 = $_GET['x'];\n" + "".join(f"$v{i + 1} = $v{i};\n" for i in range(20)) + "echo $v20;"
+    u = paths.uses(spark.createDataFrame([("f", k, t) for k, t in enumerate(code.split("\n"), 1)], "file_id string, line_no int, text string"))
+    assert [r.line_no for r in paths.findings(u).collect()] == [22]
+    assert len(written) < 15
