@@ -85,7 +85,44 @@ def _reach_by_rounds(edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(src, dst, depth, path) from each of starts (src): of the shortest paths, the one that is least as an array. A round for each edge of the longest."""
+    """(src, dst, depth, path) from each of starts (src): of the shortest paths, the one that is least as an array.
+
+    Paths lie within weak components: those of up to an eighth of CLOSED edges are solved many at a time, as a task holds
+    their paths, larger ones by a round for each edge of the longest path.
+    """
+    edges = edges.select("src", "dst").dropna()  # null leads nowhere
+    kind = edges.schema["src"].dataType.simpleString()
+    own = starts.select(F.col("src").cast(kind).alias("src"), F.col("src").cast(kind).alias("dst"), F.lit(True).alias("is_start"))
+    rows = edges.withColumn("is_start", F.lit(False)).unionByName(own.dropna().distinct())
+    small, large = _bucketed(parted(by_name(rows)), CLOSED >> 3, PAIRS >> 4)  # paths are longer than pairs
+    out = _solved(small, _shortest, f"src {kind}, dst {kind}, depth int, path array<{kind}>")
+    nothing = starts.where("src IS NULL").distinct().select(F.col("src").cast(kind).alias("src"), F.col("src").cast(kind).alias("dst"), F.lit(0).alias("depth"), F.array(F.col("src").cast(kind)).alias("path"))
+    out = out.unionByName(nothing)
+    return out if large is None else out.unionByName(_shortest_by_rounds(large.where("NOT is_start"), large.where("is_start")))
+
+
+def _shortest(frame: pd.DataFrame) -> pd.DataFrame:
+    """Paths go to the next nodes in their own order, those of least nodes first, so the first to come somewhere is the least."""
+    after, rows = defaultdict(set), []
+    for a, b, is_start in zip(frame["src"].tolist(), frame["dst"].tolist(), frame["is_start"].tolist(), strict=True):
+        if not is_start:
+            after[a].add(b)
+    ordered = {a: sorted(to) for a, to in after.items()}
+    for start in set(frame.loc[frame["is_start"].astype(bool), "src"].tolist()):
+        seen, fresh = {start}, [[start]]
+        while fresh:
+            rows += [(start, path[-1], len(path) - 1, path) for path in fresh]
+            longer = []
+            for path in fresh:
+                for to in ordered.get(path[-1], ()):
+                    if to not in seen:
+                        seen.add(to)
+                        longer.append([*path, to])
+            fresh = longer
+    return pd.DataFrame(rows, columns=["src", "dst", "depth", "path"])
+
+
+def _shortest_by_rounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
     e = edges.select(F.col("src").alias("mid"), F.col("dst").alias("next")).distinct()
     fresh = cut(starts.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("depth"), F.array("src").alias("path")))
     known, depth = _Known(fresh), 0
@@ -596,17 +633,44 @@ def may_alias(pts: DataFrame) -> DataFrame:
 def stale(now: DataFrame, cached: DataFrame, includes: DataFrame) -> DataFrame:
     """Paths to analyse again: new or changed by hash, and whatever includes one of these, at any distance.
 
-    now, cached: (path, sha256); includes: (src, dst), src includes dst.
+    now, cached: (path, sha256); includes: (src, dst), src includes dst. Weak components of up to LOCAL includes are solved
+    many at a time in a task, larger ones by rounds.
     """
     changed = now.join(cached, (now["path"] == cached["path"]) & (now["sha256"] == cached["sha256"]), "left_anti").select("path")
     gone = cached.join(now, "path", "left_anti").select("path")
-    fresh = cut(changed.unionByName(gone).distinct())
+    fresh = changed.unionByName(gone).distinct()
+    edges = includes.select("src", "dst").dropna().withColumn("is_start", F.lit(False))
+    rows = edges.unionByName(fresh.dropna().select(F.col("path").alias("src"), F.col("path").alias("dst"), F.lit(True).alias("is_start")))
+    small, large = _bucketed(parted(by_name(rows)), LOCAL)
+    found = _solved(small, _including, "path string")
+    if large is not None:
+        found = found.unionByName(_including_by_rounds(large.where("is_start").select(F.col("src").alias("path")), large.where("NOT is_start")))
+    return found.join(now, "path", "left_semi")
+
+
+def _including(frame: pd.DataFrame) -> pd.DataFrame:
+    """path: a bucket's starts, and what leads to them."""
+    before, known, work = defaultdict(list), set(), []
+    for a, b, is_start in zip(frame["src"].tolist(), frame["dst"].tolist(), frame["is_start"].tolist(), strict=True):
+        if is_start:
+            work.append(a)
+        else:
+            before[b].append(a)
+    while work:
+        if (x := work.pop()) not in known:
+            known.add(x)
+            work += before.get(x, ())
+    return pd.DataFrame({"path": list(known)}, dtype=object)
+
+
+def _including_by_rounds(starts: DataFrame, includes: DataFrame) -> DataFrame:
+    fresh = cut(starts)
     known = _Known(fresh)
     while not fresh.isEmpty():
         found = fresh.join(includes, fresh["path"] == includes["dst"]).select(F.col("src").alias("path")).distinct()
         fresh = cut(found.join(known.rows, "path", "left_anti"))
         known.add(fresh)
-    return known.rows.join(now, "path", "left_semi")
+    return known.rows
 
 
 def call_graph(calls: DataFrame, functions: DataFrame) -> DataFrame:

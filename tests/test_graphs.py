@@ -158,3 +158,23 @@ def test_distances_small_and_large(spark, monkeypatch, closed):
     back = {(1, 4): (1, False), (1, 2): (2, False), (1, 3): (2, False), (11, 10): (1, False)}
     assert got == {(*k, d): v for d, side in ((False, forwards), (True, back)) for k, v in side.items()}
     assert closed == 3 or len(made) <= 8
+
+
+@pytest.mark.parametrize("most", [1 << 10, 2])
+def test_paths_and_stale(spark, monkeypatch, most):
+    """Shortest paths and stale files, in tasks (without a round for each edge) and by rounds."""
+    monkeypatch.setattr(graphs, "CLOSED", most)
+    monkeypatch.setattr(graphs, "LOCAL", most)
+    written, own = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(1) or own(df))
+    edges = [(i, i + 1) for i in range(9)] + [(0, 20), (20, 2), (0, 11), (11, 2), (9, 0), (30, 31), (31, 30)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got = {(r.src, r.dst): (r.depth, list(r.path)) for r in graphs.shortest_paths(e, spark.createDataFrame([(0,), (30,), (40,)], "src long")).collect()}
+    tail = list(range(2, 10))
+    want = {(0, 0): (0, [0]), (0, 1): (1, [0, 1]), (0, 11): (1, [0, 11]), (0, 20): (1, [0, 20])} | {(0, d): (d, [0, 1, *tail[: d - 1]]) for d in tail}
+    assert got == want | {(30, 30): (0, [30]), (30, 31): (1, [30, 31]), (40, 40): (0, [40])}
+    sums = lambda new: spark.createDataFrame([(str(i), "b" if i in new else "a") for i in [*range(10), 11, 20, 30, 31, 40]], "path string, sha256 string")
+    links = e.where("src <> 9").selectExpr("string(src) src", "string(dst) dst")
+    stale = {r.path for r in graphs.stale(sums({2, 40}), sums(()), links).collect()}
+    assert stale == {"0", "1", "11", "20", "2", "40"}
+    assert most == 2 or len(written) < 12
