@@ -682,11 +682,49 @@ def params_to_sinks(direct: DataFrame, passes: DataFrame) -> DataFrame:
     """(func, idx, vuln_type): parameters that reach a sink, in their function or through any number of calls.
 
     direct: the same columns, within a function; passes: (func, idx, callee, callee_idx), a parameter handed on as an
-    argument. The bottom-up order over components of the call graph isn't needed: rounds end when nothing is new.
+    argument. The bottom-up order over components of the call graph isn't needed: rounds end when nothing is new. Weak
+    components of up to LOCAL sinks and calls are solved many at a time in a task, larger ones by rounds.
     """
-    fresh = cut(direct.select("func", "idx", "vuln_type").distinct())
+    kind, idx_kind = (direct.schema[c].dataType.simpleString() for c in ("func", "idx"))
+    as_ = lambda c, t, name: F.col(c).cast(t).alias(name)
+    sunk = direct.select(as_("func", kind, "src"), as_("func", kind, "dst"), as_("idx", idx_kind, "idx"), as_("idx", idx_kind, "to_idx"), F.col("vuln_type").cast("string").alias("vuln_type"), F.lit(True).alias("is_sink"))
+    handed = passes.select(as_("func", kind, "src"), as_("callee", kind, "dst"), as_("idx", idx_kind, "idx"), as_("callee_idx", idx_kind, "to_idx"), F.lit(None).cast("string").alias("vuln_type"), F.lit(False).alias("is_sink"))
+    rows = cut(sunk.unionByName(handed.where("dst IS NOT NULL AND to_idx IS NOT NULL")))  # null is no function that is called
+    nameless = rows.where("src IS NULL OR idx IS NULL")  # and is called by none
+    small, large = _bucketed(parted(by_name(rows.where("src IS NOT NULL AND idx IS NOT NULL"))), LOCAL)
+    out = _solved(small, _sinking, f"func {kind}, idx {idx_kind}, vuln_type string")
+    if large is not None:
+        out = out.unionByName(_sinking_by_rounds(large))
+    if nameless.isEmpty():
+        return out
+    out = cut(out)
+    last = nameless.where("NOT is_sink").drop("vuln_type").join(out.select(F.col("func").alias("dst"), F.col("idx").alias("to_idx"), "vuln_type"), ["dst", "to_idx"])
+    own = nameless.where("is_sink").unionByName(last)
+    return out.unionByName(own.select(F.col("src").alias("func"), "idx", "vuln_type").distinct())
+
+
+def _sinking(frame: pd.DataFrame) -> pd.DataFrame:
+    """(func, idx, vuln_type) of a bucket's sinks, and of what hands its parameters on to them."""
+    before, known, work = defaultdict(list), set(), []
+    for a, b, i, k, t, is_sink in zip(*(frame[c].tolist() for c in ("src", "dst", "idx", "to_idx", "vuln_type", "is_sink")), strict=True):
+        if is_sink:
+            work.append((a, i, t))
+        else:
+            before[b, k].append((a, i))
+    while work:
+        if (x := work.pop()) not in known:
+            known.add(x)
+            work += [(a, i, x[2]) for a, i in before.get(x[:2], ())]
+    return pd.DataFrame(list(known), columns=["func", "idx", "vuln_type"])
+
+
+def _sinking_by_rounds(rows: DataFrame) -> DataFrame:
+    """Calls are written once, without those of functions that neither have a sink nor hand anything on."""
+    fresh = cut(rows.where("is_sink").select(F.col("src").alias("func"), "idx", "vuln_type").distinct())
     known = _Known(fresh)
-    p = passes.select(F.col("func").alias("caller"), F.col("idx").alias("caller_idx"), "callee", "callee_idx").distinct()
+    live = rows.select(F.col("src").alias("callee"), F.col("idx").alias("callee_idx")).distinct()
+    p = rows.where("NOT is_sink").select(F.col("src").alias("caller"), F.col("idx").alias("caller_idx"), F.col("dst").alias("callee"), F.col("to_idx").alias("callee_idx")).distinct()
+    p = cut(p.join(live, ["callee", "callee_idx"], "left_semi"))
     while not fresh.isEmpty():
         hit = (fresh["func"] == p["callee"]) & (fresh["idx"] == p["callee_idx"])
         found = p.join(fresh, hit).select(F.col("caller").alias("func"), F.col("caller_idx").alias("idx"), "vuln_type").distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 import threading
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -109,19 +109,39 @@ def function_rows(files: DataFrame, key: str = "file_id") -> DataFrame:
     return _each(files, "name string, idx int, param string, line int", lambda t: [(n, i, p, line) for n, params, _, line in flow.functions(t) for i, p in [(-1, ""), *enumerate(params)]], key)
 
 
+def _calls(tree: syntax.Node) -> list[tuple[str, str, int, int, str]]:
+    out = []
+    for name, _, body, _ in flow.functions(tree):
+        inner = {id(x) for n in body.walk() if n.kind == "function" and n is not body for x in n.walk()}
+        for n in body.walk():
+            if n.kind == "call" and id(n) not in inner:
+                out += [(name, n.value, n.line, i, a) for i, a in [(-1, ""), *((i, c.value if c.kind == "var" else "") for i, c in enumerate(n.children))]]
+    return out
+
+
 def calls(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(caller, callee, line, idx, arg): arguments that are plain variables by name, others empty; idx -1 for the call itself."""
+    return _each(files, "caller string, callee string, line int, idx int, arg string", _calls, key)
 
-    def make(tree):
-        out = []
-        for name, _, body, _ in flow.functions(tree):
-            inner = {id(x) for n in body.walk() if n.kind == "function" and n is not body for x in n.walk()}
-            for n in body.walk():
-                if n.kind == "call" and id(n) not in inner:
-                    out += [(name, n.value, n.line, i, a) for i, a in [(-1, ""), *((i, c.value if c.kind == "var" else "") for i, c in enumerate(n.children))]]
-        return out
 
-    return _each(files, "caller string, callee string, line int, idx int, arg string", make, key)
+def parameters(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -> DataFrame:
+    """(func, idx, vuln_type, callee, callee_idx): what functions do with their parameters, each file being parsed once. A sink that one reaches (`findings`) has its type, and no callee; a call that one is handed to by its name (`calls`) has no type."""
+    rules = interpret.Rules.load(rules_dir)
+
+    def make(tree):
+        at = defaultdict(set)
+        for name, params, _, _ in flow.functions(tree):
+            for i, p in enumerate(params):
+                at[name, p].add(i)
+        try:
+            found = interpret.findings(tree, rules)
+        except Exception:  # calls of a file that can't be interpreted count all the same; see `failed`
+            found = []
+        out = {(name, i, kind, None, None) for name, _, kind, _, _, source in found if source.startswith("param:") for i in at.get((name, source[6:]), ())}
+        out |= {(name, i, None, callee, k) for name, callee, _, k, arg in _calls(tree) if arg for i in at.get((name, arg), ())}
+        return list(out)
+
+    return _each(files, "func string, idx int, vuln_type string, callee string, callee_idx int", make, key)
 
 
 def graphs(files: DataFrame, key: str = "file_id") -> DataFrame:

@@ -101,9 +101,8 @@ def g20_project_summaries(spark, sf_dir):
     code = read(spark, sf_dir, "events").groupBy(u.alias("file_id")).agg(body.alias("body"))
     sink = F.when(F.col("file_id") % 13 == 5, "mysql_query($p);").otherwise("")
     files = code.select("file_id", F.concat(F.lit("<?php function f"), F.col("file_id").cast("string"), F.lit("($p) { "), "body", sink, F.lit(" }")).alias("code"))
-    params = programs.function_rows(files).where("idx >= 0").select("file_id", F.col("name").alias("func"), "param", F.col("idx").alias("idx"))
-    direct = programs.findings(files).where("source LIKE 'param:%'").select("file_id", F.col("name").alias("func"), F.substring("source", 7, 200).alias("param"), "vuln_type").join(params, ["file_id", "func", "param"])
-    passed = programs.calls(files).where("idx >= 0 AND arg <> ''").select("file_id", F.col("caller").alias("func"), F.col("arg").alias("param"), "callee", F.col("idx").alias("callee_idx")).join(params, ["file_id", "func", "param"])
+    p = graphs.cut(programs.parameters(files))
+    direct, passed = p.where("callee IS NULL"), p.where("callee IS NOT NULL")
     return graphs.params_to_sinks(direct, passed)
 
 

@@ -178,3 +178,44 @@ def test_paths_and_stale(spark, monkeypatch, most):
     stale = {r.path for r in graphs.stale(sums({2, 40}), sums(()), links).collect()}
     assert stale == {"0", "1", "11", "20", "2", "40"}
     assert most == 2 or len(written) < 12
+
+
+@pytest.mark.parametrize("local", [1 << 16, 3])
+def test_parameters_to_sinks_small_and_large(spark, monkeypatch, local):
+    monkeypatch.setattr(graphs, "LOCAL", local)
+    rng = random.Random(local)
+    direct = [(f"f{rng.randrange(60)}", rng.randrange(2), t) for t in ("XSS", "RCE") for _ in range(8)] + [(None, 0, "XSS"), ("f1", None, "RCE")]
+    passes = [(f"f{rng.randrange(60)}", rng.randrange(2), f"f{rng.randrange(60)}", rng.randrange(2)) for _ in range(70)]
+    passes += [("a", 0, "b", 0), ("b", 0, "a", 0), ("b", 0, "c", 1), (None, 1, direct[0][0], direct[0][1]), ("d", None, direct[0][0], direct[0][1]), ("d", 0, None, 0), ("d", 0, direct[0][0], None), ("d", 1, "nowhere", 0)]
+    want = set(direct + [("c", 1, "XSS")])
+    for _ in range(80):
+        want |= {(f, i, t) for f, i, g, k in passes for h, j, t in want if g is not None and k is not None and (g, k) == (h, j)}
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = graphs.params_to_sinks(frame(direct + [("c", 1, "XSS")], "func string, idx int, vuln_type string"), frame(passes + passes[:9], "func string, idx int, callee string, callee_idx int"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {("a", 0, "XSS"), (None, 1, direct[0][2]), ("d", None, direct[0][2])} <= want
+    none = frame([], "func long, idx int, vuln_type string")
+    assert graphs.params_to_sinks(none, frame([], "func long, idx int, callee long, callee_idx int")).collect() == []
+
+
+@pytest.mark.parametrize("local", [1 << 16, 3])
+def test_parameters_to_sinks_read_calls_once(spark, monkeypatch, tmp_path, local):
+    """A chain of 12 calls in each of 20 projects; by rounds over what was given, calls were read in each of them."""
+    monkeypatch.setattr(graphs, "LOCAL", local)
+    log = str(tmp_path / "read")
+
+    def seen(frames):
+        for f in frames:
+            with open(log, "a") as out:
+                out.write("x" * len(f))
+            yield f
+
+    passes = spark.range(240).where("id % 12 < 11").selectExpr("id AS func", "0 AS idx", "id + 1 AS callee", "0 AS callee_idx")
+    passes = passes.mapInPandas(seen, passes.schema)
+    direct = spark.range(20).selectExpr("id * 12 + 11 AS func", "0 AS idx", "'XSS' AS vuln_type")
+    made = tables(monkeypatch)
+    assert {r.func for r in graphs.params_to_sinks(direct, passes).collect()} == set(range(240))
+    with open(log) as f:
+        assert len(f.read()) == 220
+    assert local == 3 or len(made) <= 6  # by rounds, one for each call of a chain

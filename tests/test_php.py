@@ -107,3 +107,24 @@ def test_rows(spark):
     n = programs.nodes(files).where("file_id = 1")
     assert n.where("parent_id = -1").count() == 1 and n.join(n.selectExpr("node_id as parent_id"), "parent_id", "left_semi").count() == n.count() - 1
     assert programs.graphs(files).count() == 4 and programs.findings(files).count() == 0
+
+
+def test_parameters_of_one_parse(spark):
+    """What function_rows, findings and calls say together; a file that can't be interpreted has its calls all the same."""
+    many = "function m($p) { " + "".join(f"while ($c{i}) {{ " for i in range(60)) + "g($p); " + "} " * 60 + "}"
+    codes = ["<?php function f($a, $b, $c) { mysql_query($b); g($a, 1, $b); g($a, 2, $b); h($x); if ($a) { echo $c; } } function g($p) { f($p[0], $p, $p); }", "function f($a) { $f = function ($q) { k($q); eval($q); }; } f($a);", many, None, ""]
+    files = spark.createDataFrame(list(enumerate(codes)), "file_id long, code string")
+    params = programs.function_rows(files).where("idx >= 0").selectExpr("file_id", "name AS func", "param", "idx")
+    direct = programs.findings(files).where("source LIKE 'param:%'").selectExpr("file_id", "name AS func", "substring(source, 7) AS param", "vuln_type", "CAST(NULL AS STRING) AS callee", "CAST(NULL AS INT) AS callee_idx")
+    passed = programs.calls(files).where("idx >= 0 AND arg <> ''").selectExpr("file_id", "caller AS func", "arg AS param", "CAST(NULL AS STRING) AS vuln_type", "callee", "idx AS callee_idx")
+    want = direct.unionByName(passed).join(params, ["file_id", "func", "param"]).select("file_id", "func", "idx", "vuln_type", "callee", "callee_idx").distinct()
+    rows = [tuple(r) for r in programs.parameters(files).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in want.collect()}
+    assert {(0, "f", 1, "SQL_INJECTION", None, None), (0, "f", 2, "XSS", None, None), (0, "f", 1, None, "g", 2), (1, "{closure}", 0, None, "k", 0), (2, "m", 0, None, "g", 0)} <= set(rows)
+
+
+def test_parameters_of_what_is_not_interpreted(spark, monkeypatch):
+    monkeypatch.setattr(interpret.Rules, "load", staticmethod(lambda *a: None))  # calls can't be judged without rules
+    files = spark.createDataFrame([(1, "<?php function f($a) { g($a); }")], "file_id long, code string")
+    assert programs.findings(files).collect() == []
+    assert [(r.func, r.idx, r.callee, r.callee_idx) for r in programs.parameters(files).collect()] == [("f", 0, "g", 0)]
