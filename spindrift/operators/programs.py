@@ -2,7 +2,7 @@
 
 Each file is an interpreter's run of its own, in Arrow batches; nothing but its rows leaves the worker. Parser and
 interpreter recurse, so they run in a thread whose stack holds DEPTH calls. A file that they fail on all the same gives
-no rows, and one in `failed`.
+no rows, and one in `failed`; `parameters` raises an error that names it, if it is asked to be strict.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def _made(codes: list[str | None], make: Callable[[syntax.Node], list[tuple]]) -
     return out
 
 
-def _each(files: DataFrame, columns: str, make: Callable[[syntax.Node], list[tuple]], key: str) -> DataFrame:
+def _each(files: DataFrame, columns: str, make: Callable[[syntax.Node], list[tuple]], key: str, strict: bool = False) -> DataFrame:
     src = files.select(F.col(key), F.col("code"))
     kind = src.schema[0].dataType.simpleString()
     names = [key, *(c.split()[0] for c in columns.split(", "))]
@@ -63,6 +63,8 @@ def _each(files: DataFrame, columns: str, make: Callable[[syntax.Node], list[tup
                 if not isinstance(made, Exception):
                     at += [i] * len(made)
                     rows += made
+                elif strict:
+                    raise RuntimeError(f"the front end fails on the file with {key} {b.column(0)[i].as_py()}: {type(made).__name__}: {made}") from made
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
@@ -124,8 +126,8 @@ def calls(files: DataFrame, key: str = "file_id") -> DataFrame:
     return _each(files, "caller string, callee string, line int, idx int, arg string", _calls, key)
 
 
-def parameters(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN) -> DataFrame:
-    """(func, idx, vuln_type, callee, callee_idx): what functions do with their parameters, each file being parsed once. A sink that one reaches (`findings`) has its type, and no callee; a call that one is handed to by its name (`calls`) has no type."""
+def parameters(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.OWN, strict: bool = False) -> DataFrame:
+    """(func, idx, vuln_type, callee, callee_idx): what functions do with their parameters, each file being parsed once. A sink that one reaches (`findings`) has its type, and no callee; a call that one is handed to by its name (`calls`) has no type. If strict, a file that fails is an error, as it would look like one whose parameters reach nothing."""
     rules = interpret.Rules.load(rules_dir)
 
     def make(tree):
@@ -136,12 +138,14 @@ def parameters(files: DataFrame, key: str = "file_id", rules_dir: str = catalog.
         try:
             found = interpret.findings(tree, rules)
         except Exception:  # calls of a file that can't be interpreted count all the same; see `failed`
+            if strict:
+                raise
             found = []
         out = {(name, i, kind, None, None) for name, _, kind, _, _, source in found if source.startswith("param:") for i in at.get((name, source[6:]), ())}
         out |= {(name, i, None, callee, k) for name, callee, _, k, arg in _calls(tree) if arg for i in at.get((name, arg), ())}
         return list(out)
 
-    return _each(files, "func string, idx int, vuln_type string, callee string, callee_idx int", make, key)
+    return _each(files, "func string, idx int, vuln_type string, callee string, callee_idx int", make, key, strict)
 
 
 def graphs(files: DataFrame, key: str = "file_id") -> DataFrame:

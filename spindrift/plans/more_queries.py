@@ -95,15 +95,20 @@ def m1_features(spark, sf_dir):
 @query("""WITH RECURSIVE c AS (SELECT DISTINCT user_id AS f, event_id // 20 AS g FROM events), d AS (SELECT DISTINCT f FROM c WHERE f % 13 = 5), k AS (SELECT f FROM d UNION SELECT c.f FROM k JOIN c ON c.g = k.f)
     SELECT 'f' || f AS func, 0 AS idx, 'SQL_INJECTION' AS vuln_type FROM k""")
 def g20_project_summaries(spark, sf_dir):
-    """Parameters that reach sinks through calls, from source files: parsed, interpreted, and joined to a fixed point."""
-    i, u = F.col("event_id"), F.col("user_id")
-    body = F.array_join(F.transform(F.array_sort(F.collect_set(F.floor(i / 20))), lambda x: F.concat(F.lit("f"), x.cast("string"), F.lit("($p);"))), " ")
-    code = read(spark, sf_dir, "events").groupBy(u.alias("file_id")).agg(body.alias("body"))
+    """Parameters that reach sinks through calls, from source files: parsed, interpreted, and joined to a fixed point.
+
+    A name's minus is an underscore in the files, and a function that has no name is anonymous there. A file that the front
+    end fails on is an error.
+    """
+    named = lambda x: F.concat(F.lit("f"), F.translate(x.cast("string"), "-", "_"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_set(F.expr("event_id div 20"))), lambda x: F.concat(named(x), F.lit("($p);"))), " ")
+    code = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("file_id")).agg(body.alias("body"))
     sink = F.when(F.col("file_id") % 13 == 5, "mysql_query($p);").otherwise("")
-    files = code.select("file_id", F.concat(F.lit("<?php function f"), F.col("file_id").cast("string"), F.lit("($p) { "), "body", sink, F.lit(" }")).alias("code"))
-    p = graphs.cut(programs.parameters(files))
+    files = code.select("file_id", F.concat(F.lit("<?php function "), F.coalesce(named(F.col("file_id")), F.lit("")), F.lit("($p) { "), "body", sink, F.lit(" }")).alias("code"))
+    p = graphs.cut(programs.parameters(files, strict=True).withColumn("func", F.nullif("func", F.lit("{closure}"))))
     direct, passed = p.where("callee IS NULL"), p.where("callee IS NOT NULL")
-    return graphs.params_to_sinks(direct, passed)
+    out = graphs.params_to_sinks(direct, passed)
+    return out.withColumn("func", F.translate("func", "_", "-"))
 
 
 @query()
